@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from tidemark.llm import decontam, html_extract, license_scan, packing, pii
+from tidemark.llm import decontam, html_extract, license_scan, packing, pii, quality, sharding
 from tidemark.llm.common import table
 
 
 def queries():
     return {
+        "op2_stratified_interleaving": lambda s, d: sharding.op2_stratified_interleaving(table(s, d, "documents")),
         "op3_fuzzy_notices": lambda s, d: license_scan.op3_fuzzy_notices(table(s, d, "documents")),
+        "op6_covariance_outliers": lambda s, d: quality.op6_covariance_outliers(table(s, d, "documents")),
         "op7_anchor_expansion": lambda s, d: pii.op7_anchor_expansion(table(s, d, "documents")),
         "op8_differencing": lambda s, d: packing.op8_differencing(table(s, d, "documents")),
         "op9_text_to_tag": lambda s, d: html_extract.op9_text_to_tag(table(s, d, "pages")),
