@@ -23,8 +23,8 @@ DIMS = 4
 #: Grid steps a natural-log unit, and the largest grid value.
 GRID, TOP = 200, 1600
 #: Least standard deviations, in grid steps: ordinary prose has hardly any symbols or repetitions, and their first few are no defect.
-FLOORS = (16.0, 60.0, 80.0, 80.0)
-#: Texts of a group that its own estimate needs; smaller groups of a language share one, and below it none is made.
+FLOORS = (16.0, 25.0, 80.0, 80.0)
+#: Texts that an estimate needs; smaller groups use their language's, small languages that of all texts.
 LEAST_TEXTS = 60
 CORE = 0.75
 #: For a core of 3/4 in 4 dimensions: 0.75 / P(chi2 with 6 degrees < 5.385), makes the covariance consistent.
@@ -84,8 +84,8 @@ def _vector() -> list[Column]:
         _grid(10 * F.col("n_symbols") / n).alias("x1"),
         _grid(10 * F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1))).alias("x2"),
         _grid(10 * F.col("n_repeat_words") / n).alias("x3"),
-        # 0 to 16: the square of a text's weight, 16 n / (n + 100)
-        F.round(16 * n / (n + 100)).cast("long").alias("wt"),
+        # 0 to 16: the square of a text's weight
+        F.round(16 * n / (n + 40)).cast("long").alias("wt"),
     ]
 
 
@@ -148,8 +148,8 @@ def with_verdicts(docs: DataFrame, *, keep: list[str], lang_col: str = "lang", s
     """The columns ``keep`` with the statistics, ``base_failed``, ``distance`` (squared; null without an estimate) and ``kept``.
 
     Null texts have no words and fail; null languages and sources are groups of their own. Groups with fewer than
-    ``LEAST_TEXTS`` texts that pass the base rules share an estimate within their language, or have none, and then
-    only the base rules reject. Repeated rows get equal verdicts. The texts are read once and never shuffled, unless
+    ``LEAST_TEXTS`` texts that pass the base rules take their language's estimate or that of all texts; where these
+    are as few, only the base rules reject. Repeated rows get equal verdicts. The texts are read once and never shuffled, unless
     the estimates outgrow the session's broadcast threshold.
     """
     name = lambda c: F.coalesce(F.concat(F.lit("+"), F.col(c).cast("string")), F.lit("-"))
@@ -158,9 +158,13 @@ def with_verdicts(docs: DataFrame, *, keep: list[str], lang_col: str = "lang", s
     stats = written(stats.select("*", base_failed().alias("base_failed"), *_vector()), "quality-rows")
     cells = stats.where(~F.col("base_failed")).groupBy("__lang", "__source", *(f"x{i}" for i in range(DIMS)), "wt").agg(F.count(F.lit(1)).alias("c"))
     cells = written(cells, "quality-cells")
+    of_source, of_lang, of_all = F.concat_ws("\x1f", "__lang", "__source"), F.col("__lang"), F.lit("*")
     sizes = cells.groupBy("__lang", "__source").agg(F.sum("c").alias("n"))
-    groups = written(sizes.select("__lang", "__source", F.when(F.col("n") >= LEAST_TEXTS, F.concat_ws("\x1f", "__lang", "__source")).otherwise(F.col("__lang")).alias("__group")).coalesce(1), "quality-groups")
-    cells = written(cells.join(groups, ["__lang", "__source"]).drop("__lang", "__source"), "quality-grouped")
+    langs = sizes.groupBy("__lang").agg(F.sum("n").alias("n_lang"))
+    group = F.when(F.col("n") >= LEAST_TEXTS, of_source).when(F.col("n_lang") >= LEAST_TEXTS, of_lang).otherwise(of_all)
+    groups = written(sizes.join(langs, "__lang").select("__lang", "__source", group.alias("__group")).coalesce(1), "quality-groups")
+    cells = cells.withColumn("__group", F.explode(F.array(of_source, of_lang, of_all))).drop("__lang", "__source")
+    cells = written(cells.join(groups.select("__group").distinct(), "__group", "left_semi"), "quality-grouped")
     params = written(_start(cells).where(F.col("n") >= LEAST_TEXTS).coalesce(1), "quality-start")
     for _ in range(STEPS):
         params = written(_step(cells, params).coalesce(1), "quality-step")

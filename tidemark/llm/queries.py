@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from tidemark.llm import decontam, html_extract, license_scan, packing, pii, quality, sharding
+from tidemark.llm import decontam, html_extract, license_scan, line_dedup, packing, pii, quality, sharding, simhash
 from tidemark.llm.common import table
 
 
 def queries():
     return {
+        "op1_site_spread": lambda s, d: line_dedup.op1_site_spread(table(s, d, "documents")),
         "op2_stratified_interleaving": lambda s, d: sharding.op2_stratified_interleaving(table(s, d, "documents")),
         "op3_fuzzy_notices": lambda s, d: license_scan.op3_fuzzy_notices(table(s, d, "documents")),
+        "op4_covering": lambda s, d: simhash.op4_covering(table(s, d, "documents")),
         "op6_covariance_outliers": lambda s, d: quality.op6_covariance_outliers(table(s, d, "documents")),
         "op7_anchor_expansion": lambda s, d: pii.op7_anchor_expansion(table(s, d, "documents")),
         "op8_differencing": lambda s, d: packing.op8_differencing(table(s, d, "documents")),
@@ -19,4 +21,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op10_wu_manber": decontam.ORACLE_SQL}
+    return {"op1_site_spread": line_dedup.ORACLE_SQL, "op10_wu_manber": decontam.ORACLE_SQL}
