@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import decontam, html_extract, license_scan, line_dedup, packing, pii, quality, sharding, simhash
+from tidemark.llm import decontam, html_extract, license_scan, line_dedup, packing, pii, quality, sharding, simhash, suffix_dedup
 from tidemark.llm.common import table
 
 
@@ -12,6 +12,7 @@ def queries():
         "op2_stratified_interleaving": lambda s, d: sharding.op2_stratified_interleaving(table(s, d, "documents")),
         "op3_fuzzy_notices": lambda s, d: license_scan.op3_fuzzy_notices(table(s, d, "documents")),
         "op4_covering": lambda s, d: simhash.op4_covering(table(s, d, "documents")),
+        "op5_induced_suffixes": lambda s, d: suffix_dedup.op5_induced_suffixes(table(s, d, "documents")),
         "op6_covariance_outliers": lambda s, d: quality.op6_covariance_outliers(table(s, d, "documents")),
         "op7_anchor_expansion": lambda s, d: pii.op7_anchor_expansion(table(s, d, "documents")),
         "op8_differencing": lambda s, d: packing.op8_differencing(table(s, d, "documents")),
