@@ -127,6 +127,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, keep: list[str], tex
     return map_rows(docs.select(*keep, F.col(text_col).cast("string").alias("__text")), make, out)
 
 
+def uncontaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` without any occurrence of a benchmark window, with all their columns."""
+    own = [f"k_{c}" for c in docs.columns]
+    found = contamination(docs.toDF(*own), benchmark, keep=own, text_col=f"k_{text_col}", **options)
+    return found.where(~F.col("contaminated")).select(*own).toDF(*docs.columns)
+
+
 def op10_wu_manber(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Digest per document; see ``contamination``."""
     found = contamination(docs, benchmark, keep=["doc_id"])

@@ -40,8 +40,8 @@ def spread_lines(lines: DataFrame, min_sites: int) -> DataFrame:
     return often.join(chosen, LINE, "left_semi")
 
 
-def without_boilerplate(docs: DataFrame, *, id_col: str = "doc_id", site_col: str = "source", text_col: str = "text", min_sites: int = MIN_SITES) -> DataFrame:
-    """``docs`` with boilerplate lines removed from ``text_col``, and the columns ``n_lines, n_removed``.
+def without_boilerplate(docs: DataFrame, *, id_col: str = "doc_id", site_col: str = "source", text_col: str = "text", min_sites: int = MIN_SITES, counts: bool = True) -> DataFrame:
+    """``docs`` with boilerplate lines removed from ``text_col`` and, with ``counts``, the columns ``n_lines, n_removed``.
 
     A line is the text between newlines without blanks at its ends; empty lines are kept and never counted. Null
     texts stay null with no lines, rows with a null site or id count for no site and are no line's first document.
@@ -66,9 +66,20 @@ def without_boilerplate(docs: DataFrame, *, id_col: str = "doc_id", site_col: st
     same = [text.alias(c) if c == text_col else F.col(c) for c in docs.columns]
     words = F.when(F.col("__all").isNull(), F.lit(0)).otherwise(n(F.filter("__all", lambda x: F.trim(x) != "")))
     removed = F.when(F.col("__gone").isNull(), F.lit(0)).otherwise(n("__all") - n("__left"))
+    if not counts:
+        return out.select(*same)
     return out.select(*same, words.cast("long").alias("n_lines"), removed.cast("long").alias("n_removed"))
 
 
+def with_lines_left(docs: DataFrame, *, text_col: str = "text", **options) -> DataFrame:
+    """``docs`` without boilerplate lines, and without the documents that had nothing else."""
+    own = [f"k_{c}" for c in docs.columns]
+    cols = {k: f"k_{options.pop(k, v)}" for k, v in (("id_col", "doc_id"), ("site_col", "source"))}
+    out = without_boilerplate(docs.toDF(*own), text_col=f"k_{text_col}", **cols, **options)
+    empty = (F.col("n_removed") > 0) & ~F.col(f"k_{text_col}").rlike("[^ \n]")
+    return out.where(~F.coalesce(empty, F.lit(False))).select(*own).toDF(*docs.columns)
+
+
 def op1_site_spread(docs: DataFrame) -> DataFrame:
     """Per document: its lines, how many went, and a digest of the text that stays."""
     return without_boilerplate(docs).select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))

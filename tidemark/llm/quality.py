@@ -145,13 +145,25 @@ def _step(cells: DataFrame, params: DataFrame) -> DataFrame:
 
 
 def with_verdicts(docs: DataFrame, *, keep: list[str], lang_col: str = "lang", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """The columns ``keep`` with the statistics, ``base_failed``, ``distance`` (squared; null without an estimate) and ``kept``.
+    """The columns ``keep`` (apart from those named below) with the statistics, ``base_failed``, ``distance`` (squared; null without an estimate) and ``kept``.
 
     Null texts have no words and fail; null languages and sources are groups of their own. Groups with fewer than
     ``LEAST_TEXTS`` texts that pass the base rules take their language's estimate or that of all texts; where these
     are as few, only the base rules reject. Repeated rows get equal verdicts. The texts are read once and never shuffled, unless
     the estimates outgrow the session's broadcast threshold.
     """
+    out = _judged(docs, keep, lang_col, source_col, text_col)
+    return out.select(*[F.col(f"k_{k}").alias(k) for k in keep], "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", "kept")
+
+
+def good_documents(docs: DataFrame, *, lang_col: str = "lang", source_col: str = "source", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that ``with_verdicts`` keeps, with all their columns, whatever these are called."""
+    out = _judged(docs, docs.columns, lang_col, source_col, text_col)
+    return out.where("kept").select(*[F.col(f"k_{k}").alias(k) for k in docs.columns])
+
+
+def _judged(docs: DataFrame, keep: list[str], lang_col: str, source_col: str, text_col: str) -> DataFrame:
+    """The columns ``keep``, their names begun with k_, and the results."""
     name = lambda c: F.coalesce(F.concat(F.lit("+"), F.col(c).cast("string")), F.lit("-"))
     stats = docs.select(*[F.col(k).alias(f"k_{k}") for k in keep], name(lang_col).alias("__lang"), name(source_col).alias("__source"), F.col(text_col).alias("__text"))
     stats = with_statistics(stats, "__text").drop("__text")
@@ -171,7 +183,7 @@ def with_verdicts(docs: DataFrame, *, keep: list[str], lang_col: str = "lang", s
     by_source = groups.join(params, "__group").drop("__group", "n")
     out = stats.join(written(by_source.coalesce(1), "quality-estimates"), ["__lang", "__source"], "left").withColumn("distance", _distance())
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= CUTOFF, F.lit(True))
-    return out.select(*[F.col(f"k_{k}").alias(k) for k in keep], "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", kept.alias("kept"))
+    return out.withColumn("kept", kept)
 
 
 def op6_covariance_outliers(docs: DataFrame) -> DataFrame:

@@ -170,11 +170,14 @@ def without_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
     Two texts are linked if any of their ``seeds`` independent fingerprints differ in at most 2 bits; links are
     transitive. Rows without words form one group. Extra columns pass through.
     """
-    rows = written(fingerprints(docs.withColumn("__rid", F.monotonically_increasing_id()), keep=[*docs.columns, "__rid"], text_col=text_col, shingle=shingle, seeds=seeds), "simhash-texts")
-    slim = rows.select(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("__rid").alias("rid")).alias("__order"), "fps")
+    own = [f"k_{c}" for c in docs.columns]
+    numbered = docs.toDF(*own).withColumn("__rid", F.monotonically_increasing_id())
+    rows = written(fingerprints(numbered, keep=[*own, "__rid"], text_col=f"k_{text_col}", shingle=shingle, seeds=seeds), "simhash-texts")
+    name = F.col(f"k_{id_col}")
+    slim = rows.select(F.struct(name.isNull().alias("none"), name.alias("id"), F.col("__rid").alias("rid")).alias("__order"), "fps")
     grouped = _with_components(slim, "__order", seeds)
     gone = written(grouped.where(F.col("__order") != F.col("component_id")).select(F.col("__order.rid").alias("__rid")), "simhash-gone")
-    return rows.join(gone, "__rid", "left_anti").select(*docs.columns)
+    return rows.join(gone, "__rid", "left_anti").select(*own).toDF(*docs.columns)
 
 
 def op4_covering(docs: DataFrame) -> DataFrame:
