@@ -82,7 +82,7 @@ def with_lines_left(docs: DataFrame, *, text_col: str = "text", **options) -> Da
 
 def op1_site_spread(docs: DataFrame) -> DataFrame:
     """Per document: its lines, how many went, and a digest of the text that stays."""
-    return without_boilerplate(docs).select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    return without_boilerplate(docs.select("doc_id", "source", "text")).select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
 ORACLE_SQL = f"""
