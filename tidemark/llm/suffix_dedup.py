@@ -33,7 +33,8 @@ ANCHOR = 16
 BACK = WINDOW - ANCHOR
 AROUND = BACK + WINDOW
 BATCH_BYTES = 8 << 20
-SHARD_ANCHORS = 300_000
+AT_ONCE = 1 << 20
+SHARD_ANCHORS = 200_000
 #: Stands for a null id: it comes after every other and before none.
 NO_ID = np.iinfo(np.int64).max
 
@@ -73,19 +74,24 @@ class Batch:
     doc: np.ndarray = None  # index of their document
 
     def find_anchors(self) -> Batch:
-        none = np.array([], dtype=np.int64)
-        if len(self.buf) < WINDOW:
-            self.at, self.hash, self.doc = none, none.astype(np.uint64), none
-            return self
-        h = anchor_hashes(self.buf)
-        least = sliding(h, BACK + 1, np.minimum)
-        # windows that reach over a document's end pick nothing
-        for end in self.starts[1:].tolist():
-            least[max(end - WINDOW + 1, 0) : end] = 0
-        edge = np.zeros(BACK, dtype=h.dtype)
-        picked = sliding(np.concatenate([edge, least, edge]), BACK + 1, np.maximum)
-        self.at = np.flatnonzero((picked == h) & (h > 0))
-        self.hash = h[self.at]
+        """Finds the anchors, over about ``AT_ONCE`` bytes of whole documents at a time."""
+        places, hashes = [np.array([], dtype=np.int64)], [np.array([], dtype=np.uint64)]
+        first = 0
+        while first < len(self.ids):
+            last = max(first + 1, int(np.searchsorted(self.starts, self.starts[first] + AT_ONCE, side="right")) - 1)
+            begin, end = int(self.starts[first]), int(self.starts[last])
+            if end - begin >= WINDOW:
+                h = anchor_hashes(self.buf[begin:end])
+                least = sliding(h, BACK + 1, np.minimum)
+                for stop in (self.starts[first + 1 : last + 1] - begin).tolist():
+                    least[max(stop - WINDOW + 1, 0) : stop] = 0  # windows that reach over a document's end pick nothing
+                edge = np.zeros(BACK, dtype=h.dtype)
+                picked = sliding(np.concatenate([edge, least, edge]), BACK + 1, np.maximum)
+                at = np.flatnonzero((picked == h) & (h > 0))
+                places.append(at + begin)
+                hashes.append(h[at])
+            first = last
+        self.at, self.hash = np.concatenate(places), np.concatenate(hashes)
         self.doc = np.searchsorted(self.starts, self.at, side="right") - 1
         return self
 
@@ -265,41 +271,67 @@ def send_contexts(shards: int):
     return fn
 
 
-def earlier_windows(contexts: np.ndarray, least: np.ndarray) -> np.ndarray:
+def reaches(sides: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """How far each row of bytes agrees with the one most like it in its group. ``sides``: uint8, zero past the end of
+    what a context has (so rows may agree in zeros too: an upper bound)."""
+    wide = np.ascontiguousarray(np.concatenate([group.astype(">u4").view(np.uint8).reshape(-1, 4), sides], axis=1))
+    order = np.argsort(wide.view(f"V{wide.shape[1]}").ravel(), kind="stable")
+    rows = wide[order]
+    differ = rows[1:] != rows[:-1]
+    agree = np.where(differ.any(axis=1), differ.argmax(axis=1), wide.shape[1]) - 4
+    best = np.zeros(len(rows), dtype=np.int64)
+    best[1:] = np.maximum(best[1:], agree)
+    best[:-1] = np.maximum(best[:-1], agree)
+    out = np.empty(len(rows), dtype=np.int64)
+    out[order] = best
+    return out
+
+
+def earlier_windows(contexts: np.ndarray, least: np.ndarray, group: np.ndarray) -> np.ndarray:
     """For each of distinct contexts, bit o is set if the window that begins o bytes before the anchor also stands in
-    a context with a smaller id."""
+    a context with a smaller id.
+
+    A window reaches o bytes before its anchor and ``BACK`` - o past it, so a context that agrees with no other of its
+    anchor (``group``) that far on both sides has none to share; of the rest only the part that can agree is sorted.
+    """
+    masks = np.zeros(len(contexts), dtype=np.uint64)
     rows = contexts.view(np.uint8).reshape(-1, AROUND + 2)
-    before, after = rows[:, AROUND].astype(np.int64) - 1, rows[:, AROUND + 1].astype(np.int64) - 1
+    before = np.minimum(rows[:, AROUND].astype(np.int64) - 1, reaches(rows[:, :BACK][:, ::-1], group))
+    after = np.minimum(rows[:, AROUND + 1].astype(np.int64) - 1, ANCHOR + reaches(rows[:, BACK + ANCHOR : AROUND], group))
+    some = np.flatnonzero(before + after >= WINDOW)
+    if not len(some):
+        return masks
+    rows, before, after, least = rows[some], before[some], after[some], least[some]
     size = before + after
     starts = np.r_[0, np.cumsum(size + 1)]
     text = np.ones(starts[-1] + 1, dtype=np.uint16)  # 1 separates contexts, 0 ends the text
     text[-1] = 0
     inside = (np.arange(AROUND) >= BACK - before[:, None]) & (np.arange(AROUND) < BACK + after[:, None])
-    of = np.repeat(np.arange(len(rows)), size)
+    of = np.repeat(np.arange(len(rows), dtype=np.int32), size)
     place = np.arange(len(of)) + of
-    text[place] = rows[:, :AROUND][inside].astype(np.uint16) + 2
+    letters = rows[:, :AROUND][inside]
+    text[place] = letters.astype(np.uint16) + 2
     order = suffix_order(text, WINDOW)
     # only places where a window of the context begins
-    offset = np.full(len(text), -1, dtype=np.int64)
+    offset = np.full(len(text), -1, dtype=np.int8)
     offset[place] = before[of] - (place - starts[of])
     offset[place[(offset[place] < 0) | (WINDOW - offset[place] > after[of])]] = -1
-    owner = np.zeros(len(text), dtype=np.int64)
+    owner = np.zeros(len(text), dtype=np.int32)
     owner[place] = of
     order = order[offset[order] >= 0]
-    masks = np.zeros(len(rows), dtype=np.uint64)
-    if not len(order):
-        return masks
     raw = np.zeros(len(text) + 8, dtype=np.uint8)
-    raw[place] = rows[:, :AROUND][inside]
+    raw[place] = letters
     word = np.ndarray(shape=(len(text),), dtype="<u8", buffer=raw.tobytes(), strides=(1,))
-    equal = np.ones(len(order) - 1, dtype=bool)
+    equal = np.ones(max(len(order) - 1, 0), dtype=bool)
     for k in (0, 8, 16, 24, 32, 40, WINDOW - 8):
         w = word[order + k]
         equal &= w[1:] == w[:-1]
     runs = np.flatnonzero(np.r_[True, ~equal])
     smallest = np.repeat(np.minimum.reduceat(least[owner[order]], runs), np.diff(np.r_[runs, len(order)]))
     hit = order[smallest < least[owner[order]]]
-    np.bitwise_or.at(masks, owner[hit], np.uint64(1) << offset[hit].astype(np.uint64))
+    found = np.zeros(len(rows), dtype=np.uint64)
+    np.bitwise_or.at(found, owner[hit], np.uint64(1) << offset[hit].astype(np.uint64))
+    masks[some] = found
     return masks
 
 
@@ -314,7 +346,7 @@ def judge_contexts(rows: list[dict]) -> dict:
     _, group, count = np.unique(anchors.view("<u8,<u8") if len(anchors) else anchors, return_inverse=True, return_counts=True)
     mixed = np.flatnonzero(count[group] > 1)  # one context alone has no other window to compare
     if len(mixed):
-        masks[mixed] = earlier_windows(np.ascontiguousarray(contexts[mixed]), least[mixed])
+        masks[mixed] = earlier_windows(np.ascontiguousarray(contexts[mixed]), least[mixed], group[mixed])
     at, ids, bits = 0, [], []
     for s in sent:
         mine = of[at : at + len(s)]
