@@ -58,9 +58,10 @@ def median_filtered(track: DataFrame, width: int = 5) -> DataFrame:
 
 
 def solve_tridiagonal(diag: np.ndarray, off: np.ndarray, y: np.ndarray) -> np.ndarray:
-    n = len(y)
-    d, x = diag.tolist(), y.tolist()
-    o = off.tolist()
+    """Symmetric systems, one in each row: main diagonals, off diagonals, right sides."""
+    d, x = diag.T.copy(), y.T.copy()
+    o = np.ascontiguousarray(off.T)
+    n = len(d)
     for i in range(1, n):
         m = o[i - 1] / d[i - 1]
         d[i] -= m * o[i - 1]
@@ -68,33 +69,39 @@ def solve_tridiagonal(diag: np.ndarray, off: np.ndarray, y: np.ndarray) -> np.nd
     x[-1] /= d[-1]
     for i in range(n - 2, -1, -1):
         x[i] = (x[i] - o[i] * x[i + 1]) / d[i]
-    return np.array(x)
+    return x.T
 
 
 def flattened(xs: np.ndarray, strength: float) -> np.ndarray:
-    """Total-variation denoising by reweighted least squares: sways go, moves stay."""
-    if len(xs) < 2 or strength <= 0:
-        return xs.copy()
+    """Total-variation denoising of each row by reweighted least squares: sways go, moves stay."""
     c = xs.astype(float)
+    if xs.shape[1] < 2 or strength <= 0:
+        return c
+    open_ = np.arange(len(c))
     for _ in range(300):
-        w = strength / np.maximum(0.01, np.abs(np.diff(c)))
-        diag = 1 + np.r_[w, 0.0] + np.r_[0.0, w]
-        new = solve_tridiagonal(diag, -w, xs)
-        moved = float(np.max(np.abs(new - c)))
-        c = new
-        if moved < 0.01:
+        w = strength / np.maximum(0.01, np.abs(np.diff(c[open_], axis=1)))
+        diag = np.ones((len(open_), xs.shape[1]))
+        diag[:, :-1] += w
+        diag[:, 1:] += w
+        new = solve_tridiagonal(diag, -w, xs[open_])
+        moved = np.max(np.abs(new - c[open_]), axis=1)
+        c[open_] = new
+        open_ = open_[moved >= 0.01]
+        if not len(open_):
             break
     return c
 
 
 def smoothed(xs: np.ndarray, sigma: float) -> np.ndarray:
-    """A Gaussian looking both ways, renormalized at the ends."""
+    """A Gaussian over each row, looking both ways, renormalized at the ends."""
     if sigma <= 0:
         return xs.copy()
     reach = math.ceil(3 * sigma)
     kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
-    cut = slice(reach, reach + len(xs))
-    return np.convolve(xs, kernel)[cut] / np.convolve(np.ones(len(xs)), kernel)[cut]
+    n = xs.shape[1]
+    wide = np.pad(np.stack([xs, np.ones_like(xs)]), ((0, 0), (0, 0), (reach, reach)))
+    total = sum(k * wide[:, :, i : i + n] for i, k in enumerate(kernel))
+    return total[0] / total[1]
 
 
 def resampled(times: np.ndarray, xs: np.ndarray, n: int) -> np.ndarray:
@@ -102,30 +109,56 @@ def resampled(times: np.ndarray, xs: np.ndarray, n: int) -> np.ndarray:
     return np.interp(np.arange(n) / FRAMES_PER_SECOND, times, xs)
 
 
-def left_edges(times: np.ndarray, xs: np.ndarray, n: int, camera: Camera) -> np.ndarray:
+def left_edges(tracks: list[tuple[np.ndarray, np.ndarray]], n: int, camera: Camera) -> np.ndarray:
+    """A row of ``n`` edges for each track (times, places)."""
     half = camera.window_width / 2
-    subject = np.clip(resampled(times, xs, n) * camera.frame_width, half, camera.frame_width - half)
+    subject = np.stack([np.clip(resampled(t, x, n) * camera.frame_width, half, camera.frame_width - half) for t, x in tracks])
     strength = camera.steadiness * camera.window_width * FRAMES_PER_SECOND / 2
     centres = smoothed(flattened(subject, strength), camera.smoothing * FRAMES_PER_SECOND)
     return np.clip(centres - half, 0, camera.frame_width - camera.window_width)
 
 
+CLIPS_AT_ONCE = 256
+
+
 def path(frames: DataFrame, clips: DataFrame, camera: Camera) -> DataFrame:
     """``rec_id, frame, left`` for clips ``(rec_id, clip_start, frames)``; no rows where under 70 % of the frames show anyone.
 
-    One clip's frames meet in one Arrow group: the solver is sequential, and many clips run at once.
+    The solver goes along a clip frame by frame, for many clips of one length at once. Tracks stream in by clip, and a
+    task holds ``CLIPS_AT_ONCE`` of them.
     """
     seen = frames.groupBy("rec_id").agg(F.count(F.lit(1)).alias("total"), F.sum((F.size("xs") > 0).cast("int")).alias("hits"))
     usable = seen.where((F.col("hits") > 0) & (F.col("hits") >= LEAST_COVERAGE * F.col("total"))).select("rec_id")
     track = median_filtered(anchored(frames.join(usable, "rec_id", "left_semi"))).join(clips, "rec_id")
     track = track.select("rec_id", (F.col("t") - F.col("clip_start")).alias("t"), "x", "frames")
 
-    def solve(groups: Iterator[pd.DataFrame]) -> pd.DataFrame:
-        g = groups.sort_values("t", kind="stable")
-        edges = left_edges(g.t.to_numpy(), g.x.to_numpy(), int(g.frames.iloc[0]), camera)
-        return pd.DataFrame({"rec_id": g.rec_id.iloc[0], "frame": np.arange(len(edges)), "left": edges})
-
-    return track.groupBy("rec_id").applyInPandas(solve, "rec_id bigint, frame bigint, left double")
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def solved(held: list[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            by_length: dict[int, list[pd.DataFrame]] = {}
+            for g in held:
+                by_length.setdefault(int(g.frames.iloc[0]), []).append(g)
+            for n, same in by_length.items():
+                edges = left_edges([(g.t.to_numpy(), g.x.to_numpy()) for g in same], n, camera)
+                yield pd.DataFrame({"rec_id": np.repeat([g.rec_id.iloc[0] for g in same], n), "frame": np.tile(np.arange(n), len(edges)), "left": edges.ravel()})
+
+        rest, held = None, []
+        for b in batches:
+            whole = b if rest is None else pd.concat([rest, b])
+            groups = [g for _, g in whole.groupby("rec_id", sort=False)]
+            if not groups:
+                continue
+            rest = groups.pop()  # its rows may go on in the next batch
+            held += groups
+            if len(held) >= CLIPS_AT_ONCE:
+                yield from solved(held)
+                held = []
+        if rest is not None:
+            held.append(rest)
+        if held:
+            yield from solved(held)
+
+    by_clip = track.repartition("rec_id").sortWithinPartitions("rec_id", "t")
+    return by_clip.mapInPandas(solve, "rec_id bigint, frame bigint, left double")
 
 
 def crop_commands(path_: DataFrame, zoom: float = 1.0) -> DataFrame:

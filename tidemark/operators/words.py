@@ -96,6 +96,22 @@ def _gathered(words: DataFrame, *extra: str) -> DataFrame:
     return words.groupBy("rec_id", "island").agg(F.array_sort(F.collect_list(item)).alias("ws"))  # words between two pauses
 
 
+def _pieces(parts: DataFrame, zero: Column, add, finish=None) -> DataFrame:
+    """Cuts each island where a fold over its words says so: ``rec_id, ws, label``, a row for each piece.
+
+    ``add`` keeps ``starts``, the places where pieces begin, so a state grows with the pieces and not the words.
+    """
+    folded = parts.withColumn("cut", F.aggregate("ws", zero, add, finish) if finish else F.aggregate("ws", zero, add))
+    folded = folded.withColumn("starts", F.col("cut.starts")).withColumn("labels", F.col("cut.labels") if finish else F.array().cast("array<string>"))
+    starts = F.col("starts")
+    piece = lambda a, k: F.struct(F.slice("ws", a + 1, F.coalesce(F.get(starts, k + 1), F.size("ws")) - a).alias("ws"), F.get("labels", k).alias("label"))
+    return folded.select("rec_id", F.explode(F.transform(starts, piece)).alias("x")).select("rec_id", "x.ws", "x.label")
+
+
+def _no_starts() -> Column:
+    return F.array().cast("array<int>").alias("starts")
+
+
 def cues(words: DataFrame, limits: CueLimits = CAPTIONS) -> DataFrame:
     """Captions: ``rec_id, cue, first, last, start, end, text``.
 
@@ -105,7 +121,7 @@ def cues(words: DataFrame, limits: CueLimits = CAPTIONS) -> DataFrame:
     before = F.lag("text").over(in_order())
     pause = F.col("start") - F.lag("end").over(in_order())
     parts = _gathered(_islands(words, before.isNull() | tx.ends_sentence(before) | (pause >= limits.pause)))
-    zero = F.struct(F.lit(0).alias("cue"), F.lit(0).alias("chars"), F.lit(0).alias("n"), F.lit(0.0).alias("since"), F.array().cast("array<int>").alias("of"))
+    zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("chars"), F.lit(0).alias("n"), F.lit(0.0).alias("since"), _no_starts())
 
     def add(s: Column, w: Column) -> Column:
         size = F.length(w["text"])
@@ -113,13 +129,11 @@ def cues(words: DataFrame, limits: CueLimits = CAPTIONS) -> DataFrame:
         if limits.words:
             full = full | (s["n"] >= limits.words)
         new = (s["n"] == 0) | full
-        cue = s["cue"] + new.cast("int")
-        return F.struct(cue.alias("cue"), F.when(new, size).otherwise(s["chars"] + 1 + size).alias("chars"), F.when(new, 1).otherwise(s["n"] + 1).alias("n"), F.when(new, w["start"]).otherwise(s["since"]).alias("since"), F.concat(s["of"], F.array(cue)).alias("of"))
+        begun = F.struct((s["at"] + 1).alias("at"), size.alias("chars"), F.lit(1).alias("n"), w["start"].alias("since"), F.array_append(s["starts"], s["at"]).alias("starts"))
+        more = F.struct((s["at"] + 1).alias("at"), (s["chars"] + 1 + size).alias("chars"), (s["n"] + 1).alias("n"), s["since"].alias("since"), s["starts"].alias("starts"))
+        return F.when(new, begun).otherwise(more)
 
-    placed = parts.withColumn("of", F.aggregate("ws", zero, add)["of"]).select("rec_id", "island", F.explode(F.arrays_zip("ws", "of")).alias("x"))
-    flat = placed.select("rec_id", "island", F.col("x.of").alias("part"), "x.ws.*")
-    word = F.struct("idx", "text", "start", "end")
-    out = flat.groupBy("rec_id", "island", "part").agg(F.array_sort(F.collect_list(word)).alias("ws"))  # one cue's words
+    out = _pieces(parts, zero, add)
     by_first = Window.partitionBy("rec_id").orderBy("first")
     out = out.select("rec_id", F.col("ws")[0]["idx"].alias("first"), F.element_at("ws", -1)["idx"].alias("last"), F.col("ws")[0]["start"].alias("start"), F.element_at("ws", -1)["end"].alias("end"), F.array_join("ws.text", " ").alias("text"))
     next_start = F.lead("start").over(by_first)
@@ -154,27 +168,28 @@ def lines(words: DataFrame, unclear: str | None = "(unclear)") -> DataFrame:
     A line's label is its first known speaker, else ``unclear``.
     """
     before = F.lag("text").over(in_order())
-    ahead = Window.partitionBy("rec_id").orderBy(F.col("start")).rangeBetween(0, 5)
-    later = F.filter(F.collect_list(F.when(F.col("known").isNotNull(), F.struct("idx", "start", "known"))).over(ahead), lambda k: (k["idx"] > F.col("idx")) & (k["start"] - F.col("start") < 5))
+    # the next known speaker is the last one seen from the end: a running frame, unlike one that looks ahead
+    backward = Window.partitionBy("rec_id").orderBy(F.col("idx").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    later = F.last(F.when(F.col("known").isNotNull(), F.struct("start", "known")), ignorenulls=True).over(backward)
     opens = before.isNull() | tx.ends_sentence(before)
-    who = F.when(F.col("known").isNull() & opens, F.array_min(later)["known"]).otherwise(F.col("known"))
+    who = F.when(F.col("known").isNull() & opens & (later["start"] - F.col("start") < 5), later["known"]).otherwise(F.col("known"))
     w = words.withColumn("who", who)
     w = _islands(w, before.isNull() | (F.col("start") - F.lag("end").over(in_order()) > 1.5))
-    zero = F.struct(F.lit(0).alias("line"), F.lit(0).alias("n"), F.lit(None).cast("string").alias("label"), F.array().cast("array<struct<line:int,label:string>>").alias("of"))
+    none = F.array().cast("array<string>")
+    zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("n"), F.lit(None).cast("string").alias("label"), _no_starts(), none.alias("labels"))
 
     def add(s: Column, x: Column) -> Column:
         new = (s["n"] == 0) | (x["who"].isNotNull() & s["label"].isNotNull() & (x["who"] != s["label"]))
-        line = s["line"] + new.cast("int")
-        label = F.when(new, x["who"]).otherwise(F.coalesce(s["label"], x["who"]))
         n = F.when(new, 1).otherwise(s["n"] + 1)
-        done = (n >= 30) | ((n >= 8) & tx.ends_sentence(x["text"]))
-        return F.struct(line.alias("line"), F.when(done, 0).otherwise(n).alias("n"), F.when(done, F.lit(None)).otherwise(label).alias("label"), F.concat(s["of"], F.array(F.struct(line.alias("line"), label.alias("label")))).alias("of"))
-
-    parts = _gathered(w, "who").withColumn("of", F.aggregate("ws", zero, add)["of"])
-    flat = parts.select("rec_id", "island", F.explode(F.arrays_zip("ws", "of")).alias("x")).select("rec_id", "island", F.col("x.of.line").alias("line"), F.col("x.of.label").alias("label"), "x.ws.*")
-    word = F.struct("idx", "text", "start", "label")
-    out = flat.groupBy("rec_id", "island", "line").agg(F.array_sort(F.collect_list(word)).alias("ws"))  # 30 words at most
-    label = F.coalesce(F.element_at("ws", -1)["label"], F.lit(unclear))
+        n = F.when((n >= 30) | ((n >= 8) & tx.ends_sentence(x["text"])), 0).otherwise(n)  # 0: the line is done
+        done_label = F.when(F.size(s["starts"]) > 0, F.array_append(s["labels"], s["label"])).otherwise(s["labels"])
+        begun = F.struct((s["at"] + 1).alias("at"), n.alias("n"), x["who"].alias("label"), F.array_append(s["starts"], s["at"]).alias("starts"), done_label.alias("labels"))
+        more = F.struct((s["at"] + 1).alias("at"), n.alias("n"), F.coalesce(s["label"], x["who"]).alias("label"), s["starts"].alias("starts"), s["labels"].alias("labels"))
+        return F.when(new, begun).otherwise(more)
+
+    finish = lambda s: F.struct(s["starts"].alias("starts"), F.array_append(s["labels"], s["label"]).alias("labels"))
+    out = _pieces(_gathered(w, "who"), zero, add, finish)
+    label = F.coalesce("label", F.lit(unclear))
     return out.select("rec_id", F.col("ws")[0]["idx"].alias("first"), F.element_at("ws", -1)["idx"].alias("last"), label.alias("label"), F.col("ws")[0]["start"].alias("start"), F.array_join("ws.text", " ").alias("text"))
 
 
@@ -187,14 +202,14 @@ def paragraphs(words: DataFrame) -> DataFrame:
     """``rec_id, first, last, text``: breaks after a pause over 2.5 s, or at a sentence's end with 120 words before it."""
     before = F.lag("text").over(in_order())
     parts = _gathered(_islands(words, before.isNull() | (F.col("start") - F.lag("end").over(in_order()) > 2.5)))
-    zero = F.struct(F.lit(0).alias("p"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("of"))
+    zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("n"), F.lit(True).alias("open"), _no_starts())
 
     def add(s: Column, w: Column) -> Column:
         done = (s["n"] >= 120) & tx.ends_sentence(w["text"])
-        return F.struct((s["p"] + done.cast("int")).alias("p"), F.when(done, 0).otherwise(s["n"] + 1).alias("n"), F.concat(s["of"], F.array(s["p"])).alias("of"))
+        starts = F.when(s["open"], F.array_append(s["starts"], s["at"])).otherwise(s["starts"])
+        return F.struct((s["at"] + 1).alias("at"), F.when(done, 0).otherwise(s["n"] + 1).alias("n"), done.alias("open"), starts.alias("starts"))
 
-    flat = parts.withColumn("of", F.aggregate("ws", zero, add)["of"]).select("rec_id", "island", F.explode(F.arrays_zip("ws", "of")).alias("x")).select("rec_id", "island", F.col("x.of").alias("p"), "x.ws.*")
-    out = flat.groupBy("rec_id", "island", "p").agg(F.array_sort(F.collect_list(F.struct("idx", "text"))).alias("ws"))  # one paragraph
+    out = _pieces(parts, zero, add)
     return out.select("rec_id", F.col("ws")[0]["idx"].alias("first"), F.element_at("ws", -1)["idx"].alias("last"), F.array_join("ws.text", " ").alias("text"))
 
 

@@ -13,8 +13,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 def word_times(documents: DataFrame) -> DataFrame:
     """``rec_id, idx, text, start_ms, end_ms``: a document's words, timed by their lengths, with pauses after sentences
-    and a long one after each 397th word."""
-    w = documents.select(F.col("doc_id").alias("rec_id"), F.posexplode(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("idx", "text"))
+    and a long one after each 397th word.
+
+    Documents are dealt out by recording before they become words, which are many times their size: what follows
+    works by recording and needs no further shuffle.
+    """
+    by_rec = documents.select(F.col("doc_id").alias("rec_id"), "text").repartition("rec_id")
+    w = by_rec.select("rec_id", F.posexplode(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("idx", "text"))
     dur = F.least(F.lit(1000), 80 + 65 * F.length("text"))
     pause = F.when(F.col("idx") % 397 == 396, 3000).when(F.col("text").rlike("[.?!]$"), 700).otherwise(40)
     by = Window.partitionBy("rec_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
