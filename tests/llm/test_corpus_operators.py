@@ -186,8 +186,8 @@ def test_links_of_large_buckets(spark):
         for _ in range(rng.randint(1, 6)):
             f ^= 1 << rng.randrange(64)
         fps.add(f)
-    nodes = spark.createDataFrame([(simhash.signed(f),) for f in fps], "fp bigint")
-    found = {r.node % 2**64: r.root for r in components.components(simhash.links(nodes)).collect()}
+    nodes = spark.createDataFrame([(simhash.signed(f), simhash.signed(f)) for f in fps], "fp bigint, id bigint")
+    found = {r.node % 2**64: r.root for r in components.components(simhash.links(simhash.buckets(nodes))).collect()}
     want = closure(sorted(fps))
     assert {f for f, r in want.items() if sum(x == r for x in want.values()) > 1} == set(found)
     pairs = defaultdict(set)

@@ -25,6 +25,8 @@ BITS = 64
 RADIUS = 2
 SMALL = 64
 SEED = 42
+#: Share of differing bits of two texts whose shingle sets have a Jaccard similarity of 0.8: arccos(2 * 0.8 / 1.8) / pi.
+APART = 0.1515
 
 
 def masks(radius: int = RADIUS, bits: int = BITS) -> list[int]:
@@ -99,14 +101,18 @@ def bucket_forest(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return out
 
 
-def links(nodes: DataFrame) -> DataFrame:
-    """Edges ``u, v`` whose components are those of all pairs of the distinct longs ``fp`` within ``RADIUS`` bits."""
-    spark = nodes.sparkSession
-    own = masks()
-    table = F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("key")) for t, m in enumerate(own)]))
-    placed = nodes.select("fp", table.alias("b")).select("fp", "b.t", "b.key")
-    counts = placed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    placed = written(placed.join(counts, ["t", "key"]), "simhash-buckets")
+def buckets(nodes: DataFrame) -> DataFrame:
+    """Distinct fingerprints ``fp`` with an ``id``, once for each table ``t`` in which they share their bucket ``key``:
+    with ``n``, the bucket's size, and ``least``, its smallest id."""
+    table = F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("key")) for t, m in enumerate(masks())]))
+    placed = nodes.select("fp", "id", table.alias("b")).select("fp", "id", "b.t", "b.key")
+    counts = placed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least")).where("n > 1")
+    return written(placed.join(counts, ["t", "key"]), "simhash-buckets")
+
+
+def links(placed: DataFrame) -> DataFrame:
+    """Edges ``u, v`` whose components are those of all pairs within ``RADIUS`` bits, of fingerprints in ``buckets``."""
+    spark, own = placed.sparkSession, masks()
     small = placed.where(F.col("n") <= SMALL).groupBy("t", "key").agg(F.collect_list("fp").alias("fps")).select("fps")
 
     def make():
@@ -133,19 +139,34 @@ def links(nodes: DataFrame) -> DataFrame:
     return in_small.unionByName(in_large)
 
 
+def _within(u: str, v: str, bits: int):
+    """Whether two arrays of fingerprints differ in at most ``bits`` bits in all."""
+    apart = F.zip_with(u, v, lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    return F.aggregate(apart, F.lit(0), lambda n, d: n + d) <= bits
+
+
 def _with_components(rows: DataFrame, order: str, seeds: int = 1) -> DataFrame:
     """Adds ``component_id``, the smallest ``order`` of the rows reachable by links, to rows with ``fps``."""
     # a node stands for the rows with the same first fingerprint; they are linked through any of their fingerprints
     rows = rows.withColumn("fp", F.col("fps")[0])
-    nodes = written(rows.groupBy("fp").agg(F.min(order).alias("least")), "simhash-nodes")
-    edges = links(nodes.select("fp"))
-    for k in range(1, seeds):
-        seen = written(rows.select(F.col("fps")[k].alias("other"), F.col("fp").alias("first")).groupBy("other", "first").agg(F.count(F.lit(1)).alias("c")), "simhash-other")
-        one = written(seen.groupBy("other").agg(F.min("first").alias("v")), "simhash-other")
-        edges = edges.unionByName(seen.join(one, "other").select(F.col("first").alias("u"), "v").where("u != v"))
-        to = lambda c, one=one: one.select(F.col("other").alias(c), F.col("v").alias(f"{c}1"))
-        near = links(one.select(F.col("other").alias("fp"))).join(to("u"), "u").join(to("v"), "v")
-        edges = edges.unionByName(near.select(F.col("u1").alias("u"), F.col("v1").alias("v")))
+    nodes = written(rows.groupBy("fp").agg(F.min(order).alias("least"), F.min("fps").alias("fps")), "simhash-nodes")
+    placed = buckets(nodes.select("fp", F.col("fp").alias("id")))
+    edges = links(placed)
+    if seeds > 1:
+        meetings = placed.select(F.col("id").alias("u"), F.col("least").alias("v"))
+        for k in range(1, seeds):
+            seen = written(rows.select(F.col("fps")[k].alias("other"), F.col("fp").alias("first")).groupBy("other", "first").agg(F.count(F.lit(1)).alias("c")), "simhash-other")
+            one = written(seen.groupBy("other").agg(F.min("first").alias("v")), "simhash-other")
+            edges = edges.unionByName(seen.join(one, "other").select(F.col("first").alias("u"), "v").where("u != v"))
+            placed = buckets(one.select(F.col("other").alias("fp"), F.col("v").alias("id")))
+            to = lambda c, one=one: one.select(F.col("other").alias(c), F.col("v").alias(f"{c}1"))
+            near = links(placed).join(to("u"), "u").join(to("v"), "v")
+            edges = edges.unionByName(near.select(F.col("u1").alias("u"), F.col("v1").alias("v")))
+            meetings = meetings.unionByName(placed.select(F.col("id").alias("u"), F.col("least").alias("v")))
+        # more than the radius guarantees: a member of a bucket and its smallest, if all fingerprints together are near
+        sig = lambda c: nodes.select(F.col("fp").alias(c), F.col("fps").alias(f"{c}s"))
+        met = meetings.where("u != v").distinct().join(sig("u"), "u").join(sig("v"), "v")
+        edges = edges.unionByName(met.where(_within("us", "vs", int(BITS * seeds * APART))).select("u", "v"))
     found = components(edges)
     least = nodes.join(found.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     of_root = least.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -164,11 +185,12 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     return out.select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def without_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, seeds: int = 4) -> DataFrame:
+def without_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, seeds: int = 12) -> DataFrame:
     """``docs`` with one row of each near-duplicate group: that with the smallest id (rows without one come last).
 
-    Two texts are linked if any of their ``seeds`` independent fingerprints differ in at most 2 bits; links are
-    transitive. Rows without words form one group. Extra columns pass through.
+    Two texts are linked if one of their ``seeds`` independent fingerprints differs in at most 2 bits, or if they meet in
+    a bucket, one being its smallest, and all their fingerprints together differ in no more bits than at a similarity
+    of 0.8; links are transitive. Rows without words form one group. Extra columns pass through.
     """
     own = [f"k_{c}" for c in docs.columns]
     numbered = docs.toDF(*own).withColumn("__rid", F.monotonically_increasing_id())
