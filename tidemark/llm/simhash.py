@@ -12,6 +12,8 @@ mask); a listing has 65 members at most. The rows grow in proportion to the fing
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, Window
@@ -110,33 +112,56 @@ def buckets(nodes: DataFrame) -> DataFrame:
     return written(placed.join(counts, ["t", "key"]), "simhash-buckets")
 
 
-def links(placed: DataFrame) -> DataFrame:
-    """Edges ``u, v`` whose components are those of all pairs within ``RADIUS`` bits, of fingerprints in ``buckets``."""
+#: Bits of one fingerprint in which two members of a bucket may differ to be looked at with all fingerprints.
+GLANCE = 16
+
+
+def links(placed: DataFrame, glances: bool = False) -> DataFrame:
+    """Edges ``u, v`` of ids whose components are those of all pairs within ``RADIUS`` bits, of fingerprints in
+    ``buckets``: rows with ``sure``. With ``glances`` also rows without: each member's nearest other in a small bucket,
+    or the smallest id of a large one."""
     spark, own = placed.sparkSession, masks()
-    small = placed.where(F.col("n") <= SMALL).groupBy("t", "key").agg(F.collect_list("fp").alias("fps")).select("fps")
+    small = placed.where(F.col("n") <= SMALL).groupBy("t", "key").agg(F.collect_list(F.struct("fp", "id")).alias("m"))
+    small = small.select(F.col("m.fp").alias("fps"), F.col("m.id").alias("ids"))
 
     def make():
         import pyarrow as pa
 
         def fn(batch):
-            u, v = [], []
-            for fps in values(batch.column("fps")):
-                own = np.sort(np.array(fps, dtype=np.int64))
-                for i, j in bucket_forest(own.view(np.uint64), RADIUS):
-                    u.append(int(own[i]))
-                    v.append(int(own[j]))
-            return {"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())}
+            u, v, sure = [], [], []
+
+            def add(ids, pairs, known):
+                for i, j in pairs:
+                    u.append(int(ids[i]))
+                    v.append(int(ids[j]))
+                    sure.append(known)
+
+            for fps, ids in zip(values(batch.column("fps")), values(batch.column("ids")), strict=True):
+                fps, ids = np.array(fps, dtype=np.int64).view(np.uint64), np.array(ids, dtype=np.int64)
+                order = np.argsort(ids, kind="stable")
+                fps, ids = fps[order], ids[order]
+                add(ids, bucket_forest(fps, RADIUS), True)
+                if glances:
+                    apart = np.bitwise_count(fps[:, None] ^ fps[None, :])
+                    np.fill_diagonal(apart, BITS)
+                    nearest = apart.argmin(axis=1)
+                    add(ids, [(i, int(j)) for i, j in enumerate(nearest) if apart[i, j] <= GLANCE], False)
+            return {"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64()), "sure": pa.array(sure, pa.bool_())}
 
         return fn
 
-    edge = T._parse_datatype_string("u bigint, v bigint")
+    edge = T._parse_datatype_string("u bigint, v bigint, sure boolean")
     in_small = map_rows(small, make, edge)
     free = spark.createDataFrame([(t, [signed(1 << i) for i in range(BITS) if not m >> i & 1]) for t, m in enumerate(own)], "t int, flips array<bigint>")
-    listed = placed.where(F.col("n") > SMALL).join(F.broadcast(free), "t")  # one row a mask
-    listed = listed.select("t", "fp", F.explode(F.concat(F.array(F.lit(0).cast("bigint")), "flips")).alias("flip"))
-    listed = listed.select("fp", "t", F.col("fp").bitwiseXOR(F.col("flip")).alias("z"))
-    in_large = listed.select(F.col("fp").alias("u"), F.min("fp").over(Window.partitionBy("t", "z")).alias("v")).where("u != v").distinct()
-    return in_small.unionByName(in_large)
+    large = placed.where(F.col("n") > SMALL)
+    listed = large.join(F.broadcast(free), "t")  # one row a mask
+    listed = listed.select("t", "fp", "id", F.explode(F.concat(F.array(F.lit(0).cast("bigint")), "flips")).alias("flip"))
+    listed = listed.select("id", "t", F.col("fp").bitwiseXOR(F.col("flip")).alias("z"))
+    in_large = listed.select(F.col("id").alias("u"), F.min("id").over(Window.partitionBy("t", "z")).alias("v")).where("u != v").distinct()
+    out = in_small.unionByName(in_large.withColumn("sure", F.lit(True)))
+    if glances:
+        out = out.unionByName(large.where("id != least").select(F.col("id").alias("u"), F.col("least").alias("v"), F.lit(False).alias("sure")))
+    return out
 
 
 def _within(u: str, v: str, bits: int):
@@ -150,23 +175,22 @@ def _with_components(rows: DataFrame, order: str, seeds: int = 1) -> DataFrame:
     # a node stands for the rows with the same first fingerprint; they are linked through any of their fingerprints
     rows = rows.withColumn("fp", F.col("fps")[0])
     nodes = written(rows.groupBy("fp").agg(F.min(order).alias("least"), F.min("fps").alias("fps")), "simhash-nodes")
-    placed = buckets(nodes.select("fp", F.col("fp").alias("id")))
-    edges = links(placed)
-    if seeds > 1:
-        meetings = placed.select(F.col("id").alias("u"), F.col("least").alias("v"))
+    own = buckets(nodes.select("fp", F.col("fp").alias("id")))
+    if seeds == 1:
+        edges = links(own)
+    else:
+        edges = [written(links(own, glances=True).distinct(), "simhash-links")]
         for k in range(1, seeds):
             seen = written(rows.select(F.col("fps")[k].alias("other"), F.col("fp").alias("first")).groupBy("other", "first").agg(F.count(F.lit(1)).alias("c")), "simhash-other")
-            one = written(seen.groupBy("other").agg(F.min("first").alias("v")), "simhash-other")
-            edges = edges.unionByName(seen.join(one, "other").select(F.col("first").alias("u"), "v").where("u != v"))
-            placed = buckets(one.select(F.col("other").alias("fp"), F.col("v").alias("id")))
-            to = lambda c, one=one: one.select(F.col("other").alias(c), F.col("v").alias(f"{c}1"))
-            near = links(placed).join(to("u"), "u").join(to("v"), "v")
-            edges = edges.unionByName(near.select(F.col("u1").alias("u"), F.col("v1").alias("v")))
-            meetings = meetings.unionByName(placed.select(F.col("id").alias("u"), F.col("least").alias("v")))
-        # more than the radius guarantees: a member of a bucket and its smallest, if all fingerprints together are near
+            one = seen.groupBy("other").agg(F.min("first").alias("v"))
+            edges.append(seen.join(one, "other").select(F.col("first").alias("u"), "v", F.lit(True).alias("sure")).where("u != v"))
+            own = buckets(one.select(F.col("other").alias("fp"), F.col("v").alias("id")))
+            edges.append(written(links(own, glances=True).distinct(), "simhash-links"))
+        edges = functools.reduce(DataFrame.unionByName, edges)
+        # beyond what the radius guarantees: pairs that met, if all fingerprints together are near
         sig = lambda c: nodes.select(F.col("fp").alias(c), F.col("fps").alias(f"{c}s"))
-        met = meetings.where("u != v").distinct().join(sig("u"), "u").join(sig("v"), "v")
-        edges = edges.unionByName(met.where(_within("us", "vs", int(BITS * seeds * APART))).select("u", "v"))
+        met = edges.where("not sure").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().join(sig("u"), "u").join(sig("v"), "v")
+        edges = edges.where("sure").select("u", "v").unionByName(met.where(_within("us", "vs", int(BITS * seeds * APART))).select("u", "v"))
     found = components(edges)
     least = nodes.join(found.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     of_root = least.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -189,7 +213,7 @@ def without_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
     """``docs`` with one row of each near-duplicate group: that with the smallest id (rows without one come last).
 
     Two texts are linked if one of their ``seeds`` independent fingerprints differs in at most 2 bits, or if they meet in
-    a bucket, one being its smallest, and all their fingerprints together differ in no more bits than at a similarity
+    a bucket (see ``links``) and all their fingerprints together differ in no more bits than at a similarity
     of 0.8; links are transitive. Rows without words form one group. Extra columns pass through.
     """
     own = [f"k_{c}" for c in docs.columns]
