@@ -140,9 +140,25 @@ def s6_find(spark, d):
     return found.select("rec_id", "phrase_id", "first", "last", ms("at"))
 
 
-@query("s7_lines")
+@query(
+    "s7_lines",
+    f"""WITH {derived.WORDS_SQL}, k AS (SELECT *, CASE WHEN idx // 23 % 4 = 3 THEN NULL ELSE 'S' || (idx // 61 % 3) END AS known FROM words),
+n AS (SELECT *, lag(text) OVER w AS bt, lag(end_ms) OVER w AS be, first_value(known IGNORE NULLS) OVER f AS nk, first_value(CASE WHEN known IS NOT NULL THEN start_ms END IGNORE NULLS) OVER f AS ns FROM k
+ WINDOW w AS (PARTITION BY rec_id ORDER BY idx), f AS (PARTITION BY rec_id ORDER BY idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+o AS (SELECT *, CASE WHEN known IS NULL AND (bt IS NULL OR regexp_matches(bt, '[.?!]$')) AND ns - start_ms < 5000 THEN nk ELSE known END AS who,
+ sum(CASE WHEN be IS NULL OR start_ms - be > 1500 THEN 1 ELSE 0 END) OVER (PARTITION BY rec_id ORDER BY idx) AS island FROM n),
+g AS (SELECT rec_id, island, list(struct_pack(idx := idx, who := who, closes := regexp_matches(text, '[.?!]$'), n := 0::BIGINT, label := NULL::VARCHAR, starts := []::BIGINT[], labels := []::VARCHAR[]) ORDER BY idx) AS ws FROM o GROUP BY rec_id, island),
+r AS (SELECT rec_id, list_reduce(ws, lambda a, x: CASE WHEN a.n = 0 OR coalesce(x.who <> a.label, false)
+ THEN struct_pack(idx := x.idx, who := x.who, closes := x.closes, n := 1::BIGINT, label := x.who, starts := list_append(a.starts, x.idx), labels := CASE WHEN len(a.starts) > 0 THEN list_append(a.labels, coalesce(a.label, '(unclear)')) ELSE a.labels END)
+ ELSE struct_pack(idx := x.idx, who := x.who, closes := x.closes, n := CASE WHEN a.n + 1 >= 30 OR (a.n + 1 >= 8 AND x.closes) THEN 0 ELSE a.n + 1 END, label := coalesce(a.label, x.who), starts := a.starts, labels := a.labels) END,
+ struct_pack(idx := 0::BIGINT, who := NULL::VARCHAR, closes := false, n := 0::BIGINT, label := NULL::VARCHAR, starts := []::BIGINT[], labels := []::VARCHAR[])) AS x FROM g),
+s AS (SELECT rec_id, x.starts[j] AS first, list_append(x.labels, coalesce(x.label, '(unclear)'))[j] AS label FROM (SELECT rec_id, x, unnest(range(1, len(x.starts) + 1)) AS j FROM r)),
+l AS (SELECT *, lead(first) OVER (PARTITION BY rec_id ORDER BY first) AS nf FROM s),
+t AS (SELECT l.rec_id, l.first, l.label, CAST(round(min(w.start_ms) / 1000.0) AS BIGINT) AS c, string_agg(w.text, ' ' ORDER BY w.idx) AS text FROM l JOIN words w ON w.rec_id = l.rec_id AND w.idx >= l.first AND (l.nf IS NULL OR w.idx < l.nf) GROUP BY ALL)
+SELECT rec_id, first, '[' || CASE WHEN c >= 3600 THEN printf('%d:%02d:%02d', c // 3600, c // 60 % 60, c % 60) ELSE printf('%d:%02d', c // 60, c % 60) END || '] ' || label || ': ' || text AS line FROM t""",
+)
 def s7_lines(spark, d):
-    return wd.rendered_lines(wd.lines(derived.speakers_known(words_of(spark, d))))
+    return wd.rendered_lines(wd.lines(derived.speakers_known(words_of(spark, d)))).withColumn("first", F.col("first").cast("bigint"))
 
 
 CUE_SQL = """WITH {words}, f AS (SELECT *, lag(text) OVER w AS bt, lag(end_ms) OVER w AS be FROM words WINDOW w AS (PARTITION BY rec_id ORDER BY idx)),
@@ -158,6 +174,9 @@ o AS (SELECT c.rec_id, c.cue, c.first, max(w.idx) AS last, min(w.start_ms) AS s,
 SELECT rec_id, cue, first, last, s AS start_ms, least(e, coalesce(lead(s) OVER (PARTITION BY rec_id ORDER BY first), e)) AS end_ms, text FROM o"""
 
 
+STAMP = "printf('%02d:%02d:%02d,%03d', {m} // 3600000, {m} // 60000 % 60, {m} // 1000 % 60, {m} % 1000)"
+
+
 def cue_rows(c):
     return c.select("rec_id", F.col("cue").cast("bigint").alias("cue"), F.col("first").cast("bigint").alias("first"), F.col("last").cast("bigint").alias("last"), ms("start"), ms("end"), "text")
 
@@ -172,17 +191,36 @@ def s10_clip_cues(spark, d):
     return cue_rows(wd.cues(words_of(spark, d), wd.CLIP_CAPTIONS))
 
 
-@query("s11_srt")
+@query(
+    "s11_srt",
+    f"""WITH c AS ({CUE_SQL.format(words=derived.WORDS_SQL, pause=600, chars=42, seconds=5000, most=1000000)}), m AS (SELECT *, greatest(0, start_ms - 500)::BIGINT AS a, greatest(0, end_ms - 500)::BIGINT AS b FROM c)
+SELECT rec_id, cue, (cue + 1) || chr(10) || {STAMP.format(m="a")} || ' --> ' || {STAMP.format(m="b")} || chr(10) || text || chr(10) || chr(10) AS block FROM m""",
+)
 def s11_srt(spark, d):
-    return wd.srt_lines(wd.cues(words_of(spark, d)), F.lit(0.5))
+    return wd.srt_lines(wd.cues(words_of(spark, d)), F.lit(0.5)).withColumn("cue", F.col("cue").cast("bigint"))
+
 
+PARAGRAPHS = f"""pf AS (SELECT *, lag(end_ms) OVER (PARTITION BY rec_id ORDER BY idx) AS be FROM words),
+pi AS (SELECT *, sum(CASE WHEN be IS NULL OR start_ms - be > 2500 THEN 1 ELSE 0 END) OVER (PARTITION BY rec_id ORDER BY idx) AS island FROM pf),
+pg AS (SELECT rec_id, island, list(struct_pack(idx := idx, closes := regexp_matches(text, '[.?!]$'), n := 0::BIGINT, fresh := true, starts := []::BIGINT[]) ORDER BY idx) AS ws FROM pi GROUP BY rec_id, island),
+pr AS (SELECT rec_id, list_reduce(ws, lambda a, x: struct_pack(idx := x.idx, closes := x.closes, n := CASE WHEN a.n >= 120 AND x.closes THEN 0 ELSE a.n + 1 END, fresh := a.n >= 120 AND x.closes, starts := CASE WHEN a.fresh THEN list_append(a.starts, x.idx) ELSE a.starts END),
+ struct_pack(idx := 0::BIGINT, closes := false, n := 0::BIGINT, fresh := true, starts := []::BIGINT[])).starts AS starts FROM pg),
+ps AS (SELECT rec_id, first, lead(first) OVER (PARTITION BY rec_id ORDER BY first) AS nf FROM (SELECT rec_id, unnest(starts) AS first FROM pr)),
+paragraphs AS (SELECT ps.rec_id, ps.first, max(w.idx) AS last, string_agg(w.text, ' ' ORDER BY w.idx) AS text FROM ps JOIN words w ON w.rec_id = ps.rec_id AND w.idx >= ps.first AND (ps.nf IS NULL OR w.idx < ps.nf) GROUP BY ps.rec_id, ps.first)"""
 
-@query("s12_paragraphs")
+
+@query(
+    "s12_paragraphs",
+    f"WITH {derived.WORDS_SQL}, {PARAGRAPHS} SELECT rec_id, first, last, text FROM paragraphs",
+)
 def s12_paragraphs(spark, d):
-    return wd.paragraphs(words_of(spark, d))
+    return wd.paragraphs(words_of(spark, d)).withColumn("first", F.col("first").cast("bigint")).withColumn("last", F.col("last").cast("bigint"))
 
 
-@query("s12_transcript_text")
+@query(
+    "s12_transcript_text",
+    f"WITH {derived.WORDS_SQL}, {PARAGRAPHS} SELECT rec_id, string_agg(text, chr(10) || chr(10) ORDER BY first) || chr(10) AS text FROM paragraphs GROUP BY rec_id",
+)
 def s12_transcript_text(spark, d):
     return wd.transcript_text(wd.paragraphs(words_of(spark, d)))
 
@@ -447,7 +485,12 @@ def r8_spoken_numbers(spark, d):
     return load(spark, d, "events").select("event_id", F.array_join(F.array_sort(tx.spoken_numbers(phrase)).cast("array<string>"), ",").alias("numbers"))
 
 
-@query("r10_retimed")
+@query(
+    "r10_retimed",
+    r"""WITH t AS (SELECT item_id, i, ws[i] AS text FROM (SELECT item_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM (SELECT item_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM benchmark))),
+c AS (SELECT *, sum(strlen(text)) OVER (PARTITION BY item_id ORDER BY i) AS till, sum(strlen(text)) OVER (PARTITION BY item_id) AS total FROM t)
+SELECT item_id, text, round(10.0::DOUBLE + 10.0::DOUBLE * (till - strlen(text)) / total, 6) AS "start", round(10.0::DOUBLE + 10.0::DOUBLE * till / total, 6) AS "end" FROM c""",
+)
 def r10_retimed(spark, d):
     c = load(spark, d, "benchmark").select("item_id", F.explode(corrections.retimed(tx.fields(F.col("text")), F.lit(10.0), F.lit(20.0))).alias("w"))
     return c.select("item_id", "w.text", F.round("w.start", 6).alias("start"), F.round("w.end", 6).alias("end"))
@@ -492,7 +535,10 @@ def p1_chosen(spark, d):
     return clips.chosen(c, reviews, 3, 4).select("rec_id", "number", "score", "verdict", "clip_id")
 
 
-@query("p3_lead_ins")
+@query(
+    "p3_lead_ins",
+    f"WITH {derived.WORDS_SQL}, {RANGES} SELECT r.rec_id, r.cut_id AS number, string_agg(w.text, ' ' ORDER BY w.idx) AS before FROM ranges r JOIN words w ON w.rec_id = r.rec_id AND w.idx < r.first AND w.idx >= r.first - 25 GROUP BY ALL",
+)
 def p3_lead_ins(spark, d):
     w = words_of(spark, d)
     return clips.lead_ins(w, ranges_of(w).select("rec_id", F.col("cut_id").alias("number"), "first"))
@@ -509,7 +555,7 @@ def p5_slugs(spark, d):
 
 # --- frames and camera
 
-FRAMES = """fr AS (SELECT label::BIGINT AS rec_id, vec_id * 7.0 AS t, vec_id, [abs(embedding[i]::DOUBLE) for i in range(1, 16)] AS e FROM embeddings),
+FRAMES = """fr AS (SELECT label::BIGINT AS rec_id, (vec_id * 7.0)::DOUBLE AS t, vec_id, [abs(embedding[i]::DOUBLE) for i in range(1, 16)] AS e FROM embeddings),
 bf AS (SELECT *, CASE WHEN e[4] >= 0.08 AND (e[9] < 0.08 OR e[5] >= e[10]) THEN e[5] WHEN e[9] >= 0.08 THEN e[10] END AS q FROM fr)"""
 
 
@@ -518,9 +564,16 @@ def v1_frame_scores(spark, d):
     return frames.scored(derived.face_frames(load(spark, d, "embeddings"))).select("rec_id", F.col("t").cast("bigint").alias("t"), F.round("score", 6).alias("score"))
 
 
-@query("v2_choose")
+@query(
+    "v2_choose",
+    f"""WITH {FRAMES}, sc AS (SELECT rec_id, t, q - 4 * e[13] * e[14] AS score FROM bf WHERE q IS NOT NULL),
+g AS (SELECT rec_id, list(struct_pack(t := t, score := score, taken := []::STRUCT(t DOUBLE, score DOUBLE)[]) ORDER BY score DESC, t) AS fs FROM sc GROUP BY rec_id),
+r AS (SELECT rec_id, list_reduce(fs, lambda a, x: struct_pack(t := x.t, score := x.score, taken := CASE WHEN len(a.taken) < 5 AND len(list_filter(a.taken, lambda y: abs(y.t - x.t) < 60)) = 0 THEN list_append(a.taken, struct_pack(t := x.t, score := x.score)) ELSE a.taken END),
+ struct_pack(t := 0::DOUBLE, score := 0::DOUBLE, taken := []::STRUCT(t DOUBLE, score DOUBLE)[])).taken AS taken FROM g)
+SELECT rec_id, CAST(k - 1 AS INTEGER) AS place, taken[k].t AS t, round(taken[k].score, 6) AS score FROM (SELECT rec_id, taken, unnest(range(1, len(taken) + 1)) AS k FROM r)""",
+)
 def v2_choose(spark, d):
-    return frames.choose(derived.face_frames(load(spark, d, "embeddings")), 5).select("rec_id", "place", "t", "score")
+    return frames.choose(derived.face_frames(load(spark, d, "embeddings")), 5).select("rec_id", "place", "t", F.round("score", 6).alias("score"))
 
 
 @query(
@@ -536,7 +589,10 @@ def v4_crops(spark, d):
     return load(spark, d, "embeddings").select("vec_id", frames.frame_crop(box, F.lit(1920.0), F.lit(1080.0)).alias("c")).select("vec_id", "c.*")
 
 
-@query("n3_anchored")
+@query(
+    "n3_anchored",
+    """SELECT vec_id AS rec_id, i::BIGINT AS i, round((tanh(embedding[i + 1]::DOUBLE) + 1) / 2, 9) AS x FROM embeddings, range(64) r(i) WHERE i % 9 <> 8""",
+)
 def n3_anchored(spark, d):
     return camera.anchored(derived.tracks(load(spark, d, "embeddings"))).select("rec_id", F.round(F.col("t") * 10).cast("bigint").alias("i"), F.round("x", 9).alias("x"))
 
@@ -580,7 +636,17 @@ def durations_of(documents):
     return documents.select(F.col("doc_id").alias("rec_id"), F.lit(150.0).alias("duration"))
 
 
-@query("x3_valid_chapters")
+@query(
+    "x3_valid_chapters",
+    r"""WITH c AS (SELECT doc_id AS rec_id, i - 1 AS pos, (((i - 1) * 37 % 61) * 3)::DOUBLE AS a, array_to_string(string_split(ls[i], ' ')[1:2], ' ') AS title FROM (SELECT doc_id, string_split(text, chr(10)) AS ls, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)),
+g AS (SELECT rec_id, list(struct_pack(a := a, pos := pos, prev := NULL::DOUBLE, why := []::VARCHAR[]) ORDER BY a, pos) AS cs FROM c GROUP BY rec_id),
+r AS (SELECT rec_id, cs, list_reduce(cs, lambda s, x: struct_pack(a := x.a, pos := x.pos, prev := CASE WHEN x.a >= 140 OR coalesce(x.a - s.prev < 10, false) THEN s.prev ELSE x.a END,
+ why := list_append(s.why, CASE WHEN x.a >= 140 THEN 'too close to the end' WHEN x.a - s.prev < 10 THEN 'less than 10 s after the previous one' ELSE '' END)),
+ struct_pack(a := 0::DOUBLE, pos := 0::BIGINT, prev := NULL::DOUBLE, why := []::VARCHAR[])).why AS why FROM g),
+u AS (SELECT rec_id, cs[k].pos AS pos, cs[k].a AS a, why[k] AS why FROM (SELECT rec_id, cs, why, unnest(range(1, len(cs) + 1)) AS k FROM r)),
+p AS (SELECT u.*, c.title, row_number() OVER (PARTITION BY u.rec_id, why = '' ORDER BY u.a, u.pos) - 1 AS k FROM u JOIN c USING (rec_id, pos))
+SELECT rec_id, pos, title, CASE WHEN why = '' THEN CAST(k AS INTEGER) END AS place, CASE WHEN why = '' AND k = 0 THEN 0.0 ELSE a END AS "at", nullif(why, '') AS dropped FROM p""",
+)
 def x3_valid_chapters(spark, d):
     documents = load(spark, d, "documents")
     return publish.valid_chapters(chapters_of(documents), durations_of(documents))
@@ -630,12 +696,20 @@ def x4_descriptions(spark, d):
     return j.select("rec_id", "text", publish.broken_rule(F.coalesce("chapters", F.array().cast("array<struct<at:double,title:string>>")), F.col("text")).alias("broken"))
 
 
-@query("x9_limited")
+@query(
+    "x9_limited",
+    r"""WITH c AS (SELECT doc_id, text, left(text, 300) AS cut FROM documents), s AS (SELECT *, regexp_extract(cut, '(?s)^(.*[.!?])', 1) AS a FROM c)
+SELECT doc_id, CASE WHEN length(text) <= 300 THEN text WHEN strlen(a) - 1 > 150 THEN a ELSE trim(CASE WHEN contains(cut, ' ') THEN regexp_extract(cut, '(?s)^(.*) ', 1) ELSE cut END) || '…' END AS text FROM s""",
+)
 def x9_limited(spark, d):
     return load(spark, d, "documents").select("doc_id", tx.limit_chars(F.col("text"), 300).alias("text"))
 
 
-@query("x12_folder_names")
+@query(
+    "x12_folder_names",
+    r"""WITH n AS (SELECT page_id, regexp_replace(replace(replace('2024-01-07 · ' || trim(split_part(url, ' | ', 1)) || ' (Psalm 1:1)', ': ', ' - '), ':', '.'), '[/\\]', '-', 'g') AS name FROM pages)
+SELECT page_id, CASE WHEN length(name) > 120 THEN trim(left(name, 120)) ELSE name END AS name FROM n""",
+)
 def x12_folder_names(spark, d):
     return load(spark, d, "pages").select("page_id", tx.folder_name(F.lit("2024-01-07"), F.col("url"), F.lit("Psalm 1:1")).alias("name"))
 

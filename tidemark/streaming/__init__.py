@@ -1 +1 @@
-
+"""Nothing streams yet: all operators see whole recordings, as their rules about what follows need."""
