@@ -24,7 +24,7 @@ from tidemark.llm.common import arrow_schema, schema_of, values
 CAPACITY = 2048
 END_ID = 1
 PIECE = 512
-BLOCK_WINDOWS = 128
+BLOCK_WINDOWS = 256
 SPECIAL = "<|endoftext|>"
 
 
@@ -71,7 +71,7 @@ def windows(sizes: list[int], capacity: int = CAPACITY) -> list[list[int]]:
         out = [w for w in difference(sizes, k) if w]
         if max(sum(sizes[i] for i in w) for w in out) <= capacity:
             return out
-        k += 1 + k // 64
+        k += 1
 
 
 def cut(n: int, capacity: int = CAPACITY, piece: int = PIECE) -> list[tuple[int, int]]:
