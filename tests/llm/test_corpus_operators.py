@@ -64,6 +64,9 @@ def test_line_dedup(spark, docs, rows, none):
     found = multiset(line_dedup.op1_site_spread(docs))
     assert found == lines_left(rows, line_dedup.MIN_SITES)
     assert any(k[2] for k in found)
+    joined = line_dedup.without_boilerplate(docs.select("doc_id", "source", "text"), sent_lines=0)
+    told = line_dedup.without_boilerplate(docs.select("doc_id", "source", "text"))
+    assert multiset(joined) == multiset(told)
     assert line_dedup.op1_site_spread(none).count() == 0
     left = line_dedup.with_lines_left(docs)
     assert left.columns == docs.columns and 0 < left.count() <= len(rows)
@@ -186,7 +189,7 @@ def test_links_of_large_buckets(spark):
         for _ in range(rng.randint(1, 6)):
             f ^= 1 << rng.randrange(64)
         fps.add(f)
-    nodes = spark.createDataFrame([(simhash.signed(f), simhash.signed(f)) for f in fps], "fp bigint, id bigint")
+    nodes = spark.createDataFrame([(0, simhash.signed(f), simhash.signed(f)) for f in fps], "k int, fp bigint, id bigint")
     found = {r.node % 2**64: r.root for r in components.components(simhash.links(simhash.buckets(nodes))).collect()}
     want = closure(sorted(fps))
     assert {f for f, r in want.items() if sum(x == r for x in want.values()) > 1} == set(found)
