@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 
 #: Rows of a batch turned into Python objects at once.
 ROWS_AT_ONCE = 256
+#: Rows that a mapping function gets and returns at once.
+ROWS_OUT = 1024
 
 
 def _alnum_table() -> bytes:
@@ -47,15 +49,15 @@ def arrow_schema(ddl: str | T.StructType) -> pa.Schema:
     return to_arrow_schema(T._parse_datatype_string(ddl) if isinstance(ddl, str) else ddl)
 
 
-def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict | None]], schema: T.StructType) -> DataFrame:
-    """``mapInArrow`` with a function made once per task; it returns columns (name to values) for each batch."""
+def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]], schema: T.StructType) -> DataFrame:
+    """``mapInArrow`` with a function made once per task; it returns columns (name to values) for some rows at a time."""
     arrow = arrow_schema(schema)
 
     def run(batches):
         fn = make()
-        for batch in batches:
-            out = fn(batch)
-            if out is not None:
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS_OUT):
+                out = fn(whole.slice(at, ROWS_OUT))
                 yield pa.RecordBatch.from_arrays([out[f.name] if isinstance(out[f.name], pa.Array) else pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, schema)

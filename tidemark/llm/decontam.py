@@ -88,18 +88,22 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, keep: list[str], tex
     an empty benchmark leaves every document clean. Map-only over the documents.
     """
     spark = docs.sparkSession
+    read = text_col if text_col in keep else "__text"
     blocks = benchmark_blocks(spark, benchmark, item_col, item_text_col, block_windows)
     out = schema_of(docs, *keep, more="n_words bigint, n_hit bigint, n_items bigint, item_ids array<string>, spans array<struct<start:bigint,end:bigint>>, contaminated boolean")
 
     def make():
-        ready = [build(blocks[0].value)] if len(blocks) == 1 else None
+        ready = [build(blocks[0].value if blocks else [])] if len(blocks) <= 1 else None
 
         def fn(batch):
-            words = [alnum_words(x) for x in values(batch.column("__text"), binary=True)]
-            hits: list[list[tuple[int, int]]] = [[] for _ in words]
-            items: list[set[str]] = [set() for _ in words]
+            texts = batch.column(read)
+            hits: list[list[tuple[int, int]]] = [[] for _ in range(batch.num_rows)]
+            items: list[set[str]] = [set() for _ in hits]
+            n_words = [0] * batch.num_rows
             for searchers in ready or map(build, (b.value for b in blocks)):
-                for k, own in enumerate(words):
+                for k, text in enumerate(values(texts, binary=True)):
+                    own = alnum_words(text)
+                    n_words[k] = len(own)
                     for s in searchers:
                         for start, ids in s.scan(own):
                             hits[k].append((start, start + s.length))
@@ -114,7 +118,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, keep: list[str], tex
                         merged.append([a, b])
                 spans.append([{"start": a, "end": b} for a, b in merged])
             return {k: batch.column(k) for k in keep} | {
-                "n_words": [len(x) for x in words],
+                "n_words": n_words,
                 "n_hit": [sum(s["end"] - s["start"] for s in x) for x in spans],
                 "n_items": [len(x) for x in items],
                 "item_ids": [sorted(x) for x in items],
@@ -124,7 +128,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, keep: list[str], tex
 
         return fn
 
-    return map_rows(docs.select(*keep, F.col(text_col).cast("string").alias("__text")), make, out)
+    return map_rows(docs.select(*keep, *([] if read in keep else [F.col(text_col).cast("string").alias(read)])), make, out)
 
 
 def uncontaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", **options) -> DataFrame:

@@ -12,8 +12,6 @@ mask); a listing has 65 members at most. The rows grow in proportion to the fing
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, Window
@@ -27,6 +25,8 @@ BITS = 64
 RADIUS = 2
 SMALL = 64
 SEED = 42
+#: Up to so many numbers of rows that go are sent to every task (some 30 MB there); more are joined.
+SENT_ROWS = 1_000_000
 #: Share of differing bits of two texts whose shingle sets have a Jaccard similarity of 0.8: arccos(2 * 0.8 / 1.8) / pi.
 APART = 0.1515
 
@@ -74,18 +74,19 @@ def majority(h: np.ndarray) -> int:
 def fingerprints(docs: DataFrame, *, keep: list[str], text_col: str = "text", shingle: int = 3, seeds: int = 1) -> DataFrame:
     """The columns ``keep`` with ``fps``: ``seeds`` fingerprints as longs. Null and empty texts have zeros."""
     out = schema_of(docs, *keep, more="fps array<bigint>")
+    read = text_col if text_col in keep else "__text"
 
     def make():
         def fn(batch):
             fps = []
-            for text in values(batch.column("__text"), binary=True):
+            for text in values(batch.column(read), binary=True):
                 h = np.array(shingle_hashes(blank_words(text), shingle), dtype=np.uint64)
                 fps.append([signed(majority(remixed(h, s))) for s in range(seeds)])
             return {k: batch.column(k) for k in keep} | {"fps": fps}
 
         return fn
 
-    return map_rows(docs.select(*keep, F.col(text_col).cast("string").alias("__text")), make, out)
+    return map_rows(docs.select(*keep, *([] if read in keep else [F.col(text_col).cast("string").alias(read)])), make, out)
 
 
 def bucket_forest(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
@@ -104,12 +105,12 @@ def bucket_forest(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
 
 
 def buckets(nodes: DataFrame) -> DataFrame:
-    """Distinct fingerprints ``fp`` with an ``id``, once for each table ``t`` in which they share their bucket ``key``:
-    with ``n``, the bucket's size, and ``least``, its smallest id."""
+    """Fingerprints ``fp`` of kind ``k`` (each once a kind) with an ``id``, once for each table ``t`` in which they share
+    their bucket ``key``: with ``n``, the bucket's size, and ``least``, its smallest id."""
     table = F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("key")) for t, m in enumerate(masks())]))
-    placed = nodes.select("fp", "id", table.alias("b")).select("fp", "id", "b.t", "b.key")
-    counts = placed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least")).where("n > 1")
-    return written(placed.join(counts, ["t", "key"]), "simhash-buckets")
+    placed = nodes.select("k", "fp", "id", table.alias("b")).select("k", "fp", "id", "b.t", "b.key")
+    counts = placed.groupBy("k", "t", "key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least")).where("n > 1")
+    return written(placed.join(counts, ["k", "t", "key"]), "simhash-buckets")
 
 
 #: Bits of one fingerprint in which two members of a bucket may differ to be looked at with all fingerprints.
@@ -121,7 +122,7 @@ def links(placed: DataFrame, glances: bool = False) -> DataFrame:
     ``buckets``: rows with ``sure``. With ``glances`` also rows without: each member's nearest other in a small bucket,
     or the smallest id of a large one."""
     spark, own = placed.sparkSession, masks()
-    small = placed.where(F.col("n") <= SMALL).groupBy("t", "key").agg(F.collect_list(F.struct("fp", "id")).alias("m"))
+    small = placed.where(F.col("n") <= SMALL).groupBy("k", "t", "key").agg(F.collect_list(F.struct("fp", "id")).alias("m"))
     small = small.select(F.col("m.fp").alias("fps"), F.col("m.id").alias("ids"))
 
     def make():
@@ -155,9 +156,9 @@ def links(placed: DataFrame, glances: bool = False) -> DataFrame:
     free = spark.createDataFrame([(t, [signed(1 << i) for i in range(BITS) if not m >> i & 1]) for t, m in enumerate(own)], "t int, flips array<bigint>")
     large = placed.where(F.col("n") > SMALL)
     listed = large.join(F.broadcast(free), "t")  # one row a mask
-    listed = listed.select("t", "fp", "id", F.explode(F.concat(F.array(F.lit(0).cast("bigint")), "flips")).alias("flip"))
-    listed = listed.select("id", "t", F.col("fp").bitwiseXOR(F.col("flip")).alias("z"))
-    in_large = listed.select(F.col("id").alias("u"), F.min("id").over(Window.partitionBy("t", "z")).alias("v")).where("u != v").distinct()
+    listed = listed.select("k", "t", "fp", "id", F.explode(F.concat(F.array(F.lit(0).cast("bigint")), "flips")).alias("flip"))
+    listed = listed.select("id", "k", "t", F.col("fp").bitwiseXOR(F.col("flip")).alias("z"))
+    in_large = listed.select(F.col("id").alias("u"), F.min("id").over(Window.partitionBy("k", "t", "z")).alias("v")).where("u != v").distinct()
     out = in_small.unionByName(in_large.withColumn("sure", F.lit(True)))
     if glances:
         out = out.unionByName(large.where("id != least").select(F.col("id").alias("u"), F.col("least").alias("v"), F.lit(False).alias("sure")))
@@ -175,22 +176,18 @@ def _with_components(rows: DataFrame, order: str, seeds: int = 1) -> DataFrame:
     # a node stands for the rows with the same first fingerprint; they are linked through any of their fingerprints
     rows = rows.withColumn("fp", F.col("fps")[0])
     nodes = written(rows.groupBy("fp").agg(F.min(order).alias("least"), F.min("fps").alias("fps")), "simhash-nodes")
-    own = buckets(nodes.select("fp", F.col("fp").alias("id")))
     if seeds == 1:
-        edges = links(own)
+        edges = links(buckets(nodes.select(F.lit(0).alias("k"), "fp", F.col("fp").alias("id"))))
     else:
-        edges = [written(links(own, glances=True).distinct(), "simhash-links")]
-        for k in range(1, seeds):
-            seen = written(rows.select(F.col("fps")[k].alias("other"), F.col("fp").alias("first")).groupBy("other", "first").agg(F.count(F.lit(1)).alias("c")), "simhash-other")
-            one = seen.groupBy("other").agg(F.min("first").alias("v"))
-            edges.append(seen.join(one, "other").select(F.col("first").alias("u"), "v", F.lit(True).alias("sure")).where("u != v"))
-            own = buckets(one.select(F.col("other").alias("fp"), F.col("v").alias("id")))
-            edges.append(written(links(own, glances=True).distinct(), "simhash-links"))
-        edges = functools.reduce(DataFrame.unionByName, edges)
+        every = rows.select(F.col("fp").alias("first"), F.posexplode("fps").alias("k", "fp"))
+        every = written(every.groupBy("k", "fp", "first").agg(F.count(F.lit(1)).alias("c")), "simhash-kinds")
+        one = every.groupBy("k", "fp").agg(F.min("first").alias("id"))
+        same = every.join(one, ["k", "fp"]).select(F.col("first").alias("u"), F.col("id").alias("v")).where("u != v")
+        found = written(links(buckets(one), glances=True).distinct(), "simhash-links")
         # beyond what the radius guarantees: pairs that met, if all fingerprints together are near
         sig = lambda c: nodes.select(F.col("fp").alias(c), F.col("fps").alias(f"{c}s"))
-        met = edges.where("not sure").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().join(sig("u"), "u").join(sig("v"), "v")
-        edges = edges.where("sure").select("u", "v").unionByName(met.where(_within("us", "vs", int(BITS * seeds * APART))).select("u", "v"))
+        met = found.where("not sure").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().join(sig("u"), "u").join(sig("v"), "v")
+        edges = same.unionByName(found.where("sure").select("u", "v")).unionByName(met.where(_within("us", "vs", int(BITS * seeds * APART))).select("u", "v"))
     found = components(edges)
     least = nodes.join(found.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     of_root = least.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -223,6 +220,8 @@ def without_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
     slim = rows.select(F.struct(name.isNull().alias("none"), name.alias("id"), F.col("__rid").alias("rid")).alias("__order"), "fps")
     grouped = _with_components(slim, "__order", seeds)
     gone = written(grouped.where(F.col("__order") != F.col("component_id")).select(F.col("__order.rid").alias("__rid")), "simhash-gone")
+    if gone.count() <= SENT_ROWS:  # then the texts needn't be shuffled
+        gone = F.broadcast(gone)
     return rows.join(gone, "__rid", "left_anti").select(*own).toDF(*docs.columns)
 
 
