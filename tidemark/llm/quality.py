@@ -156,10 +156,25 @@ def with_verdicts(docs: DataFrame, *, keep: list[str], lang_col: str = "lang", s
     return out.select(*[F.col(f"k_{k}").alias(k) for k in keep], "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", "kept")
 
 
+#: Up to so many distinct rejected rows' keys are sent to every task (some 60 MB there); more are joined.
+SENT_KEYS = 1_000_000
+KEY = ["__k1", "__k2"]
+
+
 def good_documents(docs: DataFrame, *, lang_col: str = "lang", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that ``with_verdicts`` keeps, with all their columns, whatever these are called."""
-    out = _judged(docs, docs.columns, lang_col, source_col, text_col)
-    return out.where("kept").select(*[F.col(f"k_{k}").alias(k) for k in docs.columns])
+    """The rows of ``docs`` that ``with_verdicts`` keeps, with all their columns, whatever these are called.
+
+    A verdict depends on language, source and text alone, so rejected rows are known by 128-bit hashes of these; the
+    texts are neither written nor, while there are few such keys, shuffled.
+    """
+    own = [f"k_{c}" for c in docs.columns]
+    parts = [x for c in (lang_col, source_col, text_col) for x in (F.col(f"k_{c}").isNull(), F.col(f"k_{c}"))]
+    keyed = docs.toDF(*own).withColumns({"__k1": F.xxhash64(*parts), "__k2": F.xxhash64(F.lit(1), *parts)})
+    judged = _judged(keyed, KEY, f"k_{lang_col}", f"k_{source_col}", f"k_{text_col}")
+    bad = written(judged.where(~F.col("kept")).select(*[F.col(f"k_{k}").alias(k) for k in KEY]).distinct(), "quality-rejected")
+    if bad.count() <= SENT_KEYS:
+        bad = F.broadcast(bad)
+    return keyed.join(bad, KEY, "left_anti").select(*own).toDF(*docs.columns)
 
 
 def _judged(docs: DataFrame, keep: list[str], lang_col: str, source_col: str, text_col: str) -> DataFrame:
