@@ -291,6 +291,23 @@ def test_quality(spark, docs, rows, none):
     assert quality.good_documents(docs).columns == docs.columns
 
 
+def test_each_statistic_rejects_by_itself(spark):
+    rng = random.Random(14)
+    flat = lambda n: prose(rng, n).replace("\n", "")
+    clean = [row(i, "\n".join(flat(12) for _ in range(rng.randint(3, 20))), "en", "s0") for i in range(200)]
+    passage = flat(36)
+    alone = {
+        1000: " ".join(w * 9 for w in flat(200).split()),
+        1001: " ".join(w + "#" * (i % 2) for i, w in enumerate(flat(200).split())),
+        1002: "\n".join(flat(15) + "\nShare\nPrint" for _ in range(15)),
+        1003: "\n".join([flat(90), passage + " ra", flat(90), passage + " ne"]),
+    }
+    found = {r.doc_id: r for r in quality.op6_covariance_outliers(spark.createDataFrame(clean + [row(i, t, "en", "s0") for i, t in alone.items()], DDL)).collect()}
+    assert all(found[r[0]].kept for r in clean)
+    assert not any(found[i].base_failed or found[i].kept for i in alone)
+    assert found[1002].n_repeat_words == 0 < found[1002].n_dup_lines and found[1003].n_dup_lines == 0 < found[1003].n_repeat_words
+
+
 # --- 7
 
 

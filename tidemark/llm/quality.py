@@ -22,8 +22,9 @@ SYMBOLS = "#*$%&|<>"
 DIMS = 4
 #: Grid steps a natural-log unit, and the largest grid value.
 GRID, TOP = 200, 1600
-#: Least standard deviations, in grid steps: ordinary prose has hardly any symbols or repetitions, and their first few are no defect.
-FLOORS = (16.0, 25.0, 80.0, 80.0)
+#: Least standard deviations, in grid steps: ordinary prose has hardly any symbols or repetitions, and their first few are no defect. The
+#: largest values that pass the base rules (480 and 277 for repeated lines and words) lie beyond the cutoff by themselves.
+FLOORS = (16.0, 25.0, 40.0, 28.0)
 #: Texts that an estimate needs; smaller groups use their language's, small languages that of all texts.
 LEAST_TEXTS = 60
 CORE = 0.75
