@@ -215,6 +215,49 @@ def test_one_of_each_group_stays(spark, docs, rows):
     assert {t for _, t, *_ in rows if len((t or "").split()) > 30} - set(texts) == {t for _, t, *_ in rows if len((t or "").split()) > 30 and t not in texts}
 
 
+def variants(rng, n, most, words=120):
+    """``n`` texts of ``words`` words with up to ``most`` of them replaced at random, beginning with the one they come from."""
+    base = prose(rng, words).split()
+    out = [" ".join(base)]
+    for _ in range(n - 1):
+        own = list(base)
+        for k in rng.sample(range(words), rng.randint(1, most)):
+            own[k] = f"w{rng.randrange(10**6)}"
+        out.append(" ".join(own))
+    return out
+
+
+@pytest.mark.parametrize("block", [16, 4096])
+def test_all_pairs_of_a_bucket_are_judged(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    rng = random.Random(17)
+    texts = [t for n, most, words in ((250, 3, 800), (90, 6, 200), (90, 10, 120)) for t in variants(rng, n, most, words)] + [prose(rng, 120) for _ in range(30)]
+    rng.shuffle(texts)
+    fps = []
+    for t in texts:
+        h = np.array(simhash.shingle_hashes(common.blank_words(t.encode()), 5), dtype=np.uint64)
+        fps.append([simhash.majority(simhash.remixed(h, s)) for s in range(12)])
+    own = simhash.masks()
+    keys = [{(k, m, f & m) for k, f in enumerate(x) for m in own} for x in fps]
+    sizes = Counter(k for x in keys for k in x)
+    assert max(sizes.values()) > 64
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, x in enumerate(fps):
+        for j in range(i):
+            apart = [(a ^ b).bit_count() for a, b in zip(x, fps[j], strict=True)]
+            if min(apart) <= 2 or (sum(apart) <= int(768 * simhash.APART) and keys[i] & keys[j]):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    left = {r.doc_id for r in simhash.without_near_copies(spark.createDataFrame([row(i, t) for i, t in enumerate(texts)], DDL)).collect()}
+    assert left == {i for i in range(len(texts)) if find(i) == i}
+
+
 # --- 5
 
 

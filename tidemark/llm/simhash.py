@@ -8,6 +8,9 @@ Distinct fingerprints that agree on a mask form a bucket. Buckets of up to ``SMA
 memory and give a forest of their links. Larger ones are never paired: two fingerprints are within 2 bits exactly
 if some value is within 1 bit of both, so each is listed under itself and its neighbours of one bit (outside the
 mask); a listing has 65 members at most. The rows grow in proportion to the fingerprints.
+
+With several fingerprints a text, all pairs that share a bucket of any of them are also judged by all together
+(``met``): no bucket is cut short, whatever its size.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import blank_words, map_rows, schema_of, values, written
+from tidemark.llm.common import arrow_schema, blank_words, map_rows, schema_of, values, written
 from tidemark.llm.components import components
 
 BITS = 64
@@ -29,6 +32,11 @@ SEED = 42
 SENT_ROWS = 1_000_000
 #: Share of differing bits of two texts whose shingle sets have a Jaccard similarity of 0.8: arccos(2 * 0.8 / 1.8) / pi.
 APART = 0.1515
+BUCKET = ["k", "t", "key"]
+EDGE = "u bigint, v bigint"
+#: Members of a bucket that one task compares with each other; larger buckets are cut into blocks of about so many, and
+#: any two blocks meet in a task of their own (a member of a bucket of m goes to m / BLOCK tasks).
+BLOCK = 4096
 
 
 def masks(radius: int = RADIUS, bits: int = BITS) -> list[int]:
@@ -106,93 +114,100 @@ def bucket_forest(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
 
 def buckets(nodes: DataFrame) -> DataFrame:
     """Fingerprints ``fp`` of kind ``k`` (each once a kind) with an ``id``, once for each table ``t`` in which they share
-    their bucket ``key``: with ``n``, the bucket's size, and ``least``, its smallest id."""
+    their bucket ``key``: with ``n``, the bucket's size."""
     table = F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("key")) for t, m in enumerate(masks())]))
     placed = nodes.select("k", "fp", "id", table.alias("b")).select("k", "fp", "id", "b.t", "b.key")
-    counts = placed.groupBy("k", "t", "key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least")).where("n > 1")
-    return written(placed.join(counts, ["k", "t", "key"]), "simhash-buckets")
-
-
-#: Bits of one fingerprint in which two members of a bucket may differ to be looked at with all fingerprints.
-GLANCE = 16
+    counts = placed.groupBy(BUCKET).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return written(placed.join(counts, BUCKET), "simhash-buckets")
 
 
-def links(placed: DataFrame, glances: bool = False) -> DataFrame:
-    """Edges ``u, v`` of ids whose components are those of all pairs within ``RADIUS`` bits, of fingerprints in
-    ``buckets``: rows with ``sure``. With ``glances`` also rows without: each member's nearest other in a small bucket,
-    or the smallest id of a large one."""
+def links(placed: DataFrame) -> DataFrame:
+    """Edges ``u, v`` of ids whose components are those of all pairs within ``RADIUS`` bits, of fingerprints in ``buckets``."""
     spark, own = placed.sparkSession, masks()
-    small = placed.where(F.col("n") <= SMALL).groupBy("k", "t", "key").agg(F.collect_list(F.struct("fp", "id")).alias("m"))
+    small = placed.where(F.col("n") <= SMALL).groupBy(BUCKET).agg(F.collect_list(F.struct("fp", "id")).alias("m"))
     small = small.select(F.col("m.fp").alias("fps"), F.col("m.id").alias("ids"))
 
     def make():
         import pyarrow as pa
 
         def fn(batch):
-            u, v, sure = [], [], []
-
-            def add(ids, pairs, known):
-                for i, j in pairs:
-                    u.append(int(ids[i]))
-                    v.append(int(ids[j]))
-                    sure.append(known)
-
+            u, v = [], []
             for fps, ids in zip(values(batch.column("fps")), values(batch.column("ids")), strict=True):
-                fps, ids = np.array(fps, dtype=np.int64).view(np.uint64), np.array(ids, dtype=np.int64)
-                order = np.argsort(ids, kind="stable")
-                fps, ids = fps[order], ids[order]
-                add(ids, bucket_forest(fps, RADIUS), True)
-                if glances:
-                    apart = np.bitwise_count(fps[:, None] ^ fps[None, :])
-                    np.fill_diagonal(apart, BITS)
-                    nearest = apart.argmin(axis=1)
-                    add(ids, [(i, int(j)) for i, j in enumerate(nearest) if apart[i, j] <= GLANCE], False)
-            return {"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64()), "sure": pa.array(sure, pa.bool_())}
+                for i, j in bucket_forest(np.array(fps, dtype=np.int64).view(np.uint64), RADIUS):
+                    u.append(ids[i])
+                    v.append(ids[j])
+            return {"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())}
 
         return fn
 
-    edge = T._parse_datatype_string("u bigint, v bigint, sure boolean")
-    in_small = map_rows(small, make, edge)
+    in_small = map_rows(small, make, T._parse_datatype_string(EDGE))
     free = spark.createDataFrame([(t, [signed(1 << i) for i in range(BITS) if not m >> i & 1]) for t, m in enumerate(own)], "t int, flips array<bigint>")
-    large = placed.where(F.col("n") > SMALL)
-    listed = large.join(F.broadcast(free), "t")  # one row a mask
+    listed = placed.where(F.col("n") > SMALL).join(F.broadcast(free), "t")  # one row a mask
     listed = listed.select("k", "t", "fp", "id", F.explode(F.concat(F.array(F.lit(0).cast("bigint")), "flips")).alias("flip"))
     listed = listed.select("id", "k", "t", F.col("fp").bitwiseXOR(F.col("flip")).alias("z"))
     in_large = listed.select(F.col("id").alias("u"), F.min("id").over(Window.partitionBy("k", "t", "z")).alias("v")).where("u != v").distinct()
-    out = in_small.unionByName(in_large.withColumn("sure", F.lit(True)))
-    if glances:
-        out = out.unionByName(large.where("id != least").select(F.col("id").alias("u"), F.col("least").alias("v"), F.lit(False).alias("sure")))
+    return in_small.unionByName(in_large)
+
+
+def near_forest(sigs: np.ndarray, bits: int) -> list[tuple[int, int]]:
+    """Links (by index) that connect what pairs of rows that differ in at most ``bits`` bits connect: each row reached
+    is compared with all that aren't yet."""
+    out, left = [], np.arange(len(sigs))
+    while len(left):
+        reached, left = [int(left[0])], left[1:]
+        while reached and len(left):
+            i = reached.pop()
+            near = np.bitwise_count(sigs[left] ^ sigs[i]).sum(axis=1, dtype=np.int64) <= bits
+            new = left[near].tolist()
+            out += [(i, j) for j in new]
+            reached += new
+            left = left[~near]
     return out
 
 
-def _within(u: str, v: str, bits: int):
-    """Whether two arrays of fingerprints differ in at most ``bits`` bits in all."""
-    apart = F.zip_with(u, v, lambda x, y: F.bit_count(x.bitwiseXOR(y)))
-    return F.aggregate(apart, F.lit(0), lambda n, d: n + d) <= bits
+def met(members: DataFrame, bits: int) -> DataFrame:
+    """Edges ``u, v`` whose components are those of all pairs that share a bucket and differ in at most ``bits`` bits of
+    all their fingerprints: of rows of ``BUCKET``, ``id`` and ``fps``."""
+    arrow = arrow_schema(EDGE)
+    sizes = members.groupBy(BUCKET).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    dealt = members.join(sizes, BUCKET).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select(*BUCKET, F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "id", "fps")
+
+    def run(group):
+        import pyarrow as pa
+
+        ids = group.column("id").to_numpy()
+        sigs = group.column("fps").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(ids), -1)
+        pairs = np.array(near_forest(sigs, bits), dtype=np.int64).reshape(-1, 2)
+        return pa.table([pa.array(ids[pairs[:, 0]]), pa.array(ids[pairs[:, 1]])], schema=arrow)
+
+    return dealt.groupBy(*BUCKET, "p", "q").applyInArrow(run, EDGE)
 
 
 def _with_components(rows: DataFrame, order: str, seeds: int = 1) -> DataFrame:
     """Adds ``component_id``, the smallest ``order`` of the rows reachable by links, to rows with ``fps``."""
-    # a node stands for the rows with the same first fingerprint; they are linked through any of their fingerprints
-    rows = rows.withColumn("fp", F.col("fps")[0])
-    nodes = written(rows.groupBy("fp").agg(F.min(order).alias("least"), F.min("fps").alias("fps")), "simhash-nodes")
+    # a node stands for the rows with the same fingerprints
+    if seeds == 1:
+        same, rows, number = "fp", rows.withColumn("fp", F.col("fps")[0]), F.col("fp")
+    else:
+        same, number = "fps", F.monotonically_increasing_id()
+    nodes = written(rows.groupBy(same).agg(F.min(order).alias("least")).withColumn("id", number), "simhash-nodes")
     if seeds == 1:
-        edges = links(buckets(nodes.select(F.lit(0).alias("k"), "fp", F.col("fp").alias("id"))))
+        edges = links(buckets(nodes.select(F.lit(0).alias("k"), "fp", "id")))
     else:
-        every = rows.select(F.col("fp").alias("first"), F.posexplode("fps").alias("k", "fp"))
-        every = written(every.groupBy("k", "fp", "first").agg(F.count(F.lit(1)).alias("c")), "simhash-kinds")
-        one = every.groupBy("k", "fp").agg(F.min("first").alias("id"))
-        same = every.join(one, ["k", "fp"]).select(F.col("first").alias("u"), F.col("id").alias("v")).where("u != v")
-        found = written(links(buckets(one), glances=True).distinct(), "simhash-links")
-        # beyond what the radius guarantees: pairs that met, if all fingerprints together are near
-        sig = lambda c: nodes.select(F.col("fp").alias(c), F.col("fps").alias(f"{c}s"))
-        met = found.where("not sure").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().join(sig("u"), "u").join(sig("v"), "v")
-        edges = same.unionByName(found.where("sure").select("u", "v")).unionByName(met.where(_within("us", "vs", int(BITS * seeds * APART))).select("u", "v"))
+        every = written(nodes.select("id", F.posexplode("fps").alias("k", "fp")), "simhash-kinds")
+        one = every.groupBy("k", "fp").agg(F.min("id").alias("id"))
+        equal = every.withColumnRenamed("id", "u").join(one.withColumnRenamed("id", "v"), ["k", "fp"]).select("u", "v").where("u != v")
+        placed = buckets(one)
+        # beyond what the radius guarantees: pairs that share a bucket, if all fingerprints together are near
+        members = placed.select(*BUCKET, "fp").join(every, ["k", "fp"]).select(*BUCKET, "id").join(nodes.select("id", "fps"), "id")
+        edges = equal.unionByName(links(placed)).unionByName(met(written(members, "simhash-met"), int(BITS * seeds * APART)))
     found = components(edges)
-    least = nodes.join(found.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    least = nodes.join(found.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     of_root = least.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_fp = written(least.join(of_root, "root").select("fp", "component_id"), "simhash-components")
-    return rows.join(of_fp, "fp", "left")
+    of_node = written(least.join(of_root, "root").select(same, "component_id"), "simhash-components")
+    return rows.join(of_node, same, "left")
 
 
 def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
@@ -209,9 +224,9 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 def without_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, seeds: int = 12) -> DataFrame:
     """``docs`` with one row of each near-duplicate group: that with the smallest id (rows without one come last).
 
-    Two texts are linked if one of their ``seeds`` independent fingerprints differs in at most 2 bits, or if they meet in
-    a bucket (see ``links``) and all their fingerprints together differ in no more bits than at a similarity
-    of 0.8; links are transitive. Rows without words form one group. Extra columns pass through.
+    Two texts are linked if one of their ``seeds`` independent fingerprints differs in at most 2 bits, or if they share
+    a bucket of any of them and all their fingerprints together differ in no more bits than at a similarity of 0.8 (all
+    pairs of a bucket are judged, see ``met``); links are transitive. Rows without words form one group. Extra columns pass through.
     """
     own = [f"k_{c}" for c in docs.columns]
     numbered = docs.toDF(*own).withColumn("__rid", F.monotonically_increasing_id())
