@@ -295,6 +295,17 @@ def test_repeats_in_periodic_texts(spark):
     assert multiset(suffix_dedup.op5_induced_suffixes(spark.createDataFrame(rows, DDL))) == brute_removal(rows)
 
 
+def test_repeats_with_runs_of_nuls(spark):
+    rng = random.Random(16)
+    flat = lambda n: prose(rng, n).replace("\n", "")
+    shared = "before" + "\0" * 40 + "after"
+    texts = [flat(30) + shared + flat(30), flat(20) + shared + flat(20), "\0" * 200, "x" + "\0" * 90 + "y", "a" * 30 + "\0" * 20, "b" + "a" * 30 + "\0" * 20]
+    rows = [row(i, t) for i, t in enumerate(texts)]
+    found = multiset(suffix_dedup.op5_induced_suffixes(spark.createDataFrame(rows, DDL)))
+    assert found == brute_removal(rows)
+    assert all(k[2] >= 50 for k in found if k[0] in (1, 3, 5))
+
+
 def test_suffix_order():
     from tidemark.llm.suffix_sort import suffix_order
 

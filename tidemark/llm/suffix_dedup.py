@@ -40,7 +40,7 @@ NO_ID = np.iinfo(np.int64).max
 
 
 def anchor_hashes(buf: bytes) -> np.ndarray:
-    """A hash of the 16 bytes at each place of ``buf``."""
+    """A hash, never 0, of the 16 bytes at each place of ``buf``."""
     n = len(buf) - ANCHOR + 1
     words = np.ndarray(shape=(len(buf) - 7,), dtype="<u8", buffer=buf, strides=(1,))
     with np.errstate(over="ignore"):
@@ -51,7 +51,7 @@ def anchor_hashes(buf: bytes) -> np.ndarray:
         h ^= h >> np.uint64(32)
         h *= np.uint64(0x94D049BB133111EB)
         h ^= h >> np.uint64(29)
-    return h
+    return np.maximum(h, np.uint64(1), out=h)  # 0 marks windows that pick nothing
 
 
 def sliding(x: np.ndarray, width: int, f) -> np.ndarray:
