@@ -72,6 +72,18 @@ def test_line_dedup(spark, docs, rows, none):
     assert left.columns == docs.columns and 0 < left.count() <= len(rows)
 
 
+def test_a_null_site_is_no_site(spark):
+    rng = random.Random(15)
+    n = line_dedup.MIN_SITES
+    sites = [f"s{i}" for i in range(n - 1)]
+    rows = [row(i, "a line on one site too few\n" + prose(rng, 30), "en", s) for i, s in enumerate([*sites, None, None])]
+    rows += [row(100 + i, "a line on just enough sites\n" + prose(rng, 30), "en", s) for i, s in enumerate([*sites, "s99", None])]
+    docs = spark.createDataFrame(rows, DDL)
+    found = multiset(line_dedup.op1_site_spread(docs))
+    assert found == lines_left(rows, n)
+    assert sum(k[2] for k in found.elements()) == n
+
+
 # --- 2
 
 

@@ -44,7 +44,7 @@ def spread_lines(lines: DataFrame, min_sites: int) -> DataFrame:
     spread = written(sketches.select(*LINE, F.hll_sketch_estimate("__sketch").alias("__sites")), "line-spread")
     slack = max(1.0, BAND * min_sites)
     near = spread.where(F.abs(F.col("__sites") - min_sites) <= slack)
-    exact = theirs.join(near, LINE, "left_semi").distinct().groupBy(LINE).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= min_sites)
+    exact = theirs.where(F.col("__site").isNotNull()).join(near, LINE, "left_semi").distinct().groupBy(LINE).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= min_sites)
     chosen = spread.where(F.col("__sites") > min_sites + slack).select(*LINE).unionByName(exact.select(*LINE))
     return often.join(chosen, LINE, "left_semi")
 
