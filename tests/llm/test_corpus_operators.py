@@ -270,6 +270,29 @@ def test_all_pairs_of_a_bucket_are_judged(spark, monkeypatch, block):
     assert left == {i for i in range(len(texts)) if find(i) == i}
 
 
+def test_near_copies_by_similarity_are_found(spark):
+    rng = random.Random(18)
+    families = [variants(rng, n, most, words) for n, most, words in ((100, 4, 400), (80, 3, 300), *[(2, 1 + i % 4, 200) for i in range(150)])]  # groups of 100 and 80 too
+    rows = [row(i, t, source=str(f)) for i, (f, t) in enumerate((f, t) for f, own in enumerate(families) for t in own)]
+    words = [r[1].split() for r in rows]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in words]
+    fps = simhash.fingerprints(spark.createDataFrame(rows, DDL), keep=["doc_id"], shingle=5, seeds=12)
+    group = {r.doc_id: r.component_id for r in simhash._with_components(fps, "doc_id", 12).collect()}
+    found = defaultdict(list)
+    for i, r in enumerate(rows):
+        for j in range(i):
+            if r[3] == rows[j][3]:
+                alike = len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+                large = "large" if r[3] in "01" else "two"
+                found[large, min(int(alike * 20) / 20, 0.95)].append(group[i] == group[j])
+            else:
+                assert group[i] != group[j]
+    share = {k: sum(v) / len(v) for k, v in found.items()}
+    # as the README says
+    assert min(v for (size, _), v in share.items() if size == "large") == 1
+    assert share["two", 0.95] >= 0.99 and share["two", 0.9] >= 0.76
+
+
 # --- 5
 
 
