@@ -49,7 +49,7 @@ def test_failures(box):
     box.fail = {"a"}
     s = [box.stage("a"), box.stage("b", ["a"]), box.stage("c"), box.stage("r", ["b", "c"], finally_=True)]
     got = box.run(s)
-    assert got == {"a": "failed", "b": "skipped", "c": "done", "r": "done"}
+    assert got == {"a": "failed", "b": "skipped", "c": "done", "r": "skipped"}  # its own need wasn't met
     box.fail = set()
     assert box.run(s) == {"a": "done", "b": "done", "c": "reused", "r": "done"}
     none = dag.Stage("n", lambda: None, outputs=(str(box.path / "missing"),))
@@ -57,6 +57,40 @@ def test_failures(box):
     assert r.status == "failed" and "missing" in r.error
 
 
+def test_final_stages_read_all_others(box):
+    """A final stage runs after all others, whatever failed, and again when any of them left something else."""
+    s = [box.stage("a"), box.stage("b"), box.stage("r", finally_=True)]
+    assert set(box.run(s).values()) == {"done"} and box.ran[-1] == "r"
+    assert set(box.run(s).values()) == {"reused"}
+    s[0] = box.stage("a", text="new", version=2)
+    assert box.run(s) == {"a": "done", "b": "reused", "r": "done"}
+    box.fail = {"b"}
+    s[1] = box.stage("b", version=2)
+    assert box.run(s) == {"a": "reused", "b": "failed", "r": "done"}  # no need of its own failed
+    box.fail = set()
+    assert box.run(s) == {"a": "reused", "b": "done", "r": "done"}
+    assert box.run(s, targets=["r"]) == {"r": "done"}  # of a run without others, their outputs aren't read
+    box.fail = {"a"}
+    s[0] = box.stage("a", version=3)
+    s[2] = box.stage("r", ["a"], finally_=True)
+    assert box.run(s) == {"a": "failed", "b": "reused", "r": "skipped"}
+
+
+def test_a_failed_stage_forgets(box):
+    s = [box.stage("a"), box.stage("b", ["a"])]
+    box.run(s)
+    box.fail = {"a"}
+    assert box.run([box.stage("a", force=True), s[1]]) == {"a": "failed", "b": "skipped"}
+    box.fail = set()
+    assert box.run(s) == {"a": "done", "b": "reused"}  # the file is there still, but not trusted
+
+
+def test_final_stages_wait_for_each_other(box):
+    s = [box.stage("z", ["r"], finally_=True), box.stage("a"), box.stage("r", finally_=True)]
+    box.run(s)
+    assert box.ran == ["a", "r", "z"]
+
+
 def test_graph_checks(box):
     with pytest.raises(ValueError, match="twice"):
         dag.checked([box.stage("a"), box.stage("a")])
@@ -107,5 +141,5 @@ def test_review(spark):
     flags = review.flags(F.array(F.lit("video")), F.array(F.lit("odd")), F.array(F.lit("fixed")), 3, F.lit(2), F.array(F.lit("b"), F.lit("a")), F.lit(4), F.lit(0))
     quiet = review.flags(none.cast("array<string>"), none.cast("array<string>"), none.cast("array<string>"), 3, none.cast("int"), none.cast("array<string>"), none.cast("int"), none.cast("int"))
     got = rec.limit(1).select(flags.alias("f"), quiet.alias("q")).first()
-    assert got.q == [] and len(got.f) == 6 and got.f[0] == "Not produced: video." and got.f[4].endswith("a, b")
+    assert got.q == [] and len(got.f) == 6 and got.f[0] == "Missing: video." and got.f[4].endswith("a, b")
     assert "&lt;b&gt;" in review.page("<b>", ["x"], {"S": ["<b>"]}) and "<li>x</li>" in review.page("t", ["x"], {})

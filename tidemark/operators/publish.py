@@ -24,7 +24,7 @@ def valid_chapters(chapters: DataFrame, durations: DataFrame) -> DataFrame:
     zero = F.struct(F.lit(None).cast("double").alias("last"), F.array().cast("array<string>").alias("why"))
 
     def step(s: Column, c: Column) -> Column:
-        why = F.when(late(c), F.lit("too close to the end")).when(c["at"] - s["last"] < CHAPTER_GAP, F.lit("less than 10 s after the previous one"))
+        why = F.when(late(c), F.lit("in the last 10 s")).when(c["at"] - s["last"] < CHAPTER_GAP, F.lit("under 10 s after the one before"))
         return F.struct(F.when(why.isNull(), c["at"]).otherwise(s["last"]).alias("last"), F.concat(s["why"], F.array(why)).alias("why"))
 
     flat = by.select("rec_id", F.explode(F.arrays_zip("items", F.aggregate("items", zero, step)["why"].alias("why"))).alias("x")).select("rec_id", "x.items.*", F.col("x.why").alias("dropped"))
@@ -85,7 +85,7 @@ def assembled(body: Column, scripture: Column, chapters: Column, hashtags: Colum
 
 def broken_rule(chapters: Column, text: Column) -> Column:
     """The first rule that a description breaks, or null."""
-    return F.when(F.size(chapters) < LEAST_CHAPTERS, F.concat(F.lit("only "), F.size(chapters).cast("string"), F.lit(" usable chapters"))).when(F.octet_length(text) > DESCRIPTION_BYTES, F.concat(F.lit("the description is "), F.octet_length(text).cast("string"), F.lit(" bytes")))
+    return F.when(F.size(chapters) < LEAST_CHAPTERS, F.concat(F.size(chapters).cast("string"), F.lit(f" chapters hold, {LEAST_CHAPTERS} are needed"))).when(F.octet_length(text) > DESCRIPTION_BYTES, F.concat(F.octet_length(text).cast("string"), F.lit(f" bytes are over {DESCRIPTION_BYTES}")))
 
 
 def better_reply(first_broken: Column, first: Column, second_broken: Column, second: Column) -> Column:
@@ -94,14 +94,14 @@ def better_reply(first_broken: Column, first: Column, second_broken: Column, sec
 
 
 def trimmed_to(text: Column, limit: int) -> Column:
-    """Whole paragraphs dropped from the end until the text fits ``limit`` bytes; cut hard if the first alone doesn't."""
-    paragraphs = F.split(F.regexp_replace(text, "\n+$", ""), "\n\n")
-    n = F.size(paragraphs)
-    options = F.transform(F.sequence(F.lit(1), n), lambda k: F.concat(F.array_join(F.slice(paragraphs, F.lit(1), k), "\n\n"), F.lit("\n")))
-    fits = F.filter(F.slice(options, F.lit(1), n - 1), lambda o: F.octet_length(o) <= limit)
-    # a character that the limit cuts in two goes
-    hard = F.regexp_replace(F.make_valid_utf8(F.substring(F.encode(text, "utf-8"), 1, limit).cast("string")), "\ufffd+$", "")
-    return F.when(F.octet_length(text) <= limit, text).otherwise(F.coalesce(F.try_element_at(fits, F.lit(-1)), hard))
+    """Whole paragraphs dropped from the end until the text fits ``limit`` bytes with the newline that closes it; cut
+    hard if not even the first does. What is looked at is the text's first ``limit`` bytes, without newlines at their end."""
+    head = F.regexp_replace(F.make_valid_utf8(F.substring(F.encode(text, "utf-8"), 1, limit).cast("string")), "\ufffd+$", "")  # a character that the limit cuts in two goes
+    bare = F.regexp_replace(head, "\n+$", "")
+    kept = F.substring_index(bare, "\n\n", -1)  # what follows the last blank line
+    before = F.substring(bare, F.lit(1), F.length(bare) - F.length(kept) - 2)
+    # a line of the paragraph before may end with a newline of its own: the last two of a run are the break
+    return F.when(F.octet_length(text) <= limit, text).when(before != "", F.concat(before, F.lit("\n"))).otherwise(head)
 
 
 def first_or(items: Column, fallback: Column) -> Column:
@@ -113,7 +113,33 @@ def loudness_text(integrated: Column, peak: Column, spread: Column) -> Column:
     return F.when(zero, F.lit("")).otherwise(F.format_string("%.1f LUFS · peak %.1f dBTP · range %.1f LU", *(F.bround(c, 1) for c in (integrated, peak, spread))))
 
 
-def next_gain(target: Column, measured: Column, peak: Column, ceiling: Column) -> Column:
-    """One step of mastering: ``done, gain, ceiling`` from what the last attempt measured."""
-    done = (F.abs(target - measured) <= 0.5) & (peak <= ceiling)
-    return F.struct(done.alias("done"), (target - measured).alias("gain"), F.when(peak > ceiling, ceiling - (peak - ceiling) - 0.2).otherwise(ceiling).alias("ceiling"))
+def first_gain(target: Column, shaped: Column, peak: Column) -> Column:
+    """``gain, ceiling`` of the first attempt at mastering: from the loudness that the shaped audio measured, with the
+    limiter half a decibel below the peak that is allowed."""
+    return F.struct((target - shaped).alias("gain"), (peak - 0.5).alias("ceiling"))
+
+
+def next_gain(target: Column, peak: Column, step: Column, measured: Column, measured_peak: Column, attempt: Column) -> Column:
+    """``done, failed, gain, ceiling`` after an attempt (from 1) that ran with ``step`` (gain, ceiling): done within half
+    a unit of the target and not above the allowed peak; else what is missing is added to the gain, and a peak that is
+    too high lowers the limiter by the excess and 0.2. The third attempt is the last."""
+    over = measured_peak > peak
+    done = (F.abs(target - measured) <= 0.5) & ~over
+    ceiling = F.when(over, step["ceiling"] - (measured_peak - peak) - 0.2).otherwise(step["ceiling"])
+    return F.struct(done.alias("done"), (~done & (attempt >= ATTEMPTS)).alias("failed"), (step["gain"] + target - measured).alias("gain"), ceiling.alias("ceiling"))
+
+
+#: Fixed value: the speech chain before gain.
+SHAPING = "highpass=f=70,acompressor=threshold=-24dB:ratio=3:attack=15:release=250:knee=6"
+ATTEMPTS = 3
+
+
+def master_filter(step: Column, rate: int, seconds: Column, fade_in: float = 0.0, fade_out: float = 0.0) -> Column:
+    """The audio filter of an attempt: shaping, gain, a limiter at four times the rate, and fades."""
+    fixed = lambda pattern, c, digits: F.format_string(pattern, F.bround(c, digits))
+    parts = [F.lit(SHAPING + ",volume="), fixed("%.2f", step["gain"], 2), F.lit(f"dB,aresample={rate * 4},alimiter=limit="), fixed("%.4f", F.pow(F.lit(10.0), step["ceiling"] / 20), 4), F.lit(f":attack=5:release=60:level=false,aresample={rate}")]
+    if fade_in > 0:
+        parts.append(F.lit(f",afade=t=in:d={fade_in:.2f}"))
+    if fade_out > 0:
+        parts += [F.lit(",afade=t=out:st="), fixed("%.3f", seconds - fade_out, 3), F.lit(f":d={fade_out:.2f}")]
+    return F.concat(*parts)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from html.parser import HTMLParser
+from html import unescape
 from urllib.parse import urljoin
 
 import pandas as pd
@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as tx
+from tidemark.functions.markup import MarkupReader
 
 MOST_PAGES, MOST_CHARS = 8, 12000
 SKIPPED = frozenset(("script", "style", "noscript", "svg", "template", "iframe"))
@@ -23,13 +24,13 @@ INTERESTING = (
 )
 
 
-class PageReader(HTMLParser):
+class PageReader(MarkupReader):
     """Title, text (a newline before each block) and links of a page; descriptions in its head come first."""
 
     def __init__(self):
-        super().__init__(convert_charrefs=True)
+        super().__init__()
         self.title, self.parts, self.links = "", [], []
-        self.skip, self.in_title, self.link = 0, False, None
+        self.skip, self.link = 0, None
 
     def handle_starttag(self, tag, attrs):
         a = dict(attrs)
@@ -37,11 +38,9 @@ class PageReader(HTMLParser):
             self.skip += 1
         elif self.skip:
             return
-        elif tag == "title":
-            self.in_title = True
         elif tag == "meta" and (a.get("name") or "") + (a.get("property") or "") in ("description", "og:description"):
             content = (a.get("content") or "").strip()
-            if content and content not in "".join(self.parts):
+            if content and content + "\n" not in self.parts:
                 self.parts.append(content + "\n")
         elif tag == "a":
             self.close_link()
@@ -57,17 +56,18 @@ class PageReader(HTMLParser):
     def handle_endtag(self, tag):
         if tag in SKIPPED:
             self.skip = max(0, self.skip - 1)
-        elif tag == "title":
-            self.in_title = False
         elif tag == "a":
             self.close_link()
 
+    def raw(self, tag, content):
+        if tag == "title" and not self.skip:
+            self.title += unescape(content)
+        elif tag not in SKIPPED:
+            self.handle_data(unescape(content))
+
     def handle_data(self, data):
         if self.skip:
             return
-        if self.in_title:
-            self.title += data
-            return
         self.parts.append(data)
         if self.link:
             self.link[1].append(data)
@@ -75,8 +75,7 @@ class PageReader(HTMLParser):
 
 def read_page(html: str | None, url: str | None) -> tuple[str, str, list[tuple[str, str]]]:
     r = PageReader()
-    r.feed(html or "")
-    r.close()
+    r.read(html or "")
     r.close_link()
     links = []
     for href, text in r.links:

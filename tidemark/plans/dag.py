@@ -1,4 +1,8 @@
-"""Running a graph of stages with reuse: a stage whose inputs and upstream outputs are unchanged isn't run again."""
+"""Running a graph of stages with reuse: a stage whose inputs and upstream outputs are unchanged isn't run again.
+
+A final stage (``finally_``) takes all others as read: it runs after them, whatever failed, and again when the output
+of any of them changed or went away. Only a need of its own that failed skips it.
+"""
 
 from __future__ import annotations
 
@@ -15,11 +19,13 @@ from pathlib import Path
 DONE, REUSED, FAILED, SKIPPED = "done", "reused", "failed", "skipped"
 #: Files above this size are known by their modification time instead of their content.
 HASHED_BYTES = 16 << 20
+#: Stands for the output of a stage that failed or was skipped.
+GONE = "gone"
 
 
 @dataclass(frozen=True)
 class Stage:
-    """``run`` does the work and leaves ``outputs``; ``finally_`` runs last, whatever failed."""
+    """``run`` does the work and leaves ``outputs``; with ``finally_`` it runs last, unless a need of its own failed."""
 
     name: str
     run: Callable[[], None]
@@ -113,13 +119,15 @@ def run(stages: list[Stage], state_path: str, targets: list[str] | None = None,
     Spark jobs of several stages share the session; with the fair scheduler they share its executors too.
     """
     own = selected(stages, targets)
-    names = {s.name for s in own}
+    names = [s.name for s in own if not s.finally_]
     state, results = load_state(state_path), {}
-    main, last = [s for s in own if not s.finally_], [s for s in own if s.finally_]
+
+    def reads(s: Stage) -> list[str]:
+        return sorted({*names, *s.needs}) if s.finally_ else list(s.needs)
 
     def one(s: Stage) -> Result:
         began = time.monotonic()
-        mark = fingerprint(s, {n: results[n].digest for n in s.needs if n in results})
+        mark = fingerprint(s, {n: results[n].digest or GONE for n in reads(s)})
         old = state.get(s.name, {})
         now = digest(s.files()) if old.get("fingerprint") == mark and not s.force else ""
         if now and now == old.get("digest"):
@@ -129,29 +137,25 @@ def run(stages: list[Stage], state_path: str, targets: list[str] | None = None,
             if not (now := digest(s.files())):
                 raise FileNotFoundError("it left no " + ", ".join(f for f in s.files() if not Path(f).exists()))
         except Exception as e:  # noqa: BLE001 - any failure of a stage is its result
+            state.pop(s.name, None)  # what it may have left half done is never reused
             return Result(FAILED, time.monotonic() - began, str(e))
         state[s.name] = {"fingerprint": mark, "digest": now}
         return Result(DONE, time.monotonic() - began, digest=now)
 
-    def go(batch: list[Stage], tolerant: bool) -> None:
-        waiting, running = {s.name: s for s in batch}, {}
-        with ThreadPoolExecutor(slots) as pool:
-            while waiting or running:
-                for s in list(waiting.values()):
-                    needs = [n for n in s.needs if n in names]
-                    if all(n in results for n in needs):
-                        del waiting[s.name]
-                        if not tolerant and any(results[n].status in (FAILED, SKIPPED) for n in needs):
-                            results[s.name] = Result(SKIPPED)
-                        else:
-                            running[pool.submit(one, s)] = s
-                if running:
-                    for f in wait(running, return_when=FIRST_COMPLETED).done:
-                        results[running.pop(f).name] = f.result()
-                        save_state(state_path, state)
-
-    go(main, False)
-    go(last, True)
+    waiting, running = {s.name: s for s in own}, {}
+    with ThreadPoolExecutor(slots) as pool:
+        while waiting or running:
+            for s in list(waiting.values()):
+                if all(n in results for n in reads(s)):
+                    del waiting[s.name]
+                    if any(results[n].status in (FAILED, SKIPPED) for n in s.needs):
+                        results[s.name] = Result(SKIPPED)
+                    else:
+                        running[pool.submit(one, s)] = s
+            if running:
+                for f in wait(running, return_when=FIRST_COMPLETED).done:
+                    results[running.pop(f).name] = f.result()
+                    save_state(state_path, state)
     return {s.name: results[s.name] for s in own}
 
 

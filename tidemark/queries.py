@@ -641,7 +641,7 @@ def durations_of(documents):
     r"""WITH c AS (SELECT doc_id AS rec_id, i - 1 AS pos, (((i - 1) * 37 % 61) * 3)::DOUBLE AS a, array_to_string(string_split(ls[i], ' ')[1:2], ' ') AS title FROM (SELECT doc_id, string_split(text, chr(10)) AS ls, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)),
 g AS (SELECT rec_id, list(struct_pack(a := a, pos := pos, prev := NULL::DOUBLE, why := []::VARCHAR[]) ORDER BY a, pos) AS cs FROM c GROUP BY rec_id),
 r AS (SELECT rec_id, cs, list_reduce(cs, lambda s, x: struct_pack(a := x.a, pos := x.pos, prev := CASE WHEN x.a >= 140 OR coalesce(x.a - s.prev < 10, false) THEN s.prev ELSE x.a END,
- why := list_append(s.why, CASE WHEN x.a >= 140 THEN 'too close to the end' WHEN x.a - s.prev < 10 THEN 'less than 10 s after the previous one' ELSE '' END)),
+ why := list_append(s.why, CASE WHEN x.a >= 140 THEN 'in the last 10 s' WHEN x.a - s.prev < 10 THEN 'under 10 s after the one before' ELSE '' END)),
  struct_pack(a := 0::DOUBLE, pos := 0::BIGINT, prev := NULL::DOUBLE, why := []::VARCHAR[])).why AS why FROM g),
 u AS (SELECT rec_id, cs[k].pos AS pos, cs[k].a AS a, why[k] AS why FROM (SELECT rec_id, cs, why, unnest(range(1, len(cs) + 1)) AS k FROM r)),
 p AS (SELECT u.*, c.title, row_number() OVER (PARTITION BY u.rec_id, why = '' ORDER BY u.a, u.pos) - 1 AS k FROM u JOIN c USING (rec_id, pos))
