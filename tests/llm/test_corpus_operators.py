@@ -2,6 +2,7 @@ import binascii
 import hashlib
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -148,6 +149,28 @@ def test_fuzzy_search_misses_nothing_within_its_edits():
             assert any(f[0] == i for f in s.scan(s.normal(f"xx {phrase} yy".encode()))), (n, phrase)
 
 
+@pytest.mark.parametrize("part", ["redistributi", "redistribution and", "redistributi ", "under the mit ", "all rights reserved ", "gnu general public license version 4 ", "é", " ", "a b "])
+def test_notices_in_very_long_texts(part):
+    s = license_scan.scanner()
+    norm = s.normal((part * (100_000 // len(part.encode()))).encode())
+    began = time.monotonic()
+    found = s.scan(norm)
+    assert time.monotonic() - began < 2
+    assert len(found) == (5000 if part.startswith("all") else 0)
+
+
+def test_notices_beside_other_letters():
+    """A window is cut inside words and characters; what stands there never counts as a word's end."""
+    s = license_scan.scanner()
+    label = lambda text: {s.notices[i].label for i, *_ in s.scan(s.normal(text.encode()))}
+    assert label("日本under the mit license") == set() and label("é under the mit licenseé") == {"mit"}  # one edit
+    assert label("日本語 under the mit licensë 日本語") == {"mit"} and label("xxunder the mit licensexx") == set()
+    assert label("ééé apache licénse vérsion 2 ééé") == {"apache-2"} and label("apache license version 22") == set()
+    assert label("under the mit license" * 50) == set()
+    norm = s.normal("日 under the mit license 語".encode())
+    assert [(norm[a:b], e) for _, a, b, e in s.scan(norm)] == [(b"under the mit license", 0)]
+
+
 # --- 4
 
 
@@ -420,6 +443,20 @@ def test_personal_data_equals_brute_force():
         assert [s for s in pii.find_spans(text) if s[0] in pii.BASE_KINDS] == brute_personal(text), text
 
 
+LONG = ["1.1.1." + "0" * 50_000, "0" * 50_000 + "1.2.3.4", "1" * 100_000, "1 " * 50_000, "1." * 50_000, "a@" * 50_000, "+1" * 50_000, "+1()" * 25_000, "token=" * 16_000, "IBAN" * 25_000, "a@b" + ".c" * 50_000, "a://u:p" * 14_000]
+
+
+@pytest.mark.parametrize("text", LONG, ids=lambda t: t[:8])
+def test_personal_data_in_very_long_texts(text):
+    began = time.monotonic()
+    found = [s for s in pii.find_spans(text) if s[0] in pii.BASE_KINDS]
+    assert time.monotonic() - began < 2
+    if "0000" in text:
+        assert found == [("ip", 0, len(text))]
+    short = text[:2000]  # the naive version takes the square of the length
+    assert [s for s in pii.find_spans(short) if s[0] in pii.BASE_KINDS] == brute_personal(short)
+
+
 def test_further_personal_data(spark, docs, none):
     text = "IBAN: DE89 3704 0044 0532 0130 00, token = 'abc123def456ghi789' http://joe:pw@host/x iban DE88370400440532013000"
     assert [(k, text[a:b]) for k, a, b in pii.find_spans(text)] == [("iban", "DE89 3704 0044 0532 0130 00"), ("secret", "abc123def456ghi789"), ("login", "http://joe:pw")]
@@ -498,6 +535,77 @@ def test_main_text():
     assert html_extract.main_text("text only") == "text only"
 
 
+def wrapped(inner, name, outer="{}"):
+    return f"<html><body><nav><a href=/>Home</a> <a href=/b>B</a></nav>{outer.format(f'<div class={name!r}>{inner}</div>')}<footer>All about us</footer></body></html>"
+
+
+GOOD = [f"Paragraph {i} has a good many words of running text in it, as articles do, and so on and on." for i in range(5)]
+PARAGRAPHS, LINES = "".join(f"<p>{x}</p>" for x in GOOD), "\n".join(GOOD)
+
+
+@pytest.mark.parametrize("name", ["has-sidebar", "post no-comments", "layout-sidebar-right", "page header-fixed", "article-with-related", "ad-free", "entry has-comments", "sidebar", "content sidebar-left", "notice", "comments"])
+def test_a_name_of_a_wrapper_empties_no_page(name):
+    assert html_extract.main_text(wrapped(PARAGRAPHS, name)) == LINES
+    assert html_extract.main_text(wrapped(PARAGRAPHS, name, "<main>{}</main>")) == LINES
+    inner = f"<div class='cookie-notice'>We use cookies on this site, as many sites do.</div>{PARAGRAPHS}"
+    assert html_extract.main_text(wrapped(inner, name)) == LINES
+
+
+COMMENTS = "".join(f"<li class='comment'><p>Reader {i} writes a long comment, which goes on about everything there is to say.</p></li>" for i in range(40))
+PAGES = {
+    "an article's header keeps its title": (f"<article><header class='entry-header'><h1>Title</h1></header>{PARAGRAPHS}<footer class='entry-footer'>Posted in X</footer></article>", "Title\n" + LINES),
+    "more comments than article": (f"<article><h1>Title</h1>{PARAGRAPHS}</article><ol class='comment-list'>{COMMENTS}</ol>", "Title\n" + LINES),
+    "comments in the article": (f"<article>{PARAGRAPHS}<section id='comments'><ol>{COMMENTS}</ol></section></article>", LINES),
+    "a form around the page": (f"<form id='aspnetForm'><div class='menu'><a href=x>x</a></div><div id='c'>{PARAGRAPHS}</div></form>", LINES),
+    "a form in the article": (f"<article>{PARAGRAPHS}<form><p>Your name</p><input></form></article>", LINES),
+    "a sidebar beside": (f"<div id='main'>{PARAGRAPHS}</div><div id='sidebar'><h3>More</h3><p>Some other thing to read, with a few words.</p></div>", LINES),
+    "an unnamed column of links beside": (f"<div class='c8'>{PARAGRAPHS}</div><div class='c4'>" + "".join(f"<li><a href='/{i}'>Link {i}</a></li>" for i in range(12)) + "</div>", LINES),
+    "no element at all": ("".join(f"{x}<br><br>" for x in GOOD), " ".join(GOOD)),
+    "paragraphs as divisions": ("<div id='menu'><a href=x>a</a><a href=y>b</a></div><div id='content'>" + "".join(f"<div class='para'>{x}</div>" for x in ("Short one.", GOOD[0] * 6, "No.", "Yes.")) + "</div>", "\n".join(("Short one.", GOOD[0] * 6, "No.", "Yes."))),
+    "a tiny article": ("<div class='ad'>An advert with quite some words in it, so that it is longer.</div><article><h1>So.</h1><p><b>Yes.<br></article><footer>A footer that is much longer than the article is.</footer>", "So.\nYes."),
+    "several articles": (f"<main><article><h2>One</h2>{PARAGRAPHS}</article><article><h2>Two</h2>{PARAGRAPHS}</article></main>", f"One\n{LINES}\nTwo\n{LINES}"),
+    "a table for the layout": (f"<table><tr><td class='side'><a href=x>a</a><br><a href=y>b</a></td><td>{PARAGRAPHS}</td></tr></table>", LINES),
+    "hidden text": (f"<main>{PARAGRAPHS}<div hidden>Not to be seen by anybody at all.</div><p aria-hidden='true'>Nor this one here.</p></main>", LINES),
+    "unclosed tags and references": ("<article><p>One &amp; two &#233;<p><b>Three<br>four<ul><li>a<li>b</ul></article>", "One & two é\nThree four\na\nb"),
+    "a marked section": (f"<main><![if x]>{PARAGRAPHS}<![endif]><![foo[x]]></main>", LINES),
+    "a quote that never ends": (f"<main>{PARAGRAPHS}</main><p class='x>tail", LINES),
+    "white space": ("<article><p> a \u00a0\n b\t</p>\n\n<pre>c\n  d</pre></article>", "a b\nc d"),
+    "repeated lines": ("<article><p>Same.</p><p>Same.</p></article>", "Same.\nSame."),
+}
+
+
+@pytest.mark.parametrize("name", PAGES)
+def test_kinds_of_pages(name):
+    page, want = PAGES[name]
+    assert html_extract.main_text(f"<!DOCTYPE html><html><head><title>T</title></head><body>{page}</body></html>") == want
+
+
+def test_an_unterminated_tag_is_text():
+    assert html_extract.main_text("<p>" + GOOD[0] + "<a href='x") == GOOD[0] + "<a href='x"
+
+
+@pytest.mark.parametrize("part", ["<a ", "<div>", "<i><div><b>", "</i>", "<tr>", "<li>x", "<p>x", "<p><b>", "<div class=comment>", "<nav>x</nav>", "<table><tr><td>", "<dl><dt>x<dd>", "<article>x", "<!--", "<![x", "&#", "<div class='a-b has-c' id=d>"])
+def test_long_and_deep_pages_take_little_time(part):
+    page = part * (100_000 // len(part))
+    began = time.monotonic()
+    assert isinstance(html_extract.main_text(page), str)
+    assert isinstance(html_extract.main_text(page + ">" + "</div>" * 5000), str)
+    assert time.monotonic() - began < 4
+
+
+def test_smoothing_and_clusters_equal_numpy():
+    rng = np.random.default_rng(5)
+    for n in (1, 2, 5, 60):
+        x = rng.exponential(30, n)
+        k = np.exp(-(np.arange(-2, 3) ** 2) / 2)
+        want = np.convolve(x, k, "full")[2 : n + 2] / np.convolve(np.ones(n), k, "full")[2 : n + 2]
+        got = html_extract.smoothed(x.tolist())
+        assert np.allclose(got, want)
+        least = html_extract.threshold(got)
+        assert any(v >= least for v in got)
+    assert 10 < html_extract.threshold([3.0, 4.0, 5.0, 80.0, 90.0]) < 80
+
+
 def test_pages(spark):
     df = spark.createDataFrame([(1, "u", None, 3), (2, None, "<p>é x</p>", 4), (None, "v", "", 5)], "page_id bigint, url string, html string, n_chars bigint")
     assert multiset(html_extract.op9_text_to_tag(df)) == Counter([(1, "u", "", 0), (2, None, "é x", 3), (None, "v", "", 0)])

@@ -1,110 +1,142 @@
 """Main text of web pages from the text-to-tag ratio of their lines.
 
 The standard library's parser streams events. Each block of text is a line with a ratio of text characters to tags;
-the ratios, in page order, are smoothed with a Gaussian and split by a threshold (two-means, started at the mean's
-half and the maximum). The content region is the smallest element that holds nearly all text of the lines above the
-threshold; its lines, short ones too, are the result. Lines inside menus, headers, footers, sidebars, notices,
-adverts, forms and comments, named by their tag, role, class or id, carry no ratio and never come out.
+the ratios of all lines, in page order, are smoothed with a Gaussian and split by a threshold (two-means, started at
+the mean's half and the maximum). The content region is the smallest element that holds nearly all text of the lines
+above the threshold, or an article or main element with most of it; its lines, short ones too, are the result.
+
+Menus, headers, footers, sidebars, notices, adverts, forms and comments that lie inside the region, named by their tag
+or role or by a whole class or id, then go. A name alone decides nothing: an element that holds most of the dense text
+around it, with no article beside it, is a wrapper whatever it is called, and stays.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from html.parser import HTMLParser
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.markup import MarkupReader
 from tidemark.llm.common import map_rows, schema_of, values
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 #: Elements whose text is never page text.
-SILENT = frozenset("head title script style noscript template svg math iframe object canvas select textarea button audio video".split())
+SILENT = frozenset("head title script style noscript template svg math iframe object canvas select textarea button audio video xmp noembed noframes".split())
 BOILERPLATE = frozenset("nav aside footer form menu dialog".split())
 REGIONS = frozenset("article main section div body html td".split())
-#: Words of class, id and role values that name boilerplate.
-NAMED = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar side footer header masthead cookie cookies consent notice notices gdpr popup modal overlay comment comments disqus reply replies respond share sharing social newsletter subscribe signup login related recommended widget toolbar pagination pager complementary contentinfo search alert skip".split())
+ARTICLES = frozenset("article main".split())
+#: Words of which the names of boilerplate are made, words that may stand beside them, and words that make a class a
+#: statement about a page ("has-sidebar", "no-comments", "ad-free") instead of the name of an element.
+NAMED = frozenset("ad ads advert adverts advertisement advertising advertisements sponsor sponsored sponsors promo promotion promotions banner adsbygoogle adsense nav navbar navigation menu breadcrumb breadcrumbs side sidebar alert footer masthead cookie cookies consent notice notices gdpr popup modal overlay comment comments disqus reply replies respond share sharing newsletter subscribe subscription signup login related recommended recommendations widget widgets toolbar pagination pager complementary contentinfo search skip social".split())
+BESIDE = frozenset("site page main global top bottom left right primary secondary first last box bar block section area container wrapper wrap inner outer list item items link links button buttons form panel module group holder slot unit zone content body text title heading header meta info thread tree the our post article entry user reader readers page widget mobile desktop sticky fixed inline small large big wide narrow new policy law message more popular articles posts stories news google also like icon icons row col column grid bg dark light depth even odd children child parent".split())
+STATES = frozenset("has have no not non without with free off disabled enabled hide hidden show layout is open closed supports".split())
+#: A header is the site's unless it is in an article or named as an article's.
+HEADERS = frozenset("header masthead".split())
 SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
-#: Tags that end an open p, li and so on.
-ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+WORDS = re.compile(r"[A-Za-z][a-z]*|[0-9]+")
+#: Tags that end an open li and so on, and the elements that hide open ones from them.
+ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+LISTS = ("ul", "ol", "dl", "table", "select", "tbody")
 SIGMA = 1.0
 SHARE = 0.9
+#: A named element is a wrapper if no more than this share of the dense text around it lies outside it.
+OUTSIDE = 0.2
+
+
+def names_boilerplate(token: str) -> bool:
+    """Whether a whole class, id or role names boilerplate: made of its words and neutral ones, and no statement."""
+    words = [w.lower() for w in WORDS.findall(token)]
+    return any(w in NAMED or w in HEADERS for w in words) and not any(w in STATES for w in words) and all(w in NAMED or w in BESIDE or w in HEADERS or w.isdigit() for w in words)
 
 
-def named_boilerplate(attrs: list[tuple[str, str | None]]) -> bool:
+def named_boilerplate(attrs: list[tuple[str, str | None]], inside: bool) -> bool:
     for key, value in attrs:
-        if key in ("class", "id", "role") and value and any(w.lower() in NAMED for w in SPLIT.split(value)):
-            return True
+        if key in ("class", "id", "role") and value:
+            for token in value.split():
+                if names_boilerplate(token):
+                    only_header = not any(w.lower() in NAMED for w in WORDS.findall(token))
+                    if not (only_header and (inside or re.search("(?i)article|entry|post", token))):
+                        return True
         if key == "hidden" or key == "aria-hidden" and value == "true":
             return True
     return False
 
 
-class Blocks(HTMLParser):
-    """Collects (text, tags, path of region numbers, boilerplate?) of each block while events stream by."""
+class Blocks(MarkupReader):
+    """Collects the lines of a page while events stream by, and the regions they are in.
+
+    Regions are numbered in the order of their start, so one holds those from its own number to its ``last``.
+    """
 
     def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, int, bool, bool]] = []  # tag, region, boilerplate, silent
-        self.regions: list[tuple[str, int]] = [("", -1)]  # tag, parent
-        self.lines: list[tuple[str, int, int, bool]] = []
+        super().__init__()
+        self.stack: list[tuple[str, int, int, bool, bool]] = []  # tag, region, mark, silent, in an article
+        self.open: dict[str, list[int]] = {}  # places in the stack by tag
+        self.blocks: list[int] = []  # places of blocks
+        self.regions: list[tuple[str, int, str]] = [("", -1, "")]  # tag, parent, class
+        self.last: list[int] = [0]
+        self.marks: list[tuple[int, bool]] = []  # of each named element: the mark around it, and whether it may be a wrapper
+        self.lines: list[tuple[str, int, int, int, bool]] = []  # text, tags, region, mark, in an article
         self.text: list[str] = []
         self.tags = 0
 
-    def state(self) -> tuple[int, bool, bool]:
-        return self.stack[-1][1:] if self.stack else (0, False, False)
+    def state(self) -> tuple[int, int, bool, bool]:
+        return self.stack[-1][1:] if self.stack else (0, -1, False, False)
 
     def cut(self) -> None:
         line = " ".join("".join(self.text).split())
         if line:
-            region, boilerplate, _ = self.state()
-            self.lines.append((line, max(1, self.tags), region, boilerplate))
+            region, mark, _, inside = self.state()
+            self.lines.append((line, max(1, self.tags), region, mark, inside))
             self.tags = 0
         self.text = []
 
+    def push(self, entry: tuple[str, int, int, bool, bool]) -> None:
+        if entry[0] in BLOCK:
+            self.blocks.append(len(self.stack))
+        self.open.setdefault(entry[0], []).append(len(self.stack))
+        self.stack.append(entry)
+
+    def pop_to(self, k: int) -> None:
+        """Closes the elements from place ``k`` on."""
+        while len(self.stack) > k:
+            tag, region, *_ = self.stack.pop()
+            self.open[tag].pop()
+            if tag in BLOCK:
+                self.blocks.pop()
+            if tag in REGIONS:
+                self.last[region] = len(self.regions) - 1
+
+    def place(self, *tags: str) -> int:
+        return max((self.open[t][-1] for t in tags if self.open.get(t)), default=-1)
+
     def handle_starttag(self, tag, attrs):
         if tag in BLOCK:
             self.cut()
-            if self.stack and self.stack[-1][0] == "p":
-                self.stack.pop()
-            else:  # an inline element left open inside a p ends with it
-                for k in range(len(self.stack) - 1, -1, -1):
-                    if self.stack[k][0] == "p":
-                        del self.stack[k:]
-                        break
-                    if self.stack[k][0] in BLOCK:
-                        break
-            if tag in ENDS:
-                for k in range(len(self.stack) - 1, -1, -1):
-                    if self.stack[k][0] in ENDS[tag]:
-                        del self.stack[k:]
-                        break
-                    if self.stack[k][0] in ("ul", "ol", "dl", "table", "select", "tbody"):
-                        break
+            if self.blocks and self.stack[self.blocks[-1]][0] == "p":
+                self.pop_to(self.blocks[-1])
+            if tag in ENDS and (k := self.place(*ENDS[tag])) > self.place(*LISTS):
+                self.pop_to(k)
         self.tags += 1
         if tag in VOID:
             if tag == "br":
                 self.text.append(" ")
             return
-        region, boilerplate, silent = self.state()
-        inside = any(self.regions[r][0] in ("article", "main") for r in self.path(region))
-        if tag not in ("html", "body", "article", "main"):
-            boilerplate = boilerplate or tag in BOILERPLATE or tag == "header" and not inside or named_boilerplate(attrs)
-        elif tag == "article" and named_boilerplate(attrs):
-            boilerplate = True  # a reader's comment is often marked up as an article
+        region, mark, silent, inside = self.state()
+        if tag not in ("html", "body"):
+            hidden = any(k == "hidden" or k == "aria-hidden" and v == "true" for k, v in attrs)
+            by_tag = tag in BOILERPLATE or tag == "header" and not inside
+            if by_tag or named_boilerplate(attrs, inside):
+                self.marks.append((mark, not hidden and (tag == "form" or not by_tag)))
+                mark = len(self.marks) - 1
         if tag in REGIONS:
-            self.regions.append((tag, region))
+            self.regions.append((tag, region, next((v or "" for k, v in attrs if k == "class"), "")))
+            self.last.append(0)
             region = len(self.regions) - 1
-        self.stack.append((tag, region, boilerplate, silent or tag in SILENT))
-
-    def path(self, region: int) -> list[int]:
-        out = []
-        while region >= 0:
-            out.append(region)
-            region = self.regions[region][1]
-        return out
+        self.push((tag, region, mark, silent or tag in SILENT, inside or tag in ARTICLES))
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -115,17 +147,20 @@ class Blocks(HTMLParser):
         self.tags += 1
         if tag in BLOCK:
             self.cut()
-        for k in range(len(self.stack) - 1, -1, -1):
-            if self.stack[k][0] == tag:
-                del self.stack[k:]
-                break
-            if tag not in BLOCK and self.stack[k][0] in BLOCK:
-                break  # an inline end tag closes nothing outside its block
+        k = self.place(tag)
+        # an inline end tag closes nothing outside its block
+        if k >= 0 and (tag in BLOCK or not self.blocks or k > self.blocks[-1]):
+            self.pop_to(k)
 
     def handle_data(self, data):
         if not self.state()[2]:
             self.text.append(data)
 
+    def finish(self) -> None:
+        self.cut()
+        self.pop_to(0)
+        self.last[0] = len(self.regions) - 1
+
 
 def smoothed(ratios: list[float], sigma: float = SIGMA) -> list[float]:
     reach = math.ceil(2 * sigma)
@@ -151,34 +186,93 @@ def threshold(ratios: list[float]) -> float:
     return min((low + high) / 2, max(ratios))
 
 
+def kept_marks(p: Blocks, weights: list[float]) -> list[bool]:
+    """Of each named element, whether it is boilerplate: not if it, or an unnamed one around it, is a wrapper of nearly
+    all dense text around it with no text of an article beside it. ``weights``: of each line, its dense text. A form can be
+    a wrapper; other elements named by their tag, and hidden ones, can't."""
+    n = len(p.marks)
+    inner, article = [0.0] * (n + 1), [False] * (n + 1)  # by mark, the last place for lines in none
+    for (_, _, _, mark, inside), w in zip(p.lines, weights, strict=True):
+        inner[mark] += w
+        article[mark] |= inside
+    children: list[list[int]] = [[] for _ in range(n + 1)]
+    for m in range(n - 1, -1, -1):
+        around = p.marks[m][0]
+        inner[around] += inner[m]  # -1 is the last place
+        children[around].append(m)
+    bad = [True] * n
+    todo = [n]
+    while todo:
+        around = todo.pop()
+        for m in children[around]:
+            outside = inner[around] - inner[m]
+            if p.marks[m][1] and inner[m] > 0 and outside <= OUTSIDE * inner[around] and not article[around]:
+                bad[m] = False
+                todo.append(m)
+    for m in range(n):  # what is inside boilerplate is boilerplate
+        around = p.marks[m][0]
+        if around >= 0 and bad[around]:
+            bad[m] = True
+    return bad
+
+
+def region_of(p: Blocks, lines: list[tuple], weights: list[float]) -> int:
+    """An article or main element with most of the dense text; else the deepest element with nearly all of it. One of
+    several elements alike that follow each other (paragraphs as divisions) is no region: what holds them is."""
+    weight = [0.0] * len(p.regions)
+    for (_, _, region, *_), w in zip(lines, weights, strict=True):
+        weight[region] += w
+    depth = [0] * len(p.regions)
+    for r in range(1, len(p.regions)):
+        depth[r] = depth[p.regions[r][1]] + 1
+    for r in range(len(p.regions) - 1, 0, -1):
+        weight[p.regions[r][1]] += weight[r]
+    total = weight[0]
+    marked = [r for r in range(len(weight)) if p.regions[r][0] in ARTICLES and 2 * weight[r] > total]
+    if marked:
+        return max(marked, key=lambda r: (depth[r], weight[r]))
+    best = max((r for r in range(len(weight)) if weight[r] >= SHARE * total), key=lambda r: (depth[r], weight[r]))
+    textual = {region for _, _, region, *_ in lines}
+    alike: dict[tuple, int] = {}
+    for r in range(1, len(p.regions)):
+        if r in textual:
+            tag, parent, name = p.regions[r]
+            alike[tag, parent, name] = alike.get((tag, parent, name), 0) + 1
+    while best > 0 and p.regions[best][0] in ("div", "section", "td") and alike.get((p.regions[best][0], p.regions[best][1], p.regions[best][2]), 0) > 1:
+        best = p.regions[best][1]
+    return best
+
+
 def main_text(html: str | None) -> str:
     """The page's main text, blocks joined by newlines; empty for null, empty or textless pages."""
     if not html:
         return ""
     p = Blocks()
-    p.feed(html)
-    p.close()
-    p.cut()
-    lines = [x for x in p.lines if not x[3]]
+    p.read(html)
+    p.finish()
+    if not p.lines:
+        return ""
+    ratios = smoothed([len(text) / tags for text, tags, *_ in p.lines])
+    least = threshold(ratios)
+    dense = lambda lines, rs: [float(len(x[0])) if r >= least else 0.0 for x, r in zip(lines, rs, strict=True)]
+    bad = kept_marks(p, dense(p.lines, ratios))
+    lines = [x for x in p.lines if x[3] < 0 or not bad[x[3]]]
     if not lines:
         return ""
+    # what was named is gone: the ratios of what stays decide
     ratios = smoothed([len(text) / tags for text, tags, *_ in lines])
     least = threshold(ratios)
-    weight: dict[int, int] = {}
-    total = 0
-    for (text, _, region, _), ratio in zip(lines, ratios, strict=True):
-        if ratio >= least:
-            total += len(text)
-            for r in p.path(region):
-                weight[r] = weight.get(r, 0) + len(text)
-    # an article or main element with most of the text is the region; else the deepest element with nearly all of it
-    marked = [r for r, w in weight.items() if p.regions[r][0] in ("article", "main") and w >= total / 2]
-    best = max(marked or [r for r, w in weight.items() if w >= SHARE * total], key=lambda r: (len(p.path(r)), weight[r]))
-    return "\n".join(text for text, _, region, _ in lines if best in p.path(region))
+    best = region_of(p, lines, dense(lines, ratios))
+    return "\n".join(text for text, _, region, *_ in lines if best <= region <= p.last[best])
 
 
 def extracted(pages: DataFrame, *, keep: list[str], html_col: str = "html") -> DataFrame:
-    """The columns ``keep`` with ``text`` (empty if none) and ``n_chars``. Malformed markup never fails; map-only."""
+    """The columns ``keep`` with ``text`` and ``n_chars``. Map-only.
+
+    A null, empty or textless page has the empty text and 0. Malformed markup never fails: see ``MarkupReader`` for
+    what ends a tag, and a tag that never ends is text. Pages of any length and depth take time in proportion to them.
+    Repeated rows give equal results; an empty table gives no rows.
+    """
     out = schema_of(pages, *keep, more="text string, n_chars bigint")
 
     def make():
@@ -192,4 +286,5 @@ def extracted(pages: DataFrame, *, keep: list[str], html_col: str = "html") -> D
 
 
 def op9_text_to_tag(pages: DataFrame) -> DataFrame:
+    """Digest per page; see ``extracted``."""
     return extracted(pages, keep=["page_id", "url"])

@@ -3,6 +3,9 @@
 A notice of which up to k edits are allowed is cut into k + 1 pieces; an occurrence with at most k edits holds one
 of them unchanged (pigeonhole). Exact search for the pieces locates candidate windows, in which the ``regex``
 library's bounded-error matching verifies the edits and reports the span.
+
+A piece says where its notice begins, but for the edits before it, so a window is as long as the notice and a few
+characters more, whatever the words around it; nothing is matched where no word begins near that place.
 """
 
 from __future__ import annotations
@@ -63,7 +66,7 @@ class Scanner:
         for i, x in enumerate(notices):
             for offset, piece in pieces(x.phrase, x.edits):
                 self.seeds.setdefault(piece.encode(), []).append((i, offset))
-        self.fuzzy = [regex.compile(rf"(?b)(?<![^ ])(?:{regex.escape(x.phrase, literal_spaces=True)}){{e<={x.edits}}}(?![^ ])") for x in notices]
+        self.fuzzy = [regex.compile(rf"(?b)(?<= )(?:{regex.escape(x.phrase, literal_spaces=True)}){{e<={x.edits}}}(?= )") for x in notices]
         self.digits = [[c for c in x.phrase if c.isdigit()] for x in notices]
 
     def normal(self, text: bytes | None) -> bytes:
@@ -82,20 +85,22 @@ class Scanner:
                 at = norm.find(seed, at + 1)
         found = []
         for i, starts in spots.items():
-            x, seen = self.notices[i], set()
+            x, seen = self.notices[i], {}
+            slack = 4 * x.edits  # bytes of as many characters
             for start in sorted(starts):
-                lo, hi = start - x.edits, start + len(x.phrase) + x.edits
-                # to whole words; bytes that begin inside a character decode to a mark, one for each
-                lo, hi = norm.rfind(b" ", 0, max(lo, 0) + 1) + 1 if lo > 0 else 1, norm.find(b" ", min(hi, len(norm) - 1))
-                window = norm[lo : hi if hi > 0 else len(norm)].decode("utf-8", "replace")
+                lo = norm.find(b" ", max(start - slack - 1, 0), start + slack)  # where a word may begin, with its blank
+                if lo < 0:
+                    continue
+                hi = min(start + len(x.phrase) + 2 * slack + 1, len(norm))
+                while hi < len(norm) and norm[hi] & 0xC0 == 0x80:
+                    hi += 1  # whole characters
+                window = norm[lo:hi].decode()
                 m = self.fuzzy[i].search(window)
                 if not m or [c for c in m[0] if c.isdigit()] != self.digits[i]:
                     continue  # another version is another license
                 a = lo + len(window[: m.start()].encode())
-                b = a + len(m[0].encode())
-                if (a, b) not in seen:
-                    seen.add((a, b))
-                    found.append((i, a, b, sum(m.fuzzy_counts)))
+                seen[a, a + len(m[0].encode())] = sum(m.fuzzy_counts)
+            found += [(i, *span, edits) for span, edits in seen.items()]
         return sorted(found, key=lambda f: (f[1], f[2], f[0]))
 
     def places(self, norm: bytes, found: list) -> list[tuple[int, int]]:
@@ -120,7 +125,8 @@ def license_notices(docs: DataFrame, *, keep: list[str], text_col: str = "text")
 
     ``notices`` lists every verified place: label, words from and to (exclusive), edits. ``score`` is 1 minus the
     share of edited letters of the best place, 0 without one. Null and empty texts have no words, empty labels,
-    null first and last words and score 0. Map-only; repeated rows give equal results.
+    null first and last words and score 0. Very long texts and words take time in proportion to them. Map-only;
+    repeated rows give equal results.
     """
     out = schema_of(docs, *keep, more="n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double, notices array<struct<label:string,first:bigint,end:bigint,edits:int>>")
 

@@ -95,8 +95,9 @@ def ips_in(text: str, start: int, end: int) -> list[tuple[int, int]]:
     for k in range(0, len(parts) - 3, 4):
         four = parts[k : k + 4]
         size = sum(map(len, four)) + 3
-        # the length first: a very long run of digits is no number to convert
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in four):
+        # leading zeros away and the length first: a very long run of digits is no number to convert
+        bare = [p.lstrip("0") or "0" for p in four]
+        if all(len(p) <= 3 and int(p) <= 255 for p in bare):
             out.append((at, at + size))
         at += size + 1
     return out
@@ -178,7 +179,8 @@ def personal_data(docs: DataFrame, *, keep: list[str], text_col: str = "text", r
     """The columns ``keep`` with a count for each base kind, ``base_spans``, ``spans`` (kind, start, end) and, with
     ``redact``, ``redacted``: the text with each span replaced by its kind in angle brackets.
 
-    Null texts have no spans (and a null ``redacted``). Map-only; repeated rows give equal results.
+    Null and empty texts have no spans (and stay as they are in ``redacted``). Each character is looked at a bounded
+    number of times, so very long texts and runs take time in proportion. Map-only; repeated rows give equal results.
     """
     spans = "array<struct<kind:string,start:bigint,end:bigint>>"
     out = schema_of(docs, *keep, more=", ".join(f"n_{k} bigint" for k in BASE_KINDS) + f", base_spans string, spans {spans}" + ", redacted string" * redact)
