@@ -636,21 +636,50 @@ def brute_hits(rows, items):
 
 
 @pytest.mark.parametrize("block", [7, 100_000])
-def test_decontamination_equals_brute_force(spark, docs, rows, none, block):
+def test_decontamination_equals_brute_force(spark, docs, rows, none, monkeypatch, block):
     rng = random.Random(12)
     pick = [r[1] for r in rows if r[1] and len(r[1].split()) > 40]
     items = [(i, " ".join(rng.choice(pick).split()[5 : 5 + rng.randint(8, 30)])) for i in range(12)] + [(50, "ra ne"), (51, "mon"), (None, "tolis"), (52, None), (53, "..."), (3, pick[0]), (54, prose(rng, 40))]
     bench = spark.createDataFrame(items, "item_id bigint, text string")
+    monkeypatch.setattr(decontam, "BLOCK_WINDOWS", block)
+    passes = []
+    real = decontam.searched
+    monkeypatch.setattr(decontam, "searched", lambda d, sent, **more: passes.append(sent and len(sent.value)) or real(d, sent, **more))
     found = decontam.contamination(docs, bench, keep=["doc_id"], block_windows=block)
-    digest = {tuple(r)[:4] + (decontam.items_digest(r.item_ids), r.contaminated): 0 for r in found.collect()}
+    windows = sum(len(decontam.windows_of(common.alnum_words(t.encode()))) for _, t in items if t)
+    # one pass a block, in which a task builds its tables once, and one to count words
+    assert passes == ([windows] if block > 7 else [7] * (windows // 7) + [windows % 7] * (windows % 7 > 0) + [None])
     want = brute_hits(rows, items)
-    assert set(digest) == set(want)
+    found = found.collect()
+    assert Counter((r.doc_id, r.n_words, r.n_hit, r.n_items, decontam.items_digest(r.item_ids), r.contaminated) for r in found) == want
+    assert all(a.end < b.start for r in found for a, b in zip(r.spans, r.spans[1:], strict=False))
+    clean = decontam.uncontaminated(docs, bench, block_windows=block)
+    assert clean.columns == docs.columns and clean.count() == sum(n for k, n in want.items() if not k[-1])
     if block > 7:
         assert multiset(decontam.op10_wu_manber(docs, bench)) == want
         assert decontam.op10_wu_manber(none, bench).count() == 0
         assert not any(r.contaminated for r in decontam.op10_wu_manber(docs, bench.limit(0)).collect())
-        clean = decontam.uncontaminated(docs, bench)
-        assert clean.columns == docs.columns and clean.count() == sum(n for k, n in want.items() if not k[-1])
+
+
+def test_tables_are_built_once_a_task(monkeypatch):
+    """The function of a task builds when it is made, not when rows come."""
+    import pyarrow as pa
+
+    built = []
+    real = decontam.build
+    monkeypatch.setattr(decontam, "build", lambda items: built.append(len(items)) or real(items))
+    made = {}
+    monkeypatch.setattr(decontam, "map_rows", lambda df, make, out: made.setdefault("make", make))
+    monkeypatch.setattr(decontam, "schema_of", lambda *a, **k: None)
+
+    class Sent:
+        value = [("1", (b"a", b"b")), ("2", (b"c",))]
+
+    decontam.searched(None, Sent(), keep=[], read="t")
+    fn = made["make"]()
+    for _ in range(5):
+        out = fn(pa.record_batch({"t": ["x a b c", None]}))
+    assert built == [2] and out["item_ids"] == [["1", "2"], []]
 
 
 # --- the pipeline

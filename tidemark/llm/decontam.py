@@ -3,18 +3,26 @@
 The symbols are words. Patterns (windows of ten consecutive item words) are grouped by length; each group has a
 shift table over blocks of two words: a block that no pattern holds skips as far as a pattern can reach. A block
 that ends some pattern has shift zero and selects the bucket of patterns with that suffix, which are compared
-directly. Patterns are dealt into blocks of at most ``block_windows``, so that what a task holds is bounded
-however large the benchmark is; every block is searched in every text.
+directly.
+
+A benchmark of up to ``block_windows`` windows is searched in one pass over the texts. A larger one is cut into blocks
+of so many, and each block has a pass of its own, in which a task builds its tables once; the next block is sent when
+the last one has been taken back. So neither a task nor the driver ever holds more than one block, and passes grow with
+the benchmark. What a pass finds is known by 128-bit hashes of the texts, and is little, unless most texts are hit.
 """
 
 from __future__ import annotations
 
+import functools
+import itertools
+from collections.abc import Iterable, Iterator
 from hashlib import sha256
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import alnum_words, map_rows, schema_of, values
+from tidemark.llm.common import alnum_words, map_rows, schema_of, values, written
 
 WINDOW_WORDS = 10
 BLOCK_WINDOWS = 100_000
@@ -66,69 +74,110 @@ def build(items: list[tuple[str | None, tuple[bytes, ...]]]) -> list[WuManber]:
     return [WuManber(found, length) for length, found in sorted(by_length.items())]
 
 
-def benchmark_blocks(spark: SparkSession, benchmark: DataFrame, id_col: str, text_col: str, block_windows: int) -> list:
-    """Broadcast blocks of (item id, window); the driver holds one block at a time."""
-    blocks, block = [], []
+def benchmark_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_windows: int) -> Iterator[list]:
+    """Blocks of (item id, window), one at a time: the driver reads the benchmark a partition at a time."""
+    block = []
     for item, text in benchmark.select(F.col(id_col).cast("string"), F.col(text_col).cast("string")).toLocalIterator():
         for window in windows_of(alnum_words(text.encode() if text else None)):
             block.append((item, window))
             if len(block) >= block_windows:
-                blocks.append(spark.sparkContext.broadcast(block))
+                yield block
                 block = []
     if block:
-        blocks.append(spark.sparkContext.broadcast(block))
-    return blocks
+        yield block
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, *, keep: list[str], text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_windows: int = BLOCK_WINDOWS) -> DataFrame:
-    """The columns ``keep`` of every document with ``n_words, n_hit, n_items, item_ids, spans, contaminated``.
+def merged(found: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Maximal runs of what the spans cover."""
+    out: list[list[int]] = []
+    for a, b in sorted(found):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return [(a, b) for a, b in out]
+
+
+SPANS = "array<struct<start:bigint,end:bigint>>"
+#: Names a text in the passes over blocks.
+KEY = ["__t1", "__t2"]
 
-    ``spans`` are maximal runs of hit words (start, end exclusive). Null or empty texts have no words and are clean.
-    An item with a null id still hits words but is not listed. Repeated rows and items each give their own result;
-    an empty benchmark leaves every document clean. Map-only over the documents.
-    """
-    spark = docs.sparkSession
-    read = text_col if text_col in keep else "__text"
-    blocks = benchmark_blocks(spark, benchmark, item_col, item_text_col, block_windows)
-    out = schema_of(docs, *keep, more="n_words bigint, n_hit bigint, n_items bigint, item_ids array<string>, spans array<struct<start:bigint,end:bigint>>, contaminated boolean")
+
+def searched(docs: DataFrame, block: Broadcast | None, *, keep: list[str], read: str) -> DataFrame:
+    """The columns ``keep`` with ``n_words, spans, item_ids`` of what the block's windows hit; tables are built once a task."""
+    out = schema_of(docs, *keep, more=f"n_words bigint, spans {SPANS}, item_ids array<string>")
 
     def make():
-        ready = [build(blocks[0].value if blocks else [])] if len(blocks) <= 1 else None
+        searchers = build(block.value) if block else []
 
         def fn(batch):
-            texts = batch.column(read)
-            hits: list[list[tuple[int, int]]] = [[] for _ in range(batch.num_rows)]
-            items: list[set[str]] = [set() for _ in hits]
-            n_words = [0] * batch.num_rows
-            for searchers in ready or map(build, (b.value for b in blocks)):
-                for k, text in enumerate(values(texts, binary=True)):
-                    own = alnum_words(text)
-                    n_words[k] = len(own)
-                    for s in searchers:
-                        for start, ids in s.scan(own):
-                            hits[k].append((start, start + s.length))
-                            items[k].update(ids)
-            spans = []
-            for found in hits:
-                merged: list[list[int]] = []
-                for a, b in sorted(found):
-                    if merged and a <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], b)
-                    else:
-                        merged.append([a, b])
-                spans.append([{"start": a, "end": b} for a, b in merged])
-            return {k: batch.column(k) for k in keep} | {
-                "n_words": n_words,
-                "n_hit": [sum(s["end"] - s["start"] for s in x) for x in spans],
-                "n_items": [len(x) for x in items],
-                "item_ids": [sorted(x) for x in items],
-                "spans": spans,
-                "contaminated": [bool(x) for x in spans],
-            }
+            n_words, spans, items = [], [], []
+            for text in values(batch.column(read), binary=True):
+                own = alnum_words(text)
+                hits, ids = [], set()
+                for s in searchers:
+                    for start, found in s.scan(own):
+                        hits.append((start, start + s.length))
+                        ids.update(found)
+                n_words.append(len(own))
+                spans.append([{"start": a, "end": b} for a, b in merged(hits)])
+                items.append(sorted(ids))
+            return {k: batch.column(k) for k in keep} | {"n_words": n_words, "spans": spans, "item_ids": items}
 
         return fn
 
-    return map_rows(docs.select(*keep, *([] if read in keep else [F.col(text_col).cast("string").alias(read)])), make, out)
+    return map_rows(docs, make, out)
+
+
+def _runs(spans: Column) -> Column:
+    """Maximal runs of an array of sorted or unsorted spans."""
+    empty = F.array().cast(SPANS)
+    last = lambda s: F.element_at(s, -1)
+
+    def add(s: Column, x: Column) -> Column:
+        joined = F.concat(F.slice(s, F.lit(1), F.size(s) - 1), F.array(F.struct(last(s)["start"].alias("start"), F.greatest(last(s)["end"], x["end"]).alias("end"))))
+        return F.when((F.size(s) > 0) & (x["start"] <= F.try_element_at(s, F.lit(-1))["end"]), joined).otherwise(F.array_append(s, x))
+
+    return F.aggregate(F.array_sort(spans), empty, add)
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, *, keep: list[str], text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+    """The columns ``keep`` of every document with ``n_words, n_hit, n_items, item_ids, spans, contaminated``.
+
+    ``spans`` are maximal runs of hit words (start, end exclusive). Null or empty texts have no words and are clean.
+    An item with a null id still hits words but is not listed. Repeated rows and items each give their own result;
+    an empty benchmark leaves every document clean. Map-only over the documents for a benchmark of up to
+    ``block_windows`` windows; beyond, what the passes found is joined by hashes of the texts.
+    """
+    spark = docs.sparkSession
+    read = text_col if text_col in keep else "__text"
+    own = docs.select(*keep, *([] if read in keep else [F.col(text_col).cast("string").alias(read)]))
+    blocks = benchmark_blocks(benchmark, item_col, item_text_col, block_windows)
+    first, second = next(blocks, None), next(blocks, None)
+    if second is None:
+        found = searched(own, spark.sparkContext.broadcast(first) if first else None, keep=keep, read=read)
+    else:
+        found = _in_passes(own, itertools.chain([first, second], blocks), keep, read)
+    n_hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
+    return found.select(*keep, "n_words", n_hit.alias("n_hit"), F.size("item_ids").cast("bigint").alias("n_items"), "item_ids", "spans", (F.size("spans") > 0).alias("contaminated"))
+
+
+def _in_passes(docs: DataFrame, blocks: Iterable[list], keep: list[str], read: str) -> DataFrame:
+    spark = docs.sparkSession
+    keyed = docs.withColumns({"__t1": F.xxhash64(read), "__t2": F.xxhash64(F.lit(1), read)})
+    hits = []
+    for block in blocks:
+        sent = spark.sparkContext.broadcast(block)
+        hit = searched(keyed.select(*KEY, read), sent, keep=KEY, read=read).where(F.size("spans") > 0)
+        hits.append(written(hit.drop("n_words"), "decontam-hits"))
+        sent.destroy()
+    # equal texts were hit alike: one row of a text and block is enough
+    every = functools.reduce(DataFrame.unionByName, [h.dropDuplicates(KEY) for h in hits])
+    of_text = every.groupBy(KEY).agg(_runs(F.flatten(F.collect_list("spans"))).alias("__s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("__i"))
+    counted = searched(keyed, None, keep=[*keep, *(k for k in KEY)], read=read).drop("spans", "item_ids")
+    out = counted.join(written(of_text, "decontam-texts"), KEY, "left")
+    none = lambda kind: F.array().cast(kind)
+    return out.select(*keep, "n_words", F.coalesce("__s", none(SPANS)).alias("spans"), F.coalesce("__i", none("array<string>")).alias("item_ids"))
 
 
 def uncontaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", **options) -> DataFrame:
