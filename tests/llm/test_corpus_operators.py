@@ -116,6 +116,23 @@ def test_shards_match_the_mixture(spark):
             assert abs(sum(r.source == s and r.shard == k for r in out) - n / 8) <= 2
 
 
+def test_small_sources_are_spread_over_the_shards(spark):
+    """Thousands of one-row sources beside a large one: every shard holds both in proportion, and no slice all of the former."""
+    rng = random.Random(19)
+    rows = [row(i, prose(rng, 3), "en", "big" if i < 3000 else f"lone{i}") for i in range(6000)]
+    out = sharding.sharded(spark.createDataFrame(rows, DDL), keep=["doc_id", "source"], shards=12).collect()
+    check_shards(out, rows, 12)
+    lone = Counter(r["shard"] for r in out if r.source != "big")
+    # 3,000 seeded offsets fall into 12 shards at random: 250 each, with a deviation of 15
+    assert len(lone) == 12 and all(abs(n - 250) < 5 * 15.2 for n in lone.values())
+    pairs = [row(i, prose(rng, 3), "en", f"pair{i // 2}") for i in range(2000)]
+    out = sharding.sharded(spark.createDataFrame(pairs, DDL), keep=["doc_id", "source"], shards=2).collect()
+    halves = defaultdict(set)
+    for r in out:
+        halves[r.source].add(r["shard"])
+    assert sum(len(v) == 2 for v in halves.values()) > 950  # a pair's two rows are half the sequence apart
+
+
 # --- 3
 
 

@@ -1,11 +1,14 @@
 """Proportional stratified interleaving, in DataFrame functions only.
 
-Rows are shuffled within each source by a seeded hash; a row's fractional rank is (rank - 1/2) / rows of its source.
-Sorted by that fraction, every stretch of the sequence holds the sources in proportion, so cutting it into equal
-stretches gives shards that match the mixture, with row counts at most one apart.
+Rows are shuffled within each source by a seeded hash; a row's fractional rank is (rank - offset) / rows of its source,
+with a seeded offset in (0, 1) for each source. Sorted by that fraction, every stretch of the sequence holds the sources
+in proportion, so cutting it into equal stretches gives shards that match the mixture, with row counts at most one
+apart. The offset spreads sources that have one row, or equally many, over the whole sequence: with the same offset
+all of them would fall into the same places.
 
 Ranks come from counts: rows fall into hash (then fraction) buckets, a running sum over the bucket counts says how
-many rows stand before a bucket, and only rows of one bucket are sorted together. No task holds a source.
+many rows stand before a bucket, and only rows of one bucket are sorted together. No task holds a source. Rows that are
+equal in id and text have one hash and share a bucket.
 """
 
 from __future__ import annotations
@@ -59,8 +62,10 @@ def sharded(docs: DataFrame, *, keep: list[str], source_col: str = "source", id_
     bits = bucket_bits(rows)
     tie = ["__key", *(f"k_{k}" for k in keep), "text_crc32"]
     ranked = _numbered(slim.withColumn("__bucket", F.shiftrightunsigned("__key", 64 - bits)), ["__source"], "__bucket", tie, "__rank", "__rows")
-    ranked = written(ranked.withColumn("__share", (2 * F.col("__rank") - 1) / (2 * F.col("__rows"))), "shard-ranks")
-    ranked = ranked.withColumn("__slice", F.floor(F.col("__share") * (1 << bits)))
+    # 52 bits of a hash, never 0 or 1
+    offset = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit("offset"), "__source"), 12) + 0.5) / float(1 << 52)
+    ranked = written(ranked.withColumn("__share", (F.col("__rank") - offset) / F.col("__rows")), "shard-ranks")
+    ranked = ranked.withColumn("__slice", F.least(F.floor(F.col("__share") * (1 << bits)), F.lit((1 << bits) - 1)))
     placed = _numbered(ranked.withColumn("__all", F.lit(0)), ["__all"], "__slice", ["__share", "__source", *tie], "__place")
     n = F.lit(max(rows, 1)).cast("long")
     at = F.col("__place") - 1
