@@ -1,17 +1,22 @@
 """Quality rules: robust multivariate outliers, in DataFrame functions only.
 
 Four statistics of a text (mean word length, symbols a word, share of repeated lines, share of repeated words) are
-transformed by logarithms and put on an integer grid. For each language and source, concentration steps approach
-the minimum covariance determinant: from medians and quartile ranges, the three quarters of the texts with the
-smallest Mahalanobis distances give the next mean and covariance. Texts far beyond the final estimate are rejected.
+transformed by logarithms and put on an integer grid. For each language and source the minimum covariance determinant
+is sought from several starts (medians and quartile ranges; all texts; all texts, the farther the lighter): in each
+concentration step the three quarters of the texts with the smallest Mahalanobis distances give the next mean and
+covariance, until the determinant no longer falls. The start that ends with the smallest determinant gives the
+estimate, and texts far beyond it are rejected.
 
 Short texts measure their statistics poorly, so a text's deviations count with a weight that grows with its words.
 Sums over grid values are integers, so estimates don't depend on partitioning. The steps run over distinct grid
-cells with counts, aggregated by (group, distance bin) before any shuffle; copies weigh nothing.
+cells with counts, aggregated by (group, start, distance bin) before any shuffle; copies weigh nothing. Estimates are
+joined under several salts each, so that no task gets a language or a large source whole.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,10 +35,13 @@ LEAST_TEXTS = 60
 CORE = 0.75
 #: For a core of 3/4 in 4 dimensions: 0.75 / P(chi2 with 6 degrees < 5.385), makes the covariance consistent.
 CONSISTENCY = 1.488
-STEPS = 3
+#: A step counts as falling if the logarithm of the determinant falls by so much.
+FALL = 1e-3
 #: Squared distance beyond which a text is rejected: twice the one-in-a-million point of chi2 with 4 degrees, since tails of real texts are heavier.
 CUTOFF = 66.8
-BINS = 4000
+#: Bins of distances for each unit of their logarithm: the core is three quarters of the texts but for one bin.
+BINS = 64
+SALTS = 16
 
 
 def _windows(words: Column, n: Column) -> Column:
@@ -102,21 +110,30 @@ def _distance() -> Column:
 
 
 def _factor(df: DataFrame, cov) -> DataFrame:
-    """Adds the Cholesky factor of ``cov(i, j)`` with the floors' squares on the diagonal; that makes it definite."""
+    """Adds the Cholesky factor of ``cov(i, j)`` with the floors' squares on the diagonal, which makes it definite, and
+    ``logdet``, the logarithm of the determinant."""
     for i in range(DIMS):
         for j in range(i + 1):
             v = cov(i, j) + (FLOORS[i] ** 2 if i == j else 0.0)
             for k in range(j):
                 v = v - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
             df = df.withColumn(f"l{i}{j}", F.sqrt(v) if i == j else v / F.col(f"l{j}{j}"))
-    return df
+    return df.withColumn("logdet", 2 * sum((F.log(f"l{i}{i}") for i in range(1, DIMS)), F.log("l00")))
+
+
+PAIRS = [(i, j) for i in range(DIMS) for j in range(i + 1)]
+PARAMS = ["__group", "start", "n", "logdet", *(f"m{i}" for i in range(DIMS)), *(f"l{i}{j}" for i, j in PAIRS)]
 
 
-PARAMS = ["__group", "n", *(f"m{i}" for i in range(DIMS)), *(f"l{i}{j}" for i in range(DIMS) for j in range(i + 1))]
+def _salted(rows: DataFrame, few: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``few``, of which each row stands under all salts: a key with very many rows has many tasks."""
+    salt = F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns]), F.lit(SALTS)).cast("int")
+    under = few.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("__salt", salt).join(under, [*keys, "__salt"], how).drop("__salt")
 
 
-def _start(cells: DataFrame) -> DataFrame:
-    """Medians and quartile ranges, from one histogram of grid values for each group and dimension."""
+def _medians(cells: DataFrame) -> DataFrame:
+    """The first start: medians and quartile ranges, from one histogram of grid values for each group and dimension."""
     one = cells.select("__group", "c", F.posexplode(F.array(*(f"x{i}" for i in range(DIMS)))).alias("d", "x"))
     hist = one.groupBy("__group", "d", "x").agg(F.sum("c").alias("c"))
     w = Window.partitionBy("__group", "d")
@@ -124,25 +141,67 @@ def _start(cells: DataFrame) -> DataFrame:
     quartile = lambda q: F.min(F.when(F.col("cum") * 4 >= F.col("n") * q, F.col("x")))
     q = cum.groupBy("__group", "d").agg(F.max("n").alias("n"), *(quartile(k).cast("double").alias(f"q{k}") for k in (1, 2, 3)))
     wide = q.groupBy("__group").agg(F.max("n").alias("n"), *(F.max(F.when(F.col("d") == i, F.col("q2"))).alias(f"m{i}") for i in range(DIMS)), *(F.max(F.when(F.col("d") == i, (F.col("q3") - F.col("q1")) / 1.349)).alias(f"s{i}") for i in range(DIMS)))
+    wide = wide.withColumn("start", F.lit(0))
     return _factor(wide, lambda i, j: F.col(f"s{i}") * F.col(f"s{i}") if i == j else F.lit(0.0)).select(*PARAMS)
 
 
-def _step(cells: DataFrame, params: DataFrame) -> DataFrame:
-    """One concentration step."""
+def _moments(weight: Column) -> list[Column]:
+    x = lambda i: F.col(f"x{i}")
+    return [F.sum(weight).alias("w"), *(F.sum(weight * x(i)).alias(f"w{i}") for i in range(DIMS)), *(F.sum(weight * x(i) * x(j)).alias(f"w{i}{j}") for i, j in PAIRS)]
+
+
+def _estimates(sums: DataFrame, scale: float) -> DataFrame:
+    """Mean and covariance from moments; ``c``: the texts that they are of."""
+    sums = sums.select("*", *((F.col(f"w{i}") / F.col("w")).alias(f"m{i}") for i in range(DIMS)))
+    cov = lambda i, j: scale * (F.col(f"w{i}{j}") - F.col("w") * F.col(f"m{i}") * F.col(f"m{j}")) / F.col("c")
+    return _factor(sums, cov).select(*PARAMS)
+
+
+def _starts(cells: DataFrame, medians: DataFrame) -> DataFrame:
+    """All starts. Beside the medians: the moments of all texts, and those with weights that fall with the distance."""
     c, wt = F.col("c"), F.col("c") * F.col("wt")
-    pairs = [(i, j) for i in range(DIMS) for j in range(i + 1)]
+    near = _salted(cells, medians.drop("start", "logdet"), ["__group"]).withColumn("light", F.ceil(64.0 / F.greatest(_distance(), F.lit(4.0))))
+    light = F.col("light")  # 1 to 16, whole numbers: sums don't depend on their order
+    every = near.groupBy("__group").agg(F.max("n").alias("n"), (16 * F.sum(c)).alias("c"), *_moments(wt)).withColumn("start", F.lit(1))
+    closer = near.groupBy("__group").agg(F.max("n").alias("n"), (16 * F.sum(c * light)).alias("c"), *_moments(wt * light)).withColumn("start", F.lit(2))
+    return medians.unionByName(_estimates(every, 1.0)).unionByName(_estimates(closer, 1.0))
+
+
+def _step(cells: DataFrame, params: DataFrame) -> DataFrame:
+    """One concentration step from each start."""
     bins = (
-        cells.join(params, "__group")
-        .withColumn("bin", F.least(F.floor(8 * F.sqrt(_distance())), F.lit(BINS)))
-        .groupBy("__group", "bin")
-        .agg(F.max("n").alias("n"), F.sum(c).alias("c"), F.sum(wt).alias("w"), *(F.sum(wt * F.col(f"x{i}")).alias(f"w{i}") for i in range(DIMS)), *(F.sum(wt * F.col(f"x{i}") * F.col(f"x{j}")).alias(f"w{i}{j}") for i, j in pairs))
+        _salted(cells, params.drop("logdet"), ["__group"])
+        .withColumn("bin", F.floor(BINS * F.log1p(_distance())))
+        .groupBy("__group", "start", "bin")
+        .agg(F.max("n").alias("n"), F.sum("c").alias("c"), *_moments(F.col("c") * F.col("wt")))
     )
-    before = F.sum("c").over(Window.partitionBy("__group").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("c")
+    before = F.sum("c").over(Window.partitionBy("__group", "start").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("c")
     core = bins.withColumn("__before", before).where(F.col("__before") < CORE * F.col("n"))
-    sums = core.groupBy("__group").agg(F.max("n").alias("n"), *(F.sum(k).alias(k) for k in ("c", "w", *(f"w{i}" for i in range(DIMS)), *(f"w{i}{j}" for i, j in pairs))))
-    sums = sums.select("*", *((F.col(f"w{i}") / F.col("w")).alias(f"m{i}") for i in range(DIMS)))
-    cov = lambda i, j: CONSISTENCY * (F.col(f"w{i}{j}") - F.col("w") * F.col(f"m{i}") * F.col(f"m{j}")) / (16 * F.col("c"))
-    return _factor(sums, cov).select(*PARAMS)
+    sums = core.groupBy("__group", "start").agg(F.max("n").alias("n"), (16 * F.sum("c")).alias("c"), *(F.sum(k).alias(k) for k in ("w", *(f"w{i}" for i in range(DIMS)), *(f"w{i}{j}" for i, j in PAIRS))))
+    return _estimates(sums, CONSISTENCY)
+
+
+def minimum_determinants(cells: DataFrame) -> DataFrame:
+    """``PARAMS`` of each group of cells ``(__group, x0..x3, wt, c)`` with at least ``LEAST_TEXTS`` texts: the estimate
+    with the smallest determinant that any start leads to.
+
+    Every start takes a step, as starts need not be cores; after that an estimate is replaced only by one with a
+    smaller determinant, and a start whose determinant doesn't fall is done. Cores are finitely many, so all end.
+    """
+    medians = written(_medians(cells).where(F.col("n") >= LEAST_TEXTS), "quality-medians")
+    falling = written(_step(cells, written(_starts(cells, medians), "quality-starts")), "quality-step")
+    done = []
+    while not falling.isEmpty():
+        now = F.col("o.logdet") - F.col("s.logdet") > FALL
+        both = falling.alias("o").join(_step(cells, falling).alias("s"), ["__group", "start"])
+        stepped = written(both.select("__group", "start", now.alias("falls"), *(F.when(now, F.col(f"s.{k}")).otherwise(F.col(f"o.{k}")).alias(k) for k in PARAMS[2:])), "quality-step")
+        done.append(stepped.where(~F.col("falls")).select(*PARAMS))
+        falling = stepped.where("falls").select(*PARAMS)
+    if not done:
+        return medians
+    every = functools.reduce(DataFrame.unionByName, done)
+    best = F.min_by(F.struct(*PARAMS), F.struct("logdet", "start")).alias("best")
+    return every.groupBy("__group").agg(best).select("best.*")
 
 
 def with_verdicts(docs: DataFrame, *, keep: list[str], lang_col: str = "lang", source_col: str = "source", text_col: str = "text") -> DataFrame:
@@ -165,6 +224,8 @@ KEY = ["__k1", "__k2"]
 def good_documents(docs: DataFrame, *, lang_col: str = "lang", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that ``with_verdicts`` keeps, with all their columns, whatever these are called.
 
+    Nulls, empty and very long texts, small groups and repeated rows are judged as there; an empty table stays empty.
+
     A verdict depends on language, source and text alone, so rejected rows are known by 128-bit hashes of these; the
     texts are neither written nor, while there are few such keys, shuffled.
     """
@@ -190,14 +251,12 @@ def _judged(docs: DataFrame, keep: list[str], lang_col: str, source_col: str, te
     sizes = cells.groupBy("__lang", "__source").agg(F.sum("c").alias("n"))
     langs = sizes.groupBy("__lang").agg(F.sum("n").alias("n_lang"))
     group = F.when(F.col("n") >= LEAST_TEXTS, of_source).when(F.col("n_lang") >= LEAST_TEXTS, of_lang).otherwise(of_all)
-    groups = written(sizes.join(langs, "__lang").select("__lang", "__source", group.alias("__group")).coalesce(1), "quality-groups")
+    groups = written(sizes.join(langs, "__lang").select("__lang", "__source", group.alias("__group")), "quality-groups")
     cells = cells.withColumn("__group", F.explode(F.array(of_source, of_lang, of_all))).drop("__lang", "__source")
-    cells = written(cells.join(groups.select("__group").distinct(), "__group", "left_semi"), "quality-grouped")
-    params = written(_start(cells).where(F.col("n") >= LEAST_TEXTS).coalesce(1), "quality-start")
-    for _ in range(STEPS):
-        params = written(_step(cells, params).coalesce(1), "quality-step")
-    by_source = groups.join(params, "__group").drop("__group", "n")
-    out = stats.join(written(by_source.coalesce(1), "quality-estimates"), ["__lang", "__source"], "left").withColumn("distance", _distance())
+    cells = cells.join(groups.select("__group").distinct(), "__group", "left_semi").groupBy("__group", *(f"x{i}" for i in range(DIMS)), "wt").agg(F.sum("c").alias("c"))
+    params = minimum_determinants(written(cells, "quality-grouped"))
+    by_source = written(groups.join(params, "__group").drop("__group", "n", "start", "logdet"), "quality-estimates")
+    out = _salted(stats, by_source, ["__lang", "__source"], "left").withColumn("distance", _distance())
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= CUTOFF, F.lit(True))
     return out.withColumn("kept", kept)
 
