@@ -242,7 +242,7 @@ def test_links_of_large_buckets(spark):
         for _ in range(rng.randint(1, 6)):
             f ^= 1 << rng.randrange(64)
         fps.add(f)
-    nodes = spark.createDataFrame([(0, simhash.signed(f), simhash.signed(f)) for f in fps], "k int, fp bigint, id bigint")
+    nodes = spark.createDataFrame([(simhash.signed(f), simhash.signed(f)) for f in fps], "fp bigint, id bigint")
     found = {r.node % 2**64: r.root for r in components.components(simhash.links(simhash.buckets(nodes))).collect()}
     want = closure(sorted(fps))
     assert {f for f, r in want.items() if sum(x == r for x in want.values()) > 1} == set(found)
@@ -259,13 +259,37 @@ def test_components_of_paths_and_stars(spark):
     assert components.components(spark.createDataFrame([], "u bigint, v bigint")).count() == 0
 
 
-def test_one_of_each_group_stays(spark, docs, rows):
+def jaccard_groups(texts, least=simhash.ALIKE, shingle=5):
+    """Sets of shingles, and the smallest index that links of ``least`` or more reach from each text."""
+    words = [BLANK.findall((t or "").translate(LOWER)) for t in texts]
+    sets = [frozenset(tuple(w[i : i + shingle]) for i in range(max(1, len(w) - shingle + 1))) if w else frozenset() for w in words]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a == sets[j] or (a and sets[j] and len(a & sets[j]) >= least * len(a | sets[j])):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    return sets, [find(i) for i in range(len(texts))]
+
+
+def test_one_of_each_group_stays(spark, docs, rows, none):
     left = simhash.without_near_copies(docs)
     assert left.columns == docs.columns
     left = left.collect()
-    texts = Counter(r.text for r in left)
-    assert max(texts.values()) == 1 and sum(1 for t in texts if not (t or "").strip()) == 1
-    assert {t for _, t, *_ in rows if len((t or "").split()) > 30} - set(texts) == {t for _, t, *_ in rows if len((t or "").split()) > 30 and t not in texts}
+    _, group = jaccard_groups([r[1] for r in rows])
+    best = {}
+    for r, g in zip(rows, group, strict=True):
+        key = (r[0] is None, r[0] or 0)
+        best[g] = min(best.get(g, (key, r)), (key, r), key=lambda x: x[0])
+    # the copies here are near enough for every pair to share a bucket
+    assert Counter(r.doc_id for r in left) == Counter(r[0] for _, r in best.values())
+    assert simhash.without_near_copies(none).count() == 0
 
 
 def variants(rng, n, most, words=120):
@@ -280,20 +304,48 @@ def variants(rng, n, most, words=120):
     return out
 
 
-@pytest.mark.parametrize("block", [16, 4096])
-def test_all_pairs_of_a_bucket_are_judged(spark, monkeypatch, block):
-    monkeypatch.setattr(simhash, "BLOCK", block)
+def test_masks_of_minwise_positions_cover():
+    own = simhash.masks(simhash.RADIUS, simhash.POSITIONS)
+    assert [m.bit_count() for m in own] == [4] * 7
+    assert all(any(not m >> a & 1 and not m >> b & 1 for m in own) for a in range(7) for b in range(7))
+    rng = np.random.default_rng(3)
+    sketch = rng.integers(0, 2**63, (200, 14), dtype=np.uint64)
+    keys = simhash.covering_keys(sketch)
+    for row in range(200):
+        other = sketch[row].copy()
+        other[rng.choice(7, 2, replace=False)] += np.uint64(1)  # two positions of the first group
+        assert (simhash.covering_keys(other[None])[0, :7] == keys[row, :7]).any()
+    assert len(np.unique(keys)) == keys.size
+
+
+def test_forests_of_alike_sets():
+    rng = random.Random(20)
+    for _ in range(60):
+        texts = [t for _ in range(3) for t in variants(rng, rng.randint(1, 12), 5, rng.choice([30, 60, 120]))]
+        sets, group = jaccard_groups(texts)
+        numbers = {}
+        own = [np.array(sorted(numbers.setdefault(x, len(numbers)) for x in s), dtype="<u4") for s in sets]
+        root = list(range(len(own)))
+        pairs = simhash.alike_forest(own)
+        assert all(len(sets[i] & sets[j]) >= simhash.ALIKE * len(sets[i] | sets[j]) for i, j in pairs)
+        for i, j in pairs:
+            a, b = root[i], root[j]
+            root = [min(a, b) if x in (a, b) else x for x in root]
+        assert root == group
+
+
+@pytest.mark.parametrize("small", [1, 64])
+def test_all_pairs_of_a_bucket_are_judged(spark, monkeypatch, small):
+    """In memory and in blocks alike: the result is that of all pairs that share a bucket."""
+    monkeypatch.setattr(simhash, "SMALL", small)
+    monkeypatch.setattr(simhash, "BLOCK", 16 if small == 1 else 4096)
     rng = random.Random(17)
-    texts = [t for n, most, words in ((250, 3, 800), (90, 6, 200), (90, 10, 120)) for t in variants(rng, n, most, words)] + [prose(rng, 120) for _ in range(30)]
+    texts = [t for n, most, words in ((150, 8, 400), (60, 6, 200), (60, 10, 120)) for t in variants(rng, n, most, words)] + [prose(rng, 120) for _ in range(30)]
     rng.shuffle(texts)
-    fps = []
-    for t in texts:
-        h = np.array(simhash.shingle_hashes(common.blank_words(t.encode()), 5), dtype=np.uint64)
-        fps.append([simhash.majority(simhash.remixed(h, s)) for s in range(12)])
-    own = simhash.masks()
-    keys = [{(k, m, f & m) for k, f in enumerate(x) for m in own} for x in fps]
-    sizes = Counter(k for x in keys for k in x)
-    assert max(sizes.values()) > 64
+    sets, _ = jaccard_groups(texts)
+    hashes = [simhash.shingle_set(t.encode(), 5) for t in texts]
+    keys = [set(k) for k in simhash.covering_keys(simhash.minwise(hashes, 14)).tolist()]
+    assert max(Counter(k for x in keys for k in x).values()) > 64
     root = list(range(len(texts)))
 
     def find(i):
@@ -301,10 +353,9 @@ def test_all_pairs_of_a_bucket_are_judged(spark, monkeypatch, block):
             i = root[i]
         return i
 
-    for i, x in enumerate(fps):
+    for i, x in enumerate(sets):
         for j in range(i):
-            apart = [(a ^ b).bit_count() for a, b in zip(x, fps[j], strict=True)]
-            if min(apart) <= 2 or (sum(apart) <= int(768 * simhash.APART) and keys[i] & keys[j]):
+            if keys[i] & keys[j] and len(x & sets[j]) >= simhash.ALIKE * len(x | sets[j]):
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
     left = {r.doc_id for r in simhash.without_near_copies(spark.createDataFrame([row(i, t) for i, t in enumerate(texts)], DDL)).collect()}
@@ -312,26 +363,20 @@ def test_all_pairs_of_a_bucket_are_judged(spark, monkeypatch, block):
 
 
 def test_near_copies_by_similarity_are_found(spark):
+    """Copies that come in twos, in bands of similarity: found from 0.8 up, and never below."""
     rng = random.Random(18)
-    families = [variants(rng, n, most, words) for n, most, words in ((100, 4, 400), (80, 3, 300), *[(2, 1 + i % 4, 200) for i in range(150)])]  # groups of 100 and 80 too
-    rows = [row(i, t, source=str(f)) for i, (f, t) in enumerate((f, t) for f, own in enumerate(families) for t in own)]
-    words = [r[1].split() for r in rows]
-    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in words]
-    fps = simhash.fingerprints(spark.createDataFrame(rows, DDL), keep=["doc_id"], shingle=5, seeds=12)
-    group = {r.doc_id: r.component_id for r in simhash._with_components(fps, "doc_id", 12).collect()}
+    texts = [t for i in range(500) for t in variants(rng, 2, 1 + i % 9, 200)]
+    left = {r.doc_id for r in simhash.without_near_copies(spark.createDataFrame([row(i, t) for i, t in enumerate(texts)], DDL)).collect()}
+    sets, _ = jaccard_groups([])
+    sets = [jaccard_groups([t])[0][0] for t in texts]
     found = defaultdict(list)
-    for i, r in enumerate(rows):
-        for j in range(i):
-            if r[3] == rows[j][3]:
-                alike = len(sets[i] & sets[j]) / len(sets[i] | sets[j])
-                large = "large" if r[3] in "01" else "two"
-                found[large, min(int(alike * 20) / 20, 0.95)].append(group[i] == group[j])
-            else:
-                assert group[i] != group[j]
-    share = {k: sum(v) / len(v) for k, v in found.items()}
-    # as the README says
-    assert min(v for (size, _), v in share.items() if size == "large") == 1
-    assert share["two", 0.95] >= 0.99 and share["two", 0.9] >= 0.76
+    for i in range(0, len(texts), 2):
+        found[int(20 * len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1]))].append(i + 1 not in left)
+    assert set(range(0, len(texts), 2)) <= left
+    alike = [x for band, xs in found.items() if band >= 16 for x in xs]
+    assert sum(alike) >= 0.96 * len(alike) and len(alike) > 200
+    assert sum(found[16]) >= 0.9 * len(found[16]) > 30
+    assert all(not any(xs) for band, xs in found.items() if band < 16) and sum(len(xs) for band, xs in found.items() if band < 16) > 50
 
 
 # --- 5
