@@ -9,6 +9,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def answer(**fields: object) -> T.StructType:
+    """A schema of which every field, nested ones too, must be there. A field is a type's name, a dict of fields, or a
+    list of either for an array."""
+    kinds = {"string": T.StringType(), "int": T.IntegerType(), "double": T.DoubleType(), "boolean": T.BooleanType()}
+
+    def kind(x: object) -> T.DataType:
+        if isinstance(x, list):
+            return T.ArrayType(kind(x[0]), False)
+        return answer(**x) if isinstance(x, dict) else kinds[x]
+
+    return T.StructType([T.StructField(name, kind(x), False) for name, x in fields.items()])
+
+
 class Asker(Protocol):
     def ask(self, requests: DataFrame, schema: T.StructType) -> DataFrame:
         """Requests ``(rec_id, prompt, request)`` with ``answer``, a struct of ``schema``, and ``error``, null if it has one."""

@@ -132,6 +132,11 @@ def limit_chars(text: Column, n: int) -> Column:
     return F.when(F.length(text) <= n, text).otherwise(shorter)
 
 
+def capitals(text: Column) -> Column:
+    """Upper case, character by character: a sharp s, which has no capital of its own there, stays."""
+    return F.replace(F.upper(F.replace(text, F.lit("ß"), F.lit("\ue000"))), F.lit("\ue000"), F.lit("ß"))
+
+
 def subtitle_text(text: Column) -> Column:
     """With the markup characters of styled subtitles escaped."""
     return F.translate(F.replace(text, F.lit("\\"), F.lit("\\\\")), "{}", "()")

@@ -77,7 +77,11 @@ def frame_count(seconds: Column) -> Column:
 
 def override(start: Column, end: Column) -> Column:
     """Of a hand-set span: null if it is usable or absent, else why it isn't. Both or neither; the end after the start."""
-    a, b = parse_clock(start), parse_clock(end)
+    return override_parsed(start, end, parse_clock(start), parse_clock(end))
+
+
+def override_parsed(start: Column, end: Column, a: Column, b: Column) -> Column:
+    """``override`` of texts that are parsed already."""
     given = lambda c: F.coalesce(c, F.lit("")) != ""
     return (
         F.when(given(start) != given(end), F.lit("start and end must be given together"))

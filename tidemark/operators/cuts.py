@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.turns import bins
+
+#: Seconds of a bin of time: a few windows long.
+BIN = 4.0
 #: Seconds: how far a cut may be from its word, silence kept before and after, distance kept from other words, and
 #: the shortest pause.
 REACH, LEAD, TAIL, GUARD, LEAST_PAUSE = 0.75, 0.3, 0.5, 0.05, 0.2
@@ -38,13 +42,15 @@ def cut_words(words: DataFrame, ranges: DataFrame, pauses: DataFrame) -> DataFra
 
     Before, the pause that ends nearest to the first word counts, and leaves a short lead; after, the one that starts
     nearest to the last word's end, and leaves a tail. Pauses are cut to the window, as they are heard there, and have
-    to be long enough in it. Only pauses that overlap a window join it.
+    to be long enough in it. Pauses and windows meet in the bins of time that they touch; a pair that meets in two
+    counts as one.
     """
     win = windows(words, ranges)
-    p = pauses.select("rec_id", F.col("start").alias("p_start"), F.col("end").alias("p_end"))
+    p = pauses.select("rec_id", F.col("start").alias("p_start"), F.col("end").alias("p_end"), bins(F.col("start"), F.col("end"), BIN).alias("bin"))
 
     def best(lo: str, hi: str, near, place) -> DataFrame:
-        j = win.join(p, "rec_id").where((F.col("p_start") < F.col(hi)) & (F.col("p_end") > F.col(lo)))
+        w = win.withColumn("bin", bins(F.col(lo), F.col(hi), BIN))
+        j = w.join(p, ["rec_id", "bin"]).where((F.col("p_start") < F.col(hi)) & (F.col("p_end") > F.col(lo)))
         a, b = _clipped(p, lo, hi)
         j = j.withColumn("a", a).withColumn("b", b).where(F.round(F.col("b") - F.col("a"), 6) >= LEAST_PAUSE)
         return j.groupBy("rec_id", "cut_id").agg(F.min(F.struct(near.alias("off"), F.col("a").alias("a"), place.alias("cut"))).alias("x")).select("rec_id", "cut_id", F.col("x.cut").alias("cut"))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as tx
 from tidemark.functions import timecode as tc
+from tidemark.functions.ask import Asker, answer
+from tidemark.operators import words as wd
 
 CHAPTER_GAP, LEAST_CHAPTERS = 10.0, 3
 TAG_BYTES, HASHTAGS, DESCRIPTION_BYTES = 500, 3, 5000
@@ -88,11 +90,6 @@ def broken_rule(chapters: Column, text: Column) -> Column:
     return F.when(F.size(chapters) < LEAST_CHAPTERS, F.concat(F.size(chapters).cast("string"), F.lit(f" chapters hold, {LEAST_CHAPTERS} are needed"))).when(F.octet_length(text) > DESCRIPTION_BYTES, F.concat(F.octet_length(text).cast("string"), F.lit(f" bytes are over {DESCRIPTION_BYTES}")))
 
 
-def better_reply(first_broken: Column, first: Column, second_broken: Column, second: Column) -> Column:
-    """The first reply, or the second one asked for with the broken rule."""
-    return F.when(first_broken.isNull(), first).when(second_broken.isNull(), second).otherwise(F.coalesce(second, first))
-
-
 def trimmed_to(text: Column, limit: int) -> Column:
     """Whole paragraphs dropped from the end until the text fits ``limit`` bytes with the newline that closes it; cut
     hard if not even the first does. What is looked at is the text's first ``limit`` bytes, without newlines at their end."""
@@ -142,4 +139,105 @@ def master_filter(step: Column, rate: int, seconds: Column, fade_in: float = 0.0
         parts.append(F.lit(f",afade=t=in:d={fade_in:.2f}"))
     if fade_out > 0:
         parts += [F.lit(",afade=t=out:st="), fixed("%.3f", seconds - fade_out, 3), F.lit(f":d={fade_out:.2f}")]
-    return F.concat(*parts)
+    return F.when(step["gain"].isNotNull(), F.concat(*parts))  # nothing measured, nothing to run yet
+
+
+def mastered(plan: DataFrame, measured: DataFrame) -> DataFrame:
+    """What becomes of mastering ``plan (rec_id, name, target, peak)`` as its attempts were ``measured (rec_id, name,
+    attempt, integrated, peak, spread)``, attempt 0 being the shaped audio: ``rec_id, name, gain, ceiling, attempts,
+    done, failed, integrated, peak, spread``.
+
+    Neither done nor failed: ``gain`` and ``ceiling`` are those to run next.
+    """
+    m = measured.groupBy("rec_id", "name").agg(F.array_sort(F.collect_list(F.struct("attempt", "integrated", F.col("peak").alias("heard"), "spread"))).alias("ms"))  # four at most count
+    p = plan.join(m, ["rec_id", "name"])
+    shaped = F.get("ms", F.lit(0))
+    begun = first_gain(F.col("target"), shaped["integrated"], F.col("peak"))
+    state = lambda step, n, done, failed, loud: F.struct(step["gain"].alias("gain"), step["ceiling"].alias("ceiling"), n.alias("attempts"), done.alias("done"), failed.alias("failed"), loud["integrated"].alias("integrated"), loud["heard"].alias("heard"), loud["spread"].alias("spread"))
+    zero = state(begun, F.lit(0), F.lit(False), F.lit(False), shaped)
+
+    def step(s: Column, x: Column) -> Column:
+        new = next_gain(F.col("target"), F.col("peak"), s, x["integrated"], x["heard"], s["attempts"] + 1)
+        kept = F.struct(F.when(new["done"], s["gain"]).otherwise(new["gain"]).alias("gain"), F.when(new["done"], s["ceiling"]).otherwise(new["ceiling"]).alias("ceiling"))
+        return F.when(s["done"] | s["failed"], s).otherwise(state(kept, s["attempts"] + 1, new["done"], new["failed"], x))
+
+    out = p.where(shaped["attempt"] == 0).withColumn("s", F.aggregate(F.slice("ms", F.lit(2), F.size("ms")), zero, step))
+    s = F.col("s")
+    heard = lambda c, n: F.when(s["attempts"] > 0, s[c]).alias(n)
+    return out.select("rec_id", "name", s["gain"].alias("gain"), s["ceiling"].alias("ceiling"), s["attempts"].alias("attempts"), s["done"].alias("done"), s["failed"].alias("failed"), heard("integrated", "integrated"), heard("heard", "peak"), heard("spread", "spread"))
+
+
+#: What the model has to answer.
+ANSWER = answer(titles=["string"], long="string", short="string", chapters=[{"time": "string", "title": "string"}], passage="string", scripture=["string"], tags=["string"], hashtags=["string"])
+SHORT_CHARS = 600
+CHAPTERS = "array<struct<at:double,title:string>>"
+
+
+def request(words: DataFrame, spans: DataFrame, facts: DataFrame) -> DataFrame:
+    """``rec_id, prompt, request``: facts ``(rec_id, place, location, mission, date, speaker)`` and the talk's lines, timed
+    from its start."""
+    own = wd.relative(wd.within(words, spans), spans).withColumn("known", F.lit(None).cast("string"))
+    fact = lambda label, c: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(f"{label}: "), c, F.lit("\n"))).otherwise("")
+    head = F.concat(*[fact(label, F.col(c)) for label, c in (("Place", "place"), ("Where", "location"), ("What for", "mission"), ("Date", "date"), ("Speaker", "speaker"))], F.lit("\n"))
+    return wd.prompt_lines(wd.lines(own, None)).join(facts, "rec_id").select("rec_id", F.lit("texts").alias("prompt"), F.concat(head, "lines").alias("request"))
+
+
+def built(answers: DataFrame, spans: DataFrame, facts: DataFrame) -> DataFrame:
+    """Answers ``(rec_id, answer)`` cleaned and put together: ``rec_id, titles, short, passage, scripture, tags, hashtags,
+    chapters, body, text, adjustments`` and ``broken``, the first rule that the text breaks, else null.
+
+    Chapters without a readable time go, and so do those that the rules for chapters drop; each is an adjustment.
+    """
+    clean, each = tx.without_angles, lambda c: F.transform(c, tx.without_angles)
+    a = answers.select("rec_id", "answer.*")
+    c = a.select("rec_id", F.posexplode("chapters").alias("pos", "c")).select("rec_id", F.col("pos").cast("bigint").alias("pos"), "c.time", clean(F.col("c.title")).alias("title")).withColumn("at", tc.parse_clock(F.col("time")))
+    durations = spans.select("rec_id", (F.col("span_end") - F.col("span_start")).alias("duration"))
+    valid = valid_chapters(c.where("at IS NOT NULL").select("rec_id", "pos", "at", "title"), durations).join(c.select("rec_id", "pos", F.col("at").alias("said")), ["rec_id", "pos"])
+    quoted = lambda t: F.concat(F.lit('"'), t, F.lit('"'))
+    left_out = F.concat(F.lit("left out "), quoted(F.col("title")), F.lit(": "))
+    no_time = c.where("at IS NULL").select("rec_id", F.lit(0).alias("kind"), F.col("pos").cast("double").alias("by"), F.concat(left_out, F.lit("no time "), quoted(F.col("time"))).alias("what"))
+    dropped = valid.where("dropped IS NOT NULL").select("rec_id", F.lit(1).alias("kind"), F.col("said").alias("by"), F.concat(left_out, "dropped").alias("what"))
+    moved = valid.where("place = 0 AND said <> 0").select("rec_id", F.lit(2).alias("kind"), F.lit(0.0).alias("by"), F.concat(quoted(F.col("title")), F.lit(" begins at 0:00 now, not at "), tc.clock(F.col("said"))).alias("what"))
+    ordered = lambda fields, name: F.transform(F.array_sort(F.collect_list(F.struct(*fields))), lambda x: x[name])
+    changes = no_time.unionByName(dropped).unionByName(moved).groupBy("rec_id").agg(ordered(("kind", "by", "what"), "what").alias("adjustments"))  # a recording's
+    kept = valid.where("dropped IS NULL").groupBy("rec_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "at", "title"))), lambda x: F.struct(x["at"].alias("at"), x["title"].alias("title"))).alias("kept"))
+    out = a.join(kept, "rec_id", "left").join(changes, "rec_id", "left").join(facts, "rec_id")
+    out = out.select(
+        "rec_id", each("titles").alias("titles"), tx.limit_chars(clean(F.col("short")), SHORT_CHARS).alias("short"), clean(F.col("passage")).alias("passage"), each("scripture").alias("scripture"),
+        valid_tags(F.col("tags")).alias("tags"), valid_hashtags(F.col("hashtags")).alias("hashtags"), F.coalesce("kept", F.array().cast(CHAPTERS)).alias("chapters"), clean(F.col("long")).alias("body"),
+        F.coalesce("adjustments", F.array().cast("array<string>")).alias("adjustments"), "place", "location", "website",
+    )
+    out = out.withColumn("text", _assembled(F.col("chapters")))
+    return out.withColumn("broken", broken_rule(F.col("chapters"), F.col("text")))
+
+
+def _assembled(chapters: Column) -> Column:
+    return assembled(F.col("body"), F.col("scripture"), chapters, F.col("hashtags"), F.col("place"), F.col("location"), F.col("website"))
+
+
+def asked(words: DataFrame, spans: DataFrame, facts: DataFrame, asker: Asker, keep=lambda df, name: df) -> DataFrame:
+    """Texts that the model writes, as ``built`` gives them, and ``error`` for a reply that can't be read.
+
+    One that breaks a rule is asked for once more, with the rule; if that breaks one too, its chapters go, the text is
+    cut to its limit, and the adjustments say so. ``facts`` also has ``website``.
+    """
+    first = keep(request(words, spans, facts), "requests")
+    replies = keep(asker.ask(first, ANSWER), "replies")
+    one = keep(built(replies.where("error IS NULL"), spans, facts), "texts-first")
+    again = first.join(one.where("broken IS NOT NULL").select("rec_id", "broken"), "rec_id")
+    again = again.select("rec_id", F.lit("texts/2").alias("prompt"), F.concat("request", F.lit("\n\nThe last answer can't be used: "), "broken", F.lit(". Mend that.")).alias("request"))
+    two = built(keep(asker.ask(again, ANSWER), "again").where("error IS NULL"), spans, facts)
+    both = one.withColumn("attempt", F.lit(1)).unionByName(two.withColumn("attempt", F.lit(2)))
+    # the first that holds, else the last
+    best = Window.partitionBy("rec_id").orderBy(F.col("broken").isNotNull(), F.when(F.col("broken").isNull(), F.col("attempt")).otherwise(-F.col("attempt")))
+    out = both.withColumn("k", F.row_number().over(best)).where("k = 1")
+    bad, none = F.col("broken").isNotNull(), F.array().cast(CHAPTERS)
+    out = out.withColumn("adjustments", F.when(bad, F.array_append("adjustments", F.concat("broken", F.lit("; the chapters are left out")))).otherwise(F.col("adjustments")))
+    out = out.withColumn("text", F.when(bad, trimmed_to(_assembled(none), DESCRIPTION_BYTES)).otherwise(F.col("text"))).withColumn("chapters", F.when(bad, none).otherwise(F.col("chapters")))
+    failed = replies.where("error IS NOT NULL").select("rec_id", "error")
+    return out.drop("k", "attempt", "broken", "place", "location", "website", "body").unionByName(failed, allowMissingColumns=True)
+
+
+def short_description(short: Column, chapters: Column) -> Column:
+    """Of an episode: its text, then its chapters, if it has any."""
+    return F.concat(short, F.lit("\n"), F.when(F.size(chapters) > 0, F.concat(F.lit("\n"), chapter_list(chapters))).otherwise(""))

@@ -30,22 +30,38 @@ def clean(turns: DataFrame, gap: float = MERGE_GAP, least: float = LEAST_SECONDS
     return kept.select("rec_id", (F.row_number().over(by_start()) - 1).alias("idx"), "start", "end", "speaker")
 
 
+#: Seconds of a bin: what may overlap in time meets by equality of recording and bin.
+BIN = 16.0
+
+
+def bins(start: Column, end: Column, width: float = BIN) -> Column:
+    """The bins that a span touches, its end included."""
+    return F.explode(F.sequence(F.floor(start / width), F.floor(end / width)))
+
+
 def at(points: DataFrame, turns: DataFrame) -> DataFrame:
-    """Points ``(rec_id, point_id, t)`` with ``at``: the speaker of the first turn that contains each, else null."""
-    t = turns.select("rec_id", F.col("idx").alias("turn"), F.col("start").alias("t0"), F.col("end").alias("t1"), "speaker")
-    hit = points.join(t, "rec_id").where(tc.contains(F.col("t0"), F.col("t1"), F.col("t")))
-    first = hit.groupBy("rec_id", "point_id").agg(F.min_by("speaker", "turn").alias("at"))
-    return points.join(first, ["rec_id", "point_id"], "left")
+    """Points ``(rec_id, point_id, t)`` with ``at``: the speaker of the first turn that contains each, else null.
+
+    A turn is listed under the bins of time that it touches, so a point meets only the turns of its own.
+    """
+    t = turns.where(F.col("end") > F.col("start")).select("rec_id", F.col("idx").alias("turn"), F.col("start").alias("t0"), F.col("end").alias("t1"), "speaker", bins(F.col("start"), F.col("end")).alias("bin"))
+    p = points.withColumn("bin", F.floor(F.col("t") / BIN))
+    meets = (p["rec_id"] == t["rec_id"]) & (p["bin"] == t["bin"]) & tc.contains(F.col("t0"), F.col("t1"), F.col("t"))
+    both = p.join(t.select("*"), meets, "left").select(*[p[c] for c in p.columns], "turn", "speaker")
+    return both.groupBy(*p.columns).agg(F.min_by("speaker", "turn").alias("at")).drop("bin")
 
 
 def speaking(points: DataFrame, turns: DataFrame, gap: float = FILL_GAP) -> DataFrame:
     """Points with ``speaker``: who speaks there; in a silence of at most ``gap`` seconds between two turns of one
-    speaker, that one; else null. Each point falls between two starts, so it joins one turn."""
+    speaker, that one; else null. Points and turns go along time together, and each point takes the last turn before it."""
+    nxt = turns.select("rec_id", F.col("start").alias("t"), F.lit(0).alias("kind"), F.col("end").alias("t1"), "speaker", F.struct(F.col("end").alias("t1"), F.col("speaker").alias("before"), F.lead("start").over(by_start()).alias("next_start"), F.lead("speaker").over(by_start()).alias("after")).alias("turn"))
     known = at(points, turns)
-    nxt = turns.select("rec_id", F.col("start").alias("t0"), F.col("end").alias("t1"), F.col("speaker").alias("before"), F.lead("start").over(by_start()).alias("next_start"), F.lead("speaker").over(by_start()).alias("after"))
-    between = points.join(nxt, "rec_id").where((F.col("t") >= F.col("t0")) & (F.col("t") < F.col("next_start")) & (F.col("before") == F.col("after")) & (F.col("next_start") - F.col("t1") <= gap))
-    filled = between.groupBy("rec_id", "point_id").agg(F.first("before").alias("filled"))
-    return known.join(filled, ["rec_id", "point_id"], "left").withColumn("speaker", F.coalesce("at", "filled")).drop("at", "filled")
+    own = known.select("rec_id", "t", F.lit(1).alias("kind"), F.lit(None).cast("double").alias("t1"), F.lit(None).cast("string").alias("speaker"), F.struct(*[c for c in known.columns if c not in ("rec_id", "t")]).alias("point"))
+    along = Window.partitionBy("rec_id").orderBy("t", "kind", "t1", "speaker").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = nxt.unionByName(own, allowMissingColumns=True).withColumn("last", F.last("turn", ignorenulls=True).over(along)).where("kind = 1")
+    silent = (F.col("last.before") == F.col("last.after")) & (F.col("t") < F.col("last.next_start")) & (F.col("last.next_start") - F.col("last.t1") <= gap)
+    own = [F.col(c) if c in ("rec_id", "t") else F.col(f"point.{c}").alias(c) for c in points.columns]
+    return both.select(*own, F.coalesce("point.at", F.when(silent, F.col("last.before"))).alias("speaker"))
 
 
 def talk_time(turns: DataFrame, spans: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as tx
+from tidemark.functions.ask import Asker, answer
 from tidemark.functions.markup import MarkupReader
 
 MOST_PAGES, MOST_CHARS = 8, 12000
@@ -139,3 +140,32 @@ def picked(links: DataFrame, most: int = MOST_PAGES - 1) -> DataFrame:
 def clean_details(items: Column) -> Column:
     """Tidied values, the first of those that differ in case only."""
     return tx.distinct_ignoring_case(F.transform(items, lambda x: tx.tidy_line(x)))
+
+
+def site_pages(sites: DataFrame, pages: DataFrame) -> DataFrame:
+    """What to read of each site ``(site, home)``: ``site, place, url, title, text`` of its home page (place 0) and of the
+    pages that look most useful, of ``pages`` as ``parsed`` gives them. A home page or link without a page is left out,
+    and so is a site without a home page. Several pages under one address count as one, that with the smallest id."""
+    first = F.row_number().over(Window.partitionBy("url").orderBy("page_id"))
+    p = pages.withColumn("k", first).where("k = 1").select("url", "title", "raw", "links")
+    text = ("title", tidy(F.col("raw")).alias("text"))
+    homes = sites.select("site", "home").join(p.withColumnRenamed("url", "home"), "home")
+    links = homes.select("site", "home", F.posexplode("links").alias("pos", "l")).select("site", "home", "pos", "l.url", "l.text")
+    others = picked(links).join(p, "url").select("site", "place", "url", *text)
+    return homes.select("site", F.lit(0).alias("place"), F.col("home").alias("url"), *text).unionByName(others)
+
+
+#: What the model has to answer.
+ANSWER = answer(name="string", location="string", mission="string", podcast="string", preachers=["string"], glossary=["string"], notes=["string"])
+
+
+def learned(read: DataFrame, asker: Asker) -> DataFrame:
+    """Details of each site from the pages that were read of it, as ``site_pages`` gives them, cleaned: ``site`` (a
+    number), the answer's fields, and ``error`` for a reply that can't be read."""
+    one = F.concat(F.lit("--- "), "url", F.lit(" ("), F.coalesce("title", F.lit("")), F.lit(")\n"), "text")
+    every = F.array_sort(F.collect_list(F.struct("place", one.alias("t"))))  # eight at most
+    requests = read.groupBy("site").agg(F.array_join(F.transform(every, lambda x: x["t"]), "\n\n").alias("request")).select(F.col("site").alias("rec_id"), F.lit("site").alias("prompt"), "request")
+    out = asker.ask(requests, ANSWER)
+    plain = [tx.tidy_line(F.col(f"answer.{c}")).alias(c) for c in ("name", "location", "mission", "podcast")]
+    lists = [clean_details(F.col(f"answer.{c}")).alias(c) for c in ("preachers", "glossary")]
+    return out.select(F.col("rec_id").alias("site"), *plain, *lists, F.col("answer.notes").alias("notes"), "error")

@@ -60,6 +60,12 @@ def within(words: DataFrame, spans: DataFrame) -> DataFrame:
     return words.join(spans, "rec_id").where(tc.contains(F.col("span_start"), F.col("span_end"), F.col("start"))).drop("span_start", "span_end")
 
 
+def relative(words: DataFrame, spans: DataFrame) -> DataFrame:
+    """Words on their span's own timeline: its start is 0."""
+    w = words.join(spans.select("rec_id", F.col("span_start").alias("__s")), "rec_id")
+    return w.withColumn("start", F.col("start") - F.col("__s")).withColumn("end", F.col("end") - F.col("__s")).drop("__s")
+
+
 def find(words: DataFrame, phrases: DataFrame) -> DataFrame:
     """Where phrases ``(rec_id, phrase_id, phrase, near, window)`` are said: ``rec_id, phrase_id, first, last, at``.
 
@@ -76,8 +82,10 @@ def find(words: DataFrame, phrases: DataFrame) -> DataFrame:
     # places of all its occurrences, overlapping ones too: the letters split before each
     pieces = F.split("letters", F.concat(F.lit("(?="), "target", F.lit(")")))
     target = target.withColumn("pieces", F.when(F.col("letters").startswith(F.col("target")), F.concat(F.array(F.lit("")), pieces)).otherwise(pieces))
-    till = lambda k: F.aggregate(F.slice("pieces", F.lit(1), k), F.lit(0), lambda n, x: n + F.length(x))
-    places = target.select("rec_id", "phrase_id", "target", "near", "window", F.explode(F.transform(F.sequence(F.lit(1), F.size("pieces") - 1), till)).alias("b"))
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all"))
+    add = lambda s, x: F.struct((s["at"] + F.length(x)).alias("at"), F.array_append(s["all"], s["at"] + F.length(x)).alias("all"))
+    ends = F.aggregate(F.slice("pieces", F.lit(1), F.size("pieces") - 1), zero, add)["all"]
+    places = target.select("rec_id", "phrase_id", "target", "near", "window", F.explode(ends).alias("b"))
     starts = w.join(places, ["rec_id", "b"]).where(F.abs(F.col("start") - F.col("near")) <= F.col("window"))
     starts = starts.select("rec_id", "phrase_id", F.col("idx").alias("first"), F.col("start").alias("at"), F.abs(F.col("start") - F.col("near")).alias("off"), (F.col("b") + F.length("target")).alias("e"))
     ends = w.select("rec_id", "e", F.col("idx").alias("last"))
@@ -146,13 +154,28 @@ def srt_lines(cues_: DataFrame, offset: Column) -> DataFrame:
     return cues_.select("rec_id", "cue", F.concat((F.col("cue") + 1).cast("string"), F.lit("\n"), stamp("start"), F.lit(" --> "), stamp("end"), F.lit("\n"), F.col("text"), F.lit("\n\n")).alias("block"))
 
 
+#: The head of a styled subtitle file, its canvas and margin.
+CANVAS = (1080, 1920)
+CAPTION_MARGIN = 420
+STYLES = "Name, Fontname, Fontsize, PrimaryColour, SecondaryColour, OutlineColour, BackColour, Bold, Italic, Underline, StrikeOut, ScaleX, ScaleY, Spacing, Angle, BorderStyle, Outline, Shadow, Alignment, MarginL, MarginR, MarginV, Encoding"
+EVENTS = "Layer, Start, End, Style, Name, MarginL, MarginR, MarginV, Effect, Text"
+
+
+def caption_file(highlights: DataFrame, font: str, key: str = "rec_id") -> DataFrame:
+    """``key, text``: a styled subtitle file of each recording's (or clip's) highlighted lines."""
+    w, h = CANVAS
+    look = ("Caption", font, 76, "&H00FFFFFF", "&H00FFFFFF", "&H00000000", "&H64000000", 0, 0, 0, 0, 100, 100, 0, 0, 1, 6, 2, 2, 60, 60, CAPTION_MARGIN, 1)
+    head = ["[Script Info]", "ScriptType: v4.00+", f"PlayResX: {w}", f"PlayResY: {h}", "WrapStyle: 2", "", "[V4+ Styles]", f"Format: {STYLES}", "Style: " + ",".join(map(str, look)), "", "[Events]", f"Format: {EVENTS}", ""]
+    every = F.array_sort(F.collect_list(F.struct("idx", "line")))  # a clip's words
+    return highlights.groupBy(key).agg(F.concat(F.lit("\n".join(head)), F.array_join(F.transform(every, lambda x: x["line"]), "\n"), F.lit("\n")).alias("text"))
+
+
 def caption_highlights(words: DataFrame, cues_: DataFrame, offset: Column) -> DataFrame:
     """``rec_id, idx, line``: each cue once for each of its words, in capitals, the spoken one in gold."""
-    mine = cues_.select("rec_id", "first", "last", F.col("start").alias("cue_start"), F.col("end").alias("cue_end"))
-    joined = words.join(mine, "rec_id").where((F.col("idx") >= F.col("first")) & (F.col("idx") <= F.col("last")))
+    joined = words.join(cues_.select("rec_id", "first", F.col("end").alias("cue_end"), F.explode(F.sequence("first", "last")).alias("idx")), ["rec_id", "idx"])
     in_cue = Window.partitionBy("rec_id", "first").orderBy("idx")
     whole = in_cue.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    shown = F.upper(tx.subtitle_text(F.col("text")))
+    shown = tx.capitals(tx.subtitle_text(F.col("text")))
     joined = joined.withColumn("all", F.collect_list(shown).over(whole)).withColumn("till", F.coalesce(F.lead("start").over(in_cue), F.col("cue_end")))
     at = F.col("idx") - F.col("first")
     line = F.array_join(F.transform("all", lambda t, j: F.when(j == at, F.concat(F.lit("{\\c&H00D7FF&}"), t, F.lit("{\\c&HFFFFFF&}"))).otherwise(t)), " ")
@@ -198,6 +221,12 @@ def rendered_lines(lines_: DataFrame) -> DataFrame:
     return lines_.select("rec_id", "first", F.concat(F.lit("["), tc.clock(F.col("start")), F.lit("] "), label, F.col("text")).alias("line"))
 
 
+def prompt_lines(lines_: DataFrame) -> DataFrame:
+    """``rec_id, lines``: a recording's rendered lines in order, one text."""
+    every = F.array_sort(F.collect_list(F.struct("first", "line")))  # a recording's
+    return rendered_lines(lines_).groupBy("rec_id").agg(F.array_join(F.transform(every, lambda x: x["line"]), "\n").alias("lines"))
+
+
 def paragraphs(words: DataFrame) -> DataFrame:
     """``rec_id, first, last, text``: breaks after a pause over 2.5 s, or at a sentence's end with 120 words before it."""
     before = F.lag("text").over(in_order())

@@ -16,6 +16,10 @@ from dataclasses import dataclass, field
 from graphlib import CycleError, TopologicalSorter
 from pathlib import Path
 
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
 DONE, REUSED, FAILED, SKIPPED = "done", "reused", "failed", "skipped"
 #: Files above this size are known by their modification time instead of their content.
 HASHED_BYTES = 16 << 20
@@ -95,6 +99,28 @@ def digest(paths: Iterable[str]) -> str:
     return h.hexdigest()
 
 
+def rows_digest(df: DataFrame) -> str:
+    """Of a table's rows, in any order: their number and hashes. Columns must not be maps."""
+    h = F.xxhash64(*[F.col(c) for c in df.columns]) if df.columns else F.lit(0)
+    n, total, mixed = df.agg(F.count(F.lit(1)), F.sum(F.pmod(h, F.lit(1 << 31))), F.bit_xor(h)).first()
+    return f"{df.schema.simpleString()}|{n}|{total}|{mixed}"
+
+
+def table_digest(spark: SparkSession) -> Callable[[Iterable[str]], str]:
+    """A digest of tables by their rows, wherever they are: rewritten files with the same rows count as unchanged."""
+
+    def of(paths: Iterable[str]) -> str:
+        parts = []
+        for path in sorted(paths):
+            try:
+                parts.append(path + "|" + rows_digest(spark.read.parquet(path)))
+            except AnalysisException:  # there is no such table
+                return ""
+        return hashlib.sha256("\n".join(parts).encode()).hexdigest()
+
+    return of
+
+
 def fingerprint(stage: Stage, upstream: dict[str, str]) -> str:
     return hashlib.sha256(json.dumps([stage.name, stage.version, list(stage.inputs), sorted(upstream.items())]).encode()).hexdigest()
 
@@ -108,13 +134,15 @@ def load_state(path: str) -> dict:
 
 def save_state(path: str, state: dict) -> None:
     """Replaced in one step, so that a crash leaves the old or the new one."""
+    Path(path).parent.mkdir(parents=True, exist_ok=True)
     temporary = f"{path}.new"
     Path(temporary).write_text(json.dumps(state, indent=1, sort_keys=True))
     os.replace(temporary, path)
 
 
-def run(stages: list[Stage], state_path: str, targets: list[str] | None = None, slots: int = 3) -> dict[str, Result]:
+def run(stages: list[Stage], state_path: str, targets: list[str] | None = None, slots: int = 3, digest: Callable[[Iterable[str]], str] = digest) -> dict[str, Result]:
     """Runs stages as their needs are met, at most ``slots`` at a time; a failure skips only what depends on it.
+    ``digest`` tells outputs apart, and is empty where one is missing.
 
     Spark jobs of several stages share the session; with the fair scheduler they share its executors too.
     """
@@ -135,7 +163,7 @@ def run(stages: list[Stage], state_path: str, targets: list[str] | None = None,
         try:
             s.run()
             if not (now := digest(s.files())):
-                raise FileNotFoundError("it left no " + ", ".join(f for f in s.files() if not Path(f).exists()))
+                raise FileNotFoundError("it left no " + ", ".join(f for f in s.files() if not digest([f])))
         except Exception as e:  # noqa: BLE001 - any failure of a stage is its result
             state.pop(s.name, None)  # what it may have left half done is never reused
             return Result(FAILED, time.monotonic() - began, str(e))
