@@ -410,6 +410,15 @@ def test_repeats_equal_brute_force(docs, rows, none, monkeypatch, batch_bytes):
     assert suffix_dedup.op5_induced_suffixes(none).count() == 0
 
 
+def test_shards_grow_with_the_corpus_and_rows_stay_full():
+    gb = 10**9
+    assert suffix_dedup.shard_count(0) == 8 and suffix_dedup.shard_count(gb) == gb // 18 // 200_000 + 1
+    for total in (gb, 30 * gb, 1000 * gb, 100_000 * gb):
+        shards = suffix_dedup.shard_count(total)
+        per_row, per_shard = suffix_dedup.BATCH_BYTES / 18 / shards, total / 18 / shards
+        assert per_shard <= 4_000_000 and (per_row >= 31 or per_shard > 3_900_000)
+
+
 def test_repeats_in_periodic_texts(spark):
     texts = ["a" * 300, "a" * 70 + "b" + "a" * 49, "ab" * 100, "ba" * 60 + "x", "abc" * 40, "x" + "abc" * 30, "a" * 49, "a" * 50]
     rows = [row(9 - i, t) for i, t in enumerate(texts)]
@@ -596,15 +605,12 @@ def test_packing_round_trip(docs, rows, none):
             assert offset == at
             at += length
         assert at <= 2048
-    whole = defaultdict(list)
-    for r in found:
-        whole[r.doc_id].append((r.start, r.ids, r.doc_tokens))
+    # each copy of each document is there, piece by piece
+    want = Counter()
     for doc, text, *_ in rows:
-        copies = sum(r[0] == doc for r in rows)
-        want = [*own.encode(text or "", add_special_tokens=False).ids, 1]
-        if copies == 1:
-            assert [i for _, ids, _ in sorted(whole[doc]) for i in ids] == want
-            assert {n for *_, n in whole[doc]} == {len(want)}
+        ids = [*own.encode(text or "", add_special_tokens=False).ids, 1]
+        want.update((doc, start, tuple(ids[start : start + length]), len(ids)) for start, length in packing.cut(len(ids)))
+    assert Counter((r.doc_id, r.start, tuple(r.ids), r.doc_tokens) for r in found) == want
     assert packing.op8_differencing(none).count() == 0
 
 

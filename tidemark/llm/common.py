@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from tidemark.sources.tables import written  # noqa: F401 - the operators take it from here
+
 #: Rows of a batch turned into Python objects at once.
 ROWS_AT_ONCE = 256
 #: Rows that a mapping function gets and returns at once.
@@ -69,36 +68,5 @@ def schema_of(df: DataFrame, *names: str, more: str = "") -> T.StructType:
     return T.StructType(kept + (T._parse_datatype_string(more).fields if more else []))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``, which driver and executors share; a temporary one only where it is unset."""
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if conf:
-        return conf.rstrip("/")
-    at = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if at.isDefined():
-        return at.get().rstrip("/")
-    spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tidemark-"))
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # noqa: BLE001 - the session may be gone at exit; the folder is then the cluster's to clean
-        pass
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written to the shared folder and read back: cuts lineage, survives lost executors, and gives the
-    planner its true size, so that a join broadcasts it only below ``spark.sql.autoBroadcastJoinThreshold``."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tidemark-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_delete, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -2,6 +2,9 @@
 
 Each step keeps the components and moves every node nearer to its component's smallest node; when a round changes
 nothing the edges are stars around those. The number of rounds grows with the logarithm of the longest path.
+
+The neighbours of a node meet its smallest one in a join by that node; of a giant component's root they are very many.
+Smallest neighbours come from a partial aggregate, and the join's skewed partitions are split by adaptive execution.
 """
 
 from __future__ import annotations

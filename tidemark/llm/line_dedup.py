@@ -122,7 +122,11 @@ def _told(docs: DataFrame, spread: DataFrame, id_col: str, text_col: str, counts
 
 
 def with_lines_left(docs: DataFrame, *, text_col: str = "text", **options) -> DataFrame:
-    """``docs`` without boilerplate lines, and without the documents that had nothing else."""
+    """``docs`` without boilerplate lines, and without the documents that had nothing else.
+
+    Lines, null sites and ids, ties and repeated rows count as in ``without_boilerplate``. Null, empty and blank texts
+    lost nothing and stay; a very long text is read whole. All columns keep their names, whatever these are.
+    """
     own = [f"k_{c}" for c in docs.columns]
     cols = {k: f"k_{options.pop(k, v)}" for k, v in (("id_col", "doc_id"), ("site_col", "source"))}
     out = without_boilerplate(docs.toDF(*own), text_col=f"k_{text_col}", **cols, **options)

@@ -34,7 +34,9 @@ BACK = WINDOW - ANCHOR
 AROUND = BACK + WINDOW
 BATCH_BYTES = 8 << 20
 AT_ONCE = 1 << 20
-SHARD_ANCHORS = 200_000
+#: Anchors of a shard in a small corpus; anchors that a batch should send to a shard at least, before the rows of their
+#: packed arrays outweigh these; and anchors of a shard at most (some 20 MB of them, and 340 MB of contexts if all are shared).
+SHARD_ANCHORS, ROW_ANCHORS, MOST_ANCHORS = 200_000, 32, 4_000_000
 #: Stands for a null id: it comes after every other and before none.
 NO_ID = np.iinfo(np.int64).max
 
@@ -126,6 +128,13 @@ def unpacked(b: bytes, dtype) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(b), dtype=dtype)
 
 
+def shard_count(total: int) -> int:
+    """Shards for so many bytes of text: of ``SHARD_ANCHORS`` while a batch has ``ROW_ANCHORS`` for each of them, then as
+    many, the shards growing to ``MOST_ANCHORS`` (1.2 TB of text), then of that size."""
+    of = lambda size: size * 2 // (BACK + 2)  # noqa: E731 - a window of 35 places picks one; random places have that density
+    return max(8, min(of(total) // SHARD_ANCHORS, max(of(BATCH_BYTES) // ROW_ANCHORS, of(total) // MOST_ANCHORS)) + 1)
+
+
 def shard_of(hashes: np.ndarray, shards: int) -> np.ndarray:
     return (hashes % np.uint64(shards)).astype(np.int64)
 
@@ -410,7 +419,7 @@ def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     source = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     batches = written(batches_of(source), "suffix-batches")
     total = batches.agg(F.sum("bytes")).first()[0] or 0
-    shards = max(8, int(total * 2 / (BACK + 2)) // SHARD_ANCHORS + 1)
+    shards = shard_count(int(total))
     sent = each_row(batches, send_anchors(shards), "shard bigint, batch bigint, anchors binary, several binary")
     shared = each_shard(sent, find_shared, "batch bigint, from_shard bigint, bits binary")
     of_batch = shared.groupBy("batch").agg(F.collect_list(F.struct("from_shard", "bits")).alias("verdicts"))  # one for each shard
