@@ -481,28 +481,58 @@ def b7_repeat_flags(spark, d):
 
 # --- corrections
 
-TERMS = ["Grace Chapel", "the Reader"]
+TERMS = ["Thee", "Andy", "Off", "Grace Chapel"]
 
 
 def corrections_of(w):
-    """Each recording's words 10 and 11 to be replaced, in one of seven ways."""
-    two = w.where("idx in (10, 11)").groupBy("rec_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "text"))), lambda x: x["text"]), " ").alias("find"), F.min("start").alias("at"))
-    kind = F.col("rec_id") % 7
-    replace = F.when(kind == 0, F.col("find")).when(kind == 1, F.lit("Grace Chapel")).when(kind == 2, F.lit("Matthew 7:1")).when(kind == 3, F.concat("find", F.lit(" the Reader"))).when(kind == 4, F.lit("")).when(kind == 5, F.lit("Hezekiah 3")).otherwise(F.lit("something else"))
-    return two.select("rec_id", F.lit(0).alias("pos"), "find", replace.alias("replace"), F.when(F.col("rec_id") % 11 == 0, F.lit("soon")).otherwise(tc.clock(F.col("at"))).alias("time"))
-
-
-@query("r2_outcomes")
+    """Up to six of each recording, at its first places with one of three words after another: these two to be replaced
+    so that the second becomes a term; the fourth adds a word, the fifth changes nothing, the sixth has no time."""
+    spoken = tx.normal(F.col("text"))
+    two = w.select("rec_id", "idx", spoken.alias("n"), F.lag("text").over(wd.in_order()).alias("before"), "text", F.lag("start").over(wd.in_order()).alias("at"))
+    two = two.where(F.col("n").isin("the", "and", "of") & F.col("idx").between(10, 400))
+    two = two.withColumn("pos", F.row_number().over(wd.in_order()) - 1).where("pos < 6")
+    term = F.element_at(F.create_map(*[F.lit(x) for x in ("the", "Thee", "and", "Andy", "of", "Off")]), F.col("n"))
+    find = F.concat_ws(" ", "before", "text")
+    replace = F.when(F.col("pos") == 4, find).otherwise(F.concat(F.concat_ws(" ", F.col("before"), term), F.when(F.col("pos") == 3, F.lit(" extra")).otherwise("")))
+    return two.select("rec_id", "pos", find.alias("find"), replace.alias("replace"), F.when(F.col("pos") == 5, F.lit("soon")).otherwise(tc.clock(F.col("at"))).alias("time"))
+
+
+OUTCOMES = f"""nw AS (SELECT rec_id, idx, text, start_ms, end_ms, {NORMAL.format("text")} AS n FROM words),
+lt AS (SELECT rec_id, string_agg(n, '' ORDER BY idx) AS letters FROM nw GROUP BY rec_id),
+we AS (SELECT *, sum(length(n)) OVER (PARTITION BY rec_id ORDER BY idx) AS e FROM nw),
+pr AS (SELECT rec_id, idx, n, text, lag(n) OVER w AS np, lag(text) OVER w AS before, lag(start_ms) OVER w AS at_ms FROM nw WINDOW w AS (PARTITION BY rec_id ORDER BY idx)),
+co0 AS (SELECT *, row_number() OVER (PARTITION BY rec_id ORDER BY idx) AS place FROM pr WHERE n IN ('the', 'and', 'of') AND idx BETWEEN 10 AND 400),
+co AS (SELECT *, place - 1 AS pos, CASE n WHEN 'the' THEN 'Thee' WHEN 'and' THEN 'Andy' ELSE 'Off' END AS term, CAST(round(at_ms / 1000.0) AS BIGINT) * 1000 AS near_ms, np || n AS target FROM co0 WHERE place <= 6),
+ch AS (SELECT *, CASE WHEN n IN (np, lower(term)) THEN '' ELSE n END AS old, CASE WHEN lower(term) IN (np, n) THEN '' ELSE lower(term) END || CASE WHEN pos = 3 THEN 'extra' ELSE '' END AS new FROM co),
+rf AS MATERIALIZED (SELECT *, CASE WHEN pos = 4 THEN 'it changes nothing' WHEN old <> new AND levenshtein(old, new) > 0.35 * greatest(length(old), length(new)) THEN 'too far from what was heard' WHEN pos = 5 THEN 'no time: soon' END AS refused FROM ch),
+st AS (SELECT rf.rec_id, pos, target, near_ms, we.idx AS first, we.start_ms, we.e - length(we.n) + length(target) AS till FROM rf JOIN lt USING (rec_id) JOIN we ON we.rec_id = rf.rec_id AND abs(we.start_ms - near_ms) <= 30000 AND substring(letters, CAST(we.e - length(we.n) + 1 AS BIGINT), length(target)) = target WHERE refused IS NULL),
+fo AS MATERIALIZED (SELECT * FROM (SELECT st.rec_id, pos, first, we.idx AS last, row_number() OVER (PARTITION BY st.rec_id, pos ORDER BY abs(st.start_ms - near_ms), first, we.idx) AS k FROM st JOIN we ON we.rec_id = st.rec_id AND we.e = till AND we.idx >= first) WHERE k = 1),
+gr AS (SELECT rec_id, list(struct_pack(first := first, pos := pos, last := last, nxt := 0::BIGINT, taken := []::BIGINT[]) ORDER BY first, pos) AS es FROM fo GROUP BY rec_id),
+tk AS (SELECT rec_id, list_reduce(es, lambda a, x: CASE WHEN x.first >= a.nxt THEN struct_pack(first := x.first, pos := x.pos, last := x.last, nxt := x.last + 1, taken := list_append(a.taken, x.pos)) ELSE a END, struct_pack(first := 0::BIGINT, pos := 0::BIGINT, last := 0::BIGINT, nxt := 0::BIGINT, taken := []::BIGINT[])).taken AS taken FROM gr),
+oc AS (SELECT rf.rec_id, rf.pos, fo.first, fo.last, before, term, coalesce(refused, CASE WHEN fo.first IS NULL THEN 'not heard around that time' WHEN NOT list_contains(taken, rf.pos) THEN 'an earlier edit covers it' END, '') AS skipped FROM rf LEFT JOIN fo ON fo.rec_id = rf.rec_id AND fo.pos = rf.pos LEFT JOIN tk ON tk.rec_id = rf.rec_id)"""
+
+
+@query("r2_outcomes", f"WITH {derived.WORDS_SQL}, {OUTCOMES} SELECT rec_id, pos, first, last, skipped = '' AS applied, skipped FROM oc")
 def r2_outcomes(spark, d):
     w = stored_words(spark, d)
-    return corrections.outcomes(w, corrections_of(w), TERMS, tables.written).select("rec_id", "pos", "applied", "skipped")
+    out = corrections.outcomes(w, tables.written(corrections_of(w), "corrections"), TERMS, tables.written)
+    return out.select("rec_id", *(F.col(c).cast("bigint").alias(c) for c in ("pos", "first", "last")), "applied", "skipped")
 
 
-@query("r9_applied")
+@query(
+    "r9_applied",
+    rf"""WITH {derived.WORDS_SQL}, {OUTCOMES},
+ed AS (SELECT oc.rec_id, oc.first, oc.last, CASE WHEN regexp_matches(before, '^\p{{P}}') THEN before ELSE regexp_extract(a.text, '^(\p{{P}}*)', 1) || before END AS t1, term || regexp_extract(b.text, '(\p{{P}}*)$', 1) AS t2, a.start_ms / 1000.0 AS t0, b.end_ms / 1000.0 AS te
+ FROM oc JOIN nw a ON a.rec_id = oc.rec_id AND a.idx = oc.first JOIN nw b ON b.rec_id = oc.rec_id AND b.idx = oc.last WHERE skipped = ''),
+ne AS (SELECT rec_id, first AS idx, 0 AS sub, t1 AS text, t0 AS s, t0 + (te - t0) * strlen(t1) / (strlen(t1) + strlen(t2)) AS e FROM ed
+ UNION ALL SELECT rec_id, first, 1, t2, t0 + (te - t0) * strlen(t1) / (strlen(t1) + strlen(t2)), t0 + (te - t0) * (strlen(t1) + strlen(t2)) / (strlen(t1) + strlen(t2)) FROM ed
+ UNION ALL SELECT nw.rec_id, idx, 0, text, start_ms / 1000.0, end_ms / 1000.0 FROM nw WHERE NOT EXISTS (SELECT 1 FROM ed WHERE ed.rec_id = nw.rec_id AND nw.idx BETWEEN ed.first AND ed.last))
+SELECT rec_id, row_number() OVER (PARTITION BY rec_id ORDER BY idx, sub) - 1 AS idx, text, CAST(round(s * 1000) AS BIGINT) AS start_ms, CAST(round(e * 1000) AS BIGINT) AS end_ms FROM ne""",
+)
 def r9_applied(spark, d):
     w = stored_words(spark, d)
-    out = tables.written(corrections.outcomes(w, corrections_of(w), TERMS, tables.written), "outcomes")
-    return corrections.applied(w, out).select("rec_id", F.col("idx").cast("bigint").alias("idx"), "text", ms("start"), ms("end"))
+    out = corrections.outcomes(w, tables.written(corrections_of(w), "corrections"), TERMS, tables.written)
+    return corrections.applied(w, tables.written(out, "outcomes")).select("rec_id", F.col("idx").cast("bigint").alias("idx"), "text", ms("start"), ms("end"))
 
 
 @query(
@@ -566,9 +596,26 @@ def clip_parts(spark, d):
     return w, clips.checked(w, t, cuts.pauses_between(w), spans, tables.written(proposals_of(w), "proposals"), 20.0, 60.0, tn.main_speaker(t, spans), tables.written)
 
 
-@query("p2_checked")
+P2 = f"""WITH {derived.WORDS_SQL}, {derived.TURNS_SQL}, spans AS (SELECT rec_id, 0.0 AS span_start, max(end_ms) / 1000.0 + 1 AS span_end FROM words GROUP BY rec_id), {MAIN},
+{OUTCOMES[: OUTCOMES.index("pr AS")]}
+pp AS (SELECT rec_id, idx // 200 AS pos, string_agg(n, '' ORDER BY idx) FILTER (idx % 200 <= 5) AS sq, string_agg(n, '' ORDER BY idx) FILTER (idx % 200 BETWEEN 54 AND 59) AS eq, min(start_ms) FILTER (idx % 200 = 0) AS s_ms, min(start_ms) FILTER (idx % 200 = 54) AS e_ms FROM nw GROUP BY ALL),
+qu AS (SELECT rec_id, pos, 0 AS k, sq AS target, CAST(round(s_ms / 1000.0) AS BIGINT) * 1000 AS near_ms FROM pp UNION ALL SELECT rec_id, pos, 1, eq, CAST(round(e_ms / 1000.0) AS BIGINT) * 1000 FROM pp),
+st AS (SELECT qu.rec_id, pos, k, near_ms, we.idx AS first, we.start_ms, we.e - length(we.n) + length(target) AS till FROM qu JOIN lt USING (rec_id) JOIN we ON we.rec_id = qu.rec_id AND abs(we.start_ms - near_ms) <= 30000 AND substring(letters, CAST(we.e - length(we.n) + 1 AS BIGINT), length(target)) = target WHERE target <> ''),
+fo AS (SELECT * FROM (SELECT st.rec_id, pos, st.k, first, we.idx AS last, row_number() OVER (PARTITION BY st.rec_id, pos, st.k ORDER BY abs(st.start_ms - near_ms), first, we.idx) AS best FROM st JOIN we ON we.rec_id = st.rec_id AND we.e = till AND we.idx >= first) WHERE best = 1),
+sd AS (SELECT pp.rec_id, pp.pos, x.first, y.last FROM pp LEFT JOIN fo x ON x.rec_id = pp.rec_id AND x.pos = pp.pos AND x.k = 0 LEFT JOIN fo y ON y.rec_id = pp.rec_id AND y.pos = pp.pos AND y.k = 1),
+ranges AS (SELECT rec_id, pos AS cut_id, first, last FROM sd WHERE last >= first), {CUTS[CUTS.index("n AS (SELECT *, lag(end_ms)") : CUTS.index("SELECT w.rec_id, w.cut_id")].rstrip()},
+cu AS (SELECT w.rec_id, w.cut_id AS pos, coalesce(bf.x.cut, greatest(fl, t0 - 300)) / 1000.0 AS s, coalesce(af.x.cut, least(ce, t1 + 500)) / 1000.0 AS e FROM win w LEFT JOIN bf USING (rec_id, cut_id) LEFT JOIN af USING (rec_id, cut_id)),
+bu AS (SELECT DISTINCT cu.rec_id, pos FROM cu JOIN spans USING (rec_id) JOIN turns u ON u.rec_id = cu.rec_id LEFT JOIN mains ON mains.rec_id = cu.rec_id WHERE u.speaker IS DISTINCT FROM main AND least(u."end", span_end) - greatest(u."start", span_start) > 0 AND least(u."end", e) - greatest(u."start", s) > 1)
+SELECT sd.rec_id, sd.pos, first, last, CAST(round(s * 2000) AS BIGINT) AS start_half_ms, CAST(round(e * 2000) AS BIGINT) AS end_half_ms,
+CASE WHEN first IS NULL OR last IS NULL THEN 'quoted words are missing' WHEN last < first THEN 'it ends before it begins' WHEN s < 0 OR e > span_end THEN 'it reaches past the talk'
+WHEN e - s < 20 OR e - s > 60 THEN 'it lasts ' || CAST(round_even(e - s, 0) AS BIGINT) || ' s' WHEN bu.pos IS NOT NULL THEN 'another voice is in it' END AS reason
+FROM sd JOIN spans USING (rec_id) LEFT JOIN cu ON cu.rec_id = sd.rec_id AND cu.pos = sd.pos LEFT JOIN bu ON bu.rec_id = sd.rec_id AND bu.pos = sd.pos"""
+
+
+@query("p2_checked", P2)
 def p2_checked(spark, d):
-    return clip_parts(spark, d)[1].select("rec_id", "pos", "first", "last", ms("start"), ms("end"), "reason")
+    half = lambda c: F.round(F.col(c) * 2000).cast("bigint").alias(f"{c}_half_ms")
+    return clip_parts(spark, d)[1].select("rec_id", "pos", *(F.col(c).cast("bigint").alias(c) for c in ("first", "last")), half("start"), half("end"), "reason")
 
 
 @query("p1_chosen")
