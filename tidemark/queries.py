@@ -422,13 +422,6 @@ def replies_of(w):
     return r.select("rec_id", F.when(F.col("rec_id") % 5 == 4, F.lit("words nobody said")).otherwise(F.col("start_quote")).alias("start_quote"), "start_time", "end_quote", "end_time", F.when(F.col("rec_id") % 3 == 0, F.lit("medium")).otherwise("high").alias("confidence"), F.array().cast("array<string>").alias("notes"))
 
 
-@query("b1_detected")
-def b1_detected(spark, d):
-    w = stored_words(spark, d)
-    found = boundaries.detected(w, turns_of(spark, d), cuts.pauses_between(w), tables.written(replies_of(w), "replies"), keep=tables.written)
-    return found.select("rec_id", "start", "end", "error", F.concat_ws("\n", "flags").alias("flags"))
-
-
 @query(
     "b4_names",
     f"""WITH {derived.WORDS_SQL}, f AS (SELECT rec_id, string_agg(text, ' ' ORDER BY idx) AS two, string_agg({NORMAL.format("text")}, '' ORDER BY idx) AS n, bool_or({NORMAL.format("text")} <> '') AS any_said FROM words WHERE idx < 2 GROUP BY rec_id),
@@ -512,6 +505,34 @@ tk AS (SELECT rec_id, list_reduce(es, lambda a, x: CASE WHEN x.first >= a.nxt TH
 oc AS (SELECT rf.rec_id, rf.pos, fo.first, fo.last, before, term, coalesce(refused, CASE WHEN fo.first IS NULL THEN 'not heard around that time' WHEN NOT list_contains(taken, rf.pos) THEN 'an earlier edit covers it' END, '') AS skipped FROM rf LEFT JOIN fo ON fo.rec_id = rf.rec_id AND fo.pos = rf.pos LEFT JOIN tk ON tk.rec_id = rf.rec_id)"""
 
 
+B1 = f"""WITH {derived.WORDS_SQL}, {derived.TURNS_SQL}, {OUTCOMES[: OUTCOMES.index("pr AS")]}
+nn AS (SELECT rec_id, max(idx) AS top FROM words GROUP BY rec_id HAVING max(idx) >= 20),
+qu AS (SELECT nw.rec_id, 0 AS k, CASE WHEN nw.rec_id % 5 = 4 THEN 'words nobody said' ELSE string_agg(text, ' ' ORDER BY idx) END AS quote, CASE WHEN nw.rec_id % 5 = 4 THEN 'wordsnobodysaid' ELSE string_agg(n, '' ORDER BY idx) END AS target, CAST(round(min(start_ms) / 1000.0) AS BIGINT) * 1000 AS near_ms FROM nw JOIN nn USING (rec_id) WHERE idx BETWEEN 3 AND 7 GROUP BY nw.rec_id
+ UNION ALL SELECT nw.rec_id, 1, string_agg(text, ' ' ORDER BY idx), string_agg(n, '' ORDER BY idx), CAST(round(min(start_ms) / 1000.0) AS BIGINT) * 1000 FROM nw JOIN nn USING (rec_id) WHERE idx BETWEEN top - 8 AND top - 3 GROUP BY nw.rec_id),
+st AS (SELECT qu.rec_id, k, near_ms, we.idx AS first, we.start_ms, we.e - length(we.n) + length(target) AS till FROM qu JOIN lt ON lt.rec_id = qu.rec_id JOIN we ON we.rec_id = qu.rec_id AND abs(we.start_ms - near_ms) <= 45000 AND substring(letters, CAST(we.e - length(we.n) + 1 AS BIGINT), length(target)) = target WHERE target <> ''),
+fo AS (SELECT * FROM (SELECT st.rec_id, st.k, first, we.idx AS last, row_number() OVER (PARTITION BY st.rec_id, st.k ORDER BY abs(st.start_ms - near_ms), first, we.idx) AS best FROM st JOIN we ON we.rec_id = st.rec_id AND we.e = till AND we.idx >= first) WHERE best = 1),
+sd AS (SELECT x.rec_id, a.first, b.last, CASE WHEN a.first IS NULL THEN 'not in the transcript: ' || x.quote WHEN b.first IS NULL THEN 'not in the transcript: ' || y.quote WHEN b.last <= a.first THEN 'the end is not after the start' END AS error
+ FROM qu x JOIN qu y ON y.rec_id = x.rec_id AND x.k = 0 AND y.k = 1 LEFT JOIN fo a ON a.rec_id = x.rec_id AND a.k = 0 LEFT JOIN fo b ON b.rec_id = x.rec_id AND b.k = 1),
+ranges AS (SELECT rec_id, 0 AS cut_id, first, last FROM sd WHERE error IS NULL), {CUTS[CUTS.index("n AS (SELECT *, lag(end_ms)") : CUTS.index("SELECT w.rec_id, w.cut_id")].rstrip()},
+cu AS (SELECT w.rec_id, coalesce(bf.x.cut, greatest(fl, t0 - 300)) / 1000.0 AS span_start, coalesce(af.x.cut, least(ce, t1 + 500)) / 1000.0 AS span_end, bf.x IS NOT NULL AND af.x IS NOT NULL AS found FROM win w LEFT JOIN bf USING (rec_id, cut_id) LEFT JOIN af USING (rec_id, cut_id)),
+spans AS (SELECT rec_id, span_start, span_end FROM cu), {MAIN},
+ed AS (SELECT rec_id, 0 AS k, span_start + 2 AS t FROM cu UNION ALL SELECT rec_id, 1, span_end - 2 FROM cu),
+wh AS (SELECT ed.rec_id, ed.k, CAST(round(any_value(t)) AS BIGINT) AS s, arg_min(speaker, idx) AS who FROM ed JOIN turns u ON u.rec_id = ed.rec_id AND t >= "start" AND t < "end" GROUP BY ed.rec_id, ed.k),
+fl AS (SELECT rec_id, 0 AS k, 'Stated confidence: medium.' AS flag FROM sd WHERE rec_id % 3 = 0 UNION ALL SELECT rec_id, 1, 'A cut without a pause; it follows word times.' FROM cu WHERE NOT found
+ UNION ALL SELECT rec_id, 2, 'Unusual length: ' || CAST(round_even((span_end - span_start) / 60, 0) AS BIGINT) || ' minutes.' FROM cu WHERE (span_end - span_start) / 60 < 15 OR (span_end - span_start) / 60 > 80
+ UNION ALL SELECT wh.rec_id, 3 + k, 'Another voice than the main one just ' || CASE k WHEN 0 THEN 'after the start' ELSE 'before the end' END || ' (' || {CLOCK.format(s="s")} || ').' FROM wh LEFT JOIN mains ON mains.rec_id = wh.rec_id WHERE who IS DISTINCT FROM main),
+fs AS (SELECT rec_id, string_agg(flag, chr(10) ORDER BY k) AS flags FROM fl GROUP BY rec_id)
+SELECT sd.rec_id, CAST(round(span_start * 2000) AS BIGINT) AS start_half_ms, CAST(round(span_end * 2000) AS BIGINT) AS end_half_ms, error, coalesce(flags, '') AS flags FROM sd LEFT JOIN cu ON cu.rec_id = sd.rec_id LEFT JOIN fs ON fs.rec_id = sd.rec_id"""
+
+
+@query("b1_detected", B1)
+def b1_detected(spark, d):
+    w = stored_words(spark, d)
+    found = boundaries.detected(w, turns_of(spark, d), cuts.pauses_between(w), tables.written(replies_of(w), "replies"), keep=tables.written)
+    half = lambda c: F.round(F.col(c) * 2000).cast("bigint").alias(f"{c}_half_ms")
+    return found.select("rec_id", half("start"), half("end"), "error", F.concat_ws("\n", "flags").alias("flags"))
+
+
 @query("r2_outcomes", f"WITH {derived.WORDS_SQL}, {OUTCOMES} SELECT rec_id, pos, first, last, skipped = '' AS applied, skipped FROM oc")
 def r2_outcomes(spark, d):
     w = stored_words(spark, d)
@@ -618,14 +639,25 @@ def p2_checked(spark, d):
     return clip_parts(spark, d)[1].select("rec_id", "pos", *(F.col(c).cast("bigint").alias(c) for c in ("first", "last")), half("start"), half("end"), "reason")
 
 
-@query("p1_chosen")
+P1 = f"""WITH p2 AS ({P2}), ok AS (SELECT rec_id, pos, start_half_ms AS a, end_half_ms AS b, row_number() OVER (PARTITION BY rec_id ORDER BY pos) AS number FROM p2 WHERE reason IS NULL),
+sc AS (SELECT *, CASE WHEN number % 6 <> 5 THEN greatest(1, least(10, (number * 7 + rec_id) % 11)) END AS score FROM ok),
+rf AS (SELECT *, CASE WHEN score IS NULL THEN 'no review' WHEN number % 4 = 3 THEN 'turned down: so' WHEN score < 4 THEN 'too weak, ' || score || ' of 10: so' END AS refused FROM sc),
+gr AS (SELECT rec_id, list(struct_pack(number := number, a := a, b := b, taken := []::STRUCT(number BIGINT, a BIGINT, b BIGINT)[]) ORDER BY score DESC, number) AS items FROM rf WHERE refused IS NULL GROUP BY rec_id),
+tk AS (SELECT rec_id, list_reduce(items, lambda s, x: CASE WHEN len(s.taken) < 3 AND len(list_filter(s.taken, lambda y: least(x.b, y.b) > greatest(x.a, y.a))) = 0 THEN struct_pack(number := x.number, a := x.a, b := x.b, taken := list_append(s.taken, struct_pack(number := x.number, a := x.a, b := x.b))) ELSE s END,
+ struct_pack(number := 0::BIGINT, a := 0::BIGINT, b := 0::BIGINT, taken := []::STRUCT(number BIGINT, a BIGINT, b BIGINT)[])).taken AS taken FROM gr),
+pl AS (SELECT rf.*, coalesce(taken, []) AS taken, list_position(list_transform(coalesce(taken, []), lambda y: y.number), rf.number) AS place FROM rf LEFT JOIN tk ON tk.rec_id = rf.rec_id)
+SELECT rec_id, number, CAST(score AS INTEGER) AS score, coalesce(refused, CASE WHEN place > 0 THEN 'chosen' WHEN len(list_filter(taken, lambda y: least(b, y.b) > greatest(a, y.a))) > 0 THEN 'shares time with a better one' ELSE 'not needed' END) AS verdict,
+CASE WHEN place > 0 THEN printf('%02d', place) || '-clip-' || pos || '-its-fine' END AS clip_id FROM pl"""
+
+
+@query("p1_chosen", P1)
 def p1_chosen(spark, d):
     ok = tables.written(clip_parts(spark, d)[1].where(F.col("reason").isNull()), "candidates")
     number = F.row_number().over(wd.Window.partitionBy("rec_id").orderBy("pos"))
     c = ok.withColumn("number", number)
     score = (F.col("number") * 7 + F.col("rec_id")) % 11
     reviews = c.where("number % 6 <> 5").select("rec_id", F.col("number").alias("pos"), "number", F.when(F.col("number") % 4 == 3, F.lit("reject")).otherwise("keep").alias("verdict"), F.lit("so").alias("reason"), score.cast("int").alias("score"))
-    return clips.chosen(c, reviews, 3, 4).select("rec_id", "number", "score", "verdict", "clip_id")
+    return clips.chosen(c, reviews, 3, 4).select("rec_id", F.col("number").cast("bigint").alias("number"), "score", "verdict", "clip_id")
 
 
 @query(
@@ -823,7 +855,20 @@ def x12_folder_names(spark, d):
 # --- pages
 
 
-@query("h1_page_texts")
+#: The general tables' pages have no more kinds of markup and references than this.
+PAGES = r"""pg AS (SELECT page_id, url, replace(replace(replace(html, '&copy;', '©'), '&middot;', '·'), '&amp;', '&') AS html FROM pages),
+ti AS (SELECT page_id, trim(regexp_extract(html, '(?s)<title>(.*?)</title>', 1)) AS title, regexp_extract_all(html, '<a href="[^"]*">([^<]*)</a>', 1) AS links FROM pg)"""
+
+
+@query(
+    "h1_page_texts",
+    f"""WITH {PAGES}, b AS (SELECT page_id, string_split(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<title>.*?</title>|<!--.*?-->', '', 'g'),
+ '<(br|p|div|section|article|header|footer|li|h[1-6]|tr|nav)( [^>]*)?>', chr(10), 'g'), '<[^>]*>', '', 'g'), chr(10)) AS ls FROM pg),
+l AS (SELECT page_id, i, array_to_string(list_filter(string_split_regex(ls[i], '[\\s\\p{{Z}}]+'), lambda x: x <> ''), ' ') AS line FROM (SELECT page_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM b)),
+u AS (SELECT page_id, line, min(i) AS i FROM l WHERE line <> '' GROUP BY page_id, line),
+t AS (SELECT page_id, left(string_agg(line, chr(10) ORDER BY i), 12000) AS text FROM u GROUP BY page_id)
+SELECT page_id, title, coalesce(text, '') AS text, CAST(len(links) AS INTEGER) AS n_links FROM ti LEFT JOIN t USING (page_id)""",
+)
 def h1_page_texts(spark, d):
     return web.parsed(load(spark, d, "pages")).select("page_id", "title", web.tidy(F.col("raw")).alias("text"), F.size("links").alias("n_links"))
 
@@ -932,7 +977,17 @@ def m5_chapter_files(spark, d):
     return c.groupBy("rec_id").agg(files.chapter_metadata(F.array_sort(F.collect_list(F.struct("start", "end", "title")))).alias("text"))
 
 
-@query("m6_settings_texts")
+@query(
+    "m6_settings_texts",
+    f"""WITH {PAGES}, d AS (SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)), '^www[.]', '') AS domain FROM pg),
+l AS (SELECT page_id, i, array_to_string(list_filter(string_split_regex(links[i], '[\\s\\p{{Z}}]+'), lambda x: x <> ''), ' ') AS term FROM (SELECT page_id, links, unnest(range(1, len(links) + 1)) AS i FROM ti)),
+u AS (SELECT * FROM l WHERE term <> '' QUALIFY row_number() OVER (PARTITION BY page_id, lower(term) ORDER BY i) = 1),
+g AS (SELECT page_id, string_agg('  "' || regexp_replace(term, '(["\\\\])', '\\\\\\1', 'g') || '",' || chr(10), '' ORDER BY i) AS terms FROM u GROUP BY page_id),
+n AS (SELECT page_id, '"' || regexp_replace(array_to_string(list_filter(string_split_regex(title, '[\\s\\p{{Z}}]+'), lambda x: x <> ''), ' '), '(["\\\\])', '\\\\\\1', 'g') || '"' || CASE WHEN title = '' THEN ' # TODO: fill in' ELSE '' END AS name FROM ti)
+SELECT page_id, '[talk]' || chr(10) || 'name = ' || name || chr(10) || 'website = "' || domain || '"' || chr(10) || 'location = "" # TODO: fill in' || chr(10) || 'mission = "" # TODO: fill in' || chr(10) || 'podcast = ' || name || chr(10)
+|| 'preachers = [] # TODO: none found' || chr(10) || chr(10) || '[transcription]' || chr(10) || CASE WHEN terms IS NULL THEN 'glossary = [] # TODO: none found' || chr(10) ELSE 'glossary = [' || chr(10) || terms || ']' || chr(10) END AS text
+FROM n JOIN d USING (page_id) LEFT JOIN g ON g.page_id = n.page_id""",
+)
 def m6_settings_texts(spark, d):
     p = web.parsed(load(spark, d, "pages"))
     terms = web.clean_details(F.transform("links", lambda x: x["text"]))
