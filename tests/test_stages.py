@@ -38,7 +38,7 @@ def job(spark, tmp_path_factory):
 
 @pytest.fixture(scope="module")
 def results(job):
-    return stages.run(job)
+    return stages.run(job, slots=6)
 
 
 def rows(job, name, key="rec_id"):
