@@ -881,7 +881,7 @@ def h5_domains(spark, d):
     return load(spark, d, "pages").select("page_id", web.domain(F.col("url")).alias("domain"), web.homepage(F.col("url")).alias("home"))
 
 
-LINKS = """<nav><a href="/about-us">About us</a><a href="/about-us#team">Our team</a><a href="http://www.{h}/staff/index.html?x=1">Who leads</a><a href="/files/sermons.pdf">Sermons</a><a href="https://other.example/contact">Contact</a><a href="/give">Give</a><a href="/p/visit.php">Plan a visit</a>"""
+LINKS = """<nav><a href="/about-us">About us</a><a href="/about-us#team">Our team</a><a href="http://www.{h}/staff/index.html?x=1">Who leads</a><a href="/files/messages.pdf">Messages</a><a href="https://other.example/contact">Contact</a><a href="/give">Give</a><a href="/p/visit.php">Plan a visit</a>"""
 
 
 @query(
