@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import decontam, html_extract, lexical, license_scan, line_dedup, packing, periodic, pii, quality, sharding, simhash, suffix_dedup
+from tidemark.llm import decontam, html_extract, lexical, license_scan, line_dedup, packing, periodic, pii, quality, sharding, simhash, substring_dedup, suffix_dedup
 from tidemark.llm.common import table
 
 
@@ -19,9 +19,10 @@ def queries():
         "op9_text_to_tag": lambda s, d: html_extract.op9_text_to_tag(table(s, d, "pages")),
         "op10_wu_manber": lambda s, d: decontam.op10_wu_manber(table(s, d, "documents"), table(s, d, "benchmark")),
         "op11_sharded_postings": lambda s, d: lexical.op11_sharded_postings(table(s, d, "documents"), table(s, d, "benchmark")),
+        "op12_prefix_subtrees": lambda s, d: substring_dedup.op12_prefix_subtrees(table(s, d, "documents")),
         "op13_harmonic_grid": lambda s, d: periodic.op13_harmonic_grid(table(s, d, "documents")),
     }
 
 
 def oracle_sql():
-    return {"op1_site_spread": line_dedup.ORACLE_SQL, "op10_wu_manber": decontam.ORACLE_SQL, "op11_sharded_postings": lexical.ORACLE_SQL}
+    return {"op1_site_spread": line_dedup.ORACLE_SQL, "op10_wu_manber": decontam.ORACLE_SQL, "op11_sharded_postings": lexical.ORACLE_SQL, "op12_prefix_subtrees": substring_dedup.ORACLE_SQL}
