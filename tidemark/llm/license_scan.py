@@ -13,6 +13,7 @@ from __future__ import annotations
 import functools
 from dataclasses import dataclass
 
+import numpy as np
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -52,6 +53,10 @@ NOTICES = (
 )
 
 
+#: Windows of a notice whose verdicts are kept while a text is searched: repeated passages are verified once.
+WINDOWS_KEPT = 4096
+
+
 def pieces(phrase: str, edits: int) -> list[tuple[int, str]]:
     """``edits + 1`` pieces of nearly equal length, with their offsets."""
     n, k = len(phrase), edits + 1
@@ -68,6 +73,7 @@ class Scanner:
                 self.seeds.setdefault(piece.encode(), []).append((i, offset))
         self.fuzzy = [regex.compile(rf"(?b)(?<= )(?:{regex.escape(x.phrase, literal_spaces=True)}){{e<={x.edits}}}(?= )") for x in notices]
         self.digits = [[c for c in x.phrase if c.isdigit()] for x in notices]
+        self.exact = [b" " + x.phrase.encode() + b" " for x in notices]
 
     def normal(self, text: bytes | None) -> bytes:
         """The words with single blanks around each."""
@@ -85,35 +91,53 @@ class Scanner:
                 at = norm.find(seed, at + 1)
         found = []
         for i, starts in spots.items():
-            x, seen = self.notices[i], {}
+            x, seen, tried = self.notices[i], {}, {}
             slack = 4 * x.edits  # bytes of as many characters
             for start in sorted(starts):
+                if start > 0 and norm.startswith(self.exact[i], start - 1):  # nothing in the window is better
+                    seen[start, start + len(self.exact[i]) - 2] = 0
+                    continue
                 lo = norm.find(b" ", max(start - slack - 1, 0), start + slack)  # where a word may begin, with its blank
                 if lo < 0:
                     continue
                 hi = min(start + len(x.phrase) + 2 * slack + 1, len(norm))
                 while hi < len(norm) and norm[hi] & 0xC0 == 0x80:
                     hi += 1  # whole characters
-                window = norm[lo:hi].decode()
-                m = self.fuzzy[i].search(window)
-                if not m or [c for c in m[0] if c.isdigit()] != self.digits[i]:
-                    continue  # another version is another license
-                a = lo + len(window[: m.start()].encode())
-                seen[a, a + len(m[0].encode())] = sum(m.fuzzy_counts)
+                window = norm[lo:hi]
+                if window not in tried:
+                    if len(tried) >= WINDOWS_KEPT:
+                        tried.clear()
+                    tried[window] = self.verified(i, window)
+                if tried[window]:
+                    a, b, edits = tried[window]
+                    seen[lo + a, lo + b] = edits
             found += [(i, *span, edits) for span, edits in seen.items()]
         return sorted(found, key=lambda f: (f[1], f[2], f[0]))
 
-    def places(self, norm: bytes, found: list) -> list[tuple[int, int]]:
+    def verified(self, i: int, window: bytes) -> tuple[int, int, int] | None:
+        """First byte, end byte and edits of the best place of a notice in a window; another version is another license."""
+        text = window.decode()
+        m = self.fuzzy[i].search(text)
+        if not m or [c for c in m[0] if c.isdigit()] != self.digits[i]:
+            return None
+        a = len(text[: m.start()].encode())
+        return a, a + len(m[0].encode()), sum(m.fuzzy_counts)
+
+    def places(self, norm: bytes, blanks: np.ndarray, found: list) -> list[tuple[int, int]]:
         """(word, notice) of each place where a base phrase's words stand consecutively: an exact check of what the search located."""
         out = []
         for i in {i for i, *_ in found if self.notices[i].base}:
-            key = b" " + self.notices[i].phrase.encode() + b" "
-            at = norm.find(key)
+            starts, at = [], norm.find(self.exact[i])
             while at >= 0:
-                out.append((norm.count(b" ", 0, at + 1) - 1, i))
-                at = norm.find(key, at + 1)
+                starts.append(at)
+                at = norm.find(self.exact[i], at + 1)
+            out += [(word, i) for word in np.searchsorted(blanks, starts).tolist()]
         return sorted(out)
 
+    def blanks(self, norm: bytes) -> np.ndarray:
+        """Places of the blanks: the word after blank k is word k."""
+        return np.flatnonzero(np.frombuffer(norm, dtype=np.uint8) == 0x20)
+
 
 @functools.cache
 def scanner() -> Scanner:
@@ -138,7 +162,9 @@ def license_notices(docs: DataFrame, *, keep: list[str], text_col: str = "text")
             for text in values(batch.column("__text"), binary=True):
                 norm = s.normal(text)
                 found = s.scan(norm)
-                base = s.places(norm, found) if found else []
+                blanks = s.blanks(norm) if found else ()
+                base = s.places(norm, blanks, found) if found else []
+                spans = np.searchsorted(blanks, [f[1:3] for f in found]).tolist()
                 base_labels = {s.notices[i].label for _, i in base}
                 labels = base_labels | {s.notices[i].label for i, *_ in found}
                 cols["n_words"].append(norm.count(b" ") - 1)
@@ -148,7 +174,7 @@ def license_notices(docs: DataFrame, *, keep: list[str], text_col: str = "text")
                 cols["base_labels"].append(",".join(sorted(base_labels)))
                 cols["labels"].append(",".join(sorted(labels)))
                 cols["score"].append(max((1 - e / len(s.notices[i].phrase) for i, _, _, e in found), default=0.0))
-                cols["notices"].append([{"label": s.notices[i].label, "first": norm.count(b" ", 0, a) - 1, "end": norm.count(b" ", 0, b), "edits": e} for i, a, b, e in found])
+                cols["notices"].append([{"label": s.notices[i].label, "first": first - 1, "end": end, "edits": e} for (i, _, _, e), (first, end) in zip(found, spans, strict=True)])
             return {k: batch.column(k) for k in keep} | cols
 
         return fn
