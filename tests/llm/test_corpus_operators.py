@@ -177,6 +177,20 @@ def test_notices_in_very_long_texts(part):
     assert len(found) == (5000 if part.startswith("all") else 0)
 
 
+@pytest.mark.parametrize("part", ["cc by nc ", "all rights reserved ", "all rights reserve ", "under the mit license ", "apache license version 2 x ", "license "])
+def test_repeated_notices_take_time_in_proportion(part):
+    text = (part * (1_000_000 // len(part))).encode()
+    s = license_scan.scanner()
+    began = time.monotonic()
+    norm = s.normal(text)
+    found = s.scan(norm)
+    places = s.places(norm, s.blanks(norm), found)
+    assert time.monotonic() - began < 2
+    base = ("cc by nc ", "under the mit license ", "apache license version 2 x ")
+    per = len(part.split())
+    assert [w for w, _ in places] == ([per * k for k in range(1_000_000 // len(part))] if part in base else [])
+
+
 def test_notices_beside_other_letters():
     """A window is cut inside words and characters; what stands there never counts as a word's end."""
     s = license_scan.scanner()
@@ -777,6 +791,20 @@ def test_decontamination_equals_brute_force(spark, docs, rows, none, monkeypatch
         assert not any(r.contaminated for r in decontam.op10_wu_manber(docs, bench.limit(0)).collect())
 
 
+def test_many_items_of_one_window(spark):
+    window = [f"w{i}" for i in range(10)]
+    items = [(f"i{k:06}", tuple(w.encode() for w in window)) for k in range(100_000)]
+    began = time.monotonic()
+    [searcher] = decontam.build(items + items[:5])
+    assert time.monotonic() - began < 2
+    found = list(searcher.scan([w.encode() for w in ["x", *window, *window]]))
+    assert [at for at, _ in found] == [1, 11] and list(found[0][1]) == [i for i, _ in items]
+    docs = spark.createDataFrame([(1, " ".join(window * 300))], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(f"i{k}", " ".join(window)) for k in range(3000)], "item_id string, text string")
+    [r] = decontam.op10_wu_manber(docs, bench).collect()
+    assert (r.n_hit, r.n_items) == (3000, 3000)
+
+
 def test_tables_are_built_once_a_task(monkeypatch):
     """The function of a task builds when it is made, not when rows come."""
     import pyarrow as pa

@@ -38,11 +38,11 @@ def windows_of(words: list[bytes], size: int = WINDOW_WORDS) -> list[tuple[bytes
 class WuManber:
     """Finds all occurrences of word patterns of one length."""
 
-    def __init__(self, patterns: dict[tuple[bytes, ...], list[str]], length: int):
+    def __init__(self, patterns: dict[tuple[bytes, ...], dict[str, None]], length: int):
         self.length, self.block = length, min(2, length)
         self.reach = length - self.block + 1
         self.shift: dict[bytes, int] = {}
-        self.buckets: dict[bytes, dict[tuple[bytes, ...], list[str]]] = {}
+        self.buckets: dict[bytes, dict[tuple[bytes, ...], dict[str, None]]] = {}
         for pattern, ids in patterns.items():
             for end in range(self.block, length + 1):
                 key = b" ".join(pattern[end - self.block : end])
@@ -66,11 +66,11 @@ class WuManber:
 
 
 def build(items: list[tuple[str | None, tuple[bytes, ...]]]) -> list[WuManber]:
-    by_length: dict[int, dict[tuple[bytes, ...], list[str]]] = {}
+    by_length: dict[int, dict[tuple[bytes, ...], dict[str, None]]] = {}
     for item, window in items:
-        ids = by_length.setdefault(len(window), {}).setdefault(window, [])
-        if item is not None and item not in ids:
-            ids.append(item)
+        ids = by_length.setdefault(len(window), {}).setdefault(window, {})
+        if item is not None:
+            ids[item] = None
     return [WuManber(found, length) for length, found in sorted(by_length.items())]
 
 
@@ -114,14 +114,14 @@ def searched(docs: DataFrame, block: Broadcast | None, *, keep: list[str], read:
             n_words, spans, items = [], [], []
             for text in values(batch.column(read), binary=True):
                 own = alnum_words(text)
-                hits, ids = [], set()
+                hits, owners = [], {}  # a window's items are looked at once, however often it is there
                 for s in searchers:
                     for start, found in s.scan(own):
                         hits.append((start, start + s.length))
-                        ids.update(found)
+                        owners[id(found)] = found
                 n_words.append(len(own))
                 spans.append([{"start": a, "end": b} for a, b in merged(hits)])
-                items.append(sorted(ids))
+                items.append(sorted(set().union(*owners.values())))
             return {k: batch.column(k) for k in keep} | {"n_words": n_words, "spans": spans, "item_ids": items}
 
         return fn
