@@ -3,17 +3,21 @@
 The standard library's parser streams events. Each block of text is a line with a ratio of text characters to tags;
 the ratios of all lines, in page order, are smoothed with a Gaussian and split by a threshold (two-means, started at
 the mean's half and the maximum). The content region is the smallest element that holds nearly all text of the lines
-above the threshold, or an article or main element with most of it; its lines, short ones too, are the result.
+above the threshold, or the article elements if they have most of it or the page's title, or a main element with most;
+its lines, short ones too, are the result, with a title that stands right before it.
 
-Menus, headers, footers, sidebars, notices, adverts, forms and comments that lie inside the region, named by their tag
-or role or by a whole class or id, then go. A name alone decides nothing: an element that holds most of the dense text
-around it, with no article beside it, is a wrapper whatever it is called, and stays.
+Menus, headers, footers, sidebars, notices, adverts, forms and comments, named by their tag or role or by a whole class
+or id, go. Some pages put such a name on the element that holds all of the page: a named element is a wrapper, and stays,
+if it holds most of the dense text that is left and either the title or no prose stands outside it unnamed. One named
+as comments, consent or an advert is a wrapper only where nothing else is dense.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,7 +34,9 @@ REGIONS = frozenset("article main section div body html td".split())
 ARTICLES = frozenset("article main".split())
 #: Words of which the names of boilerplate are made, words that may stand beside them, and words that make a class a
 #: statement about a page ("has-sidebar", "no-comments", "ad-free") instead of the name of an element.
-NAMED = frozenset("ad ads advert adverts advertisement advertising advertisements sponsor sponsored sponsors promo promotion promotions banner adsbygoogle adsense nav navbar navigation menu breadcrumb breadcrumbs side sidebar alert footer masthead cookie cookies consent notice notices gdpr popup modal overlay comment comments disqus reply replies respond share sharing newsletter subscribe subscription signup login related recommended recommendations widget widgets toolbar pagination pager complementary contentinfo search skip social".split())
+NAMED = frozenset("ad ads advert adverts advertisement advertising advertisements sponsor sponsored sponsors promo promotion promotions banner adsbygoogle adsense nav navbar navigation menu breadcrumb breadcrumbs side sidebar alert footer masthead cookie cookies consent notice notices gdpr popup modal overlay comment comments disqus reply replies respond share sharing newsletter subscribe subscription signup login related recommended recommendations widget widgets toolbar pagination pager complementary contentinfo search skip social discussion discussions responses talkback outbrain taboola".split())
+#: Of these words, those of what readers, advertisers and lawyers say: never the article where there is another text.
+OTHERS = frozenset("ad ads advert adverts advertisement advertising advertisements sponsor sponsored sponsors promo promotion promotions adsbygoogle adsense outbrain taboola cookie cookies consent gdpr comment comments disqus reply replies respond responses talkback discussion discussions newsletter subscribe subscription signup".split())
 BESIDE = frozenset("site page main global top bottom left right primary secondary first last box bar block section area container wrapper wrap inner outer list item items link links button buttons form panel module group holder slot unit zone content body text title heading header meta info thread tree the our post article entry user reader readers page widget mobile desktop sticky fixed inline small large big wide narrow new policy law message more popular articles posts stories news google also like icon icons row col column grid bg dark light depth even odd children child parent".split())
 STATES = frozenset("has have no not non without with free off disabled enabled hide hidden show layout is open closed supports".split())
 #: A header is the site's unless it is in an article or named as an article's.
@@ -42,8 +48,15 @@ ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td"
 LISTS = ("ul", "ol", "dl", "table", "select", "tbody")
 SIGMA = 1.0
 SHARE = 0.9
-#: A named element is a wrapper if no more than this share of the dense text around it lies outside it.
+#: A named element is a wrapper only if no more than this share of the dense text around it lies outside it.
 OUTSIDE = 0.2
+#: Elements of prose, and words that make any line prose.
+PROSE, PROSE_WORDS = frozenset("p pre blockquote h1".split()), 12
+RIGHTS = re.compile(r"(?i)©|\(c\) |copyright\b")
+#: An article beside others of other parents counts if it has this share of the largest one's dense text.
+BESIDES = 0.1
+#: Lines that may stand between a title and the region that it is the title of.
+BETWEEN = 3
 
 
 def names_boilerplate(token: str) -> bool:
@@ -65,6 +78,29 @@ def named_boilerplate(attrs: list[tuple[str, str | None]], inside: bool) -> bool
     return False
 
 
+def of_others(attrs: list[tuple[str, str | None]]) -> bool:
+    return any(w.lower() in OTHERS for k, v in attrs if k in ("class", "id", "role") and v for token in v.split() if names_boilerplate(token) for w in WORDS.findall(token))
+
+
+class Line(NamedTuple):
+    text: str
+    tags: int
+    region: int
+    mark: int  # of the innermost named element, -1 in none
+    inside: bool  # an article or main element
+    block: str  # tag of the innermost block
+
+    def prose(self) -> bool:
+        n = self.text.count(" ") + 1
+        return (self.block in PROSE and n >= 3 or n >= PROSE_WORDS) and not RIGHTS.match(self.text)
+
+
+class Mark(NamedTuple):
+    around: int  # the mark around it
+    may_wrap: bool
+    others: bool  # named as comments, consent or an advert
+
+
 class Blocks(MarkupReader):
     """Collects the lines of a page while events stream by, and the regions they are in.
 
@@ -78,8 +114,8 @@ class Blocks(MarkupReader):
         self.blocks: list[int] = []  # places of blocks
         self.regions: list[tuple[str, int, str]] = [("", -1, "")]  # tag, parent, class
         self.last: list[int] = [0]
-        self.marks: list[tuple[int, bool]] = []  # of each named element: the mark around it, and whether it may be a wrapper
-        self.lines: list[tuple[str, int, int, int, bool]] = []  # text, tags, region, mark, in an article
+        self.marks: list[Mark] = []
+        self.lines: list[Line] = []
         self.text: list[str] = []
         self.tags = 0
 
@@ -90,7 +126,7 @@ class Blocks(MarkupReader):
         line = " ".join("".join(self.text).split())
         if line:
             region, mark, _, inside = self.state()
-            self.lines.append((line, max(1, self.tags), region, mark, inside))
+            self.lines.append(Line(line, max(1, self.tags), region, mark, inside, self.stack[self.blocks[-1]][0] if self.blocks else ""))
             self.tags = 0
         self.text = []
 
@@ -130,7 +166,7 @@ class Blocks(MarkupReader):
             hidden = any(k == "hidden" or k == "aria-hidden" and v == "true" for k, v in attrs)
             by_tag = tag in BOILERPLATE or tag == "header" and not inside
             if by_tag or named_boilerplate(attrs, inside):
-                self.marks.append((mark, not hidden and (tag == "form" or not by_tag)))
+                self.marks.append(Mark(mark, not hidden and (tag == "form" or not by_tag), of_others(attrs)))
                 mark = len(self.marks) - 1
         if tag in REGIONS:
             self.regions.append((tag, region, next((v or "" for k, v in attrs if k == "class"), "")))
@@ -186,61 +222,114 @@ def threshold(ratios: list[float]) -> float:
     return min((low + high) / 2, max(ratios))
 
 
-def kept_marks(p: Blocks, weights: list[float]) -> list[bool]:
-    """Of each named element, whether it is boilerplate: not if it, or an unnamed one around it, is a wrapper of nearly
-    all dense text around it with no text of an article beside it. ``weights``: of each line, its dense text. A form can be
-    a wrapper; other elements named by their tag, and hidden ones, can't."""
+def boilerplate(p: Blocks, weights: list[float]) -> list[bool]:
+    """Of each named element, whether it goes: all but wrappers, and what is in one that goes. ``weights``: of each line,
+    its dense text. A form can be a wrapper; other elements named by their tag, and hidden ones, can't."""
     n = len(p.marks)
-    inner, article = [0.0] * (n + 1), [False] * (n + 1)  # by mark, the last place for lines in none
-    for (_, _, _, mark, inside), w in zip(p.lines, weights, strict=True):
-        inner[mark] += w
-        article[mark] |= inside
+    inner, own, title, prose, article = [0.0] * (n + 1), [0.0] * (n + 1), [False] * (n + 1), [False] * (n + 1), [False] * (n + 1)  # by mark, the last place for lines in none
+    for line, w in zip(p.lines, weights, strict=True):
+        inner[line.mark] += w
+        own[line.mark] += w
+        title[line.mark] |= line.block == "h1"
+        prose[line.mark] |= line.prose()
+        article[line.mark] |= line.inside
     children: list[list[int]] = [[] for _ in range(n + 1)]
     for m in range(n - 1, -1, -1):
-        around = p.marks[m][0]
+        around = p.marks[m].around
         inner[around] += inner[m]  # -1 is the last place
+        title[around] |= title[m]
         children[around].append(m)
     bad = [True] * n
     todo = [n]
     while todo:
         around = todo.pop()
-        for m in children[around]:
-            outside = inner[around] - inner[m]
-            if p.marks[m][1] and inner[m] > 0 and outside <= OUTSIDE * inner[around] and not article[around]:
-                bad[m] = False
-                todo.append(m)
+        if article[around]:
+            continue  # an article beside them is what the page is about
+        can = [m for m in children[around] if p.marks[m].may_wrap and inner[m] > 0]
+        left = own[around] + sum(inner[m] for m in can if not p.marks[m].others)
+        found = [m for m in can if not p.marks[m].others and left - inner[m] <= OUTSIDE * left and (title[m] or not prose[around])]
+        theirs = sum(inner[m] for m in can if p.marks[m].others)
+        if not found and not prose[around] and left <= OUTSIDE * theirs:
+            found = [m for m in can if p.marks[m].others and theirs - inner[m] <= OUTSIDE * theirs]
+        for m in found:
+            bad[m] = False
+        todo += found
     for m in range(n):  # what is inside boilerplate is boilerplate
-        around = p.marks[m][0]
+        around = p.marks[m].around
         if around >= 0 and bad[around]:
             bad[m] = True
     return bad
 
 
-def region_of(p: Blocks, lines: list[tuple], weights: list[float]) -> int:
-    """An article or main element with most of the dense text; else the deepest element with nearly all of it. One of
-    several elements alike that follow each other (paragraphs as divisions) is no region: what holds them is."""
-    weight = [0.0] * len(p.regions)
-    for (_, _, region, *_), w in zip(lines, weights, strict=True):
-        weight[region] += w
+def articles(p: Blocks, lines: list[Line], weight: list[float], depth: list[int]) -> list[int]:
+    """The outermost article elements if they are what the page is about: together they have most of the dense text
+    (``weight`` by region), or the only one has the title. Of several, those of one kind of parent and others that aren't
+    short beside the longest; a single one gives way to an article in it that has nearly all of its text."""
+    length = by_region(p, lines, [len(x.text) for x in lines])
+    outer: list[int] = []
+    for r in range(1, len(p.regions)):
+        if p.regions[r][0] == "article" and length[r] and not (outer and r <= p.last[outer[-1]]):
+            outer.append(r)
+    titles = [x.region for x in lines if x.block == "h1"]
+    entitled = len(outer) == 1 and any(outer[0] <= r <= p.last[outer[0]] for r in titles)
+    if not outer or not entitled and 2 * sum(weight[r] for r in outer) <= weight[0]:
+        return []
+    longest = max(outer, key=lambda r: length[r])
+    parent = lambda r: p.regions[p.regions[r][1]][::2]  # noqa: E731 - tag and class
+    kept = [r for r in outer if parent(r) == parent(longest) or length[r] >= BESIDES * length[longest]]
+    if len(kept) == 1:
+        inside = [r for r in range(kept[0], p.last[kept[0]] + 1) if p.regions[r][0] == "article" and length[r] >= SHARE * length[kept[0]]]
+        return [max(inside, key=lambda r: (depth[r], length[r]))]
+    return kept
+
+
+def by_region(p: Blocks, lines: list[Line], weights: list) -> list:
+    """Of each region, the weights of its lines and of those in regions inside it."""
+    out = [0] * len(p.regions)
+    for line, w in zip(lines, weights, strict=True):
+        out[line.region] += w
+    for r in range(len(p.regions) - 1, 0, -1):
+        out[p.regions[r][1]] += out[r]
+    return out
+
+
+def content_regions(p: Blocks, lines: list[Line], weights: list[float]) -> list[int]:
+    """Article elements, or a main element with most of the dense text, or the deepest element with nearly all of it. One
+    of several elements alike that follow each other (paragraphs as divisions) is no region: what holds them is."""
+    weight = by_region(p, lines, weights)
     depth = [0] * len(p.regions)
     for r in range(1, len(p.regions)):
         depth[r] = depth[p.regions[r][1]] + 1
-    for r in range(len(p.regions) - 1, 0, -1):
-        weight[p.regions[r][1]] += weight[r]
     total = weight[0]
-    marked = [r for r in range(len(weight)) if p.regions[r][0] in ARTICLES and 2 * weight[r] > total]
-    if marked:
-        return max(marked, key=lambda r: (depth[r], weight[r]))
+    if found := articles(p, lines, weight, depth):
+        return found
+    if mains := [r for r in range(len(weight)) if p.regions[r][0] == "main" and 2 * weight[r] > total]:
+        return [max(mains, key=lambda r: (depth[r], weight[r]))]
     best = max((r for r in range(len(weight)) if weight[r] >= SHARE * total), key=lambda r: (depth[r], weight[r]))
-    textual = {region for _, _, region, *_ in lines}
+    textual = {line.region for line in lines}
     alike: dict[tuple, int] = {}
     for r in range(1, len(p.regions)):
         if r in textual:
-            tag, parent, name = p.regions[r]
-            alike[tag, parent, name] = alike.get((tag, parent, name), 0) + 1
-    while best > 0 and p.regions[best][0] in ("div", "section", "td") and alike.get((p.regions[best][0], p.regions[best][1], p.regions[best][2]), 0) > 1:
+            alike[p.regions[r]] = alike.get(p.regions[r], 0) + 1
+    while best > 0 and p.regions[best][0] in ("div", "section", "td") and alike.get(p.regions[best], 0) > 1:
         best = p.regions[best][1]
-    return best
+    return [best]
+
+
+def with_title(p: Blocks, lines: list[Line], kept: list[int], region: int) -> list[int]:
+    """``kept`` (places of lines) after the title that stands just before, in an element around the region or beside it,
+    if there is none among them."""
+    if not kept or any(lines[k].block == "h1" for k in kept):
+        return kept
+    around = set()
+    while region > 0:
+        region = p.regions[region][1]
+        around.add(region)
+    for k in range(kept[0] - 1, max(kept[0] - 2 - BETWEEN, -1), -1):
+        if lines[k].block == "h1":
+            own = lines[k].region
+            return [*range(k, kept[0]), *kept] if own in around or p.regions[own][1] in around else kept
+    return kept
 
 
 def main_text(html: str | None) -> str:
@@ -252,18 +341,20 @@ def main_text(html: str | None) -> str:
     p.finish()
     if not p.lines:
         return ""
-    ratios = smoothed([len(text) / tags for text, tags, *_ in p.lines])
+    ratios = smoothed([len(x.text) / x.tags for x in p.lines])
     least = threshold(ratios)
-    dense = lambda lines, rs: [float(len(x[0])) if r >= least else 0.0 for x, r in zip(lines, rs, strict=True)]
-    bad = kept_marks(p, dense(p.lines, ratios))
-    lines = [x for x in p.lines if x[3] < 0 or not bad[x[3]]]
+    dense = lambda lines, rs: [float(len(x.text)) if r >= least else 0.0 for x, r in zip(lines, rs, strict=True)]
+    bad = boilerplate(p, dense(p.lines, ratios))
+    lines = [x for x in p.lines if x.mark < 0 or not bad[x.mark]]
     if not lines:
         return ""
     # what was named is gone: the ratios of what stays decide
-    ratios = smoothed([len(text) / tags for text, tags, *_ in lines])
+    ratios = smoothed([len(x.text) / x.tags for x in lines])
     least = threshold(ratios)
-    best = region_of(p, lines, dense(lines, ratios))
-    return "\n".join(text for text, _, region, *_ in lines if best <= region <= p.last[best])
+    regions = content_regions(p, lines, dense(lines, ratios))  # in order, none in another
+    within = lambda r: (k := bisect_right(regions, r)) > 0 and r <= p.last[regions[k - 1]]
+    kept = [k for k, x in enumerate(lines) if within(x.region)]
+    return "\n".join(lines[k].text for k in with_title(p, lines, kept, regions[0]))
 
 
 def extracted(pages: DataFrame, *, keep: list[str], html_col: str = "html") -> DataFrame:
