@@ -855,15 +855,25 @@ def x12_folder_names(spark, d):
 # --- pages
 
 
-#: The general tables' pages have no more kinds of markup and references than this.
-PAGES = r"""pg AS (SELECT page_id, url, replace(replace(replace(html, '&copy;', '©'), '&middot;', '·'), '&amp;', '&') AS html FROM pages),
-ti AS (SELECT page_id, trim(regexp_extract(html, '(?s)<title>(.*?)</title>', 1)) AS title, regexp_extract_all(html, '<a href="[^"]*">([^<]*)</a>', 1) AS links FROM pg)"""
+#: Character references by name, the ampersand's last; the general tables' pages have no others.
+REFERENCES = {"copy": "©", "middot": "·", "quot": '"', "apos": "''", "lt": "<", "gt": ">", "nbsp": "\u00a0", "amp": "&"}
+
+
+def dereferenced(column: str) -> str:
+    for name, mark in REFERENCES.items():
+        column = f"replace({column}, '&{name};', '{mark}')"
+    return column
+
+
+#: Titles, links and texts of pages; references stand for characters only once markup is gone.
+PAGES = rf"""pg AS (SELECT page_id, url, html FROM pages),
+ti AS (SELECT page_id, trim({dereferenced("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")}) AS title, regexp_extract_all(html, '<a href="[^"]*">([^<]*)</a>', 1) AS links FROM pg)"""
 
 
 @query(
     "h1_page_texts",
     f"""WITH {PAGES}, b AS (SELECT page_id, string_split(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<title>.*?</title>|<!--.*?-->', '', 'g'),
- '<(br|p|div|section|article|header|footer|li|h[1-6]|tr|nav)( [^>]*)?>', chr(10), 'g'), '<[^>]*>', '', 'g'), chr(10)) AS ls FROM pg),
+ '<(br|p|div|section|article|header|footer|li|h[1-6]|tr|nav)( [^>]*)?>', chr(10), 'g'), '<[^>]*>', '', 'g'), chr(10)) AS ls0, list_transform(ls0, lambda x: {dereferenced("x")}) AS ls FROM pg),
 l AS (SELECT page_id, i, array_to_string(list_filter(string_split_regex(ls[i], '[\\s\\p{{Z}}]+'), lambda x: x <> ''), ' ') AS line FROM (SELECT page_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM b)),
 u AS (SELECT page_id, line, min(i) AS i FROM l WHERE line <> '' GROUP BY page_id, line),
 t AS (SELECT page_id, left(string_agg(line, chr(10) ORDER BY i), 12000) AS text FROM u GROUP BY page_id)
