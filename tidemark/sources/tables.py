@@ -45,6 +45,17 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def in_buckets(df: DataFrame, label: str, key: str) -> DataFrame:
+    """``df`` written in buckets of ``key`` without a shuffle, a file for each bucket that a task has rows of: for few large
+    rows, which joins by ``key`` then read where they are."""
+    spark = df.sparkSession
+    name = f"tidemark_{label}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}"
+    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).option("path", path).format("parquet").saveAsTable(name)
+    atexit.register(_delete, spark, path, name)
+    return spark.table(name)
+
+
 def by_recording(df: DataFrame, label: str, *order: str, key: str = "rec_id") -> DataFrame:
     """``df`` written once in buckets of ``key``, sorted by it and ``order``: windows, groups and joins by recording that
     follow, however many, read it without another shuffle."""
