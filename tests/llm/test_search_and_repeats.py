@@ -151,9 +151,7 @@ def passages(rng):
 
 @pytest.mark.parametrize(("batch_bytes", "most"), [(8 << 20, substring_dedup.MOST), (3000, substring_dedup.MOST), (3000, 6), (3000, 0)])
 def test_repeated_windows_equal_brute_force(spark, docs, rows, none, monkeypatch, batch_bytes, most):
-    from tidemark.llm import suffix_dedup
-
-    monkeypatch.setattr(suffix_dedup, "BATCH_BYTES", batch_bytes)
+    monkeypatch.setattr(substring_dedup, "BATCH_BYTES", batch_bytes)
     digest = ["doc_id", "n_words", "n_removed", "kept_sha256"]
     every = rows + passages(random.Random(8))
     found = substring_dedup.without_repeated_words(spark.createDataFrame(every, DDL).repartition(3), most=most, with_text=True)
@@ -168,9 +166,7 @@ def test_repeated_windows_equal_brute_force(spark, docs, rows, none, monkeypatch
 
 def test_prefixes_that_are_too_common_are_split(spark, monkeypatch):
     """A passage that all documents have, between words of their own, with few suffixes to a group."""
-    from tidemark.llm import suffix_dedup
-
-    monkeypatch.setattr(suffix_dedup, "BATCH_BYTES", 4000)
+    monkeypatch.setattr(substring_dedup, "BATCH_BYTES", 4000)
     rng = random.Random(4)
     shared = prose(rng, 70).split()
     rows = [row(i, " ".join(prose(rng, rng.randint(0, 60)).split() + shared[i % 5 :] + prose(rng, rng.randint(0, 60)).split())) for i in range(60)]

@@ -14,7 +14,8 @@ words or more with several leaves are the repeats.
   front, as in Weiner's construction. Branches with one leaf are not followed. A node that spells 50 words knows the
   smallest id below it.
 
-Texts are written as compressed batches first. What a batch sends to a group has copies merged, its words as numbers of a
+Texts are written as batches of word numbers and vocabularies first, in buckets, so that later passes read them in place:
+only what is said about them is shuffled. What a batch sends to a group has copies merged, its words as numbers of a
 vocabulary that goes along; comparisons are of words, not hashes, but for whole windows of groups that no prefix splits,
 which are compared by 128 bits.
 """
@@ -24,22 +25,26 @@ from __future__ import annotations
 import functools
 import hashlib
 import re
-from dataclasses import dataclass
+from collections import defaultdict
+from dataclasses import dataclass, field
 
 import numpy as np
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import written
-from tidemark.llm.suffix_dedup import BATCH_BYTES, NO_ID, batches_of, by_shard, each_row, each_shard, packed, shard_of, sliding, unpacked
+from tidemark.llm.common import arrow_schema, values, written
+from tidemark.llm.suffix_dedup import NO_ID, by_shard, each_row, each_shard, packed, shard_of, sliding, unpacked
+from tidemark.sources.tables import in_buckets
 
 WINDOW = 50
 #: Words of the prefixes by which groups are split; a window picks an anchor that leaves room for the longest.
 SHORT, LONG = 8, 16
 BACK = WINDOW - LONG
 AROUND = BACK + WINDOW
+BATCH_BYTES = 8 << 20
 #: Suffixes of a group before it is split further.
 MOST = 20_000
 #: Bytes of text for one anchor, about (words have some six letters, and one in 18 is an anchor).
@@ -83,6 +88,60 @@ def pieces(text: bytes):
         at = m.start() if m else len(text)
 
 
+def squeezed(x: bytes | np.ndarray) -> bytes:
+    """Compressed; numbers byte by byte of their place, since most are small."""
+    raw = x if isinstance(x, bytes) else np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(raw)
+
+
+def unsqueezed(b: bytes, dtype: str) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), dtype=np.uint8)
+    return np.ascontiguousarray(raw.reshape(np.dtype(dtype).itemsize, -1).T).view(dtype).ravel()
+
+
+BATCHES = "batch bigint, bytes bigint, ids binary, sizes binary, names binary, vocabulary binary"
+
+
+def word_batches(docs: DataFrame) -> DataFrame:
+    """Rows of whole documents (``id, text``), of about ``BATCH_BYTES`` or one document that is longer: ids, how many words
+    each has, the words as numbers, and the words that these stand for."""
+    import pyarrow as pa
+
+    arrow = arrow_schema(BATCHES)
+    most = BATCH_BYTES
+
+    def run(found):
+        number = TaskContext.get().partitionId() << 36
+        ids, sizes, names, size = [], [], [], 0
+        numbers = defaultdict()
+        numbers.default_factory = numbers.__len__
+
+        def row():
+            nonlocal number, ids, sizes, names, size
+            number += 1
+            every = np.concatenate([np.empty(0, dtype="<i4"), *names])
+            cols = [number - 1, size, np.array(ids, dtype="<i8").tobytes(), np.array(sizes, dtype="<i8").tobytes(), squeezed(every), squeezed(b" ".join(numbers))]
+            ids, sizes, names, size = [], [], [], 0
+            numbers.clear()
+            return pa.RecordBatch.from_arrays([pa.array([c], type=f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)
+
+        for batch in found:
+            for doc, text in zip(values(batch.column("id")), values(batch.column("text"), binary=True), strict=True):
+                ids.append(NO_ID if doc is None else doc)
+                sizes.append(0)
+                for piece in pieces(text or b""):
+                    own = piece.split()
+                    names.append(np.fromiter(map(numbers.__getitem__, own), dtype="<i4", count=len(own)))
+                    sizes[-1] += len(own)
+                size += len(text or b"")
+                if size >= most:
+                    yield row()
+        if ids:
+            yield row()
+
+    return docs.mapInArrow(run, BATCHES)
+
+
 @dataclass
 class Words:
     """The words of documents laid end to end, and their anchors."""
@@ -91,21 +150,13 @@ class Words:
     starts: np.ndarray  # of documents, and the end
     names: np.ndarray  # of each word, its place in the vocabulary
     vocabulary: list[bytes]
+    known: dict[int, np.ndarray] = field(default_factory=dict)  # hashes of so many words
 
     @staticmethod
     def of(row: dict) -> Words:
-        sizes = np.frombuffer(row["sizes"], dtype="<i8").tolist()
-        buf = zstandard.ZstdDecompressor().decompress(row["texts"], max_output_size=max(1, row["bytes"])) if row["bytes"] else b""
-        numbers: dict[bytes, int] = {}
-        starts, names, at = [0], [np.empty(0, dtype=np.int32)], 0
-        for size in sizes:
-            starts.append(starts[-1])
-            for piece in pieces(buf[at : at + size]):
-                own = piece.split()
-                names.append(np.fromiter((numbers.setdefault(w, len(numbers)) for w in own), dtype=np.int32, count=len(own)))
-                starts[-1] += len(own)
-            at += size
-        return Words(np.frombuffer(row["ids"], dtype="<i8"), np.array(starts), np.concatenate(names), list(numbers)).find_anchors()
+        vocabulary = zstandard.ZstdDecompressor().decompress(row["vocabulary"])
+        sizes = np.frombuffer(row["sizes"], dtype="<i8")
+        return Words(np.frombuffer(row["ids"], dtype="<i8"), np.r_[0, np.cumsum(sizes)], unsqueezed(row["names"], "<i4"), vocabulary.split(b" ") if vocabulary else []).find_anchors()
 
     @functools.cached_property
     def hashes(self) -> np.ndarray:
@@ -115,7 +166,7 @@ class Words:
         """``at``: places of anchors, ``doc``: the index of the document of each."""
         self.at = np.empty(0, dtype=np.int64)
         if len(self.names) >= WINDOW:
-            h = np.maximum(grams(self.hashes, SHORT), np.uint64(1))  # 0 marks windows that pick nothing
+            h = np.maximum(self.grams(SHORT), np.uint64(1))  # 0 marks windows that pick nothing
             least = sliding(h, BACK + 1, np.minimum)[: len(self.names) - WINDOW + 1]
             for stop in self.starts[1:].tolist():
                 least[max(stop - WINDOW + 1, 0) : stop] = 0  # no window reaches over a document's end
@@ -125,9 +176,14 @@ class Words:
         self.doc = np.searchsorted(self.starts, self.at, side="right") - 1
         return self
 
+    def grams(self, size: int) -> np.ndarray:
+        if size not in self.known:
+            self.known[size] = grams(self.hashes, size)
+        return self.known[size]
+
     def prefixes(self, size: int) -> np.ndarray:
         """A hash of the ``size`` words from each anchor on."""
-        return grams(self.hashes, size)[self.at] if len(self.at) else np.empty(0, dtype=np.uint64)
+        return self.grams(size)[self.at] if len(self.at) else np.empty(0, dtype=np.uint64)
 
     def contexts(self, which: np.ndarray, level: np.ndarray) -> np.ndarray:
         """For each of the anchors: its level, and the names of the words around it, -1 where the document has none."""
@@ -308,12 +364,15 @@ def send_suffixes(shards: int):
             cols = {"shard": [s], "batch": [row["batch"]]} | none
             if s in own:
                 rows = sent.contexts[own[s]]
-                used, number = np.unique(rows[:, :AROUND], return_inverse=True)  # -1 or the first word comes first
-                absent = int(used[0] < 0)
-                vocabulary = [words.vocabulary[w] for w in used[absent:].tolist()]
+                there = np.zeros(len(words.vocabulary) + 1, dtype=bool)
+                there[rows[:, :AROUND] + 1] = True
+                there[0] = False  # no word
+                number = np.cumsum(there, dtype=np.int32)  # 0 for none, then those used from 1
+                vocabulary = [words.vocabulary[w] for w in np.flatnonzero(there[1:]).tolist()]
+                number[0] = 0
                 cols |= {
-                    "vocabulary": [zstandard.ZstdCompressor(level=1).compress(b" ".join(vocabulary))],
-                    "contexts": [packed((number.reshape(-1, AROUND) + 1 - absent).astype(number_kind(vocabulary)))],
+                    "vocabulary": [squeezed(b" ".join(vocabulary))],
+                    "contexts": [squeezed(number[rows[:, :AROUND] + 1].astype(number_kind(vocabulary)).ravel())],
                     "levels": [packed(rows[:, AROUND].astype(np.uint8))],
                     "least": [packed(sent.least[own[s]])],
                 }
@@ -385,7 +444,7 @@ def judge_suffixes(rows: list[dict]) -> dict:
     for r in rows:
         vocabulary = zstandard.ZstdDecompressor().decompress(r["vocabulary"]).split(b" ") if r["vocabulary"] else []
         to = np.r_[0, np.fromiter((numbers.setdefault(w, len(numbers) + 1) for w in vocabulary), dtype=np.int32, count=len(vocabulary))].astype(np.int32)
-        own = unpacked(r["contexts"], number_kind(vocabulary)).reshape(-1, AROUND)
+        own = unsqueezed(r["contexts"], number_kind(vocabulary)).reshape(-1, AROUND)
         sent.append(np.concatenate([to[own], unpacked(r["levels"], np.uint8).astype(np.int32)[:, None]], axis=1))
         ids.append(unpacked(r["least"], "<i8"))
     contexts, of = distinct_rows(np.concatenate(sent))
@@ -467,7 +526,7 @@ def without_repeated_words(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     loses what any numbered document has and takes nothing. An empty table gives no rows.
     """
     source = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    batches = written(batches_of(source), "words-batches")
+    batches = in_buckets(word_batches(source), "words_batches", "batch")
     shards = shard_count(int(batches.agg(F.sum("bytes")).first()[0] or 0))
     short = _verdicts(each_row(batches, send_short(shards), SENT), most, "short")
     known = batches.join(short, "batch", "left")
