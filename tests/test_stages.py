@@ -5,6 +5,7 @@ import random
 
 import pytest
 
+from tidemark import demonstration
 from tidemark.functions import ask, prompts
 from tidemark.operators import web
 from tidemark.plans import dag, stages
@@ -31,7 +32,7 @@ def job(spark, tmp_path_factory):
     own[6][199] += "."
     documents = spark.createDataFrame([(rec, " ".join(w)) for rec, w in own.items()], "doc_id bigint, text string")
     words = tables.by_recording(derived.words(documents), "w", "idx")
-    sources, replies = derived.scripted_run(words, ["Grace Chapel"])
+    sources, replies = demonstration.scripted_run(words, ["Grace Chapel"])
     sources = {name: tables.written(df, name) for name, df in sources.items()}
     return stages.Job(spark, str(tmp_path_factory.mktemp("run")), files.settings(SETTINGS), ask.Replies(tables.written(replies, "replies")), sources)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -123,22 +123,24 @@ CLIPS_AT_ONCE = 256
 
 def path(frames: DataFrame, clips: DataFrame, camera: Camera) -> DataFrame:
     """``rec_id, frame, left`` for clips ``(rec_id, clip_start, frames)``; no rows where under 70 % of the frames show anyone.
+    Clips of other sizes than the camera's have them in ``frame_width, window_width``.
 
-    The solver goes along a clip frame by frame, for many clips of one length at once. Tracks stream in by clip, and a
+    The solver goes along a clip frame by frame, for many clips of one length and size at once. Tracks stream in by clip, and a
     task holds ``CLIPS_AT_ONCE`` of them.
     """
     seen = frames.groupBy("rec_id").agg(F.count(F.lit(1)).alias("total"), F.sum((F.size("xs") > 0).cast("int")).alias("hits"))
     usable = seen.where((F.col("hits") > 0) & (F.col("hits") >= LEAST_COVERAGE * F.col("total"))).select("rec_id")
     track = median_filtered(anchored(frames.join(usable, "rec_id", "left_semi"))).join(clips, "rec_id")
-    track = track.select("rec_id", (F.col("t") - F.col("clip_start")).alias("t"), "x", "frames")
+    sizes = [F.col(c).cast("double") if c in clips.columns else F.lit(float(getattr(camera, c))).alias(c) for c in ("frame_width", "window_width")]
+    track = track.select("rec_id", (F.col("t") - F.col("clip_start")).alias("t"), "x", "frames", *sizes)
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def solved(held: list[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            by_length: dict[int, list[pd.DataFrame]] = {}
+            by_kind: dict[tuple[int, float, float], list[pd.DataFrame]] = {}
             for g in held:
-                by_length.setdefault(int(g.frames.iloc[0]), []).append(g)
-            for n, same in by_length.items():
-                edges = left_edges([(g.t.to_numpy(), g.x.to_numpy()) for g in same], n, camera)
+                by_kind.setdefault((int(g.frames.iloc[0]), float(g.frame_width.iloc[0]), float(g.window_width.iloc[0])), []).append(g)
+            for (n, frame, window), same in by_kind.items():
+                edges = left_edges([(g.t.to_numpy(), g.x.to_numpy()) for g in same], n, replace(camera, frame_width=frame, window_width=window))
                 yield pd.DataFrame({"rec_id": np.repeat([g.rec_id.iloc[0] for g in same], n), "frame": np.tile(np.arange(n), len(edges)), "left": edges.ravel()})
 
         rest, held = None, []

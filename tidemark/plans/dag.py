@@ -29,10 +29,11 @@ GONE = "gone"
 
 @dataclass(frozen=True)
 class Stage:
-    """``run`` does the work and leaves ``outputs``; with ``finally_`` it runs last, unless a need of its own failed."""
+    """``run`` does the work and leaves ``outputs``, and may say on how many items it worked; with ``finally_`` it runs last,
+    unless a need of its own failed."""
 
     name: str
-    run: Callable[[], None]
+    run: Callable[[], int | None]
     needs: tuple[str, ...] = ()
     inputs: tuple[str, ...] = ()
     outputs: Callable[[], Iterable[str]] | tuple[str, ...] = ()
@@ -50,6 +51,7 @@ class Result:
     seconds: float = 0.0
     error: str = ""
     digest: str = field(default="", repr=False)
+    items: int | None = None
 
 
 def checked(stages: list[Stage]) -> dict[str, Stage]:
@@ -140,15 +142,30 @@ def save_state(path: str, state: dict) -> None:
     os.replace(temporary, path)
 
 
-def run(stages: list[Stage], state_path: str, targets: list[str] | None = None, slots: int = 3, digest: Callable[[Iterable[str]], str] = digest) -> dict[str, Result]:
+class StateFile:
+    """A run's state in a local file."""
+
+    def __init__(self, path: str):
+        self.path = path
+
+    def load(self) -> dict:
+        return load_state(self.path)
+
+    def save(self, state: dict) -> None:
+        save_state(self.path, state)
+
+
+def run(stages: list[Stage], state_path, targets: list[str] | None = None, slots: int = 3, digest: Callable[[Iterable[str]], str] = digest) -> dict[str, Result]:
     """Runs stages as their needs are met, at most ``slots`` at a time; a failure skips only what depends on it.
-    ``digest`` tells outputs apart, and is empty where one is missing.
+    ``digest`` tells outputs apart, and is empty where one is missing. ``state_path`` is a local file, or an object that
+    loads and saves the state.
 
     Spark jobs of several stages share the session; with the fair scheduler they share its executors too.
     """
     own = selected(stages, targets)
     names = [s.name for s in own if not s.finally_]
-    state, results = load_state(state_path), {}
+    store = StateFile(state_path) if isinstance(state_path, str) else state_path
+    state, results = store.load(), {}
 
     def reads(s: Stage) -> list[str]:
         return sorted({*names, *s.needs}) if s.finally_ else list(s.needs)
@@ -161,14 +178,14 @@ def run(stages: list[Stage], state_path: str, targets: list[str] | None = None,
         if now and now == old.get("digest"):
             return Result(REUSED, digest=now)
         try:
-            s.run()
+            items = s.run()
             if not (now := digest(s.files())):
                 raise FileNotFoundError("it left no " + ", ".join(f for f in s.files() if not digest([f])))
         except Exception as e:  # noqa: BLE001 - any failure of a stage is its result
             state.pop(s.name, None)  # what it may have left half done is never reused
             return Result(FAILED, time.monotonic() - began, str(e))
         state[s.name] = {"fingerprint": mark, "digest": now}
-        return Result(DONE, time.monotonic() - began, digest=now)
+        return Result(DONE, time.monotonic() - began, digest=now, items=items)
 
     waiting, running = {s.name: s for s in own}, {}
     with ThreadPoolExecutor(slots) as pool:
@@ -183,7 +200,7 @@ def run(stages: list[Stage], state_path: str, targets: list[str] | None = None,
             if running:
                 for f in wait(running, return_when=FIRST_COMPLETED).done:
                     results[running.pop(f).name] = f.result()
-                    save_state(state_path, state)
+                    store.save(state)
     return {s.name: results[s.name] for s in own}
 
 
@@ -195,7 +212,7 @@ def stale(found: Iterable[str], wanted: Iterable[str], managed: Iterable[str]) -
 
 def record(results: dict[str, Result], tools: dict[str, str], prompts: dict[str, str]) -> str:
     """What ran with what, as JSON."""
-    return json.dumps({"stages": {n: {"status": r.status, "seconds": round(r.seconds, 3), "error": r.error} for n, r in results.items()}, "tools": tools, "prompts": prompts}, indent=1)
+    return json.dumps({"stages": {n: {"status": r.status, "seconds": round(r.seconds, 3), "error": r.error} | ({"items": r.items} if r.items is not None else {}) for n, r in results.items()}, "tools": tools, "prompts": prompts}, indent=1)
 
 
 def summary(results: dict[str, Result]) -> str:

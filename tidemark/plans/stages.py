@@ -8,7 +8,9 @@ Tools are not run: what to ask of them is a table too (``media``).
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+import threading
+from collections.abc import Callable, Iterable
 from dataclasses import astuple, dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,8 +18,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import prompts, text as tx, timecode as tc
 from tidemark.functions.ask import Asker
-from tidemark.operators import boundaries, camera, clips, corrections, frames, publish, turns as tn, words as wd
-from tidemark.plans import dag, review
+from tidemark.operators import boundaries, camera, clips, corrections, frames, publish, transcription, turns as tn, words as wd
+from tidemark.plans import dag, increment, review
 from tidemark.sources import files, logs, tables
 
 #: Files that a run leaves, by what they are.
@@ -27,18 +29,18 @@ VIDEO, PODCAST, PODCAST_TEXT, PODCAST_CHAPTERS = "YouTube/video.mp4", "Podcast/e
 POSTS = "Clips/captions.txt"
 MASTERS = {"video": (2, 48000, 0.0, 0.0), "podcast": (1, 44100, 0.0, 0.0)}
 CLIP_FADES = (0.15, 0.3)
-#: Clips of a recording have numbers below this: ``rec_id * CLIPS + number`` names one.
-CLIPS = 1000
 
 
 @dataclass
 class Job:
     """A run's folder, settings and sources.
 
-    ``sources``: ``recordings (rec_id, file, date, report, start_text, end_text, speaker)``, ``asr (rec_id,
-    transcription)`` and optionally ``asr_again``, ``diarization (rec_id, line_no, value)``, ``silences (rec_id, log,
-    offset, end)``, ``loudness (rec_id, name, attempt, log)``, ``poses (rec_id, t, necks, faces, bodies)`` and ``faces
-    (rec_id, t, faces, text)``. ``tools`` are their versions, which decide with the settings what is run again.
+    ``sources``: ``recordings (rec_id, file, date, report, start_text, end_text, speaker)``, ``regions (rec_id, log)``
+    with ``asr_chunks (rec_id, chunk, transcription)`` and optionally ``asr_chunks_again``, or else ``asr (rec_id,
+    transcription)`` and optionally ``asr_again`` of whole recordings, ``diarization (rec_id, line_no, value)``,
+    ``silences (rec_id, log, offset, end)``, ``loudness (rec_id, name, attempt, log)``, ``poses (rec_id, t, necks, faces,
+    bodies)`` and ``faces (rec_id, t, faces, text)``. ``tools`` are their versions, which decide with the settings what is
+    run again. ``parts``: into how many each table is divided, and how finely changes are written (``increment``).
     """
 
     spark: SparkSession
@@ -47,20 +49,43 @@ class Job:
     asker: Asker
     sources: dict[str, DataFrame]
     tools: dict[str, str] = field(default_factory=dict)
+    parts: int = 8
+    store: increment.Store = field(init=False, repr=False)
+    _words: dict[str, DataFrame] = field(init=False, repr=False, default_factory=dict)
+    _lock: threading.Lock = field(init=False, repr=False, default_factory=threading.Lock)
+
+    def __post_init__(self):
+        self.store = increment.Store(self.spark, self.folder, self.parts)
 
     def path(self, name: str) -> str:
-        return f"{self.folder}/{name}"
+        return self.store.path(name)
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(self.path(name))
+        return self.store.read(name)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(self.path(name))
-        return self.read(name)
+        return self.store.write(df, name)
+
+    def source(self, name: str) -> DataFrame:
+        """A source's rows of the recordings that are worked on."""
+        return self.store.work().of(self.sources[name])
 
     def words(self, name: str) -> DataFrame:
-        """A table of words as operators that use it several times want it."""
-        return tables.by_recording(self.read(name), "words", "idx")
+        """A table of words as operators that use it several times want it, in buckets by recording. Stages that work on
+        most recordings share one such copy; it is written once a run."""
+        work = self.store.work()
+        if not work.most:
+            return tables.by_recording(self.read(name), "words", "idx")
+        with self._lock:
+            if name not in self._words:
+                with self.store.scope:
+                    self._words[name] = tables.by_recording(self.store.whole(name), "words", "idx")
+        return work.of(self._words[name])
+
+    def forget(self) -> None:
+        """Lets go of what a run keeps to itself; the tables that it leaves stay."""
+        self._words.clear()
+        self.store.forget()
 
     def spans(self) -> DataFrame:
         return self.read("talks").where("error IS NULL").select("rec_id", F.col("start").alias("span_start"), F.col("end").alias("span_end"))
@@ -69,7 +94,7 @@ class Job:
         return self.read("talks").where("error IS NULL AND main IS NOT NULL").select("rec_id", "main")
 
     def pauses(self) -> DataFrame:
-        return tables.written(logs.silences(self.sources["silences"]).select("rec_id", "start", "end"), "pauses")
+        return tables.written(logs.silences(self.source("silences")).select("rec_id", "start", "end"), "pauses")
 
     def terms(self) -> list[str]:
         """The people, then the terms that aren't among them."""
@@ -82,7 +107,7 @@ class Job:
 
 def probe(job: Job) -> None:
     """What each recording is; one without a usable video has an error."""
-    r = job.sources["recordings"]
+    r = job.source("recordings")
     job.write(r.select("rec_id", "file", "date", logs.probe(F.col("report")).alias("p")).select("rec_id", "file", "date", "p.*"), "recordings")
 
 
@@ -100,44 +125,58 @@ def analysis_audio(job: Job) -> None:
 
 
 def transcribe(job: Job) -> None:
-    """Words and loops; a second transcription counts where it has fewer loops."""
+    """Words and loops; a second transcription of a chunk, or of a recording, counts where it has fewer loops. With chunks
+    come the requests to cut them out, those to hear again being marked."""
     ok = job.read("recordings").where("error IS NULL").select("rec_id")
+    of = lambda name: job.source(name).join(ok, "rec_id", "left_semi") if name in job.sources else None
+    if "regions" in job.sources:
+        units, words, loops = transcription.transcribed(transcription.speech_regions(of("regions")), of("asr_chunks"), of("asr_chunks_again"), tables.written)
+        own = transcription.requests(units)
+    else:
+        words, loops = _whole_transcription(of("asr"), of("asr_again"))
+        own = ok.where("false").select("rec_id", F.lit(0).alias("chunk"), F.lit(0.0).alias("start"), F.lit(0.0).alias("end"), F.lit("").alias("dest"), F.lit(False).alias("again"))
+    job.write(words, "words")
+    job.write(loops, "loops")
+    job.write(own.join(job.read("recordings").select("rec_id", "file"), "rec_id").withColumn("preset", wd.alignment_preset(F.lit(job.settings.transcription.model))), "media-chunks")
+
 
-    def read(name: str) -> tuple[DataFrame, DataFrame]:
-        w = tables.by_recording(wd.assemble(files.asr_tokens(job.sources[name].join(ok, "rec_id", "left_semi"))), name, "idx")
+def _whole_transcription(first: DataFrame, again: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    def read(asr: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        w = tables.by_recording(wd.assemble(files.asr_tokens(asr)), name, "idx")
         return w, wd.repeats(w)
 
-    words, loops = read("asr")
-    if "asr_again" in job.sources:
-        again, its = read("asr_again")
-        n = lambda loops, c: loops.groupBy("rec_id").agg(F.count(F.lit(1)).alias(c))
-        counts = ok.join(n(loops, "a"), "rec_id", "left").join(n(its, "b"), "rec_id", "left").join(again.select("rec_id").distinct(), "rec_id", "left_semi")
-        better = tables.written(counts.where(wd.retry_chosen(F.coalesce("a", F.lit(0)), F.coalesce("b", F.lit(0)))).select("rec_id"), "better")
-        mix = lambda old, new: old.join(better, "rec_id", "left_anti").unionByName(new.join(better, "rec_id", "left_semi"))
-        words, loops = mix(words, again), mix(loops, its)
-    job.write(words, "words")
-    job.write(loops, "loops")
+    words, loops = read(first, "asr")
+    if again is None:
+        return words, loops
+    second, its = read(again, "asr_again")
+    n = lambda df, c: df.groupBy("rec_id").agg(F.count(F.lit(1)).alias(c))
+    counts = again.select("rec_id").distinct().join(n(loops, "a"), "rec_id").join(n(its, "b"), "rec_id", "left")
+    better = tables.written(counts.where(wd.retry_chosen(F.col("a"), F.coalesce("b", F.lit(0)))).select("rec_id"), "better")
+    mix = lambda old, new: old.join(better, "rec_id", "left_anti").unionByName(new.join(better, "rec_id", "left_semi"))
+    return mix(words, second), mix(loops, its)
 
 
 def diarize(job: Job) -> None:
     ok = job.read("recordings").where("error IS NULL").select("rec_id")
-    job.write(tn.clean(logs.diarization_turns(job.sources["diarization"].join(ok, "rec_id", "left_semi"))), "turns")
+    job.write(tn.clean(logs.diarization_turns(job.source("diarization").join(ok, "rec_id", "left_semi"))), "turns")
 
 
 def find_talk(job: Job) -> None:
     """The span that a person set, or else the one that the model finds."""
     words, turns = job.words("words"), job.read("turns")
     ok = job.read("recordings").where("error IS NULL").select("rec_id")
-    own = boundaries.given(turns, job.sources["recordings"].join(ok, "rec_id", "left_semi").select("rec_id", "start_text", "end_text"))
+    own = boundaries.given(turns, job.source("recordings").join(ok, "rec_id", "left_semi").select("rec_id", "start_text", "end_text"))
     own = tables.written(own.withColumn("source", F.lit("given")), "given")
     rest = words.join(own, "rec_id", "left_anti")
     found = boundaries.asked(rest, turns, job.pauses(), job.settings.talk.preachers, job.settings.talk.ends, job.asker, tables.written)
-    job.write(found.withColumn("source", F.lit("found")).unionByName(own, allowMissingColumns=True), "talks")
+    silent = transcription.without_speech(ok.join(own, "rec_id", "left_anti"), words.select("rec_id").distinct())
+    out = found.withColumn("source", F.lit("found")).unionByName(own, allowMissingColumns=True).unionByName(silent, allowMissingColumns=True)
+    job.write(out.withColumn("flags", F.coalesce("flags", F.array().cast("array<string>"))), "talks")
 
 
 def correct(job: Job) -> None:
     words, terms = job.words("words"), job.terms()
-    asked = tables.written(corrections.asked(words, job.spans(), terms, job.asker), "proposed")
+    asked = job.write(corrections.asked(words, job.spans(), terms, job.asker), "proposed")
     proposed = asked.where("error IS NULL").drop("error")
     out = job.write(corrections.outcomes(words, proposed, terms, tables.written).join(proposed.select("rec_id", "pos", "time", "reason"), ["rec_id", "pos"]), "corrections")
     job.write(corrections.applied(words, out), "corrected")
@@ -154,7 +193,7 @@ def caption(job: Job) -> None:
 
 
 def _reports(job: Job) -> DataFrame:
-    r = job.sources["loudness"].select("rec_id", "name", "attempt", logs.loudness(F.col("log")).alias("l"))
+    r = job.source("loudness").select("rec_id", "name", "attempt", logs.loudness(F.col("log")).alias("l"))
     return r.where("l.error IS NULL").select("rec_id", "name", "attempt", "l.integrated", "l.peak", "l.spread")
 
 
@@ -175,7 +214,7 @@ def master(job: Job, name: str) -> None:
 
 
 def describe(job: Job) -> None:
-    t, r = job.settings.talk, job.sources["recordings"]
+    t, r = job.settings.talk, job.source("recordings")
     names = job.read("talks").select("rec_id", "name")
     said = F.when(F.coalesce("speaker", F.lit("")) != "", F.col("speaker")).otherwise(F.col("name"))
     facts = r.join(names, "rec_id", "left").select("rec_id", F.lit(t.name).alias("place"), F.lit(t.location).alias("location"), F.lit(t.mission).alias("mission"), F.lit(t.website).alias("website"), "date", said.alias("speaker"))
@@ -223,29 +262,21 @@ def pick_clips(job: Job) -> None:
 
 
 def _chosen(job: Job) -> DataFrame:
-    """Chosen clips under a number of their own, ``clip``."""
-    return job.read("clips").where("clip_id IS NOT NULL").withColumn("clip", F.col("rec_id") * CLIPS + F.col("number"))
+    """Chosen clips under a number of their own, ``clip``, which stands for as long as the table does."""
+    return tables.written(job.read("clips").where("clip_id IS NOT NULL").withColumn("clip", F.monotonically_increasing_id()), "chosen")
 
 
 def render_clips(job: Job) -> None:
     """For each chosen clip: the camera's path, captions, mastering, and the request; ``uncropped`` without a path."""
-    k, mine = job.settings.clips, tables.written(_chosen(job), "chosen")
+    k, mine = job.settings.clips, _chosen(job)
     r = job.read("recordings").select("rec_id", "width", "height")
     inside = lambda t: (t >= F.col("start")) & (t < F.col("end"))
     of_clip = mine.select("rec_id", "clip", "start", "end", tn.bins(F.col("start"), F.col("end")).alias("bin"))
-    seen = job.sources["poses"].withColumn("bin", F.floor(F.col("t") / tn.BIN)).join(of_clip, ["rec_id", "bin"]).where(inside(F.col("t")))
+    seen = job.source("poses").withColumn("bin", F.floor(F.col("t") / tn.BIN)).join(of_clip, ["rec_id", "bin"]).where(inside(F.col("t")))
     own = seen.select(F.col("clip").alias("rec_id"), "t", F.coalesce(camera.candidates(F.col("necks"), F.col("faces"), F.col("bodies")), F.array().cast("array<double>")).alias("xs"))
-    sizes = r.where("width IS NOT NULL").select("width", "height").distinct().orderBy("width", "height").collect()  # as many as there are kinds of cameras
-    paths = []
-    for size in sizes:
-        these = mine.join(r.where((F.col("width") == size.width) & (F.col("height") == size.height)).select("rec_id"), "rec_id", "left_semi")
-        these = these.select(F.col("clip").alias("rec_id"), F.col("start").alias("clip_start"), tc.frame_count(F.col("end") - F.col("start")).alias("frames"))
-        kind = camera.Camera(float(size.width), size.height * 4 / 5, k.steadiness, k.smoothing_seconds)
-        paths.append(camera.path(own.join(these.select("rec_id"), "rec_id", "left_semi"), these, kind))
-    none = job.spark.createDataFrame([], "rec_id bigint, frame bigint, left double")
-    path = none
-    for p in paths:
-        path = path.unionByName(p)
+    sized = mine.join(r.where("width IS NOT NULL"), "rec_id")
+    these = sized.select(F.col("clip").alias("rec_id"), F.col("start").alias("clip_start"), tc.frame_count(F.col("end") - F.col("start")).alias("frames"), F.col("width").cast("double").alias("frame_width"), camera.window_width(F.col("height").cast("double")).alias("window_width"))
+    path = camera.path(own.join(these.select("rec_id"), "rec_id", "left_semi"), these, camera.Camera(0.0, 0.0, k.steadiness, k.smoothing_seconds))
     path = tables.by_recording(path, "paths", "frame")
     every = F.array_sort(F.collect_list(F.struct("frame", "line")))  # a clip's changes
     commands = camera.crop_commands(path).groupBy("rec_id").agg(F.array_join(F.transform(every, lambda x: x["line"]), "").alias("commands")).withColumnRenamed("rec_id", "clip")
@@ -260,7 +291,7 @@ def render_clips(job: Job) -> None:
 
 def thumbnail_frames(job: Job) -> None:
     """Sampled frames inside the talks."""
-    f = job.sources["faces"].join(job.spans(), "rec_id").where(tc.contains(F.col("span_start"), F.col("span_end"), F.col("t")))
+    f = job.source("faces").join(job.spans(), "rec_id").where(tc.contains(F.col("span_start"), F.col("span_end"), F.col("t")))
     job.write(f.select("rec_id", "t", "faces", "text"), "faces")
 
 
@@ -274,11 +305,23 @@ def thumbnails(job: Job) -> None:
 
 
 def reviewed(job: Job) -> None:
-    """One row a recording with all that a person has to look at, from whatever the other stages left."""
+    """One row for each recording with all that a person has to look at, from whatever the other stages left; of one
+    that failed, with what went wrong and where."""
     def maybe(name: str, schema: str) -> DataFrame:
-        return job.read(name) if dag.table_digest(job.spark)([job.path(name)]) else job.spark.createDataFrame([], schema)
-
-    base = job.read("talks").where("error IS NULL").select("rec_id", F.col("start").alias("span_start"), F.col("end").alias("span_end"), "source", "flags", "start_quote", "end_quote", "confidence", "reasoning").join(job.read("recordings").select("rec_id", "file", "date"), "rec_id")
+        return job.read(name) if job.store.exists(name) else job.spark.createDataFrame([], schema)
+
+    def failed(name: str, what: str) -> DataFrame:
+        own = maybe(name, "rec_id bigint, error string")
+        return own.where("error IS NOT NULL").select("rec_id", F.concat(F.lit(f"{what}: "), "error").alias("f"))
+
+    errors = failed("recordings", "The recording")
+    for name, what in (("talks", "The talk"), ("proposed", "Corrections"), ("texts", "Titles and descriptions")):
+        errors = errors.unionByName(failed(name, what))
+    errors = errors.groupBy("rec_id").agg(F.array_sort(F.collect_list("f")).alias("errors"))
+    talk = maybe("talks", "rec_id bigint, start double, end double, source string, flags array<string>, start_quote string, end_quote string, confidence string, reasoning string, error string")
+    talk = talk.where("error IS NULL").select("rec_id", F.col("start").alias("span_start"), F.col("end").alias("span_end"), "source", "flags", "start_quote", "end_quote", "confidence", "reasoning")
+    base = job.read("recordings").select("rec_id", "file", "date").join(talk, "rec_id", "left").join(errors, "rec_id", "left")
+    base = base.withColumn("flags", F.concat(F.coalesce("errors", F.array().cast("array<string>")), F.coalesce("flags", F.array().cast("array<string>"))))
     texts = maybe("texts", "rec_id bigint, titles array<string>, short string, passage string, text string, adjustments array<string>, error string").where("error IS NULL").select("rec_id", "titles", "short", "passage", F.col("text").alias("description"), "adjustments")
     picks = maybe("clips", "rec_id bigint, clip_id string, verdict string, title string, score int, review string").groupBy("rec_id").agg(
         F.count("clip_id").cast("int").alias("n_clips"),
@@ -300,19 +343,20 @@ def reviewed(job: Job) -> None:
     for part in (texts, picks, renders, fixes, stills, faces, loud("video"), loud("podcast"), loops, made("captions", "has_captions"), made("media-video", "has_video"), made("media-podcast", "has_podcast")):
         out = out.join(part, "rec_id", "left")
     lacks = [("titles", "titles and descriptions"), ("video_loudness", "mastered audio of the video"), ("podcast_loudness", "mastered audio of the podcast"), ("n_clips", "clip choices"), ("has_captions", "captions"), ("has_video", "the video"), ("has_podcast", "the podcast")]
-    missing = F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(what)) for c, what in lacks]))
+    # of a recording without a talk that says it all
+    missing = F.when(F.col("span_start").isNull(), F.array().cast("array<string>")).otherwise(F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(what)) for c, what in lacks])))
     flags = review.flags(missing, F.col("flags"), F.col("adjustments"), job.settings.clips.count, F.col("n_clips"), F.col("uncropped"), F.col("n_faces"), F.coalesce("n_stills", F.when(F.col("n_faces").isNotNull(), F.lit(0))))
     out = out.withColumn("flags", F.concat(F.coalesce("loops", F.array().cast("array<string>")), flags))
     title = publish.first_or(F.coalesce("titles", F.array().cast("array<string>")), F.substring_index("file", "/", -1))
     out = out.withColumn("title", title).withColumn("folder", tx.folder_name(F.col("date"), F.get("titles", F.lit(0)), F.col("passage")))
     sections = {
-        "Talk": F.array(F.concat(tc.precise(F.col("span_start")), F.lit(" to "), tc.precise(F.col("span_end")), F.lit(" ("), "source", F.lit(")")), F.coalesce("reasoning", F.lit(""))),
+        "Talk": F.when(F.col("span_start").isNotNull(), F.array(F.concat(tc.precise(F.col("span_start")), F.lit(" to "), tc.precise(F.col("span_end")), F.lit(" ("), "source", F.lit(")")), F.coalesce("reasoning", F.lit("")))),
         "Loudness": F.array_compact(F.array(F.col("video_loudness"), F.col("podcast_loudness"))),
         "Titles": F.col("titles"), "Description": F.array_compact(F.array("description")), "Clips": F.col("clips"), "Not chosen": F.col("refused"),
         "Corrected": F.col("fixes"), "Not corrected": F.col("unfixed"),
     }
     out = out.withColumn("page", review.html_page(F.col("title"), F.col("flags"), sections))
-    job.write(out.select("rec_id", "title", "folder", "span_start", "span_end", "source", "flags", "n_clips", "n_stills", "clips", "refused", "fixes", "unfixed", "page"), "review")
+    job.write(out.select("rec_id", "title", "folder", "span_start", "span_end", "source", "flags", "errors", "n_clips", "n_stills", "clips", "refused", "fixes", "unfixed", "page"), "review")
 
 
 def graph(job: Job) -> list[dag.Stage]:
@@ -320,40 +364,67 @@ def graph(job: Job) -> list[dag.Stage]:
     k = job.settings
     ask = lambda name: repr((k.asking, prompts.version(name)))
     tool = lambda *names: repr([(n, job.tools.get(n, "")) for n in names])
-    of = lambda *sources: tuple(_source_mark(job, s) for s in sources)
-
-    def stage(name: str, run: Callable[[Job], None], needs: tuple[str, ...], outputs: tuple[str, ...], inputs: tuple[str, ...] = (), **more) -> dag.Stage:
-        return dag.Stage(name, lambda: run(job), needs, inputs, tuple(job.path(o) for o in outputs), **more)
+    left: dict[str, tuple[str, ...]] = {}
+
+    def stage(name: str, run: Callable[[Job], None], needs: tuple[str, ...], outputs: tuple[str, ...], inputs: tuple[str, ...] = (), sources: tuple[str, ...] = (), **more) -> dag.Stage:
+        own = {s: job.sources[s] for s in sources if s in job.sources}
+        missing = tuple(s for s in sources if s not in job.sources)
+        # a final stage reads what all others leave
+        reads = [t for n in (left if more.get("finally_") else needs) for t in left[n]]
+        left[name] = outputs
+        marks = tuple(f"{s}:{job.store.total(job.store.source(s, df))}" for s, df in own.items())
+        settings = json.dumps([name, more.get("version", 1), inputs, missing])
+        work = lambda force=more.get("force", False): job.store.step(name, settings, reads, own, list(outputs), lambda: run(job), force)
+        return dag.Stage(name, work, needs, (*inputs, *marks, *missing), outputs, **more)
 
     return [
-        stage("probe", probe, (), ("recordings",), (*of("recordings"), tool("media"))),
+        stage("probe", probe, (), ("recordings",), (tool("media"),), ("recordings",)),
         stage("analysis-audio", analysis_audio, ("probe",), ("media-analysis",), (tool("media"),)),
-        stage("transcribe", transcribe, ("analysis-audio",), ("words", "loops"), (*of("asr", "asr_again"), k.transcription.language, tool("recognizer"))),
-        stage("diarize", diarize, ("analysis-audio",), ("turns",), (*of("diarization"), tool("diarizer"))),
-        stage("talk", find_talk, ("probe", "transcribe", "diarize"), ("talks",), (*of("recordings", "silences"), k.talk.ends, *k.talk.preachers, ask("talk-span"))),
-        stage("corrections", correct, ("transcribe", "talk"), ("corrections", "corrected"), (*job.terms(), ask("fix-words"))),
+        stage("transcribe", transcribe, ("analysis-audio", "probe"), ("words", "loops", "media-chunks"), (k.transcription.model, k.transcription.language, tool("recognizer")), ("regions", "asr_chunks", "asr_chunks_again", "asr", "asr_again")),
+        stage("diarize", diarize, ("analysis-audio", "probe"), ("turns",), (tool("diarizer"),), ("diarization",)),
+        stage("talk", find_talk, ("probe", "transcribe", "diarize"), ("talks",), (k.talk.ends, *k.talk.preachers, ask("talk-span")), ("recordings", "silences")),
+        stage("corrections", correct, ("transcribe", "talk"), ("proposed", "corrections", "corrected"), (*job.terms(), ask("fix-words"))),
         stage("captions", caption, ("corrections", "talk"), ("captions", "transcripts")),
-        stage("video-audio", lambda j: master(j, "video"), ("talk",), ("audio-video",), (*of("loudness"), repr((k.audio.video_lufs, k.audio.true_peak)))),
-        stage("podcast-audio", lambda j: master(j, "podcast"), ("talk",), ("audio-podcast",), (*of("loudness"), repr((k.audio.podcast_lufs, k.audio.true_peak, k.audio.podcast_bitrate)))),
+        stage("video-audio", lambda j: master(j, "video"), ("talk",), ("audio-video",), (repr((k.audio.video_lufs, k.audio.true_peak)),), ("loudness",)),
+        stage("podcast-audio", lambda j: master(j, "podcast"), ("talk",), ("audio-podcast",), (repr((k.audio.podcast_lufs, k.audio.true_peak, k.audio.podcast_bitrate)),), ("loudness",)),
         stage("video", video, ("probe", "talk", "video-audio"), ("media-video",), (repr(k.video), tool("media"))),
-        stage("podcast", podcast, ("podcast-audio", "describe", "talk"), ("media-podcast", "episode-texts", "episode-chapters"), (repr(astuple(k.talk)), k.audio.podcast_bitrate)),
-        stage("describe", describe, ("corrections", "talk"), ("texts", "descriptions", "titles", "tags"), (*of("recordings"), repr(astuple(k.talk)), ask("texts"))),
-        stage("clip-picks", pick_clips, ("corrections", "diarize", "talk"), ("clips", "posts"), (*of("silences"), repr((k.clips.count, k.clips.min_score, k.clips.min_seconds, k.clips.max_seconds)), ask("clip-ideas"), ask("clip-judge"))),
-        stage("clips", render_clips, ("probe", "talk", "corrections", "clip-picks"), ("clip-renders", "audio-clips"), (*of("poses", "loudness"), repr((k.clips, k.audio)), tool("tracker"))),
-        stage("thumbnail-frames", thumbnail_frames, ("talk",), ("faces",), (*of("faces"), tool("tracker"))),
+        stage("describe", describe, ("corrections", "talk"), ("texts", "descriptions", "titles", "tags"), (repr(astuple(k.talk)), ask("texts")), ("recordings",)),
+        stage("podcast", podcast, ("probe", "podcast-audio", "describe", "talk"), ("media-podcast", "episode-texts", "episode-chapters"), (repr(astuple(k.talk)), k.audio.podcast_bitrate)),
+        stage("clip-picks", pick_clips, ("corrections", "diarize", "talk"), ("clips", "posts"), (repr((k.clips.count, k.clips.min_score, k.clips.min_seconds, k.clips.max_seconds)), ask("clip-ideas"), ask("clip-judge")), ("silences",)),
+        stage("clips", render_clips, ("probe", "talk", "corrections", "clip-picks"), ("clip-renders", "audio-clips"), (repr((k.clips, k.audio)), tool("tracker")), ("poses", "loudness")),
+        stage("thumbnail-frames", thumbnail_frames, ("talk",), ("faces",), (tool("tracker"),), ("faces",)),
         stage("thumbnails", thumbnails, ("probe", "thumbnail-frames", "describe"), ("thumbnails",), (repr(k.thumbnails),)),
-        stage("review", reviewed, ("talk",), ("review",), finally_=True),
+        stage("review", reviewed, ("probe",), ("review",), (repr(k.clips.count),), finally_=True),
     ]
 
 
-def _source_mark(job: Job, name: str) -> str:
-    """A source by its rows, so that a stage runs again when they change."""
-    return name + ":" + (dag.rows_digest(job.sources[name]) if name in job.sources else "none")
+class _State:
+    """A run's state in a small file beside its tables, wherever they are."""
+
+    def __init__(self, job: Job):
+        self.spark, self.path = job.spark, job.path("_known/state.json")
+
+    def load(self) -> dict:
+        try:
+            return json.loads(tables.get_text(self.spark, self.path) or "{}")
+        except ValueError:
+            return {}
 
+    def save(self, state: dict) -> None:
+        tables.put_text(self.spark, self.path, json.dumps(state, sort_keys=True))
 
-def run(job: Job, targets: list[str] | None = None, slots: int = 3, state: str | None = None) -> dict[str, dag.Result]:
-    """Runs the stages; results by name. What may be reused is in a small file of the driver's, ``state``, which is
-    beside the tables if their folder is a local one."""
+
+def run(job: Job, targets: list[str] | None = None, slots: int = 3) -> dict[str, dag.Result]:
+    """Runs the stages for the recordings that changed; results by name, with how many recordings each worked on."""
     if wrong := job.settings.problems():
         raise ValueError("; ".join(wrong))
-    return dag.run(graph(job), state or f"{job.folder}/state.json", targets, slots, dag.table_digest(job.spark))
+
+    def digest(names: Iterable[str]) -> str:
+        every = [job.store.table_digest(n) for n in sorted(names)]
+        return "\n".join(every) if all(every) else ""
+
+    job.forget()
+    try:
+        return dag.run(graph(job), _State(job), targets, slots, digest)
+    finally:
+        job.forget()

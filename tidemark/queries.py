@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark import demonstration
 from tidemark.functions import ask, text as tx, timecode as tc
-from tidemark.operators import boundaries, camera, clips, corrections, cuts, evaluate, frames, publish, turns as tn, web, words as wd
+from tidemark.operators import boundaries, camera, clips, corrections, cuts, evaluate, frames, publish, transcription, turns as tn, web, words as wd
 from tidemark.plans import stages
 from tidemark.sources import derived, files, logs, tables
 
@@ -280,6 +280,29 @@ def t12_chunk_times(spark, d):
     return wd.from_chunks(w, rounded.withColumn("end", F.col("end") + 1e-9)).select("rec_id", "chunk", "idx", ms("start"), ms("end"))
 
 
+def transcription_of(spark, d):
+    regions, heard, again = (tables.written(x, n) for x, n in zip(derived.speech(load(spark, d, "documents")), ("regions", "heard", "again"), strict=True))
+    return transcription.transcribed(transcription.speech_regions(regions), heard, again, tables.written)
+
+
+@query(
+    "s17_transcribed",
+    f"""WITH {derived.SPEECH_SQL} SELECT rec_id, row_number() OVER (PARTITION BY rec_id ORDER BY chunk, k) - 1 AS idx, text, zero + ms AS start_ms,
+least(ende, zero + greatest(ms, least(ms + dur, coalesce(next_ms, ms + dur)))) AS end_ms FROM hw""",
+)
+def s17_transcribed(spark, d):
+    words = transcription_of(spark, d)[1]
+    return words.select("rec_id", F.col("idx").cast("bigint").alias("idx"), "text", ms("start"), ms("end"))
+
+
+@query(
+    "s17_loops",
+    f"""WITH {derived.SPEECH_SQL} SELECT DISTINCT rec_id, zero AS start_ms, least(ende, zero + least(19 * 40 + 275, coalesce(next_ms, 19 * 40 + 275))) AS end_ms FROM hw WHERE k = -1""",
+)
+def s17_loops(spark, d):
+    return transcription_of(spark, d)[2].select("rec_id", ms("start"), ms("end"))
+
+
 PRECISE = "printf('%d:%02d:%02d.%02d', {c} // 360000, {c} // 6000 % 60, {c} // 100 % 60, {c} % 100)"
 
 
@@ -1020,16 +1043,18 @@ min_seconds = 10.0
 """
 
 
+def review_job(spark, w):
+    """A run over recordings made of words, with scripted tools and replies."""
+    sources, replies = demonstration.scripted_run(w, ["Grace Chapel"])
+    sources = {name: tables.written(df, name) for name, df in sources.items()}
+    return stages.Job(spark, f"{tables.shared_dir(spark)}/run-{uuid.uuid4().hex}", files.settings(RUN_SETTINGS), ask.Replies(tables.written(replies, "replies")), sources)
+
+
 @query("run_review")
 def run_review(spark, d):
-    """All stages over every recording of 400 words or more, with scripted replies: what is left to look at of each."""
-    w = stored_words(spark, d)
-    sources, replies = derived.scripted_run(w, ["Grace Chapel"])
-    sources = {name: tables.written(df, name) for name, df in sources.items()}
-    folder = f"{tables.shared_dir(spark)}/run-{uuid.uuid4().hex}"
-    job = stages.Job(spark, folder, files.settings(RUN_SETTINGS), ask.Replies(tables.written(replies, "replies")), sources)
-    with tempfile.TemporaryDirectory() as state:  # the driver's own; nothing is reused here
-        results = stages.run(job, slots=6, state=f"{state}/state.json")
+    """All stages over every recording: what is left to look at of each, and of those that failed, why."""
+    job = review_job(spark, stored_words(spark, d))
+    results = stages.run(job, slots=6)
     if bad := {n: r.error or r.status for n, r in results.items() if r.status != "done"}:
         raise RuntimeError(f"stages: {bad}")
     out = job.read("review")

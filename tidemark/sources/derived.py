@@ -64,6 +64,49 @@ def asr_tokens(documents: DataFrame) -> DataFrame:
     return w.select("rec_id", "seg", F.explode(F.array_compact(F.array(special, first, second))).alias("t")).select("rec_id", "seg", "t.*")
 
 
+#: Words of a speech region; two regions are a chunk, and six seconds of silence are before each chunk.
+REGION_WORDS, SILENCE_MS = 40, 6000
+
+
+def speech(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What a detector and a recognizer make of the words: ``regions (rec_id, log)`` and chunks ``(rec_id, chunk,
+    transcription)`` as first heard and as heard again.
+
+    In every fourth chunk the first transcription says one sentence four times in place of the chunk's first second
+    half; of these, every other one is heard again without that, and the rest loops in the same way. Every fifth chunk
+    has a word timed past its end.
+    """
+    w = word_times(documents).withColumn("chunk", F.floor(F.col("idx") / (2 * REGION_WORDS)).cast("int"))
+    w = w.withColumn("at", F.col("start_ms") + SILENCE_MS * F.col("chunk")).withColumn("till", F.col("end_ms") + SILENCE_MS * F.col("chunk"))
+    r = w.groupBy("rec_id", F.floor(F.col("idx") / REGION_WORDS).alias("r")).agg(F.min("at").alias("a"), F.max("till").alias("b"))
+    line = F.format_string("start = %d.%d0, end = %d.%d0", *[x for c in ("a", "b") for x in (F.floor(F.col(c) / 10).cast("long"), (F.col(c) % 10).cast("long"))])
+    regions = r.groupBy("rec_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", line.alias("l")))), lambda x: x["l"]), "\n").alias("log"))
+    token = lambda text, ms: F.struct(text.alias("text"), F.lit(-1).alias("t_dtw"), F.struct(ms.cast("int").alias("from"), ms.cast("int").alias("to")).alias("offsets"))
+    by = Window.partitionBy("rec_id", "chunk")
+    own = w.withColumn("zero", F.greatest(F.lit(0), F.min("at").over(by) - 300)).withColumn("ms", F.col("at") - F.col("zero"))
+    c = own.groupBy("rec_id", "chunk").agg(F.array_sort(F.collect_list(F.struct("idx", token(F.concat(F.lit(" "), "text"), F.col("ms")).alias("t")))).alias("ws"), F.max(F.col("till") - F.col("zero")).alias("length"))
+    plain = F.transform("ws", lambda x: x["t"])
+    late = F.when(F.col("chunk") % 5 == 1, F.array(token(F.lit(" late"), F.col("length") + 900))).otherwise(F.array())
+    looped = F.transform(F.sequence(F.lit(0), F.lit(19)), lambda k: token(F.concat(F.lit(" "), F.element_at(F.array(*[F.lit(x) for x in LOOP.split()]), (k % 5 + 1).cast("int"))), k * 40))
+    loop = F.concat(looped, F.filter(plain, lambda t: t["offsets"]["from"] >= 1000))
+    segment = lambda tokens: F.array(F.struct(F.lit("").alias("text"), F.concat(tokens, late).alias("tokens")))
+    k = F.col("rec_id") + F.col("chunk")
+    heard = c.select("rec_id", "chunk", segment(F.when(k % 4 == 0, loop).otherwise(plain)).alias("transcription"))
+    again = c.where(k % 4 == 0).select("rec_id", "chunk", segment(F.when(k % 8 == 0, plain).otherwise(loop)).alias("transcription"))
+    return regions, heard, again
+
+
+LOOP = "and so it goes on."
+
+SPEECH_SQL = WORDS_SQL.rstrip() + f""",
+sp0 AS (SELECT *, idx // {2 * REGION_WORDS} AS chunk, start_ms + {SILENCE_MS} * (idx // {2 * REGION_WORDS}) AS a_ms, end_ms + {SILENCE_MS} * (idx // {2 * REGION_WORDS}) AS till FROM words),
+sp AS (SELECT *, a_ms - zero AS ms, (rec_id + chunk) % 8 = 4 AS loops FROM (SELECT *, greatest(0, min(a_ms) OVER (PARTITION BY rec_id, chunk) - 300) AS zero, max(till) OVER (PARTITION BY rec_id, chunk) + 300 AS ende FROM sp0)),
+hd AS (SELECT rec_id, chunk, idx AS k, text, ms, zero, ende FROM sp WHERE NOT loops OR ms >= 1000
+ UNION ALL SELECT DISTINCT rec_id, chunk, -20 + i, string_split('{LOOP}', ' ')[i % 5 + 1], i * 40, zero, ende FROM sp, range(20) t(i) WHERE loops),
+hw AS (SELECT *, least(1000, 80 + 65 * length(text)) AS dur, lead(ms) OVER (PARTITION BY rec_id, chunk ORDER BY k) AS next_ms FROM hd WHERE regexp_matches(text, '[\\p{{L}}\\p{{Nd}}]'))
+"""
+
+
 def turns(events: DataFrame) -> DataFrame:
     """A day's events as a recording's turns: 24 hours in 24 minutes, three speakers."""
     seconds = F.hour("ts") * 3600 + F.minute("ts") * 60 + F.second("ts")
@@ -138,62 +181,3 @@ def turns_of_words(words_: DataFrame) -> DataFrame:
     """Turns of three speakers, each 150 words in order."""
     k = F.floor(F.col("idx") / 150)
     return words_.groupBy("rec_id", k.alias("idx")).agg(F.min("start").alias("start"), F.max("end").alias("end")).select("rec_id", "idx", "start", "end", F.concat(F.lit("speaker_"), F.pmod(F.floor(F.col("idx") / 3), F.lit(2)).cast("string")).alias("speaker"))
-
-
-def _said(words_: DataFrame, group: list, place, quotes: dict[str, tuple[int, int]], times: dict[str, int]) -> DataFrame:
-    """For each group of words, those at some places of it as quotes, and the clocks at some places."""
-    from tidemark.functions import timecode as tc
-
-    w = words_.withColumn("__k", place)
-    quote = lambda a, b: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("__k").between(a, b), F.struct("idx", "text")))), lambda x: x["text"]), " ")
-    clock = lambda a: F.coalesce(tc.clock(F.max(F.when(F.col("__k") == a, F.col("start")))), F.lit("?"))
-    return w.groupBy(*group).agg(*[quote(a, b).alias(n) for n, (a, b) in quotes.items()], *[clock(a).alias(n) for n, a in times.items()])
-
-
-def scripted_run(words_: DataFrame, terms: list[str]) -> tuple[dict[str, DataFrame], DataFrame]:
-    """Sources of a run and scripted replies, all from words; recordings of under 400 are left out."""
-    from tidemark.functions.timecode import clock as clock_of
-
-    size = words_.groupBy("rec_id").agg(F.max("idx").alias("n"), F.max("end").alias("seconds")).where("n >= 400")
-    w = words_.join(size.select("rec_id"), "rec_id", "left_semi")
-    rec = F.col("rec_id")
-    fixed = lambda c, k: F.format_string(f"%.{k}f", c.cast("double"))
-    report = F.to_json(F.struct(F.array(F.struct(F.lit("video").alias("codec_type"), F.lit(1280).alias("width"), F.lit(720).alias("height"), F.lit("30000/1001").alias("avg_frame_rate"), F.lit("30/1").alias("r_frame_rate"))).alias("streams"), F.struct(fixed(F.col("seconds") + 1, 3).alias("duration")).alias("format")))
-    by_hand = rec % 10 == 3
-    recordings = size.select(rec, F.concat(F.lit("/in/"), rec.cast("string"), F.lit(".mov")).alias("file"), F.lit("2024-01-07").alias("date"), F.when(rec % 29 == 7, F.lit("{}")).otherwise(report).alias("report"), F.when(by_hand, F.lit("0:10")).alias("start_text"), F.when(by_hand & (rec % 20 == 3), F.lit("2:00")).when(by_hand, F.lit("0:05")).alias("end_text"), F.lit("").alias("speaker"))
-    token = F.struct(F.concat(F.lit(" "), "text").alias("text"), F.floor(F.col("start") * 100).cast("int").alias("t_dtw"), F.struct((F.col("start") * 1000).cast("int").alias("from"), (F.col("end") * 1000).cast("int").alias("to")).alias("offsets"))
-    segments = w.groupBy("rec_id", F.floor(F.col("idx") / 50).alias("seg")).agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", token.alias("t")))), lambda x: x["t"]).alias("tokens"))
-    asr = segments.groupBy("rec_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seg", "tokens"))), lambda s: F.struct(F.lit("").alias("text"), s["tokens"].alias("tokens"))).alias("transcription"))
-    t = turns_of_words(w)
-    diarization = t.select("rec_id", F.col("idx").cast("int").alias("line_no"), F.concat(fixed(F.col("start"), 3), F.lit(" -- "), fixed(F.col("end"), 3), F.lit(" "), "speaker").alias("value"))
-    gaps = w.select("rec_id", "idx", F.col("end").alias("a"), F.lead("start").over(Window.partitionBy("rec_id").orderBy("idx")).alias("b")).where("b - a >= 0.2")
-    line = F.concat(F.lit("silence_start: "), fixed(F.col("a"), 3), F.lit("\nsilence_end: "), fixed(F.col("b"), 3))
-    silences = gaps.groupBy("rec_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", line.alias("l")))), lambda x: x["l"]), "\n").alias("log")).join(size, "rec_id").select("rec_id", "log", F.lit(0.0).alias("offset"), F.col("seconds").alias("end"))
-    heard = lambda name, attempt, loud, peak: F.struct(F.lit(name).alias("name"), F.lit(attempt).alias("attempt"), F.concat(F.lit('{"input_i": "'), loud.cast("string"), F.lit('", "input_tp": "'), peak.cast("string"), F.lit('", "input_lra": "5.0"}')).alias("log"))
-    loudness = size.select("rec_id", F.explode(F.array(heard("video", 0, F.lit(-24.0), F.lit(-6.0)), heard("video", 1, -14.0 - rec % 3, -1.0 - rec % 2), heard("video", 2, F.lit(-14.2), F.lit(-1.6)), heard("podcast", 0, F.lit(-20.0), F.lit(-4.0)), heard("podcast", 1, -16.1 - rec % 5, F.lit(-2.0)))).alias("x")).select("rec_id", "x.*")
-    seen = size.select("rec_id", "seconds", F.explode(F.sequence(F.lit(0), F.least(F.floor("seconds"), F.lit(900)).cast("int"))).alias("second"))
-    x = (F.sin(F.col("second") / 20 + rec) + 1) / 2
-    point = F.struct(x.alias("x"), F.lit(0.3).alias("y"))
-    box = lambda q: F.struct((x * 0.8).alias("x"), F.lit(0.2).alias("y"), F.lit(0.1).alias("w"), (F.lit(0.05) + (rec + F.col("second")) % q / 100).alias("h"))
-    none = F.array().cast("array<struct<x:double,y:double,w:double,h:double>>")
-    poses = seen.select("rec_id", F.col("second").cast("double").alias("t"), F.when((rec % 4 == 1) | (F.col("second") % 7 == 6), F.array().cast("array<struct<x:double,y:double>>")).otherwise(F.array(point)).alias("necks"), none.alias("faces"), none.alias("bodies"))
-    faces = seen.where("second % 2 = 0").select("rec_id", F.col("second").cast("double").alias("t"), F.array(F.struct(box(9).alias("box"), (F.col("second") * 31 % 97 / 97).alias("quality"))).alias("faces"), F.array(box(5)).alias("text"))
-
-    # replies
-    quoted = _said(w, ["rec_id"], F.col("idx"), {"a": (20, 27), "fix": (60, 61), "name": (100, 101)}, {"at": 20, "fix_at": 60})
-    ends = _said(w.join(size.select("rec_id", "n"), "rec_id"), ["rec_id"], F.col("idx") - F.col("n") + 60, {"b": (30, 37)}, {"b_at": 30})
-    q = quoted.join(ends, "rec_id").join(size.select("rec_id", "seconds"), "rec_id")
-    reply = lambda df, prompt, value: df.select("rec_id", F.lit(prompt).alias("prompt"), value.alias("reply"))
-    span = F.struct(F.when(rec % 17 == 2, F.lit("words that nobody said")).otherwise(F.col("a")).alias("start_quote"), F.col("at").alias("start_time"), F.col("b").alias("end_quote"), F.col("b_at").alias("end_time"), F.when(rec % 2 == 0, F.col("name")).otherwise(F.lit("Nobody Known")).alias("name"), F.when(rec % 3 == 0, F.lit("medium")).otherwise("high").alias("confidence"), F.lit("it starts there").alias("reasoning"), F.array_compact(F.array(F.when(rec % 7 == 0, F.lit("it breaks off")))).alias("notes"))
-    fix = F.struct(F.array(F.struct(F.col("fix").alias("find"), F.when(rec % 2 == 0, F.lit(terms[0])).otherwise(F.concat("fix", F.lit(" indeed"))).alias("replace"), F.col("fix_at").alias("time"), F.lit("it sounds so").alias("reason"))).alias("corrections"))
-    ideas = _said(w.where("idx % 100 < 80"), ["rec_id", F.floor(F.col("idx") / 100).alias("pos")], F.col("idx") % 100, {"start_quote": (5, 10), "end_quote": (70, 76)}, {"start_time": 5, "end_time": 70}).where("pos > 0 AND pos < 8")
-    idea = F.struct("start_quote", "start_time", "end_quote", "end_time", F.concat(F.lit("Part "), F.col("pos").cast("string"), F.lit(": it's here")).alias("title"), F.lit("look").alias("caption"))
-    ideas = ideas.groupBy("rec_id").agg(F.to_json(F.struct(F.transform(F.array_sort(F.collect_list(F.struct("pos", idea.alias("c")))), lambda c: c["c"]).alias("candidates"))).alias("v"))
-    judge = lambda k: F.struct(F.lit(k).alias("number"), F.lit("reject" if k % 4 == 3 else "keep").alias("verdict"), F.lit("so it is").alias("reason"), F.lit(3 + k * 5 % 8).alias("score"))
-    chapter = lambda share, title: F.struct(F.when(rec % 6 == 1, F.lit("soon")).otherwise(clock_of(F.floor(F.col("seconds") * share))).alias("time"), F.lit(title).alias("title"))
-    text = lambda first: F.struct(F.array(F.concat(F.initcap(F.col("name")), F.lit(" | Part"))).alias("titles"), F.concat("a", F.lit(" <b>\n\n"), "b").alias("long"), F.col("b").alias("short"), (F.array(chapter(0.05, "First"), chapter(0.3, "Then"), chapter(0.31, "Soon"), chapter(0.6, "At last")) if first else F.array(chapter(0.1, "Only"))).alias("chapters"), F.lit("Psalm 1:1-3").alias("passage"), F.array(F.lit("John 3:16")).alias("scripture"), F.split("a", " ").alias("tags"), F.split("b", " ").alias("hashtags"))
-    every = [reply(q, "talk-span", F.to_json(span)), reply(q, "fix-words", F.to_json(fix)), reply(ideas, "clip-ideas", F.when(rec % 19 == 4, F.lit("{broken")).otherwise(F.col("v"))), reply(q, "clip-judge", F.to_json(F.struct(F.array(*[judge(k) for k in (2, 1, 3, 9, 2, 4, 5)]).alias("reviews")))), reply(q, "texts", F.to_json(text(True))), reply(q, "texts/2", F.to_json(text(False)))]
-    replies = every[0]
-    for r in every[1:]:
-        replies = replies.unionByName(r)
-    return {"recordings": recordings, "asr": asr, "diarization": diarization, "silences": silences, "loudness": loudness, "poses": poses, "faces": faces}, replies

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,6 +43,87 @@ def delete(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
+def get_text(spark: SparkSession, path: str) -> str | None:
+    """A small file's text; null if there is none."""
+    fs, p = _file_system(spark, path)
+    if not fs.exists(p):
+        return None
+    stream = fs.open(p)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """Replaces a small file: it has the old text or the new one, or, for a moment, none."""
+    fs, new = _file_system(spark, f"{path}.{uuid.uuid4().hex}.new")
+    stream = fs.create(new, True)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+    p = _file_system(spark, path)[1]
+    if not fs.rename(new, p):  # some stores rename over no file
+        fs.delete(p, False)
+        fs.rename(new, p)
+
+
+def listing(spark: SparkSession, path: str) -> str:
+    """A table's files by name, size and time: what tells without reading them whether anybody changed them."""
+    fs, p = _file_system(spark, path)
+    if not fs.exists(p):
+        return ""
+    found, root = [], p.toUri().getPath()
+    files = fs.listFiles(p, True)
+    while files.hasNext():
+        f = files.next()
+        name = f.getPath().toUri().getPath()
+        if not name.rsplit("/", 1)[1].startswith((".", "_")):
+            found.append(f"{name.removeprefix(root)}|{f.getLen()}|{f.getModificationTime()}")
+    return "\n".join(sorted(found))
+
+
+_scopes = threading.local()
+
+
+class Scope:
+    """Tables that a thread writes ``with`` it are deleted by ``close``, when nothing reads them any more, instead of at
+    the session's end. Scopes nest; several threads may write with one."""
+
+    def __init__(self):
+        self.made: list[tuple[SparkSession, str, str | None]] = []
+
+    def __enter__(self) -> Scope:
+        _scopes.stack = [*getattr(_scopes, "stack", ()), self]
+        return self
+
+    def __exit__(self, *_) -> None:
+        _scopes.stack = _scopes.stack[:-1]
+
+    def close(self) -> None:
+        while self.made:
+            _delete(*self.made.pop())
+
+
+@contextlib.contextmanager
+def scope() -> Iterator[None]:
+    """A scope that closes at its end."""
+    own = Scope()
+    try:
+        with own:
+            yield
+    finally:
+        own.close()
+
+
+def _made(spark: SparkSession, path: str, name: str | None) -> None:
+    if stack := getattr(_scopes, "stack", ()):
+        stack[-1].made.append((spark, path, name))
+    else:
+        atexit.register(_delete, spark, path, name)
+
+
 def _delete(spark: SparkSession, path: str, name: str | None) -> None:
     try:
         if name:
@@ -55,7 +139,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidemark-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_delete, spark, path, None)
+    _made(spark, path, None)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -66,7 +150,7 @@ def in_buckets(df: DataFrame, label: str, key: str) -> DataFrame:
     name = f"tidemark_{label}_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/{name}"
     df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).option("path", path).format("parquet").saveAsTable(name)
-    atexit.register(_delete, spark, path, name)
+    _made(spark, path, name)
     return spark.table(name)
 
 
@@ -78,5 +162,5 @@ def by_recording(df: DataFrame, label: str, *order: str, key: str = "rec_id") ->
     path = f"{shared_dir(spark)}/{name}"
     dealt = df.repartition(buckets, key)  # a file for each bucket
     dealt.write.bucketBy(buckets, key).sortBy(key, *order).option("path", path).format("parquet").saveAsTable(name)
-    atexit.register(_delete, spark, path, name)
+    _made(spark, path, name)
     return spark.table(name)
