@@ -4,11 +4,12 @@ import dataclasses
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark import demonstration
 from tidemark.functions import ask, prompts
 from tidemark.operators import web
-from tidemark.plans import dag, stages
+from tidemark.plans import dag, increment, stages
 from tidemark.sources import derived, files, tables
 
 SETTINGS = '[talk]\nname = "A Place"\nlocation = "Town"\nwebsite = "place.example"\npreachers = ["Pastor Odo Vanterpool"]\n[transcription]\nglossary = ["Grace Chapel"]\n[clips]\nmin_score = 4\nmin_seconds = 10.0\n'
@@ -131,7 +132,7 @@ def test_stills_and_review(job, results):
     stills = job.read("thumbnails").collect()
     assert {r.rec_id for r in stills} == {1, 3, 4, 5, 6, 10} and all(r.crop.w % 32 == 0 and r.passage == "Psalm 1:1-3" for r in stills)
     out = rows(job, "review")
-    assert set(out) == {1, 3, 4, 5, 6, 10}
+    assert set(out) == set(RECORDINGS)
     assert out[6].flags[0].startswith("Loop in the transcript at ")
     assert out[1].flags[0] == "Missing: mastered audio of the podcast, the podcast." and out[5].flags[0] != out[1].flags[0]
     assert any(f.startswith("Uncropped for lack of tracking: 01-part-1") for f in out[1].flags)
@@ -140,6 +141,17 @@ def test_stills_and_review(job, results):
     assert "<h2>To check</h2>" in out[1].page and "it&#x27;s here" in out[1].page
 
 
+def test_failed_recordings_are_in_the_review(job, results):
+    out = rows(job, "review")
+    assert {k: r.errors for k, r in out.items() if r.errors} == {
+        2: ["The talk: not in the transcript: words that nobody said"],
+        7: ["The recording: " + rows(job, "recordings")[7].error],
+        13: ["The talk: the end must be after the start"],
+    }
+    assert out[2].flags == out[2].errors and out[7].span_start is None
+    assert "<h2>To check</h2><ul><li>The talk: not in the transcript" in out[2].page and out[7].title == "7.mov"
+
+
 def test_a_second_run_reuses_and_changes_reach_what_they_touch(job, results):
     assert {r.status for r in stages.run(job).values()} == {"reused"}
     k = job.settings
@@ -149,6 +161,53 @@ def test_a_second_run_reuses_and_changes_reach_what_they_touch(job, results):
     assert rows(other, "review")[1].n_clips is None
 
 
+def listed(job):
+    """The files of all tables, by table and part."""
+    out = {}
+    for line in tables.listing(job.spark, job.folder).split("\n"):
+        path, *rest = line.split("|")
+        if "/part=" in path and "/_known/" not in path:
+            out.setdefault(tuple(path.strip("/").split("/")[:2]), []).append((path, *rest))
+    return out
+
+
+def test_one_changed_recording_rewrites_its_parts_only(job, results):
+    stages.run(job)  # as it was before the last test
+    before, old = listed(job), rows(job, "audio-video")
+    quiet = '{"input_i": "-30.0", "input_tp": "-20.0", "input_lra": "5.0"}'
+    loudness = job.sources["loudness"].withColumn("log", F.when((F.col("rec_id") == 6) & (F.col("attempt") == 0), F.lit(quiet)).otherwise(F.col("log")))
+    other = dataclasses.replace(job, sources=job.sources | {"loudness": tables.written(loudness, "loudness")})
+    got = stages.run(other)
+    assert {n: r.items for n, r in got.items() if r.status == "done"} == {n: 1 for n in ("video-audio", "podcast-audio", "video", "podcast", "clips", "review")}
+    part = job.spark.createDataFrame([(6,)], "rec_id bigint").select(increment.part_of(job.parts)).first()[0]
+    after = listed(job)
+    changed = {k for k in before.keys() | after.keys() if before.get(k) != after.get(k)}
+    assert {k[1] for k in changed} == {f"part={part}"}
+    assert {k[0] for k in changed} >= {"audio-video", "audio-podcast", "clip-renders", "audio-clips", "review"} and not {k[0] for k in changed} & {"words", "turns", "talks", "texts", "clips", "faces"}
+    new = rows(job, "audio-video")
+    assert {k for k in old if old[k] != new[k]} == {6} and new[6].gain > old[6].gain
+
+
+def test_chunks_are_transcribed(job, spark, tmp_path):
+    """Recordings heard in chunks: as said, but for what loops in both transcriptions; silent ones have no words."""
+    documents = spark.createDataFrame([(r, " ".join(talk_words(random.Random(r)))) for r in (1, 2, 3, 7)], "doc_id bigint, text string")
+    regions, heard, again = derived.speech(documents)
+    silent = regions.withColumn("log", F.when(F.col("rec_id") == 3, F.lit("")).otherwise(F.col("log")))
+    sources = {k: v for k, v in job.sources.items() if k != "asr"} | {"regions": silent, "asr_chunks": heard, "asr_chunks_again": again}
+    own = dataclasses.replace(job, folder=str(tmp_path / "chunks"), sources=sources)
+    got = stages.run(own, targets=["transcribe"])
+    assert {r.status for r in got.values()} == {"done"}
+    words = {}
+    for r in own.read("words").orderBy("rec_id", "idx").collect():
+        words.setdefault(r.rec_id, []).append(r.text)
+    said = {r.doc_id: r.text.split() for r in documents.collect()}
+    assert set(words) == {1, 2} and words[1][:240] == said[1][:240]  # chunk 3 of recording 1 loops twice, chunk 7 once
+    assert words[1].count("goes") == 4 and {r.rec_id for r in own.read("loops").collect()} == {1, 2}
+    chunks = own.read("media-chunks").collect()
+    assert {(r.rec_id, r.chunk) for r in chunks if r.again} == {(1, 3), (2, 2)} and {r.preset for r in chunks} == {"large.v3.turbo"}
+    assert {r.dest for r in chunks if r.rec_id == 1} == {f"speech-{k:03}.wav" for k in range(6)}
+
+
 def test_settings_are_checked_first(job):
     with pytest.raises(ValueError, match="talk.name is missing"):
         stages.run(dataclasses.replace(job, settings=files.Settings()))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from html import unescape
 from urllib.parse import urljoin
 
 import pandas as pd
@@ -12,10 +11,11 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as tx
 from tidemark.functions.ask import Asker, answer
-from tidemark.functions.markup import MarkupReader
+from tidemark.functions.tree import tree
 
 MOST_PAGES, MOST_CHARS = 8, 12000
-SKIPPED = frozenset(("script", "style", "noscript", "svg", "template", "iframe"))
+#: Elements whose content is no page text; a title's is the title.
+UNREAD = frozenset(("script", "style", "noscript", "svg", "template", "iframe", "title"))
 BREAKS = frozenset("br p div section article header footer li h1 h2 h3 h4 h5 h6 tr nav".split())
 #: Parts of links and their texts that lead to a page about the organization.
 INTERESTING = (
@@ -25,66 +25,28 @@ INTERESTING = (
 )
 
 
-class PageReader(MarkupReader):
-    """Title, text (a newline before each block) and links of a page; descriptions in its head come first."""
-
-    def __init__(self):
-        super().__init__()
-        self.title, self.parts, self.links = "", [], []
-        self.skip, self.link = 0, None
-
-    def handle_starttag(self, tag, attrs):
-        a = dict(attrs)
-        if tag in SKIPPED:
-            self.skip += 1
-        elif self.skip:
-            return
-        elif tag == "meta" and (a.get("name") or "") + (a.get("property") or "") in ("description", "og:description"):
-            content = (a.get("content") or "").strip()
-            if content and content + "\n" not in self.parts:
-                self.parts.append(content + "\n")
-        elif tag == "a":
-            self.close_link()
-            self.link = [a.get("href") or "", []]
-        if tag in BREAKS:
-            self.parts.append("\n")
-
-    def close_link(self):
-        if self.link:
-            self.links.append((self.link[0], "".join(self.link[1]).strip()))
-        self.link = None
-
-    def handle_endtag(self, tag):
-        if tag in SKIPPED:
-            self.skip = max(0, self.skip - 1)
-        elif tag == "a":
-            self.close_link()
-
-    def raw(self, tag, content):
-        if tag == "title" and not self.skip:
-            self.title += unescape(content)
-        elif tag not in SKIPPED:
-            self.handle_data(unescape(content))
-
-    def handle_data(self, data):
-        if self.skip:
-            return
-        self.parts.append(data)
-        if self.link:
-            self.link[1].append(data)
-
-
 def read_page(html: str | None, url: str | None) -> tuple[str, str, list[tuple[str, str]]]:
-    r = PageReader()
-    r.read(html or "")
-    r.close_link()
-    links = []
-    for href, text in r.links:
-        try:
-            links.append((urljoin(url or "", href), text))
-        except ValueError:
-            continue  # not a URL
-    return r.title.strip(), "".join(r.parts), links
+    """Title, text (a newline before each block) and links of a page, in the order of its tree; descriptions in its head
+    stand in the text where they are."""
+    title, parts, links = "", [], []
+    for node in tree(html or "").walk(UNREAD):
+        tag = node.tag
+        if not tag:
+            parts.append(node.text)
+        elif tag == "title":
+            title = node.content()
+        elif tag == "meta" and node.attrs.get("name", "") + node.attrs.get("property", "") in ("description", "og:description"):
+            content, parts = node.attrs.get("content", "").strip(), ["".join(parts)]
+            if content and content not in parts[0]:
+                parts.append(content + "\n")
+        elif tag == "a":
+            try:
+                links.append((urljoin(url or "", node.attrs.get("href", "")), node.content()))
+            except ValueError:
+                pass  # not a URL
+        elif tag in BREAKS:
+            parts.append("\n")
+    return title, "".join(parts), links
 
 
 def parsed(pages: DataFrame) -> DataFrame:

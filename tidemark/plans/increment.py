@@ -82,10 +82,15 @@ class Store:
         old = self._known(kind, name)
         path = f"{self.folder}/_known/{kind}-{name}-{uuid.uuid4().hex}"
         df.coalesce(1 + self.parts // 64).write.parquet(path)
+        if kind == "table":
+            more["total"] = self.total(self.spark.read.schema(DIGESTS).parquet(path))
         tables.put_text(self.spark, f"{self.folder}/_known/{kind}-{name}.json", json.dumps({"path": path, **more}))
         if old:
             tables.delete(self.spark, old["path"])
 
+    def _unlearn(self, kind: str, name: str) -> None:
+        tables.delete(self.spark, f"{self.folder}/_known/{kind}-{name}.json")
+
     def _about(self, kind: str, name: str, schema: str) -> DataFrame:
         known = self._known(kind, name)
         return self.spark.read.schema(schema).parquet(known["path"]) if known else self.spark.createDataFrame([], schema)
@@ -181,12 +186,12 @@ class Store:
             out.repartition(PART).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(PART).parquet(path)
             for part in set(work.parts) - left:  # no row left: nothing was written over the old ones
                 tables.delete(self.spark, f"{path}/{PART}={part}")
-        about = digests(self.spark.read.schema(T.StructType([*schema.fields, T.StructField(PART, T.IntegerType())])).parquet(path).drop(PART)) if work.touched is None or not known else None
-        if about is None:
+        if work.touched is None or not known:
+            about = digests(self.spark.read.schema(T.StructType([*schema.fields, T.StructField(PART, T.IntegerType())])).parquet(path).drop(PART))
+        else:
             rows = work.of(self._parted(name).where(F.col(PART).isin(*work.parts)).drop(PART))
             about = self._about("table", name, DIGESTS).join(work.touched, "rec_id", "left_anti").unionByName(digests(rows))
-        about = tables.written(about, "digests")
-        self._learn("table", name, about, schema=schema.jsonValue(), listing=tables.listing(self.spark, path), total=self.total(about))
+        self._learn("table", name, about, schema=schema.jsonValue(), listing=tables.listing(self.spark, path))
         return self.read(name)
 
     # --- stages
@@ -207,25 +212,31 @@ class Store:
         leaves."""
         with tables.scope():
             now = tables.written(self.marks_now(settings, reads, sources), "marks")
+            total = now.count()
+            whole = bool(self._known("marks", stage)) and all(self.exists(name) for name in outputs)
+            if force or not whole:
+                self._unlearn("marks", stage)
+                run()
+                self._learn("marks", stage, now)
+                return total
             old = self.marks(stage)
             new = now.select("rec_id", F.col("mark").alias("new")).join(old, "rec_id", "full").where(~F.col("new").eqNullSafe(F.col("mark"))).select("rec_id")
-            spoiled = [self._spoiled(name) for name in outputs if self.exists(name)]
-            touched = tables.written(reduce(DataFrame.unionByName, [new, *[s for s in spoiled if s is not None]]).distinct(), "touched")
-            count, total = touched.count(), now.count()
-            whole = all(self.exists(name) for name in outputs)
-            every = force or not whole or not now.join(touched, "rec_id", "left_anti").limit(1).count()
-            if whole and not count and not force:
+            spoiled = [s for name in outputs if (s := self._spoiled(name)) is not None]
+            touched = tables.written(reduce(DataFrame.unionByName, [new, *spoiled]).distinct(), "touched")
+            found = touched.groupBy(part_of(self.parts).alias(PART)).count().collect()  # parts at most
+            if not found:
                 for name in outputs:
                     self._same_rows(name)
                 return 0
-            parts = tuple(sorted(r[0] for r in touched.select(part_of(self.parts)).distinct().collect()))  # parts at most
-            rest = tables.written(old.join(touched, "rec_id", "left_anti"), "rest")
+            count, parts = sum(r["count"] for r in found), tuple(sorted(r[PART] for r in found))
+            rest = old.join(touched, "rec_id", "left_anti")
             self._learn("marks", stage, rest.unionByName(touched.withColumn("mark", F.lit(OPEN))))
+            rest = self.marks(stage).where(F.col("mark") != OPEN)
+            every = count >= total and not now.join(touched, "rec_id", "left_anti").limit(1).count()
             with self.working_on(Work() if every else Work(touched, parts, 2 * count > total)):
                 run()
-            done = now if every else rest.unionByName(now.join(touched, "rec_id", "left_semi"))
-            self._learn("marks", stage, done)
-            return total if every else count
+            self._learn("marks", stage, now if every else rest.unionByName(now.join(touched, "rec_id", "left_semi")))
+            return count
 
     def _same_rows(self, name: str) -> None:
         """Files that somebody wrote again with the same rows are known from now on."""
