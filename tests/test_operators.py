@@ -541,9 +541,6 @@ def test_sinks(spark, tmp_path):
     assert len(files.settings("[clips]\ncount = -1\nmin_score = 11").problems()) == 3
     every = files.settings('[talk]\nends = "later"\n[asking]\neffort = "some"\n[audio]\ntrue_peak = 0.0\n[clips]\nmin_seconds = 9.0\nmax_seconds = 9.0\nsmoothing_seconds = 0.0\nsteadiness = 0.2\nfont_family = "A, B"\nfont_file = "/no:where/f.ttf"')
     assert len(every.problems()) == 10
-    df = spark.createDataFrame([(1, 0, "a\n"), (1, 1, "b\n"), (2, 0, "c\n")], "rec_id bigint, k int, text string")
-    files.write_texts(df, f"{tmp_path}/t", ["k"])
-    assert "".join(p.read_text() for p in sorted((tmp_path / "t/rec_id=1").glob("part*"))) == "a\nb\n"
     (tmp_path / "l.toml").write_text('[[service]]\nrecording = "r"\nstart = "1:00"\nend = "2:00"\n')
     labels = files.eval_labels(spark, f"{tmp_path}/l.toml").select(F.lit(1).alias("rec_id"), tc.parse_clock(F.col("start")).alias("start"), tc.parse_clock(F.col("end")).alias("end"))
     spans = spark.createDataFrame([(1, 63.5, 119.0), (2, 1.0, 2.0)], "rec_id bigint, start double, end double")

@@ -117,6 +117,16 @@ def scope() -> Iterator[None]:
         own.close()
 
 
+@contextlib.contextmanager
+def session() -> Iterator[None]:
+    """Tables written inside stay until the session's end, whatever scopes are around."""
+    stack, _scopes.stack = getattr(_scopes, "stack", ()), ()
+    try:
+        yield
+    finally:
+        _scopes.stack = stack
+
+
 def _made(spark: SparkSession, path: str, name: str | None) -> None:
     if stack := getattr(_scopes, "stack", ()):
         stack[-1].made.append((spark, path, name))
