@@ -152,6 +152,30 @@ def test_failed_recordings_are_in_the_review(job, results):
     assert "<h2>To check</h2><ul><li>The talk: not in the transcript" in out[2].page and out[7].title == "7.mov"
 
 
+def test_calls_of_tools(job, results):
+    talk = rows(job, "media-video")[5].command
+    assert talk[0] == "ffmpeg" and talk[-1] == stages.VIDEO and "/in/5.mov" in talk
+    episode = rows(job, "media-podcast")[5].command
+    assert {"date=2024-01-07", "comment=place.example", "artist=A Place"} <= set(episode) and episode[-1] == stages.PODCAST
+    clips = {(r.rec_id, r.clip_id): r for r in job.read("clip-renders").collect()}
+    for (rec, clip), r in clips.items():
+        graph = r.command[r.command.index("-filter_complex") + 1]
+        assert ("sendcmd=f=" + clip + ".cmd" in graph) != r.uncropped and r.command[-1] == r.file
+    still = job.read("thumbnails").where("rec_id = 5 AND place = 0").first()
+    assert [c[0] for c in still.commands] == ["ffmpeg", "magick"] and still.commands[1][-1] == still.file == "YouTube/thumbnails/1.jpg"
+
+
+def test_exported_folders(job, results, tmp_path):
+    root = str(tmp_path / "out")
+    assert stages.exported(job, root).count() == 0
+    folder = rows(job, "review")[5].folder
+    found = {str(p.relative_to(tmp_path / "out" / folder)) for p in (tmp_path / "out" / folder).rglob("*") if p.is_file() and not p.name.startswith(".")}
+    assert found == {stages.REVIEW, stages.CAPTIONS, stages.TRANSCRIPT, stages.DESCRIPTION, stages.TITLES, stages.TAGS, stages.PODCAST_TEXT, stages.PODCAST_CHAPTERS, stages.POSTS}
+    assert (tmp_path / "out" / folder / stages.CAPTIONS).read_text() == rows(job, "captions")[5].text
+    failed = [p for p in (tmp_path / "out").iterdir() if p.name.startswith("2024-01-07") and (p / stages.REVIEW).exists()]
+    assert len(failed) == len(RECORDINGS)
+
+
 def test_a_second_run_reuses_and_changes_reach_what_they_touch(job, results):
     assert {r.status for r in stages.run(job).values()} == {"reused"}
     k = job.settings

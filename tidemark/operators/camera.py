@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -72,14 +72,23 @@ def solve_tridiagonal(diag: np.ndarray, off: np.ndarray, y: np.ndarray) -> np.nd
     return x.T
 
 
-def flattened(xs: np.ndarray, strength: float) -> np.ndarray:
-    """Total-variation denoising of each row by reweighted least squares: sways go, moves stay."""
+def inside(sizes: np.ndarray, n: int) -> np.ndarray:
+    """Which of ``n`` places of each row are its own."""
+    return np.arange(n) < sizes[:, None]
+
+
+def flattened(xs: np.ndarray, strength: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Total-variation denoising of each row by reweighted least squares: sways go, moves stay. ``sizes``: how many places of
+    a row count; the others are tied to nothing."""
     c = xs.astype(float)
-    if xs.shape[1] < 2 or strength <= 0:
+    if xs.shape[1] < 2:
         return c
-    open_ = np.arange(len(c))
+    ties = inside(sizes - 1, xs.shape[1] - 1)
+    open_ = np.flatnonzero(strength > 0)
     for _ in range(300):
-        w = strength / np.maximum(0.01, np.abs(np.diff(c[open_], axis=1)))
+        if not len(open_):
+            break
+        w = strength[open_, None] / np.maximum(0.01, np.abs(np.diff(c[open_], axis=1))) * ties[open_]
         diag = np.ones((len(open_), xs.shape[1]))
         diag[:, :-1] += w
         diag[:, 1:] += w
@@ -87,21 +96,20 @@ def flattened(xs: np.ndarray, strength: float) -> np.ndarray:
         moved = np.max(np.abs(new - c[open_]), axis=1)
         c[open_] = new
         open_ = open_[moved >= 0.01]
-        if not len(open_):
-            break
     return c
 
 
-def smoothed(xs: np.ndarray, sigma: float) -> np.ndarray:
-    """A Gaussian over each row, looking both ways, renormalized at the ends."""
+def smoothed(xs: np.ndarray, sigma: float, sizes: np.ndarray) -> np.ndarray:
+    """A Gaussian over each row's own places, looking both ways, renormalized at the ends."""
     if sigma <= 0:
         return xs.copy()
     reach = math.ceil(3 * sigma)
     kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
     n = xs.shape[1]
-    wide = np.pad(np.stack([xs, np.ones_like(xs)]), ((0, 0), (0, 0), (reach, reach)))
+    own = inside(sizes, n).astype(float)
+    wide = np.pad(np.stack([xs * own, own]), ((0, 0), (0, 0), (reach, reach)))
     total = sum(k * wide[:, :, i : i + n] for i, k in enumerate(kernel))
-    return total[0] / total[1]
+    return total[0] / np.where(own > 0, total[1], 1.0)
 
 
 def resampled(times: np.ndarray, xs: np.ndarray, n: int) -> np.ndarray:
@@ -109,23 +117,27 @@ def resampled(times: np.ndarray, xs: np.ndarray, n: int) -> np.ndarray:
     return np.interp(np.arange(n) / FRAMES_PER_SECOND, times, xs)
 
 
-def left_edges(tracks: list[tuple[np.ndarray, np.ndarray]], n: int, camera: Camera) -> np.ndarray:
-    """A row of ``n`` edges for each track (times, places)."""
-    half = camera.window_width / 2
-    subject = np.stack([np.clip(resampled(t, x, n) * camera.frame_width, half, camera.frame_width - half) for t, x in tracks])
-    strength = camera.steadiness * camera.window_width * FRAMES_PER_SECOND / 2
-    centres = smoothed(flattened(subject, strength), camera.smoothing * FRAMES_PER_SECOND)
-    return np.clip(centres - half, 0, camera.frame_width - camera.window_width)
+def left_edges(tracks: list[tuple[np.ndarray, np.ndarray]], sizes: list[int], camera: Camera, frame_widths: list[float], window_widths: list[float]) -> list[np.ndarray]:
+    """The edges for each track (times, places), as many as its output frames; all are solved together."""
+    n, size = max(sizes), np.array(sizes)
+    frame, window = (np.array(w, dtype=float)[:, None] for w in (frame_widths, window_widths))
+    places = np.stack([resampled(t, x, n) for t, x in tracks])
+    subject = np.clip(places * frame, window / 2, frame - window / 2)
+    strength = camera.steadiness * window[:, 0] * FRAMES_PER_SECOND / 2
+    centres = smoothed(flattened(subject, strength, size), camera.smoothing * FRAMES_PER_SECOND, size)
+    edges = np.clip(centres - window / 2, 0, frame - window)
+    return [e[:k] for e, k in zip(edges, sizes, strict=True)]
 
 
-CLIPS_AT_ONCE = 256
+#: Clips solved together: so many, and of lengths up to this ratio.
+CLIPS_AT_ONCE, ALIKE = 256, 1.5
 
 
 def path(frames: DataFrame, clips: DataFrame, camera: Camera) -> DataFrame:
     """``rec_id, frame, left`` for clips ``(rec_id, clip_start, frames)``; no rows where under 70 % of the frames show anyone.
     Clips of other sizes than the camera's have them in ``frame_width, window_width``.
 
-    The solver goes along a clip frame by frame, for many clips of one length and size at once. Tracks stream in by clip, and a
+    The solver goes along a clip frame by frame, for many clips of similar lengths at once. Tracks stream in by clip, and a
     task holds ``CLIPS_AT_ONCE`` of them.
     """
     seen = frames.groupBy("rec_id").agg(F.count(F.lit(1)).alias("total"), F.sum((F.size("xs") > 0).cast("int")).alias("hits"))
@@ -136,12 +148,15 @@ def path(frames: DataFrame, clips: DataFrame, camera: Camera) -> DataFrame:
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def solved(held: list[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            by_kind: dict[tuple[int, float, float], list[pd.DataFrame]] = {}
-            for g in held:
-                by_kind.setdefault((int(g.frames.iloc[0]), float(g.frame_width.iloc[0]), float(g.window_width.iloc[0])), []).append(g)
-            for (n, frame, window), same in by_kind.items():
-                edges = left_edges([(g.t.to_numpy(), g.x.to_numpy()) for g in same], n, replace(camera, frame_width=frame, window_width=window))
-                yield pd.DataFrame({"rec_id": np.repeat([g.rec_id.iloc[0] for g in same], n), "frame": np.tile(np.arange(n), len(edges)), "left": edges.ravel()})
+            held = sorted(held, key=lambda g: int(g.frames.iloc[0]))
+            while held:
+                most = ALIKE * int(held[0].frames.iloc[0])
+                same = [g for g in held if int(g.frames.iloc[0]) <= most]
+                held = held[len(same) :]
+                of = lambda c: [g[c].iloc[0] for g in same]  # noqa: B023, E731 - used at once
+                edges = left_edges([(g.t.to_numpy(), g.x.to_numpy()) for g in same], of("frames"), camera, of("frame_width"), of("window_width"))
+                sizes = [len(e) for e in edges]
+                yield pd.DataFrame({"rec_id": np.repeat(of("rec_id"), sizes), "frame": np.concatenate([np.arange(k) for k in sizes]), "left": np.concatenate(edges)})
 
         rest, held = None, []
         for b in batches:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.clips import greedy
@@ -58,3 +58,24 @@ def flipped(box: Column) -> Column:
     """A box with its origin at the bottom as one with the origin at the top, to four decimals."""
     r = lambda v: F.round(v, 4)
     return F.struct(r(box["x"]).alias("x"), r(1 - box["y"] - box["h"]).alias("y"), r(box["w"]).alias("w"), r(box["h"]).alias("h"))
+
+
+def necks(bodies: Column, least: float = 0.3) -> Column:
+    """The necks ``(x, y)`` that are seen well enough, of bodies with ``joints (name, x, y, confidence)``."""
+    joints = F.transform(bodies, lambda b: F.get(F.filter(b["joints"], lambda j: j["name"] == "neck"), F.lit(0)))
+    return F.transform(F.filter(joints, lambda j: F.coalesce(j["confidence"] > least, F.lit(False))), lambda j: F.struct(j["x"].alias("x"), j["y"].alias("y")))
+
+
+def sampled(frames: DataFrame, rate: float) -> DataFrame:
+    """Frames ``(rec_id, t, start, ...)`` thinned to ``rate`` a second from ``start`` on: the first frame at or after each due
+    time, one frame for one due time. After a gap frames are taken until what was due has come.
+
+    Of frames in order, as many are taken up to one as were due by then, but at most one for each frame: with a running
+    minimum of what was due, no frame needs to know which ones before it were taken.
+    """
+    by = Window.partitionBy("rec_id").orderBy("t")
+    seen = frames.where(F.col("t") + 1e-6 >= F.col("start")).withColumn("__i", F.row_number().over(by))
+    due = F.floor((F.col("t") + 1e-6 - F.col("start")) * rate) + 1
+    ahead = F.min(due - F.col("__i")).over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    seen = seen.withColumn("__n", F.col("__i") + F.least(F.lit(0), ahead))
+    return seen.withColumn("__before", F.coalesce(F.lag("__n").over(by), F.lit(0))).where("__n > __before").drop("__i", "__n", "__before")

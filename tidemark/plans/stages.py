@@ -12,21 +12,24 @@ import json
 import threading
 from collections.abc import Callable, Iterable
 from dataclasses import astuple, dataclass, field
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import prompts, text as tx, timecode as tc
 from tidemark.functions.ask import Asker
-from tidemark.operators import boundaries, camera, clips, corrections, frames, publish, transcription, turns as tn, words as wd
+from tidemark.operators import boundaries, camera, clips, commands, corrections, frames, publish, transcription, turns as tn, words as wd
 from tidemark.plans import dag, increment, review
-from tidemark.sources import files, logs, tables
+from tidemark.sources import files, logs, sinks, tables
 
 #: Files that a run leaves, by what they are.
 CAPTIONS, TRANSCRIPT = "YouTube/captions.srt", "transcript.txt"
 DESCRIPTION, TITLES, TAGS = "YouTube/description.txt", "YouTube/titles.txt", "YouTube/tags.txt"
 VIDEO, PODCAST, PODCAST_TEXT, PODCAST_CHAPTERS = "YouTube/video.mp4", "Podcast/episode.mp3", "Podcast/description.txt", "Podcast/chapters.txt"
-POSTS = "Clips/captions.txt"
+POSTS, REVIEW = "Clips/captions.txt", "review.html"
+#: The folder that tools work in, and what of a recording's exported folder is the run's own.
+WORK, MANAGED = "work", (REVIEW, TRANSCRIPT, "YouTube", "Podcast", "Clips")
 MASTERS = {"video": (2, 48000, 0.0, 0.0), "podcast": (1, 44100, 0.0, 0.0)}
 CLIP_FADES = (0.15, 0.3)
 
@@ -232,7 +235,7 @@ def _done(job: Job, name: str) -> DataFrame:
 
 def video(job: Job) -> None:
     s, v = job.spans().join(_done(job, "video"), "rec_id", "left_semi"), job.settings.video
-    _media(job, s.select("rec_id", F.col("span_start").alias("start"), F.col("span_end").alias("end")), "media-video", "encode", VIDEO, preset=v.preset, crf=v.crf, rate=F.col("fps"))
+    _media(job, s.select("rec_id", F.col("span_start").alias("start"), F.col("span_end").alias("end")), "media-video", "encode", VIDEO, preset=v.preset, crf=v.crf, rate=F.col("fps"), command=commands.talk_command(F.col("file"), F.lit(f"{WORK}/master-video.wav"), F.col("start"), F.col("end") - F.col("start"), F.col("fps"), v.preset, v.crf, F.lit(VIDEO)))
 
 
 def podcast(job: Job) -> None:
@@ -246,9 +249,11 @@ def podcast(job: Job) -> None:
     job.texts(t.select("rec_id", publish.short_description(F.col("short"), F.col("chapters")).alias("text")), "episode-texts", PODCAST_TEXT)
     spans = s.join(t.select("rec_id", "titles"), "rec_id").join(job.read("recordings").select("rec_id", "date"), "rec_id")
     title = publish.first_or(F.col("titles"), F.concat(F.lit("Talk · "), "date"))
-    own = spans.select("rec_id", F.col("span_start").alias("start"), F.col("span_end").alias("end"), title.alias("title"))
+    own = spans.select("rec_id", F.col("span_start").alias("start"), F.col("span_end").alias("end"), title.alias("title"), "date")
     k = job.settings
-    _media(job, own, "media-podcast", "episode", PODCAST, title=F.col("title"), artist=k.talk.name, album=k.talk.podcast or k.talk.name, bitrate=k.audio.podcast_bitrate)
+    tags = {"title": F.col("title"), "artist": F.lit(k.talk.name), "album": F.lit(k.talk.podcast or k.talk.name), "date": F.col("date"), "comment": F.lit(k.talk.website)}
+    command = commands.episode_command(F.lit(f"{WORK}/master-podcast.wav"), F.lit(PODCAST_CHAPTERS), k.audio.podcast_bitrate, tags, F.lit(PODCAST))
+    _media(job, own, "media-podcast", "episode", PODCAST, **tags, bitrate=k.audio.podcast_bitrate, command=command)
 
 
 def pick_clips(job: Job) -> None:
@@ -279,12 +284,16 @@ def render_clips(job: Job) -> None:
     path = camera.path(own.join(these.select("rec_id"), "rec_id", "left_semi"), these, camera.Camera(0.0, 0.0, k.steadiness, k.smoothing_seconds))
     path = tables.by_recording(path, "paths", "frame")
     every = F.array_sort(F.collect_list(F.struct("frame", "line")))  # a clip's changes
-    commands = camera.crop_commands(path).groupBy("rec_id").agg(F.array_join(F.transform(every, lambda x: x["line"]), "").alias("commands")).withColumnRenamed("rec_id", "clip")
+    moves = camera.crop_commands(path).groupBy("rec_id").agg(F.array_join(F.transform(every, lambda x: x["line"]), "").alias("commands")).withColumnRenamed("rec_id", "clip")
     words = job.words("corrected").withColumn("bin", F.floor(F.col("start") / tn.BIN)).join(of_clip.withColumnRenamed("start", "c0").withColumnRenamed("end", "c1"), ["rec_id", "bin"]).where((F.col("start") >= F.col("c0")) & (F.col("start") < F.col("c1")))
     words = tables.by_recording(words.select(F.col("clip").alias("rec_id"), "idx", "text", (F.col("start") - F.col("c0")).alias("start"), (F.col("end") - F.col("c0")).alias("end")), "clip_words", "idx")
     captions = wd.caption_file(wd.caption_highlights(words, wd.cues(words, wd.CLIP_CAPTIONS), F.lit(0.0)), k.font_family).withColumnRenamed("rec_id", "clip").withColumnRenamed("text", "captions")
-    out = mine.join(commands, "clip", "left").join(captions, "clip", "left")
-    job.write(out.select("rec_id", "clip_id", F.concat(F.lit("Clips/"), "clip_id", F.lit(".mp4")).alias("file"), "start", "end", "commands", "captions", F.col("commands").isNull().alias("uncropped"), F.lit(k.crf).alias("crf")), "clip-renders")
+    begins = path.where("frame = 0").select(F.col("rec_id").alias("clip"), F.col("left").alias("left_edge"))
+    out = mine.join(moves, "clip", "left").join(captions, "clip", "left").join(begins, "clip", "left").join(job.read("recordings").select("rec_id", F.col("file").alias("path"), "height"), "rec_id")
+    dest, own = F.concat(F.lit("Clips/"), "clip_id", F.lit(".mp4")), lambda end: F.concat("clip_id", F.lit(end))
+    pictures = commands.clip_graph(F.col("height").cast("double"), F.col("left_edge"), own(".ass"), own(".cmd"), F.lit(str(Path(k.font_file).parent)))
+    command = commands.clip_command(F.col("path"), own(".wav"), F.col("start"), F.col("end") - F.col("start"), pictures, job.settings.video.preset, k.crf, dest)
+    job.write(out.select("rec_id", "clip_id", dest.alias("file"), "start", "end", "commands", "captions", F.col("commands").isNull().alias("uncropped"), F.lit(k.crf).alias("crf"), command.alias("command")), "clip-renders")
     plan = mine.select("rec_id", F.col("clip_id").alias("name"), F.lit(job.settings.audio.video_lufs).alias("target"), (F.col("end") - F.col("start")).alias("seconds"))
     _mastered(job, plan, "audio-clips", 2, 48000, CLIP_FADES)
 
@@ -297,10 +306,12 @@ def thumbnail_frames(job: Job) -> None:
 
 def thumbnails(job: Job) -> None:
     best = frames.choose(job.read("faces"), job.settings.thumbnails.count)
-    r = job.read("recordings").select("rec_id", "width", "height")
+    r = job.read("recordings").select("rec_id", F.col("file").alias("path"), "width", "height")
     t = job.read("texts").where("error IS NULL").select("rec_id", "passage", F.coalesce(F.substring_index(F.get("titles", F.lit(0)), " | ", 1), F.col("passage")).alias("title"))
     crop = frames.frame_crop(F.col("box"), F.col("width").cast("double"), F.col("height").cast("double"))
-    out = best.join(r, "rec_id").join(t, "rec_id").select("rec_id", "place", "t", "score", crop.alias("crop"), tx.caption_argument(F.col("title")).alias("title"), tx.caption_argument(F.col("passage")).alias("passage"), F.concat(F.lit("YouTube/thumbnails/"), (F.col("place") + 1).cast("string"), F.lit(".jpg")).alias("file"))
+    dest = F.concat(F.lit("YouTube/thumbnails/"), (F.col("place") + 1).cast("string"), F.lit(".jpg"))
+    calls = commands.still_commands(F.col("path"), F.col("t"), crop, F.coalesce("title", F.lit("")), F.coalesce("passage", F.lit("")), job.settings.thumbnails.font_file, dest)
+    out = best.join(r, "rec_id").join(t, "rec_id").select("rec_id", "place", "t", "score", crop.alias("crop"), calls.alias("commands"), tx.caption_argument(F.col("title")).alias("title"), tx.caption_argument(F.col("passage")).alias("passage"), dest.alias("file"))
     job.write(out, "thumbnails")
 
 
@@ -359,6 +370,20 @@ def reviewed(job: Job) -> None:
     job.write(out.select("rec_id", "title", "folder", "span_start", "span_end", "source", "flags", "errors", "n_clips", "n_stills", "clips", "refused", "fixes", "unfixed", "page"), "review")
 
 
+def exported(job: Job, root: str) -> DataFrame:
+    """Puts all texts and the review page of each recording into a folder of its own under ``root``, named for people to
+    find it; the files that went, as ``rec_id, folder, file``. Folders of one name get the recording's number."""
+    every = [job.store.whole(name).select("rec_id", "file", "text") for name in ("captions", "transcripts", "descriptions", "titles", "tags", "episode-texts", "episode-chapters", "posts") if job.store.exists(name)]
+    review_ = job.store.whole("review")
+    pages = review_.select("rec_id", F.lit(REVIEW).alias("file"), F.col("page").alias("text"))
+    for part in every:
+        pages = pages.unionByName(part)
+    several = review_.groupBy("folder").count().where("count > 1").select("folder", F.lit(True).alias("several"))
+    folders = review_.select("rec_id", "folder").join(several, "folder", "left")
+    folders = folders.select("rec_id", F.when(F.col("several"), F.concat("folder", F.lit(" "), F.col("rec_id").cast("string"))).otherwise(F.col("folder")).alias("folder"))
+    return sinks.export(pages.join(folders, "rec_id").where("text IS NOT NULL"), root, MANAGED)
+
+
 def graph(job: Job) -> list[dag.Stage]:
     """All stages with what they need, read and leave."""
     k = job.settings
