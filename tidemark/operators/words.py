@@ -71,27 +71,30 @@ def find(words: DataFrame, phrases: DataFrame) -> DataFrame:
 
     A match is a run of whole words whose letters and digits, run together, equal the phrase's; the one that starts
     nearest to ``near``, at most ``window`` seconds away, wins, the earlier of equals. A phrase without letters or
-    digits isn't found. Matches are found in the recording's letters; their starts and ends are joined to words by place.
+    digits isn't found.
+
+    Phrases meet the words of their time by bins, and only those with which they can begin; how many letters a recording
+    has up to a word's end says where a match would end; then the words between are put together and compared.
     """
     w = words.select("rec_id", "idx", "start", tx.normal(F.col("text")).alias("n"))
-    w = w.withColumn("e", F.sum(F.length("n")).over(in_order().rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("b", F.col("e") - F.length("n"))
-    letters = w.groupBy("rec_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "n"))), lambda x: x["n"]), "").alias("letters"))
-    target = phrases.withColumn("target", tx.normal(F.col("phrase"))).where(F.col("target") != "")
-    # only phrases that a recording's letters hold at all meet its words
-    target = target.join(letters, "rec_id").where(F.col("letters").contains(F.col("target")))
-    # places of all its occurrences, overlapping ones too: the letters split before each
-    pieces = F.split("letters", F.concat(F.lit("(?="), "target", F.lit(")")))
-    target = target.withColumn("pieces", F.when(F.col("letters").startswith(F.col("target")), F.concat(F.array(F.lit("")), pieces)).otherwise(pieces))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all"))
-    add = lambda s, x: F.struct((s["at"] + F.length(x)).alias("at"), F.array_append(s["all"], s["at"] + F.length(x)).alias("all"))
-    ends = F.aggregate(F.slice("pieces", F.lit(1), F.size("pieces") - 1), zero, add)["all"]
-    places = target.select("rec_id", "phrase_id", "target", "near", "window", F.explode(ends).alias("b"))
-    starts = w.join(places, ["rec_id", "b"]).where(F.abs(F.col("start") - F.col("near")) <= F.col("window"))
-    starts = starts.select("rec_id", "phrase_id", F.col("idx").alias("first"), F.col("start").alias("at"), F.abs(F.col("start") - F.col("near")).alias("off"), (F.col("b") + F.length("target")).alias("e"))
-    ends = w.select("rec_id", "e", F.col("idx").alias("last"))
-    found = starts.join(ends, ["rec_id", "e"]).where(F.col("last") >= F.col("first"))
-    best = Window.partitionBy("rec_id", "phrase_id").orderBy("off", "first", "last")
-    return found.withColumn("k", F.row_number().over(best)).where("k = 1").select("rec_id", "phrase_id", "first", "last", "at")
+    w = w.withColumn("e", F.sum(F.length("n")).over(in_order().rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("k", F.row_number().over(in_order()))
+    p = phrases.select("rec_id", "phrase_id", "near", "window", tx.normal(F.col("phrase")).alias("target")).where(F.col("target") != "")
+    whole = w.groupBy("rec_id").agg(F.min("start").alias("t0"), F.max("start").alias("t1"))
+    begin, end = F.greatest(F.col("near") - F.col("window"), F.col("t0")), F.least(F.col("near") + F.col("window"), F.col("t1"))
+    bin_of = lambda t: F.floor(t / FIND_BIN)
+    p = p.join(whole, "rec_id").where(begin <= end).withColumn("bin", F.explode(F.sequence(bin_of(begin), bin_of(end))))
+    starts = w.withColumn("bin", bin_of(F.col("start"))).join(p, ["rec_id", "bin"]).where((F.abs(F.col("start") - F.col("near")) <= F.col("window")) & F.col("target").startswith(F.col("n")))
+    starts = starts.select("rec_id", "phrase_id", "target", F.col("idx").alias("first"), F.col("k").alias("from"), F.col("start").alias("at"), F.abs(F.col("start") - F.col("near")).alias("off"), (F.col("e") - F.length("n") + F.length("target")).alias("e"))
+    found = starts.join(w.select("rec_id", "e", F.col("idx").alias("last"), F.col("k").alias("till")), ["rec_id", "e"]).where(F.col("till") >= F.col("from"))
+    between = found.withColumn("k", F.explode(F.sequence("from", "till"))).join(w.select("rec_id", "k", "n"), ["rec_id", "k"])
+    said = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "n"))), lambda x: x["n"]), "")  # a phrase's words
+    same = between.groupBy("rec_id", "phrase_id", "first", "last").agg(said.alias("said"), *[F.first(c).alias(c) for c in ("target", "at", "off")]).where("said = target")
+    best = F.min(F.struct("off", "first", "last", "at"))
+    return same.groupBy("rec_id", "phrase_id").agg(best.alias("b")).select("rec_id", "phrase_id", "b.first", "b.last", "b.at")
+
+
+#: Seconds of a bin in which phrases meet words.
+FIND_BIN = 60
 
 
 def _islands(words: DataFrame, breaks: Column, name: str = "island") -> DataFrame:

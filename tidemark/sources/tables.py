@@ -164,13 +164,14 @@ def in_buckets(df: DataFrame, label: str, key: str) -> DataFrame:
     return spark.table(name)
 
 
-def by_recording(df: DataFrame, label: str, *order: str, key: str = "rec_id") -> DataFrame:
+def by_recording(df: DataFrame, label: str, *order: str, key: str = "rec_id", dealt: bool = False) -> DataFrame:
     """``df`` written once in buckets of ``key``, sorted by it and ``order``: windows, groups and joins by recording that
-    follow, however many, read it without another shuffle."""
+    follow, however many, read it without another shuffle. ``dealt``: its rows are partitioned by ``key`` already, so that
+    each bucket's are with one task as they are."""
     spark = df.sparkSession
     name, buckets = f"tidemark_{label}_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
     path = f"{shared_dir(spark)}/{name}"
-    dealt = df.repartition(buckets, key)  # a file for each bucket
-    dealt.write.bucketBy(buckets, key).sortBy(key, *order).option("path", path).format("parquet").saveAsTable(name)
+    own = df if dealt else df.repartition(buckets, key)  # a file for each bucket
+    own.write.bucketBy(buckets, key).sortBy(key, *order).option("path", path).format("parquet").saveAsTable(name)
     _made(spark, path, name)
     return spark.table(name)
