@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark import demonstration
 from tidemark.functions import ask, prompts
-from tidemark.operators import web
+from tidemark.operators import evaluate, web
 from tidemark.plans import dag, increment, stages
 from tidemark.sources import derived, files, tables
 
@@ -248,6 +248,33 @@ def test_what_a_site_says(spark):
     assert (got.name, got.preachers, got.error) == ("A Place", ["Odo"], None)
 
 
+def test_from_a_website_to_settings(spark):
+    home = "https://place.example/"
+    pages = [(1, home, "<title>T</title><p>Welcome</p><a href='/about'>About</a>"), (2, home + "about", "<p>We are A Place</p>"), (3, "https://broken.example/", "<p>x</p>")]
+    sites = spark.createDataFrame([(1, "place.example"), (2, "https://"), (3, "none.example"), (4, "broken.example")], "site bigint, address string")
+    reply = '{"name": "A \\"Place\\"", "location": "", "mission": "m", "podcast": "", "preachers": ["Odo"], "glossary": [], "notes": ["which town?"]}'
+    asker = ask.Replies(spark.createDataFrame([(1, "site", reply), (4, "site", '{"name": "x"}')], "rec_id bigint, prompt string, reply string"))
+    got = {r.site: r for r in web.starting_settings(sites, spark.createDataFrame(pages, "page_id bigint, url string, html string"), asker, tables.written).collect()}
+    assert got[2].error == "it is no address" and got[3].error == "it has no home page" and got[4].error.startswith("the reply lacks location")
+    assert got[1].error is None and got[1].notes == ["which town?"] and 'location = "" # TODO' in got[1].text
+    loaded = files.settings(got[1].text)
+    assert (loaded.talk.name, loaded.talk.website, loaded.talk.preachers, loaded.talk.podcast) == ('A "Place"', "place.example", ["Odo"], 'A "Place"')
+
+
+def test_labels_are_compared_with_talks(job, results):
+    labels = job.spark.createDataFrame([("/in/1.mov", "0:10", "2:00"), ("/in/2.mov", "0:10", "2:00"), ("/in/7.mov", "0:10", "2:00"), ("/in/99.mov", "0:10", "2:00"), ("/in/3.mov", "0:12.5", "1:59")], "recording string, start string, end string")
+    talks, recordings = job.read("talks"), job.read("recordings")
+    got = {r.recording: r for r in evaluate.compared(talks, recordings, labels).collect()}
+    assert {k: r.failed for k, r in got.items() if r.failed} == {"/in/2.mov": "not in the transcript: words that nobody said", "/in/7.mov": "it has no talk", "/in/99.mov": "no run has it"}
+    assert (got["/in/3.mov"].start_error, got["/in/3.mov"].end_error) == (-2.5, 1.0)
+    one = evaluate.summary(evaluate.compared(talks, recordings, labels)).first()
+    assert one.n == 2 and one.start_mae == pytest.approx((abs(got["/in/1.mov"].start_error) + 2.5) / 2)
+    for start, end, why in (("0:10", "", "together"), ("x", "0:10", "not a time"), ("", "", "must be given"), ("2:00", "1:00", "after the start")):
+        bad = job.spark.createDataFrame([("/in/1.mov", start, end)], "recording string, start string, end string")
+        with pytest.raises(Exception, match=f"/in/1.mov.*{why}"):
+            evaluate.compared(talks, recordings, bad).collect()
+
+
 def test_prompts_have_versions():
     assert len({prompts.version(n) for n in prompts.PROMPTS}) == len(prompts.PROMPTS) == 6
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import text as tx
 from tidemark.functions.ask import Asker, answer
 from tidemark.functions.tree import tree
+from tidemark.sources import files
 
 MOST_PAGES, MOST_CHARS = 8, 12000
 #: Elements whose content is no page text; a title's is the title.
@@ -131,3 +132,19 @@ def learned(read: DataFrame, asker: Asker) -> DataFrame:
     plain = [tx.tidy_line(F.col(f"answer.{c}")).alias(c) for c in ("name", "location", "mission", "podcast")]
     lists = [clean_details(F.col(f"answer.{c}")).alias(c) for c in ("preachers", "glossary")]
     return out.select(F.col("rec_id").alias("site"), *plain, *lists, F.col("answer.notes").alias("notes"), "error")
+
+
+def starting_settings(sites: DataFrame, pages: DataFrame, asker: Asker, keep=lambda df, name: df) -> DataFrame:
+    """From the addresses that people gave, ``sites (site, address)``, to settings: ``site, home, text, notes, error``.
+
+    The home page and the pages that look most useful, of raw ``pages (page_id, url, html)``, are read; the model says what
+    they say; the settings' text has that, with a mark at what is left to fill in, and ``notes`` are what somebody has to
+    check. An address that is none, a site without a home page, and a reply that can't be read are errors.
+    """
+    given = sites.select("site", homepage(F.col("address")).alias("home"))
+    read = keep(site_pages(given.where("home IS NOT NULL"), parsed(pages)), "read")
+    known = keep(learned(read, asker), "learned")
+    text = files.settings_text(F.col("name"), domain(F.col("home")), F.col("location"), F.col("preachers"), F.col("glossary"), F.col("mission"), F.col("podcast"))
+    out = given.join(known, "site", "left").join(read.select("site").distinct().withColumn("found", F.lit(True)), "site", "left")
+    error = F.when(F.col("home").isNull(), F.lit("it is no address")).when(F.col("found").isNull(), F.lit("it has no home page")).otherwise(F.col("error"))
+    return out.select("site", "home", F.when(error.isNull(), text).alias("text"), F.when(error.isNull(), F.col("notes")).alias("notes"), error.alias("error"))

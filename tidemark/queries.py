@@ -268,16 +268,15 @@ def s14_chunks(spark, d):
 
 @query(
     "t12_chunk_times",
-    f"""WITH {derived.TURNS_SQL}, {CHUNKS}, p AS (SELECT rec_id, chunk, k, round(("end" - "start") * 1000) AS len_ms, "start" AS c0, "end" AS c1, k * 700 / 1000.0 AS s FROM chunks, range(8) t(k))
-SELECT rec_id, chunk::BIGINT AS chunk, k::BIGINT AS idx, CAST(round((c0 + s) * 1000) AS BIGINT) AS start_ms, CAST(round(least(s + 0.5 + c0, c1) * 1000) AS BIGINT) AS end_ms FROM p WHERE k * 700 <= len_ms""",
+    f"""WITH {derived.TURNS_SQL}, {CHUNKS}, p AS (SELECT rec_id, chunk, k, "start" AS c0, "end" AS c1, (k * 700 + 13) / 1000.0 AS s FROM chunks, range(8) t(k))
+SELECT rec_id, chunk::BIGINT AS chunk, k::BIGINT AS idx, CAST(round((c0 + s) * 1000) AS BIGINT) AS start_ms, CAST(round(least(s + 0.5 + c0, c1) * 1000) AS BIGINT) AS end_ms FROM p WHERE s <= c1 - c0""",
 )
 def t12_chunk_times(spark, d):
+    """Words each 0.7 seconds of a chunk and 13 milliseconds; those past its end go."""
     c = wd.chunks(turns_of(spark, d))
     w = c.select("rec_id", "chunk", F.explode(F.sequence(F.lit(0), F.lit(7)).cast("array<bigint>")).alias("idx"))
-    w = w.withColumn("start", F.col("idx") * 700 / 1000).withColumn("end", F.col("start") + 0.5)
-    # lengths compared in whole milliseconds, as in SQL
-    rounded = c.withColumn("end", F.round(F.col("end"), 3)).withColumn("start", F.round(F.col("start"), 3))
-    return wd.from_chunks(w, rounded.withColumn("end", F.col("end") + 1e-9)).select("rec_id", "chunk", "idx", ms("start"), ms("end"))
+    w = w.withColumn("start", (F.col("idx") * 700 + 13) / 1000).withColumn("end", F.col("start") + 0.5)
+    return wd.from_chunks(w, c).select("rec_id", "chunk", "idx", ms("start"), ms("end"))
 
 
 def transcription_of(spark, d):
