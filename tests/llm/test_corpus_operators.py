@@ -826,6 +826,23 @@ def test_tables_are_built_once_a_task(monkeypatch):
     assert built == [2] and out["item_ids"] == [["1", "2"], []]
 
 
+# --- columns that are kept
+
+
+def test_kept_columns_have_other_names_than_those_that_are_made(docs):
+    pages = docs.withColumnRenamed("text", "html").withColumn("text", docs["lang"])
+    for make in (
+        lambda: html_extract.extracted(pages, keep=["text"]),
+        lambda: license_scan.license_notices(docs, keep=["doc_id", "n_words"]),
+        lambda: pii.personal_data(docs.withColumn("spans", docs["lang"]), keep=["spans"]),
+        lambda: packing.packed(docs, keep=["start"]),
+        lambda: simhash.fingerprints(docs, keep=["fp"]),
+        lambda: decontam.contamination(docs, docs.select("doc_id", "text"), keep=["n_words"], item_col="doc_id"),
+    ):
+        with pytest.raises(ValueError, match="rename them first"):
+            make()
+
+
 # --- the pipeline
 
 

@@ -63,9 +63,12 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]]
 
 
 def schema_of(df: DataFrame, *names: str, more: str = "") -> T.StructType:
-    """The named columns of ``df`` (nullable), then those of the DDL ``more``."""
+    """The named columns of ``df`` (nullable), then those of the DDL ``more``, which must have other names."""
     kept = [T.StructField(n, df.schema[n].dataType, True) for n in names]
-    return T.StructType(kept + (T._parse_datatype_string(more).fields if more else []))
+    made = T._parse_datatype_string(more).fields if more else []
+    if clash := sorted({*names} & {f.name for f in made}):
+        raise ValueError(f"columns {clash} are made here; rename them first")
+    return T.StructType(kept + made)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -221,9 +221,6 @@ def periodic_runs(docs: DataFrame, *, keep: list[str], text_col: str = "text", c
     repeats. Map-only: repeated rows give equal results, and an empty table gives no rows. ``keep`` may not name a
     column that is made here.
     """
-    made = ("n_words", "runs", "collapsed")
-    if clash := sorted({*keep} & {*made}):
-        raise ValueError(f"columns {clash} are made here; rename them first")
     out = schema_of(docs, *keep, more=f"n_words bigint, runs array<{RUN}>, collapsed string")
     read = docs.select(*keep, F.col(text_col).cast("string").alias("__text"), (F.col(id_col).cast("bigint") if id_col else F.lit(None).cast("bigint")).alias("__id"))
 
