@@ -578,14 +578,18 @@ def r9_applied(spark, d):
     return corrections.applied(w, tables.written(out, "outcomes")).select("rec_id", F.col("idx").cast("bigint").alias("idx"), "text", ms("start"), ms("end"))
 
 
+#: DuckDB counts edits of bytes: letters of the documents that have two stand as capitals, which normal forms lack.
+ONE_BYTE = "translate({0}, 'ßäçèéêíñóöü', 'ABCDEFGHIJK')"
+
+
 @query(
     "r7_similar",
     f"""WITH {derived.WORDS_SQL}, p AS (SELECT rec_id, idx, {NORMAL.format("text")} AS a, {NORMAL.format("lead(text) OVER (PARTITION BY rec_id ORDER BY idx)")} AS b FROM words)
-SELECT rec_id, idx, CAST(levenshtein(a, b) AS INTEGER) AS edits, greatest(length(a), length(b)) > 0 AND levenshtein(a, b) <= 0.35 * greatest(length(a), length(b)) AS alike FROM p WHERE regexp_full_match(a, '[a-z0-9]*') AND regexp_full_match(b, '[a-z0-9]*')""",
+SELECT rec_id, idx, CAST(levenshtein({ONE_BYTE.format("a")}, {ONE_BYTE.format("b")}) AS INTEGER) AS edits, greatest(length(a), length(b)) > 0 AND levenshtein({ONE_BYTE.format("a")}, {ONE_BYTE.format("b")}) <= 0.35 * greatest(length(a), length(b)) AS alike FROM p WHERE b IS NOT NULL""",
 )
 def r7_similar(spark, d):
-    w = words_of(spark, d).select("rec_id", "idx", tx.normal(F.col("text")).alias("a"), tx.normal(F.lead("text").over(wd.in_order())).alias("b"))
-    w = w.where(F.col("a").rlike("^[a-z0-9]*$") & F.col("b").rlike("^[a-z0-9]*$"))
+    """Each word and the next one."""
+    w = words_of(spark, d).select("rec_id", "idx", tx.normal(F.col("text")).alias("a"), tx.normal(F.lead("text").over(wd.in_order())).alias("b")).where("b IS NOT NULL")
     return w.select("rec_id", "idx", F.levenshtein("a", "b").alias("edits"), tx.similar(F.col("a"), F.col("b")).alias("alike"))
 
 
