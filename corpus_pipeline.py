@@ -6,10 +6,13 @@ back as the next one's documents. Every stage but the last returns the columns o
 
 from __future__ import annotations
 
+from contextlib import nullcontext
+
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import decontam, line_dedup, packing, quality, simhash
 from tidemark.llm.common import table, written
+from tidemark.sources.tables import Scope
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,9 +53,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = written(docs, f"stage-{name}")
-    return docs
+    """The rows of the last stage. What a stage writes on its way goes when its result is written, and that when the next
+    one's is; what the last stage reads and writes stays until the session ends."""
+    docs, before = table(spark, sf_dir, "documents"), Scope()
+    *others, (_, last) = STAGES
+    for k, (name, stage) in enumerate(others):
+        own, kept = Scope(), Scope()
+        with own:
+            out = stage(spark, docs, sf_dir)
+        with kept if k < len(others) - 1 else nullcontext():
+            docs = written(out, f"stage-{name}")
+        own.close()
+        before.close()
+        before = kept
+    return last(spark, docs, sf_dir)

@@ -5,6 +5,7 @@ import random
 import re
 import time
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -12,6 +13,7 @@ import xxhash
 from cases import DDL, documents, prose, row
 
 from tidemark.llm import common, components, decontam, html_extract, license_scan, line_dedup, packing, pii, quality, sharding, simhash, suffix_dedup
+from tidemark.sources import tables
 
 ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 BLANK = re.compile(r"[^\x20\x09-\x0D]+")
@@ -866,5 +868,14 @@ def test_pipeline(spark, tmp_path):
     kept = {r.doc_id: r.text for r in docs.collect()}
     assert set(range(150)) <= set(kept) and not set(kept) & {500, 501, 502, 503, 504, 700, 701, 702}
     assert "share" not in kept.get(605, "")
+    before = written_tables(spark)
     packed = corpus_pipeline.run(spark, str(tmp_path))
     assert {r.doc_id for r in packed.collect()} == set(kept)
+    new = {p.rsplit("-", 1)[0] for p in written_tables(spark) - before}
+    assert {p for p in new if "stage-" in p} == {"tidemark-stage-decontamination"} and len(new) <= 3
+
+
+def written_tables(spark):
+    """Names of the tables that are there now."""
+    folder = Path(tables.shared_dir(spark).removeprefix("file:"))
+    return {p.name for p in folder.iterdir() if p.name.startswith("tidemark")}
