@@ -10,7 +10,6 @@ from pathlib import Path
 
 import pytest
 from pyspark import cloudpickle
-from pyspark.errors import PythonException
 
 from tidemark.functions import ask
 
@@ -136,15 +135,14 @@ def test_failures_are_errors_of_their_recordings(spark, asker):
 def test_a_lost_worker_asks_nothing_twice(spark, asker):
     texts = [f"q{i}" for i in range(9)] + ["die"]
     asker = replace(asker, batch=100, per_task=100)  # one task, that dies with nothing committed
-    with pytest.raises(Exception) as lost:  # noqa: PT011 - of this session, whose tasks have one attempt
+    with pytest.raises(Exception):  # noqa: B017, PT011 - tasks of this session have one attempt
         asker.ask(requests(spark, texts), SCHEMA)
-    assert not isinstance(lost.value, PythonException) or "crash" in str(lost.value).lower()
     before = asker.adapter.asked()
     assert before["die"] == 1 and set(before.values()) == {1}
     assert outcome(asker.ask(requests(spark, texts), SCHEMA)) == dict(enumerate(texts))
     after = asker.adapter.asked()
     assert after == Counter({**{f"q{i}": 1 for i in range(9)}, "die": 2})  # only what was being asked
-    assert not os.path.exists(asker.journal.removeprefix("file://") + "/nothing") and not list(Path(asker.journal.removeprefix("file://")).rglob("*.json"))
+    assert not list(Path(asker.journal.removeprefix("file://")).rglob("*.json"))  # all is in the table
 
 
 def test_commands(spark, tmp_path):
