@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -1050,7 +1049,7 @@ def review_job(spark, w):
     """A run over recordings made of words, with scripted tools and replies."""
     sources, replies = demonstration.scripted_run(w, ["Grace Chapel"])
     sources = {name: tables.written(df, name) for name, df in sources.items()}
-    return stages.Job(spark, f"{tables.shared_dir(spark)}/run-{uuid.uuid4().hex}", files.settings(RUN_SETTINGS), ask.Replies(tables.written(replies, "replies")), sources)
+    return stages.Job(spark, tables.new_folder(spark, "run"), files.settings(RUN_SETTINGS), ask.Replies(tables.written(replies, "replies")), sources)
 
 
 @query("run_review")

@@ -143,13 +143,19 @@ def _delete(spark: SparkSession, path: str, name: str | None) -> None:
         pass
 
 
+def new_folder(spark: SparkSession, label: str) -> str:
+    """The address of a folder of its own in the shared one, deleted as written tables are."""
+    path = f"{shared_dir(spark)}/tidemark-{label}-{uuid.uuid4().hex}"
+    _made(spark, path, None)
+    return path
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` written to the shared folder and read back: cuts lineage, survives lost executors, and gives the
     planner its true size, so that a join broadcasts it only below ``spark.sql.autoBroadcastJoinThreshold``."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tidemark-{label}-{uuid.uuid4().hex}"
+    path = new_folder(spark, label)
     df.write.parquet(path)
-    _made(spark, path, None)
     return spark.read.schema(df.schema).parquet(path)
 
 
