@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from test_operators import WORDS, random_words
 from tidemark import queries
-from tidemark.operators import words as wd
+from tidemark.operators import corrections, words as wd
+from tidemark.sources import derived, tables
 
 
 def plan(df):
@@ -22,3 +23,33 @@ def test_highlights_need_no_join(spark):
         assert a == wd.highlighted(wd.cues(w, limits, whole=True), F.lit(0.25)).orderBy("rec_id", "idx").collect()
     own = plan(queries.QUERIES["s15_highlights"](spark, "/root/testdata/sf0.001"))
     assert "Join" not in own and own.count("Exchange") == 1
+
+
+def test_words_are_dealt_out_in_small_parts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    assert tables.parts_of(docs) > 4  # 15 MB, which become 100 of words
+    assert tables.parts_of(spark.createDataFrame([(1, "a")], "doc_id bigint, text string")) == 4
+
+
+def test_corrections_leave_words_where_they_are(spark):
+    w = derived.stored_words(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
+    edits = tables.written(spark.createDataFrame([(0, 0, 2, 3, "So it goes", True), (0, 1, 5, 5, "Thee", True), (1, 0, 0, 2, "x", True), (1, 1, 4, 4, "no", False)], "rec_id bigint, pos int, first int, last int, replace string, applied boolean"), "edits")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = corrections.applied(w, edits)
+        assert not re.search(r"Exchange[^\n]*\n[^\n]*Scan parquet spark_catalog", plan(out)) and "Union" not in plan(out)
+        got = out.where("rec_id < 2").orderBy("rec_id", "idx").collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    old = w.where("rec_id < 2").orderBy("rec_id", "idx").collect()
+    for rec, spans in ((0, {2: (2, 3), 5: (1, 1)}), (1, {0: (3, 1)})):  # of each edit: words replaced, words for them
+        o, g = [x for x in old if x.rec_id == rec], [x for x in got if x.rec_id == rec]
+        assert [x.idx for x in g] == list(range(len(g)))
+        i = j = 0
+        while i < len(o):
+            n, m = spans.get(i, (1, 1))
+            assert (g[j].start, round(g[j + m - 1].end, 9)) == (o[i].start, round(o[i + n - 1].end, 9))
+            assert i in spans or g[j].text == o[i].text
+            i, j = i + n, j + m
+        assert j == len(g)

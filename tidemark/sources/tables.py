@@ -170,14 +170,31 @@ def in_buckets(df: DataFrame, label: str, key: str) -> DataFrame:
     return spark.table(name)
 
 
-def by_recording(df: DataFrame, label: str, *order: str, key: str = "rec_id", dealt: bool = False) -> DataFrame:
+#: Bytes of stored input in a part, whose words a task sorts in memory; the most parts.
+PART_BYTES, MOST_PARTS = 1 << 21, 10000
+
+
+def parts_of(df: DataFrame) -> int:
+    """Into how many parts to deal out a table that grows many times over in its tasks: by its size as the planner knows it,
+    and no fewer than shuffles have, so that joins needn't deal it out again."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return least if size >> 60 else max(least, min(MOST_PARTS, -(-size // PART_BYTES)))  # beyond that it isn't known
+
+
+def by_recording(df: DataFrame, label: str, *order: str, key: str = "rec_id", dealt: int | None = None) -> DataFrame:
     """``df`` written once in buckets of ``key``, sorted by it and ``order``: windows, groups and joins by recording that
-    follow, however many, read it without another shuffle. ``dealt``: its rows are partitioned by ``key`` already, so that
-    each bucket's are with one task as they are."""
+    follow, however many, read it without another shuffle. ``dealt``: its rows are in so many partitions by ``key``
+    already, so that each bucket's are with one task as they are.
+
+    Joins by ``key`` and more columns read it where it is, too: the session no longer asks that a join's sides are dealt
+    out by all columns that it compares."""
     spark = df.sparkSession
-    name, buckets = f"tidemark_{label}_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", False)
+    name, buckets = f"tidemark_{label}_{uuid.uuid4().hex}", dealt or int(spark.conf.get("spark.sql.shuffle.partitions"))
     path = f"{shared_dir(spark)}/{name}"
     own = df if dealt else df.repartition(buckets, key)  # a file for each bucket
-    own.write.bucketBy(buckets, key).sortBy(key, *order).option("path", path).format("parquet").saveAsTable(name)
+    compact = {"compression": "zstd", "parquet.writer.version": "v2"}  # times that rise become small differences
+    own.write.bucketBy(buckets, key).sortBy(key, *order).options(path=path, **compact).format("parquet").saveAsTable(name)
     _made(spark, path, name)
     return spark.table(name)
