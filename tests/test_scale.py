@@ -3,10 +3,11 @@
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from test_operators import WORDS, random_words
-from tidemark import queries
+from tidemark import queries, run_queries  # noqa: F401 - adds its queries
 from tidemark.operators import corrections, words as wd
 from tidemark.sources import derived, tables
 
@@ -53,3 +54,15 @@ def test_corrections_leave_words_where_they_are(spark):
             assert i in spans or g[j].text == o[i].text
             i, j = i + n, j + m
         assert j == len(g)
+
+
+@pytest.mark.parametrize("name", ["h1_page_texts", "h1_malformed_texts", "m6_settings_texts"])
+def test_references_without_their_end_are_text_as_in_sql(spark, tmp_path, name):
+    import duckdb
+
+    html = '<html><head><title>A &amp; b&amp;&amp</title></head><body><p>c &lt;d&gt; & e&am</p><ul><li><a href="/x?a=1&b=2">One</a></li></ul></body></html>'
+    spark.createDataFrame([(1, "https://www.a.example/b", html)], "page_id bigint, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = [tuple(r) for r in queries.QUERIES[name](spark, str(tmp_path)).collect()]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    assert got == con.execute(queries.SQL[name]).fetchall()
