@@ -83,3 +83,16 @@ def test_phrases_are_found_in_other_spellings_and_at_equal_distances(spark, tmp_
     w = spark.createDataFrame([(1, 0, "a", 69.9, 70.0), (1, 1, "b", 99.96, 99.99), (1, 2, "b", 100.04, 100.1), (1, 3, "c", 130.1, 130.2)], WORDS)
     p = spark.createDataFrame([(1, 1, "b", 100.0, 30.0), (1, 2, "c", 100.1, 30.0)], "rec_id bigint, phrase_id int, phrase string, near double, window double")
     assert sorted((r.phrase_id, r.first) for r in wd.find(w, p).collect()) == [(1, 1), (2, 3)]
+
+
+@pytest.mark.parametrize("window", [30.0, 45.0])
+def test_quotes_are_found_without_shuffling_words(spark, window):
+    w = derived.stored_words(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
+    p = tables.written(spark.createDataFrame([(0, 1, "so it goes", 10.0, window)], "rec_id bigint, phrase_id int, phrase string, near double, window double"), "quotes")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        own = plan(wd.find(w, p))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert own.count("Exchange") == 1  # the phrases'
