@@ -6,9 +6,9 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from test_operators import WORDS, random_words
+from test_operators import TURNS, WORDS, random_words, speaking_naive
 from tidemark import queries, run_queries  # noqa: F401 - adds its queries
-from tidemark.operators import corrections, words as wd
+from tidemark.operators import corrections, turns as tn, words as wd
 from tidemark.sources import derived, tables
 
 
@@ -96,3 +96,42 @@ def test_quotes_are_found_without_shuffling_words(spark, window):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     assert own.count("Exchange") == 1  # the phrases'
+
+
+def dense_turns(rng, rec, n):
+    """Turns that overlap, are inside others or last no time, some equal."""
+    own = sorted((a / 10, (a + rng.choice([0, 3, 10, 10, 200])) / 10, rng.choice("AB")) for a in (rng.randrange(300) for _ in range(n)))
+    return [(rec, i, *t) for i, t in enumerate(own)]
+
+
+def at_naive(turns, t):
+    return next((x[4] for x in turns if x[2] <= t < x[3]), None)
+
+
+@pytest.mark.parametrize("name", ["at", "speaking", "labelled"])
+def test_points_and_turns_meet_in_one_pass(spark, name):
+    rng = random.Random(9)
+    recs = {r: dense_turns(rng, r, rng.randrange(1, 60)) for r in range(30)}
+    turns = spark.createDataFrame([t for ts in recs.values() for t in ts], TURNS)
+    points = [(r, k, rng.randrange(-10, 700) / 10) for r in range(31) for k in range(40)]
+    df = spark.createDataFrame([*points, (5, 99, None), (None, 98, 1.0)], "rec_id bigint, point_id int, t double")
+    if name == "labelled":
+        out = tn.labelled(df, turns, turns.select("rec_id", "speaker").distinct().where("speaker = 'A'").withColumn("name", F.lit("Ann"))).withColumnRenamed("label", "got")
+        want = lambda ts, t: {"A": "Ann"}.get(speaking_naive(ts, t), "(unclear)")
+    else:
+        out = (tn.at(df, turns) if name == "at" else tn.speaking(df, turns)).withColumnRenamed("at" if name == "at" else "speaker", "got")
+        want = at_naive if name == "at" else speaking_naive
+    got = [(x.rec_id, x.point_id, x.got) for x in out.collect()]
+    nobody = "(unclear)" if name == "labelled" else None
+    assert sorted(got, key=str) == sorted([*((r, k, want(recs.get(r, []), t)) for r, k, t in points), (5, 99, nobody), (None, 98, nobody)], key=str)
+
+
+@pytest.mark.parametrize("name, joins, exchanges", [("d2_at", 0, 2), ("d3_speaking", 0, 2), ("d8_labels", 1, 4)])
+def test_events_are_dealt_out_once_for_points_and_once_for_turns(spark, name, joins, exchanges):
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        own = plan(queries.QUERIES[name](spark, "/root/testdata/sf0.001"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert len(re.findall(r"\w*Join\b", own)) == joins and own.count("Exchange") == exchanges

@@ -39,29 +39,52 @@ def bins(start: Column, end: Column, width: float = BIN) -> Column:
     return F.explode(F.sequence(F.floor(start / width), F.floor(end / width)))
 
 
-def at(points: DataFrame, turns: DataFrame) -> DataFrame:
-    """Points ``(rec_id, point_id, t)`` with ``at``: the speaker of the first turn that contains each, else null.
+def _first_open(turns: DataFrame) -> Column:
+    """When a turn begins to be the first of those that contain a moment, which ends with it; null if never.
 
-    A turn is listed under the bins of time that it touches, so a point meets only the turns of its own.
+    Turns are numbered by their starts, so only one that ends later than all before it can be the first, and it is from
+    its start or from the last of their ends on.
     """
-    t = turns.where(F.col("end") > F.col("start")).select("rec_id", F.col("idx").alias("turn"), F.col("start").alias("t0"), F.col("end").alias("t1"), "speaker", bins(F.col("start"), F.col("end")).alias("bin"))
-    p = points.withColumn("bin", F.floor(F.col("t") / BIN))
-    meets = (p["rec_id"] == t["rec_id"]) & (p["bin"] == t["bin"]) & tc.contains(F.col("t0"), F.col("t1"), F.col("t"))
-    both = p.join(t.select("*"), meets, "left").select(*[p[c] for c in p.columns], "turn", "speaker")
-    return both.groupBy(*p.columns).agg(F.min_by("speaker", "turn").alias("at")).drop("bin")
+    there = (F.col("end") > F.col("start")) & F.col("rec_id").isNotNull()
+    before = F.max(F.when(there, F.col("end"))).over(Window.partitionBy("rec_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1))
+    return F.when(there & (before.isNull() | (F.col("end") > before)), F.greatest("start", before))  # greatest skips nulls
+
+
+def _along(points: DataFrame, marks: DataFrame, *names: str) -> DataFrame:
+    """Points with the last mark of each name at or before them: ``marks (rec_id, t, t1, speaker, *names)`` and points go
+    along time together, in one pass however many turns there are at a time."""
+    own = points.select("rec_id", "t", F.lit(1).alias("kind"), F.struct(*[c for c in points.columns if c not in ("rec_id", "t")]).alias("point"))
+    order = Window.partitionBy("rec_id").orderBy("t", "kind", "t1", "speaker").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = marks.withColumn("kind", F.lit(0)).unionByName(own.repartition("rec_id"), allowMissingColumns=True)
+    both = both.select("rec_id", "t", "kind", "point", *[F.last(n, ignorenulls=True).over(order).alias(n) for n in names]).where("kind = 1")
+    return both.select(*[F.col(c) if c in ("rec_id", "t") else F.col(f"point.{c}").alias(c) for c in points.columns], *names)
+
+
+def _speaker_at() -> Column:
+    return F.when(F.col("t") < F.col("open.till"), F.col("open.speaker"))
+
+
+def at(points: DataFrame, turns: DataFrame) -> DataFrame:
+    """Points ``(rec_id, point_id, t)`` with ``at``: the speaker of the first turn that contains each, else null."""
+    first = turns.select("rec_id", _first_open(turns).alias("t"), F.struct(F.col("end").alias("till"), "speaker").alias("open")).where(F.col("t").isNotNull())
+    first = first.select("rec_id", "t", F.lit(None).cast("double").alias("t1"), F.lit(None).cast("string").alias("speaker"), "open")
+    return _along(points, first, "open").select(*[F.col(c) for c in points.columns], _speaker_at().alias("at"))
 
 
 def speaking(points: DataFrame, turns: DataFrame, gap: float = FILL_GAP) -> DataFrame:
     """Points with ``speaker``: who speaks there; in a silence of at most ``gap`` seconds between two turns of one
-    speaker, that one; else null. Points and turns go along time together, and each point takes the last turn before it."""
-    nxt = turns.select("rec_id", F.col("start").alias("t"), F.lit(0).alias("kind"), F.col("end").alias("t1"), "speaker", F.struct(F.col("end").alias("t1"), F.col("speaker").alias("before"), F.lead("start").over(by_start()).alias("next_start"), F.lead("speaker").over(by_start()).alias("after")).alias("turn"))
-    known = at(points, turns)
-    own = known.select("rec_id", "t", F.lit(1).alias("kind"), F.lit(None).cast("double").alias("t1"), F.lit(None).cast("string").alias("speaker"), F.struct(*[c for c in known.columns if c not in ("rec_id", "t")]).alias("point"))
-    along = Window.partitionBy("rec_id").orderBy("t", "kind", "t1", "speaker").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    both = nxt.unionByName(own, allowMissingColumns=True).withColumn("last", F.last("turn", ignorenulls=True).over(along)).where("kind = 1")
-    silent = (F.col("last.before") == F.col("last.after")) & (F.col("t") < F.col("last.next_start")) & (F.col("last.next_start") - F.col("last.t1") <= gap)
-    own = [F.col(c) if c in ("rec_id", "t") else F.col(f"point.{c}").alias(c) for c in points.columns]
-    return both.select(*own, F.coalesce("point.at", F.when(silent, F.col("last.before"))).alias("speaker"))
+    speaker, that one; else null. A turn is passed twice: where it starts, and where it begins to be the first that is open."""
+    t = turns.select("rec_id", "start", "end", "speaker", _first_open(turns).alias("from"), F.lead("start").over(by_start()).alias("next_start"), F.lead("speaker").over(by_start()).alias("after"))
+    turn = F.struct(F.col("end").alias("t1"), F.col("speaker").alias("before"), "next_start", "after")
+    opened = F.struct(F.col("end").alias("till"), "speaker")
+    starts = F.struct(F.col("start").alias("t"), F.col("end").alias("t1"), "speaker", turn.alias("turn"), F.when(F.col("from") <= F.col("start"), opened).alias("open"))
+    opens = F.when(F.col("from") > F.col("start"), F.struct(F.col("from").alias("t"), F.lit(None).cast("double").alias("t1"), F.lit(None).cast("string").alias("speaker"), F.lit(None).cast(TURN).alias("turn"), opened.alias("open")))
+    marks = t.select("rec_id", F.explode(F.array_compact(F.array(starts, opens))).alias("m")).select("rec_id", "m.*")
+    silent = (F.col("turn.before") == F.col("turn.after")) & (F.col("t") < F.col("turn.next_start")) & (F.col("turn.next_start") - F.col("turn.t1") <= gap)
+    return _along(points, marks, "turn", "open").select(*[F.col(c) for c in points.columns], F.coalesce(_speaker_at(), F.when(silent, F.col("turn.before"))).alias("speaker"))
+
+
+TURN = "struct<t1:double,before:string,next_start:double,after:string>"
 
 
 def talk_time(turns: DataFrame, spans: DataFrame) -> DataFrame:
@@ -101,8 +124,9 @@ def names_with_main(turns: DataFrame, mains: DataFrame, role: str = "Preacher")
 
 def labelled(points: DataFrame, turns: DataFrame, names: DataFrame, unclear: str = UNCLEAR) -> DataFrame:
     """Points with ``label``: the name of who speaks there, or ``unclear``."""
-    out = speaking(points, turns).join(names, ["rec_id", "speaker"], "left")
-    return out.withColumn("label", F.coalesce("name", F.lit(unclear))).drop("name")
+    own = names.groupBy("rec_id").agg(F.collect_list(F.struct("speaker", "name")).alias("__names"))  # a recording's; points stay where they are
+    name = F.get(F.filter("__names", lambda n: n["speaker"] == F.col("speaker")), F.lit(0))["name"]
+    return speaking(points, turns).join(own, "rec_id", "left").withColumn("label", F.coalesce(name, F.lit(unclear))).drop("__names")
 
 
 def known_speakers(words: DataFrame, turns: DataFrame, names: DataFrame) -> DataFrame:
