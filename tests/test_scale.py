@@ -135,3 +135,14 @@ def test_events_are_dealt_out_once_for_points_and_once_for_turns(spark, name, jo
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     assert len(re.findall(r"\w*Join\b", own)) == joins and own.count("Exchange") == exchanges
+
+
+def test_labels_are_joined_without_dealing_out_points_again(spark):
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        own = plan(queries.QUERIES["d8_labels"](spark, "/root/testdata/sf0.001"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert "hashpartitioning(rec_id, speaker, 4)" in own  # of the distinct names alone
+    assert own.index("SortMergeJoin") < own.index("Window") and not re.search(r"SortMergeJoin[^\n]*\n[^\n]*Sort[^\n]*\n[^\n]*Exchange[^\n]*\n[^\n]*Window", own)
