@@ -148,7 +148,7 @@ def test_labels_are_joined_without_dealing_out_points_again(spark):
     assert own.index("SortMergeJoin") < own.index("Window") and not re.search(r"SortMergeJoin[^\n]*\n[^\n]*Sort[^\n]*\n[^\n]*Exchange[^\n]*\n[^\n]*Window", own)
 
 
-def test_words_are_assembled_by_segment_in_three_sorts(spark):
+def test_words_are_assembled_by_segment_in_two_sorts(spark):
     own = plan(queries.QUERIES["s1_assemble"](spark, "/root/testdata/sf0.001"))
     assert own.count("Exchange") == 1 and len(re.findall(r"\bSort \[", own)) == 2  # of words as they are timed, and as they are numbered
     rng = random.Random(4)
