@@ -1,5 +1,6 @@
 """What queries write and shuffle: words go where their recording is, once."""
 
+import pathlib
 import random
 import re
 
@@ -163,3 +164,19 @@ def test_words_are_assembled_by_segment_in_two_sorts(spark):
             want[-1][1] += text
         last = rec, seg
     assert [[r.rec_id, r.text, r.start] for r in got] == [w for w in want if any(c.isalnum() for c in w[1])]
+
+
+@pytest.mark.parametrize("name", ["p1_chosen"])
+def test_slices_hold_every_recording_and_go_one_after_another(spark, monkeypatch, name):
+    d = "/root/testdata/sf0.001"
+    table = "events" if name in ("d2_at", "d8_labels") else "documents"
+    want = sorted(map(tuple, queries.QUERIES[name](spark, d).collect()), key=str)
+    monkeypatch.setattr(tables, "SLICE_BYTES", -(-tables._stored_bytes(spark.read.parquet(f"{d}/{table}.parquet")) * (1 + (table == "documents")) // 3))
+    root, of, kept = tables.shared_dir(spark).removeprefix("file:"), derived.word_times, []
+    before = {x.name for x in pathlib.Path(root).iterdir()}
+    monkeypatch.setattr(derived, "word_times", lambda *a: (kept.append({x.name for x in pathlib.Path(root).iterdir()} - before), of(*a))[1])
+    out = queries.QUERIES[name](spark, d)
+    assert sorted(map(tuple, out.collect()), key=str) == want
+    left = {x.name for x in pathlib.Path(root).iterdir()} - before
+    assert len(left) == 1 and len(kept) == (3 if table == "documents" else 0) and all(x <= left for x in kept)  # but for results, nothing stays
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"

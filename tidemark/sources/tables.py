@@ -7,9 +7,10 @@ import contextlib
 import tempfile
 import threading
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -171,15 +172,58 @@ def in_buckets(df: DataFrame, label: str, key: str) -> DataFrame:
 
 
 #: Bytes of stored input in a part, whose words a task sorts in memory; the most parts.
-PART_BYTES, MOST_PARTS = 1 << 21, 10000
+PART_BYTES, MOST_PARTS = 1 << 20, 10000
 
 
-def parts_of(df: DataFrame) -> int:
-    """Into how many parts to deal out a table that grows many times over in its tasks: by its size as the planner knows it,
-    and no fewer than shuffles have, so that joins needn't deal it out again."""
-    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+#: Bytes of stored input in a slice; the most slices, as each reads the input.
+SLICE_BYTES, MOST_SLICES = 1 << 27, 16
+
+
+def _stored_bytes(df: DataFrame) -> int | None:
+    """A table's size as the planner knows it; none if it doesn't."""
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return least if size >> 60 else max(least, min(MOST_PARTS, -(-size // PART_BYTES)))  # beyond that it isn't known
+    return None if size >> 60 else size
+
+
+def parts_of(df: DataFrame, slices: int = 1) -> int:
+    """Into how many parts to deal out a table, or one of its slices, that grows many times over in its tasks: by its size as
+    the planner knows it, and no fewer than shuffles have, so that joins needn't deal it out again."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = _stored_bytes(df)
+    return least if size is None else max(least, min(MOST_PARTS, -(-size // (PART_BYTES * slices))))
+
+
+def in_slices(df: DataFrame, label: str, work: Callable[[Callable[..., DataFrame], int], DataFrame], growth: int = 1) -> DataFrame:
+    """What ``work(own, slices)`` makes of all recordings, of a slice of them after another: what it writes and shuffles of
+    a slice is deleted before the next one, and only results stay. ``df``, the table that they come from, decides by its
+    size how many slices there are, of less where the work makes it grow; of one, nothing is written. ``own(df,
+    key="rec_id")`` leaves a table's rows of the slice, so every recording is in one slice, with all its rows of every table."""
+    spark, size = df.sparkSession, _stored_bytes(df)
+    slices = 1 if size is None else max(1, min(MOST_SLICES, -(-size * growth // SLICE_BYTES)))
+    if slices == 1:
+        return work(lambda df, key="rec_id": df, 1)
+    path = new_folder(spark, label)
+    for k in range(slices):
+        with scope(), _shuffles_deleted(spark):
+            out = work(lambda df, key="rec_id", k=k: df.where(F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(slices)) == k), slices)
+            out.write.mode("append").options(**COMPACT).parquet(path)
+    return spark.read.schema(out.schema).parquet(path)
+
+
+@contextlib.contextmanager
+def _shuffles_deleted(spark: SparkSession) -> Iterator[None]:
+    """Inside, a query's shuffle files go when it ends, not when the driver happens to collect its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, True)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+#: Times and numbers that rise become small differences.
+COMPACT = {"compression": "zstd", "parquet.writer.version": "v2"}
 
 
 def by_recording(df: DataFrame, label: str, *order: str, key: str = "rec_id", dealt: int | None = None) -> DataFrame:
@@ -194,7 +238,6 @@ def by_recording(df: DataFrame, label: str, *order: str, key: str = "rec_id", de
     name, buckets = f"tidemark_{label}_{uuid.uuid4().hex}", dealt or int(spark.conf.get("spark.sql.shuffle.partitions"))
     path = f"{shared_dir(spark)}/{name}"
     own = df if dealt else df.repartition(buckets, key)  # a file for each bucket
-    compact = {"compression": "zstd", "parquet.writer.version": "v2"}  # times that rise become small differences
-    own.write.bucketBy(buckets, key).sortBy(key, *order).options(path=path, **compact).format("parquet").saveAsTable(name)
+    own.write.bucketBy(buckets, key).sortBy(key, *order).options(path=path, **COMPACT).format("parquet").saveAsTable(name)
     _made(spark, path, name)
     return spark.table(name)
