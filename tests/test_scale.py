@@ -180,3 +180,9 @@ def test_slices_hold_every_recording_and_go_one_after_another(spark, monkeypatch
     left = {x.name for x in pathlib.Path(root).iterdir()} - before
     assert len(left) == 1 and len(kept) == (3 if table == "documents" else 0) and all(x <= left for x in kept)  # but for results, nothing stays
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_a_part_is_a_megabyte_of_stored_documents_and_slices_share_them(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    whole = tables.parts_of(docs)
+    assert whole >= tables._stored_bytes(docs) / 1e6 - 1 and tables.parts_of(docs, 3) == -(-tables._stored_bytes(docs) // (3 * tables.PART_BYTES))
