@@ -166,7 +166,7 @@ def test_words_are_assembled_by_segment_in_two_sorts(spark):
     assert [[r.rec_id, r.text, r.start] for r in got] == [w for w in want if any(c.isalnum() for c in w[1])]
 
 
-@pytest.mark.parametrize("name", ["p1_chosen", "p2_checked", "r2_outcomes", "p3_lead_ins", "b1_detected", "d2_at", "c1_cut_words", "d8_labels"])
+@pytest.mark.parametrize("name", ["c1_cut_words", "b1_detected", "b4_names", "r2_outcomes", "p1_chosen", "p2_checked", "p3_lead_ins", "d2_at", "d8_labels"])
 def test_slices_hold_every_recording_and_go_one_after_another(spark, monkeypatch, name):
     d = "/root/testdata/sf0.001"
     table = "events" if name in ("d2_at", "d8_labels") else "documents"
