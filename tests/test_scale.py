@@ -186,3 +186,15 @@ def test_a_part_is_a_megabyte_of_stored_documents_and_slices_share_them(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     whole = tables.parts_of(docs)
     assert whole >= tables._stored_bytes(docs) / 1e6 - 1 and tables.parts_of(docs, 3) == -(-tables._stored_bytes(docs) // (3 * tables.PART_BYTES))
+
+
+@pytest.mark.parametrize("name", ["s17_loops"])
+def test_loops_of_short_chunks_are_heard_to_their_end_as_in_sql(spark, tmp_path, name):
+    import duckdb
+
+    docs = [(4, "a"), (12, "I —"), (3, "word " * 80 + "a"), (11, "so. " * 160 + "b c"), (20, "longer " * 30), (5, "a"), (28, None)]
+    spark.createDataFrame(docs, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(tuple(r) for r in queries.QUERIES[name](spark, str(tmp_path)).collect())
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert got == sorted(con.execute(queries.SQL[name]).fetchall())
