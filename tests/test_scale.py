@@ -188,7 +188,7 @@ def test_a_part_is_a_megabyte_of_stored_documents_and_slices_share_them(spark):
     assert whole >= tables._stored_bytes(docs) / 1e6 - 1 and tables.parts_of(docs, 3) == -(-tables._stored_bytes(docs) // (3 * tables.PART_BYTES))
 
 
-@pytest.mark.parametrize("name", ["s17_loops"])
+@pytest.mark.parametrize("name", ["s17_loops", "s17_transcribed"])
 def test_loops_of_short_chunks_are_heard_to_their_end_as_in_sql(spark, tmp_path, name):
     import duckdb
 
