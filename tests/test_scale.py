@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from test_operators import TURNS, WORDS, random_words, speaking_naive
 from tidemark import queries, run_queries  # noqa: F401 - adds its queries
-from tidemark.operators import corrections, turns as tn, words as wd
+from tidemark.operators import corrections, cuts, turns as tn, words as wd
 from tidemark.sources import derived, tables
 
 
@@ -198,3 +198,19 @@ def test_loops_of_short_chunks_are_heard_to_their_end_as_in_sql(spark, tmp_path,
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
     assert got == sorted(con.execute(queries.SQL[name]).fetchall())
+
+
+def test_quotes_and_cuts_read_stored_words_once_each_without_sorting_them(spark):
+    w = derived.stored_words(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
+    quotes = tables.written(spark.createDataFrame([(0, 1, "so it goes", 10.0, 45.0)], "rec_id bigint, phrase_id int, phrase string, near double, window double"), "quotes")
+    ranges = tables.written(spark.createDataFrame([(0, 0, 3, 9)], "rec_id bigint, cut_id int, first int, last int"), "ranges")
+    threshold, kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), []
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = plan(wd.find(w, quotes))
+        cut = plan(cuts.cut_words(w, ranges, cuts.pauses_between(w), lambda df, name: (kept.append(plan(df)), tables.written(df, name))[1]))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    # times of the whole, beginnings and what follows; the ends of ranges; pauses of both sides
+    assert [p.count("FileScan parquet spark_catalog") for p in (found, *kept, cut)] == [3, 1, 1]
+    assert not any(re.search(r"Sort \[rec_id ASC NULLS FIRST, (idx|bin|e|k)\b", p) for p in (found, *kept, cut))

@@ -234,9 +234,11 @@ def by_recording(df: DataFrame, label: str, *order: str, key: str = "rec_id", de
     already, so that each bucket's are with one task as they are.
 
     Joins by ``key`` and more columns read it where it is, too: the session no longer asks that a join's sides are dealt
-    out by all columns that it compares."""
+    out by all columns that it compares. It takes the order of a bucket that is one file as it is, too, without
+    sorting it again for each window."""
     spark = df.sparkSession
     spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", False)
+    spark.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", True)
     name, buckets = f"tidemark_{label}_{uuid.uuid4().hex}", dealt or int(spark.conf.get("spark.sql.shuffle.partitions"))
     path = f"{shared_dir(spark)}/{name}"
     own = df if dealt else df.repartition(buckets, key)  # a file for each bucket
